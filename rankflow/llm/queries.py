@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rankflow.llm.packing import pack
+from rankflow.llm.privacy import personal_data
+from rankflow.llm.quality import quality_scores
 from rankflow.llm.simhash import simhash_classes
 from rankflow.llm.suffix_dedup import suffix_dedup
 
@@ -34,8 +36,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_pack, op4_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_pack, op4_simhash, op5_quality, op6_privacy)}
 
 
 def oracle_sql() -> dict[str, str]:
