@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankflow.llm.html_text import extract
+from rankflow.llm.media import text_media
+from rankflow.llm.mixing import mixing_sql, mixing_table
 from rankflow.llm.packing import pack
+from rankflow.llm.pivot_index import near_vectors
 from rankflow.llm.privacy import personal_data
 from rankflow.llm.quality import quality_scores
 from rankflow.llm.simhash import simhash_classes
 from rankflow.llm.suffix_dedup import suffix_dedup
+from rankflow.llm.token_file import token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +49,29 @@ def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op3_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_table(_table(spark, sf_dir, "documents"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_pack, op4_simhash, op5_quality, op6_privacy)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_pack, op3_pivot_index, op4_simhash, op5_quality, op6_privacy, op7_html, op8_tokens, op9_mixing, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing_sql()}

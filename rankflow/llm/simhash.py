@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -150,3 +151,24 @@ def simhash_classes(docs: DataFrame, words_each: int = 4, radius: int = 4) -> Da
     found = components(ball_links(nodes, radius))
     classes = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     return prints.join(classes, "print").select(id_back(), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), id_back("component_id"))
+
+
+def keep_one(docs: DataFrame, words_each: int = 4, radius: int = 4) -> DataFrame:
+    """The documents, with their columns, of which each class keeps the one with the smallest doc_id.
+
+    Where a doc_id occurs in several rows, the rows are told apart by their fingerprint and then their text.
+    """
+    classes = simhash_classes(docs, words_each, radius)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if not ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+        return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+
+    @F.pandas_udf("string")
+    def own(text: pd.Series) -> pd.Series:
+        return pd.Series([f"{fingerprint((t or '').encode(), words_each):016x}" for t in text])
+
+    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("kept_id")).agg(F.min("fingerprint").alias("kept_print"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), own(F.col("text").cast("string")).alias("print"))
+    rows = rows.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("print") == F.col("kept_print")), "left_semi")
+    return rows.groupBy("id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
