@@ -34,7 +34,7 @@ def from_table(df: DataFrame, base: float = 0.0) -> Ensemble:
 
 def to_ini(model: Ensemble) -> str:
     """A network whose inputs are trees and whose one node adds them up."""
-    out = configparser.ConfigParser()
+    out = configparser.ConfigParser(delimiters=("=",), interpolation=None)
     out.optionxform = str
     trees = [t for ts in model.trees for t in ts[:1]]
     out["NeuralNet"] = {"Layers": "1", "Inputs": str(len(trees))}
@@ -51,7 +51,7 @@ def to_ini(model: Ensemble) -> str:
 
 
 def from_ini(text: str) -> Ensemble:
-    read = configparser.ConfigParser()
+    read = configparser.ConfigParser(delimiters=("=",), interpolation=None)
     read.optionxform = str
     read.read_string(text)
     model = Ensemble(base=float(read["Node:1:1"]["Bias"]))
