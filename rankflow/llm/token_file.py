@@ -16,10 +16,12 @@ each other in the order of their length and checksum; an empty table gives an em
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,25 @@ MAGIC = b"RKT1"
 _HEAD = struct.Struct("<4sQIIQII")
 
 
+#: Letters whose composition and lower case depend on nothing around them, and all other ASCII signs. Anything else goes the long way.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+_PLAIN = re.compile(f"(?!.*<\\|)[!-~{_LETTER}]+")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+
+
+def _byte_signs() -> list[str]:
+    """The sign that byte-level vocabularies write for each byte: itself where it is printable, else the next free one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(free)) for b in range(256)]
+
+
 class WordIds:
-    """Ids of a tokenizer under which no id spans white space, by a cache of white-space-parted words.
+    """Ids of a lower-case byte-level vocabulary with word ends, under which no id spans white space.
 
-    Words that the cache lacks are encoded by the tokenizers library in one call, parted by a special token.
+    Words parted by white space are looked up in a cache. Of those that it lacks, plain ones are parted into pieces as
+    the vocabulary's pattern says, and the tokenizers library's model encodes each piece that is new; others go through
+    the whole tokenizer, parted by a special token. The tests hold both ways to the tokenizer's own result.
     """
 
     BLANKS = "\t\n\r\f\v"
@@ -50,44 +67,77 @@ class WordIds:
 
         self.exact, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.exact.encode_special_tokens = True
+        self.model, self.signs = self.exact.model, _byte_signs()
         self.apart, self.apart_id, self.most = apart, self.joined.token_to_id(apart), most
         self._clear()
 
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        found = self.pieces.get(piece)
+        if found is None:
+            written = piece if piece.isascii() else "".join([self.signs[b] for b in piece.encode()])
+            found = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(written)])
+        return found
+
     def _clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.start, self.size, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint32), 0
+        self.again = np.zeros(1 << 16, bool)
 
     def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if self.apart[:2] in w]
-        plain = [w for w in words if self.apart[:2] not in w]
-        parts = []
-        for at in range(0, len(plain), 4096):
-            own = plain[at : at + 4096]
-            ids = np.array(self.joined.encode_batch_fast([self.apart.join(own)], add_special_tokens=False)[0].ids, np.uint32)
-            parts.append(np.append(ids, np.uint32(self.apart_id)))
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        ends = np.flatnonzero(ids == self.apart_id)
-        sizes = np.diff(ends, prepend=-1) - 1
-        ids = ids[ids != self.apart_id]
-        if odd:
-            more = [self.exact.encode(w, add_special_tokens=False).ids for w in odd]
-            ids = np.concatenate((ids, np.array([i for m in more for i in m], np.uint32)))
-            sizes = np.append(sizes, [len(m) for m in more])
+        plain, rest, odd, flat, sizes = [], [], [], [], []
+        parted, piece, known = _PIECE.findall, self._piece, self.pieces.get
+        for w in words:
+            if _PLAIN.fullmatch(w):
+                before = len(flat)
+                for p in parted(w.lower()):
+                    flat += known(p) or piece(p)
+                sizes.append(len(flat) - before)
+                plain.append(w)
+            else:
+                (odd if "<|" in w else rest).append(w)
+        parts, more = [np.array(flat, np.uint32)], [np.array(sizes, np.int64)]
+        for at in range(0, len(rest), 4096):
+            ids = np.array(self.joined.encode_batch_fast([self.apart.join(rest[at : at + 4096])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(np.append(ids, np.uint32(self.apart_id)) == self.apart_id)
+            more.append(np.diff(ends, prepend=-1) - 1)
+            parts.append(ids[ids != self.apart_id])
+        for w in odd:
+            parts.append(np.array(self.exact.encode(w, add_special_tokens=False).ids, np.uint32))
+            more.append(np.array([len(parts[-1])]))
+        plain += rest + odd
+        ids, sizes = np.concatenate(parts), np.concatenate(more)
         n = len(self.index)
         while n + len(sizes) > len(self.start):
-            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
+            self.start, self.size, self.again = (np.append(x, np.zeros_like(x)) for x in (self.start, self.size, self.again))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros_like(self.pool))
         self.size[n : n + len(sizes)] = sizes
         self.start[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.index.update(zip([*plain, *odd], range(n, n + len(sizes)), strict=True))
+        self.index.update(zip(plain, range(n, n + len(sizes)), strict=True))
+
+    def _thin_out(self) -> None:
+        """Keep the words that were met again since they were learned."""
+        old, kept = self.index, np.flatnonzero(self.again[: len(self.index)])
+        start, size, pool, again = self.start, self.size, self.pool, self.again
+        self._clear()
+        kept = kept[kept > 0]
+        if len(kept) > self.most // 2:
+            return
+        self.index.update(zip([w for w, i in old.items() if i and again[i]], range(1, len(kept) + 1), strict=True))
+        n = 1 << max(16, (len(kept) + 1).bit_length())
+        self.start, self.size, self.again = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        ids = pool[ranges(start[kept], size[kept])]
+        self.size[1 : len(kept) + 1] = size[kept]
+        self.start[1 : len(kept) + 1] = np.cumsum(size[kept]) - size[kept]
+        self.pool, self.used = np.append(ids, np.zeros(1 << 20, np.uint32)), len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, the number of ids of each text)."""
         if len(self.index) > self.most:
-            self._clear()
+            self._thin_out()
         words, counts = [], []
         for t in texts:
             for blank in self.BLANKS:
@@ -96,11 +146,13 @@ class WordIds:
             own = t.split(" ")
             counts.append(len(own))
             words += own
-        at = list(map(self.index.get, words))
-        if None in at:
-            self._learn(list({w: None for w, i in zip(words, at, strict=True) if i is None}))
-            at = list(map(self.index.get, words))
-        at = np.array(at, np.int64)
+        at = np.array(list(map(self.index.get, words, repeat(-1))), np.int64)
+        lacking = np.flatnonzero(at < 0).tolist()
+        self.again[at[at >= 0]] = True
+        if lacking:
+            new = [words[i] for i in lacking]
+            self._learn(list(dict.fromkeys(new)))
+            at[lacking] = list(map(self.index.__getitem__, new))
         sizes = self.size[at]
         ids = self.pool[ranges(self.start[at], sizes)]
         edges = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,8 +22,9 @@ def plain(texts):
 
 def test_word_cache_gives_the_tokenizer_s_ids():
     r = random.Random(2)
-    texts = ["", " ", "a  b\n\n c\x0b\x0c", "it's <|endoftext|> x<|y", "ΣΑΣ İi ﬁ é é ́x", "a b c\x85d\x1ce", "don't DON'T 123 4,5", "x" * 500]
+    texts = ["", " ", "a  b\n\n c\x0b\x0c", "it's <|endoftext|> x<|y", "ΣΑΣ İi ﬁ é é ́x", "a b c\x85d\x1ce", "don't DON'T 123 4,5", "x" * 500, "l'été ÉCOLE Ça!'s 'S x×y÷z ŒUVRE ŸŽ ſ ŉ ı", "a's,b'll?it'd''ve 1a2b ~!@#"]
     texts += ["".join(chr(r.choice((r.randint(32, 127), r.randint(1, 0x2FF), r.randint(0x2000, 0x2030), r.randint(0x4E00, 0x4E40)))) for _ in range(120)) for _ in range(80)]
+    texts += ["".join(r.choice("aAéÉ'sStd1,.<|>İΣ×ñ \n") for _ in range(60)) for _ in range(200)]
     w = m.WordIds(PATH, most=300)
     for lo in range(0, len(texts), 7):
         ids, sizes = w.encode(texts[lo : lo + 7])
@@ -51,6 +53,13 @@ def test_block_round_trip(n):
         assert 32 * len(words) <= 1.05 * -np.log2(p).sum() + 64 * 128
 
 
+def test_word_cache_on_given_texts():
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.tolist()
+    w = m.WordIds(PATH)
+    ids, sizes = w.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == plain(texts)
+
+
 def test_file_round_trip(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy(F.rand(3))
     docs = docs.unionByName(spark.createDataFrame([(None, None), (-5, ""), (10**9, "one Two <|endoftext|>")], "doc_id long, text string"), allowMissingColumns=True).withColumn("n", F.lit("x"))
