@@ -34,14 +34,15 @@ from rankflow.llm.common import buckets_for, new_path, ranges
 _U = np.uint64
 SCALE = 20  # bits of the sum of all frequencies
 LOW = 1 << 31  # states lie from here up to 2 ** 63
-LANES, BLOCK_IDS, CHECKPOINT = 1024, 1 << 18, 128
+LANES, BLOCK_IDS, CHECKPOINT = 4096, 1 << 20, 128
 MAGIC = b"RKT1"
 _HEAD = struct.Struct("<4sQIIQII")
 
 
 #: Letters whose composition and lower case depend on nothing around them, and all other ASCII signs. Anything else goes the long way.
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
-_PLAIN = re.compile(f"(?!.*<\\|)[!-~{_LETTER}]+")
+_PLAIN = re.compile(f"[!-;=-~{_LETTER}]+")
+_ENDED = re.compile(f"([{_LETTER}]+)([!-&(-/:;=-@\\[-`{{-~]*)")  # letters, then signs: one piece or two
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
 
 
@@ -62,40 +63,54 @@ class WordIds:
 
     BLANKS = "\t\n\r\f\v"
 
-    def __init__(self, path: str, most: int = 500_000, apart: str = "<|endoftext|>"):
+    def __init__(self, path: str, most: int = 500_000, most_pieces: int = 300_000, apart: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
 
         self.exact, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.exact.encode_special_tokens = True
         self.model, self.signs = self.exact.model, _byte_signs()
-        self.apart, self.apart_id, self.most = apart, self.joined.token_to_id(apart), most
+        self.apart, self.apart_id, self.most, self.most_pieces = apart, self.joined.token_to_id(apart), most, most_pieces
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self._clear()
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         found = self.pieces.get(piece)
         if found is None:
+            if len(self.pieces) >= self.most_pieces:
+                self.pieces.clear()
             written = piece if piece.isascii() else "".join([self.signs[b] for b in piece.encode()])
             found = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(written)])
         return found
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
-        self.pieces: dict[str, tuple[int, ...]] = {}
         self.start, self.size, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint32), 0
         self.again = np.zeros(1 << 16, bool)
 
     def _learn(self, words: list[str]) -> None:
         plain, rest, odd, flat, sizes = [], [], [], [], []
-        parted, piece, known = _PIECE.findall, self._piece, self.pieces.get
-        for w in words:
-            if _PLAIN.fullmatch(w):
+        ended, plain_word, parted, piece, known = _ENDED.fullmatch, _PLAIN.fullmatch, _PIECE.findall, self._piece, self.pieces.get
+        for word in words:
+            w = word
+            if w.isascii() and w.isalpha():
+                ids = known(w := w.lower()) or piece(w)
+                flat += ids
+                sizes.append(len(ids))
+            elif m := ended(w):
+                ids = known(p := m[1].lower()) or piece(p)
+                if p := m[2]:
+                    ids = ids + (known(p) or piece(p))
+                flat += ids
+                sizes.append(len(ids))
+            elif plain_word(w):
                 before = len(flat)
                 for p in parted(w.lower()):
                     flat += known(p) or piece(p)
                 sizes.append(len(flat) - before)
-                plain.append(w)
             else:
                 (odd if "<|" in w else rest).append(w)
+                continue
+            plain.append(word)
         parts, more = [np.array(flat, np.uint32)], [np.array(sizes, np.int64)]
         for at in range(0, len(rest), 4096):
             ids = np.array(self.joined.encode_batch_fast([self.apart.join(rest[at : at + 4096])], add_special_tokens=False)[0].ids, np.uint32)
@@ -146,7 +161,7 @@ class WordIds:
             own = t.split(" ")
             counts.append(len(own))
             words += own
-        at = np.array(list(map(self.index.get, words, repeat(-1))), np.int64)
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         lacking = np.flatnonzero(at < 0).tolist()
         self.again[at[at >= 0]] = True
         if lacking:
@@ -367,7 +382,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     freq = np.frombuffer(head.freq, "<u4").astype(np.int64)
     blocks = spark.read.schema("shard int, block int, n_ids long, data binary").parquet(f"{path}/blocks")
     before = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    # A row for each quarter of a million ids: only numbers, no data.
+    # A row for each million ids: only numbers, no data.
     first = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
     decoded = blocks.select("shard", "block", "data").mapInArrow(_decode(freq), "doc_id long, shard int, block int, at long, n_tokens long, ids_crc32 long")
     return decoded.join(first, ["shard", "block"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
