@@ -148,8 +148,6 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, nearest: int =
     described = materialize(units.mapInArrow(_describe(pivots, nearest), "node long, copies long, unit binary, near array<int>"), "described")
     posted = described.select("node", "copies", "unit", "near", F.explode("near").alias("pivot"))
     blocks = {r.pivot: -(-r["count"] // block) for r in posted.groupBy("pivot").count().collect()}  # at most 4,096 rows
-    if min_shared > 1 and not blocks:
-        blocks = {0: 1}
     long_lists = F.create_map(*[F.lit(x) for k, v in blocks.items() if v > 1 for x in (k, v)]) if any(v > 1 for v in blocks.values()) else None
     count = F.coalesce(F.try_element_at(long_lists, F.col("pivot")), F.lit(1)) if long_lists is not None else F.lit(1)
     parted = posted.withColumn("n_parts", count.cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n_parts")).cast("int"))
