@@ -6,7 +6,7 @@ the letter's place, host labels from the last to the first, each followed by a p
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _FORM = r"^(?i)(http|https)://([^/:?#]+)(?::([0-9]{1,5}))?((?:[/?#].*)?)$"
@@ -110,3 +110,47 @@ def url_date(url: Column, years: tuple[int, ...] = (2011, 2012)) -> Column:
     pattern = r"(?<![0-9A-Za-z])(?:%s)([-._/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![0-9A-Za-z])" % "|".join(map(str, years))
     found = F.regexp_extract_all(url, F.lit(pattern), F.lit(0))
     return F.when((F.size(found) == 1) & ~url.contains("?"), F.regexp_replace(F.get(found, F.lit(0)), "[^0-9]", "").cast("int"))
+
+
+#: Domains, in reversed form, whose hosts are left out unless they are the www host.
+EXCLUDED = (
+    "h-----uk.co.immospy.",
+    "h-----com.firstareadrom.",
+    "h-----cc.co.",
+    "h-----us.craigslist-jobs.",
+    "h-----com.craigslist-real-estate.",
+    "h-----com.coffeerabbit.",
+    "h-----com.rentals-craigslist.",
+    "h-----com.craigslist-cars.",
+)
+#: Start of a reversed domain, and what its host suffixes must hold, for personal spaces that are left out.
+PERSONAL = ("h-----com.live", "cid-")
+
+
+def is_excludable(turned_domain: Column, host_suffix: Column) -> Column:
+    """Whether a host is left out: by its domain, or as a personal space; never if its suffix is 'www.'."""
+    start, mark = PERSONAL
+    listed = turned_domain.isin(*EXCLUDED) | (F.lower(turned_domain).startswith(start) & host_suffix.contains(mark))
+    return F.coalesce((host_suffix != "www.") & listed, F.lit(False))
+
+
+def url_list(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The distinct entries (url) of a list: trimmed, blank ones dropped, http(s) URLs reversed, others as they are."""
+    entry = F.trim(F.col(column))
+    turned = F.when(entry.startswith("http"), reverse(entry)).otherwise(entry)
+    return lines.where(entry != "").select(turned.alias("url")).where("url IS NOT NULL").distinct()
+
+
+def site(df: DataFrame, url: str, prefixes: DataFrame, suffixes: list[str] | tuple[str, ...] = (), out: str = "site") -> DataFrame:
+    """df with a URL's site: host and first path segment if `prefixes` (column prefix) has them, else the host if it has it, else the domain.
+
+    Prefixes are written with a slash at their end, as first_path() gives them. null for invalid URLs. Two equi-joins, so the
+    table of prefixes may have any size.
+    """
+    known = prefixes.select(F.col("prefix").alias("_p")).where("_p IS NOT NULL").distinct()
+    l1, own = first_path(F.col(url)), F.concat(host(F.col(url)), F.lit("/"))
+    asked = df.withColumn("_l1", F.when(l1 != own, l1)).withColumn("_host", F.when(host(F.col(url)) != domain(F.col(url), suffixes), own))
+    asked = asked.join(known.select(F.col("_p").alias("_by_l1")), F.col("_l1") == F.col("_by_l1"), "left")
+    asked = asked.join(known.select(F.col("_p").alias("_by_host")), F.col("_host") == F.col("_by_host"), "left")
+    found = F.coalesce("_by_l1", "_by_host", F.concat(domain(F.col(url), suffixes), F.lit("/")))
+    return asked.withColumn(out, F.when(is_valid(F.col(url)), found)).drop("_l1", "_host", "_by_l1", "_by_host")

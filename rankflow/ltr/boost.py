@@ -107,6 +107,9 @@ class Settings:
     clamp: float = 5.0
     cut: int = 10
     refresh: int = 4
+    row_share: float = 1.0  # of the rows, for each tree; of the queries where there is a group
+    feature_share: float = 1.0  # of the features, for each tree
+    seed: int = 0
 
 
 def _responses(df: DataFrame, s: Settings, label: str, group: str | None) -> DataFrame:
@@ -156,13 +159,15 @@ def _leaf_value(s: Settings, n: float, r: float, w: float, middle: float | None)
     return max(-s.clamp, min(s.clamp, v * s.rate))
 
 
-def grow(coded: DataFrame, features: list[str], books: dict[str, list[float]], s: Settings, response: str, weight: str, label: str, score: str) -> Tree:
-    """A tree over rows with codes: `codes` is an array with the bin of each feature."""
+def grow(coded: DataFrame, features: list[str], books: dict[str, list[float]], s: Settings, response: str, weight: str, label: str, score: str, allowed: list[int] | None = None) -> Tree:
+    """A tree over rows with codes: `codes` is an array with the bin of each feature. allowed: the features' numbers to split by, if not all."""
     tree = Tree()
     leaves: dict[int, tuple[float, int, int]] = {}  # leaf -> best (gain, feature, bin)
 
     def look(ids: list[int]) -> None:
         rows = coded.select(tree.leaf().alias("node"), F.posexplode("codes").alias("feature", "bin"), F.col(response).alias("response")).where(F.col("node").isin(ids))
+        if allowed is not None:
+            rows = rows.where(F.col("feature").isin(allowed))
         sums = rows.groupBy("node", "feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("response").alias("total"))
         found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         for x in sums.collect():  # leaves x features x bins
@@ -213,8 +218,8 @@ def train(df: DataFrame, features: list[str], label: str, settings: Settings, gr
     rows = df.withColumn("codes", codes).withColumn("_id", F.monotonically_increasing_id())
     rows = _kept(rows.select(*df.columns, "codes", "_id", *[F.lit(model.base).alias(f"_f{k}") for k in range(many)]))
     for i in range(s.trees):
-        work = _responses(rows, s, label, group).persist()
-        trees = [grow(work, features, books, s, f"_r{k}", f"_w{k}", label, f"_f{k}") for k in range(many)]
+        work = _responses(_share(rows, s, i, group), s, label, group).persist()
+        trees = [grow(work, features, books, s, f"_r{k}", f"_w{k}", label, f"_f{k}", _allowed(len(features), s, i)) for k in range(many)]
         work.unpersist()
         model.trees.append(trees)
         rows = rows.withColumns({f"_f{k}": F.col(f"_f{k}") + t.column() for k, t in enumerate(trees)})
@@ -225,9 +230,27 @@ def train(df: DataFrame, features: list[str], label: str, settings: Settings, gr
     return model
 
 
+def _share(rows: DataFrame, s: Settings, iteration: int, group: str | None) -> DataFrame:
+    """The rows (whole queries, if there is a group) that an iteration's trees are fitted to."""
+    if s.row_share >= 1:
+        return rows
+    drawn = F.pmod(F.xxhash64(F.lit(s.seed), F.lit(iteration), F.col(group or "_id")), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(drawn < s.row_share)
+
+
+def _allowed(features: int, s: Settings, iteration: int) -> list[int] | None:
+    if s.feature_share >= 1:
+        return None
+    drawn = np.random.default_rng([s.seed, iteration]).permutation(features)
+    return sorted(drawn[: max(1, round(features * s.feature_share))].tolist())
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder, where there is one."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir():
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    if context.getCheckpointDir():
         return df.checkpoint()
     return df.persist()
 

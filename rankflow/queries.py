@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.functions import bits, dates, segments, text, urls, vectors
+from rankflow.functions import bits, dates, lookups, segments, text, urls, vectors
 from rankflow.ltr import boost, data, findstep, metrics, quantize, transforms
 from rankflow.operators import filtering, joins, ordering, projection, reduction
 from rankflow.plans.expression import evaluate
 from rankflow.relation import Relation
+from rankflow.sources import readers
 from rankflow.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -426,6 +427,51 @@ def is_home_page(spark, d):
     return _t(spark, d, "pages").df.select("page_id", urls.is_home_page(F.col("url")).alias("home"))
 
 
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS h, regexp_extract(url, '^https?://[^/?#]+/([^/?#]+)/', 1) AS seg FROM pages),
+q AS (SELECT page_id, h, seg, h || '/' || CASE WHEN seg = '' THEN '' ELSE seg || '/' END AS l1, array_to_string(string_split(h, '.')[-2:], '.') AS dom FROM p),
+t AS (SELECT l1 FROM q GROUP BY 1 HAVING count(*) >= 2)
+SELECT page_id, CASE WHEN seg <> '' AND l1 IN (FROM t) THEN l1 WHEN h <> dom AND h || '/' IN (FROM t) THEN h || '/' ELSE dom || '/' END AS site FROM q""")
+def site_lookup(spark, d):
+    """Sites by a table of prefixes: here, hosts and first path segments with two pages or more."""
+    pages = _t(spark, d, "pages").df.select("page_id", "url")
+    prefixes = pages.groupBy(urls.first_path(F.col("url")).alias("prefix")).count().where("count >= 2")
+    return urls.site(pages, "url", prefixes).select("page_id", "site")
+
+
+@query("""SELECT DISTINCT CASE WHEN url LIKE 'https%' THEN 's' ELSE 'h' END || '-----' || array_to_string(list_reverse(string_split(regexp_extract(url, '^https?://([^/:?#]+)', 1), '.')), '.') || '.'
+|| CASE WHEN regexp_extract(url, '^https?://[^/:?#]+(.*)$', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/:?#]+(.*)$', 1) END AS url FROM pages""")
+def url_list_load(spark, d):
+    lines = _t(spark, d, "pages").df.select(F.concat(F.lit(" "), "url", F.lit(" ")).alias("value"))
+    return urls.url_list(lines.unionByName(lines.select(F.lit("  ").alias("value"))))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 0 END AS code FROM documents")
+def language_codes(spark, d):
+    return _t(spark, d, "documents").df.select("doc_id", lookups.mapped(F.upper("lang"), {"en": 1, "de": 2, "fr": 3}, 0).alias("code"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_custkey WHEN c_nationkey % 3 = 0 THEN 1000000 + c_nationkey
+ELSE 2000000 END::BIGINT AS quota FROM customer""")
+def inherited_settings(spark, d):
+    customers = _t(spark, d, "customer").df.select("c_custkey", "c_nationkey")
+    own = customers.where("c_custkey % 7 = 0").select("c_custkey", F.col("c_custkey").alias("quota"))
+    nation = _t(spark, d, "nation").df.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_nationkey") + 1_000_000).cast("long").alias("quota"))
+    everyone = spark.range(1).select(F.lit(2_000_000).cast("long").alias("quota"))
+    return lookups.inherited(customers, "quota", [(own, ["c_custkey"]), (nation, ["c_nationkey"]), (everyone, [])]).select("c_custkey", "quota")
+
+
+def _squares(part: int, parts: int):
+    import pandas as pd
+
+    n = pd.Series(range(part, 1000, parts), dtype="int64")
+    yield pd.DataFrame({"n": n, "square": n * n})
+
+
+@query("SELECT range AS n, range * range AS square FROM range(1000)")
+def user_source(spark, d):
+    return readers.user_source(spark, _squares, "n long, square long", "n").df
+
+
 @query("SELECT o_custkey, bit_or(1::BIGINT << (o_orderkey % 40)::INT) AS any, bit_and(o_orderkey) AS every FROM orders GROUP BY 1")
 def bitmask_merge(spark, d):
     return _t(spark, d, "orders").df.groupBy("o_custkey").agg(F.bit_or(bits.bit(F.col("o_orderkey") % 40)).alias("any"), F.bit_and("o_orderkey").alias("every"))

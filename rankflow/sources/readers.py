@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,17 @@ def endless(spark: SparkSession, n: int, fixed: bool = False) -> Relation:
     return Relation(spark.range(n).select(key.alias("key")), ("key",), "line", "null")
 
 
+def user_source(spark: SparkSession, function: Callable[[int, int], Iterator[pd.DataFrame]], schema: str, key: str, parts: int = 8, name: str = "user") -> Relation:
+    """A source of the user's own: function(part, parts) yields part's rows as frames; parts are made where they are used, each anew if it is lost."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in batch["id"]:
+                yield from function(int(part), parts)
+
+    return Relation(spark.range(0, parts, 1, parts).mapInPandas(run, schema), (key,), "table", name)
+
+
 def open_uri(spark: SparkSession, uri: str) -> Relation:
     """A relation by URI: records:, recs:, store:, tstore:, dir:, directory:, multi:, filelist:, xml:<tag>:, or a path by its extension."""
     scheme, _, rest = uri.partition(":")

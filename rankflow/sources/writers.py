@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.functions.text import count_text
@@ -48,6 +49,20 @@ def write_nothing(r: Relation) -> None:
     r.df.write.format("noop").mode("overwrite").save()
 
 
+def write_scores(df: DataFrame, path: str, group: str, label: str, score: str) -> None:
+    """The table of scores: m:QueryId, m:Rating, Score, parted by TABs, with a header."""
+    named = df.select(F.col(f"`{group}`").alias("m:QueryId"), F.col(f"`{label}`").alias("m:Rating"), F.col(f"`{score}`").alias("Score"))
+    named.write.option("sep", "\t").option("header", True).csv(path)
+
+
+def write_history(spark: SparkSession, history: list[dict[str, float]], path: str) -> None:
+    """A model's errors by iteration, as one table parted by TABs."""
+    names = sorted({k for row in history for k in row}, key=lambda k: (k != "iteration", k))
+    rows = [tuple(None if row.get(k) is None else float(row[k]) for k in names) for row in history]
+    df = spark.createDataFrame(rows, ", ".join(f"`{k}` double" for k in names))
+    df.withColumn("iteration", F.col("iteration").cast("int")).coalesce(1).sortWithinPartitions("iteration").write.option("sep", "\t").option("header", True).csv(path)
+
+
 def write_uri(r: Relation, uri: str) -> None:
     scheme, _, rest = uri.partition(":")
     compression = next((name for end, name in ((".gz", "gzip"), (".bz2", "bzip2"), (".zst", "zstd")) if uri.endswith(end)), None)

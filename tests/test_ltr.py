@@ -139,3 +139,25 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert sorted(tuple(r) for r in spark.sql("select * from rc").collect()) == [("a", 3), ("b", 3)]
     assert [tuple(r)[0::3] for r in windows.sessions(src, "ts", "k", "45 minutes").orderBy("k").collect()] == [("a", 2), ("b", 1)]
+
+
+def test_boost_samples(spark):
+    df = spark.range(600).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), (F.col("id") % 7 * 2.0).alias("y"), (F.col("id") % 50).alias("q"))
+    s = boost.Settings(trees=6, leaves=4, rate=0.5, row_share=0.6, feature_share=0.5, seed=3)
+    first, again = (boost.train(df, ["a", "b"], "y", s, group="q", valid=df) for _ in range(2))
+    assert first.history == again.history
+    assert first.history[-1]["rmse"] < first.history[0]["rmse"] < 4.1
+    used = [{n.feature for n in t[0].nodes if n.feature} for t in first.trees]
+    assert all(len(u) <= 1 for u in used) and set().union(*used) >= {"a"}
+
+
+def test_scores_and_history_files(spark, tmp_path):
+    from rankflow.sources import writers
+
+    df = spark.createDataFrame([("q1", 3, 0.5)], "q string, y int, s double")
+    writers.write_scores(df, f"{tmp_path}/scores", "q", "y", "s")
+    got = spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/scores")
+    assert got.columns == ["m:QueryId", "m:Rating", "Score"] and tuple(got.first()) == ("q1", "3", "0.5")
+    writers.write_history(spark, [{"iteration": 1, "rmse": 2.0}, {"iteration": 2, "rmse": 1.5, "ndcg": 0.5}], f"{tmp_path}/history")
+    got = spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/history")
+    assert [tuple(r) for r in got.collect()] == [("1", None, "2.0"), ("2", "0.5", "1.5")]

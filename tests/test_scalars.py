@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rankflow.functions import bits, dates, segments, text, urls, vectors
+from rankflow.functions import bits, dates, lookups, segments, text, urls, vectors
 
 
 def value(spark, column, **named):
@@ -99,3 +99,40 @@ def test_vectors(spark):
     flat = df.where("x = 1")
     assert vectors.histogram(flat, "x", 4).first().n == 2 and {r.rescaled for r in vectors.rescaled(flat, "x", 3.0, 4.0).collect()} == {3.0}
     assert vectors.histogram(df.where("false"), "x", 4).count() == 0
+
+
+def test_site(spark):
+    prefixes = spark.createDataFrame([("www.a.com/x/",), ("b.a.com/",), ("b.a.com/",), (None,)], "prefix string")
+    rows = ["http://www.a.com/x/y", "http://b.a.com/x/y", "http://www.a.com/z/y", "http://a.com/x/y", "nonsense", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, u string")
+    found = {r.i: r.site for r in urls.site(df, "u", prefixes).collect()}
+    assert found == {0: "www.a.com/x/", 1: "b.a.com/", 2: "a.com/", 3: "a.com/", 4: None, 5: None}
+
+
+def test_url_list(spark):
+    lines = spark.createDataFrame([(" http://a.b/c ",), ("http://a.b/c",), ("",), ("  ",), ("h-----b.a./",), ("http://bad/",), (None,)], "value string")
+    assert sorted(r.url for r in urls.url_list(lines).collect()) == ["h-----b.a./", "h-----b.a./c"]
+
+
+@pytest.mark.parametrize(
+    ("domain", "suffix", "out"),
+    [("h-----cc.co.", "x.", True), ("h-----cc.co.", "www.", False), ("H-----com.live.", "cid-12.", True), ("h-----com.live.", "mail.", False), ("h-----com.foo.", "x.", False), (None, "x.", False)],
+)
+def test_is_excludable(spark, domain, suffix, out):
+    df = spark.createDataFrame([(domain, suffix)], "d string, s string")
+    assert df.select(urls.is_excludable(F.col("d"), F.col("s")).alias("x")).first().x is out
+
+
+def test_mapped(spark):
+    df = spark.createDataFrame([("html",), (" PS ",), ("odd",), (None,)], "k string")
+    assert [r.x for r in df.select(lookups.file_format(F.col("k")).alias("x")).collect()] == ["html", "pdfps", "Unknown", "Unknown"]
+    assert df.select(lookups.mapped(F.col("k"), {}, 3).alias("x")).first().x == 3
+
+
+def test_inherited(spark):
+    df = spark.createDataFrame([("s1", "g1"), ("s2", "g1"), ("s3", "g2"), (None, None)], "s string, g string")
+    own = spark.createDataFrame([("s1", 1), ("s2", None)], "s string, n int")
+    group = spark.createDataFrame([("g1", 2), ("g1", 1)], "g string, n int")
+    none = spark.createDataFrame([], "n int")
+    got = lookups.inherited(df, "n", [(own, ["s"]), (group, ["g"]), (none, [])], 9)
+    assert {r.s: r.n for r in got.collect()} == {"s1": 1, "s2": 2, "s3": 9, None: 9}
