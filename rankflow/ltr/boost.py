@@ -95,9 +95,14 @@ class Ensemble:
         return {f: r / top for f, r in sorted(roots.items(), key=lambda x: -x[1])}
 
 
+#: lambda weighs pairs by the change of NDCG, lambda_raw by that of a DCG whose gains are the labels.
+PAIR_LOSSES = ("ranknet", "lambda", "lambda_raw")
+LOSSES = ("l2", "l1", "logistic", *PAIR_LOSSES)
+
+
 @dataclass
 class Settings:
-    loss: str = "l2"  # l2, l1, logistic, ranknet, lambda
+    loss: str = "l2"  # one of LOSSES
     trees: int = 10
     leaves: int = 8
     rate: float = 0.2
@@ -131,11 +136,15 @@ def _responses(df: DataFrame, s: Settings, label: str, group: str | None) -> Dat
         return df
     # Pairs of a query: gradients are summed up per row before they come back.
     slim = df.select(group, "_id", y.alias("_y"), f.alias("_f"))
-    if s.loss == "lambda":
+    if s.loss != "ranknet":
         w = Window.partitionBy(group)
-        slim = slim.withColumn("_rank", F.row_number().over(w.orderBy(F.col("_f").desc(), "_y", "_id")) - 1).withColumn("_g", M.gain(F.col("_y")))
-        best = M.extreme_dcg(slim.withColumnRenamed("_g", "_gg"), group, "_y", s.cut).withColumnRenamed("dcg", "_best")
-        slim = slim.withColumn("_d", F.when(F.col("_rank") < s.cut, M.discount(F.col("_rank"))).otherwise(0.0)).join(best, group)
+        gains = M.gain(F.col("_y")) if s.loss == "lambda" else F.col("_y")
+        slim = slim.withColumn("_rank", F.row_number().over(w.orderBy(F.col("_f").desc(), "_y", "_id")) - 1).withColumn("_g", gains)
+        slim = slim.withColumn("_d", F.when(F.col("_rank") < s.cut, M.discount(F.col("_rank"))).otherwise(0.0))
+        if s.loss == "lambda":
+            slim = slim.join(M.extreme_dcg(slim, group, "_y", s.cut).withColumnRenamed("dcg", "_best"), group)
+        else:
+            slim = slim.withColumn("_best", F.lit(1.0))
     a = slim.select(*[F.col(c).alias(c if c == group else f"a{c}") for c in slim.columns])
     b = slim.select(*[F.col(c).alias(c if c == group else f"b{c}") for c in slim.columns])
     both = a.join(b, group).where("a_y > b_y")
@@ -200,11 +209,11 @@ def grow(coded: DataFrame, features: list[str], books: dict[str, list[float]], s
 
 
 def train(df: DataFrame, features: list[str], label: str, settings: Settings, group: str | None = None, valid: DataFrame | None = None) -> Ensemble:
-    """Fit an ensemble. group: the query column, for ranknet and lambda. valid: rows whose error is kept in history."""
+    """Fit an ensemble. group: the query column, for pair losses. valid: rows whose error is kept in history."""
     s = settings
-    if s.loss in ("ranknet", "lambda") and group is None:
+    if s.loss in PAIR_LOSSES and group is None:
         raise ValueError("pair losses need a group")
-    if s.loss not in ("l2", "l1", "logistic", "ranknet", "lambda"):
+    if s.loss not in LOSSES:
         raise ValueError(f"unknown loss: {s.loss}")
     model = Ensemble(features=list(features))
     shares = [i / s.bins for i in range(s.bins + 1)]
@@ -257,7 +266,7 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def _measured(model: Ensemble, valid: DataFrame, label: str, s: Settings, group: str | None) -> dict[str, float]:
     scored = model.predict(valid)
-    if s.loss in ("ranknet", "lambda"):
+    if s.loss in PAIR_LOSSES:
         got = M.ndcg(scored, group, label, "score", s.cut).agg(F.avg("ndcg")).first()[0]
         return {"ndcg": float(got or 0.0)}
     if s.loss == "logistic" and s.classes == 2:

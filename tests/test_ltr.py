@@ -82,7 +82,7 @@ def test_first_tree_matches_brute_force(spark):
     assert model.base + model.trees[0][0].nodes[root.left].value == pytest.approx(left.y.mean(), abs=1e-6)
 
 
-@pytest.mark.parametrize(("loss", "label", "extra"), [("l2", "y", {}), ("l1", "y", {}), ("logistic", "bin", {}), ("logistic", "cls", {"classes": 3}), ("ranknet", "cls", {}), ("lambda", "cls", {})])
+@pytest.mark.parametrize(("loss", "label", "extra"), [("l2", "y", {}), ("l1", "y", {}), ("logistic", "bin", {}), ("logistic", "cls", {"classes": 3}), ("ranknet", "cls", {}), ("lambda", "cls", {}), ("lambda_raw", "cls", {})])
 def test_losses_improve(spark, loss, label, extra):
     df = friedman(spark, 300)
     model = boost.train(df, ["a", "b", "c"], label, boost.Settings(loss=loss, trees=4, leaves=4, rate=0.5, **extra), group="q", valid=df)
