@@ -48,6 +48,24 @@ def test_recall_against_brute_force(spark, block):
     assert sum(a[2] == b[2] for a, b in zip(mine, want, strict=True)) >= 0.98 * len(want)
 
 
+@pytest.mark.parametrize("noise", [0.025, 0.035])
+def test_recall_with_a_third_in_one_group(spark, noise):
+    """20,000 rows, a third of them around one vector at a fixed noise."""
+    r = np.random.default_rng(1)
+    n, dim = 20_000, 64
+    x = r.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[: n // 3] = x[0] + r.normal(size=(n // 3, dim)) * noise
+    x = x[r.permutation(n)].astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    mine = np.array([k.n_links for k in m.near_vectors(df).orderBy("vec_id").select("n_links").collect()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(x[i : i + 1000] @ x.T >= 0.95).sum(1) - 1 for i in range(0, n, 1000)])
+    print("recall", noise, mine.sum() / want.sum(), "rows without any", ((mine == 0) & (want > 0)).sum())
+    assert (mine <= want).all() and mine.sum() >= 0.98 * want.sum()
+    assert ((mine == 0) & (want > 0)).sum() == 0
+
+
 def test_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     assert got(m.near_vectors(df)) == brute([(r.vec_id, r.embedding) for r in df.collect()])
