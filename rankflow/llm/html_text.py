@@ -4,7 +4,7 @@ A page is read as a sequence of blocks: runs of text between block-level tags, e
 elements around it. Per path, the text length and the punctuation of all its blocks are summed up and divided by the
 number of blocks. These two ratios of each block are smoothed along the page, where a neighbour counts the more the more
 of its path it shares, and multiplied; link text counts as none. Paths whose fused ratio falls under a share of the
-page's best one are not content. What is content marks the container (the innermost element with nearly all of it), whose
+page's best one are not content. What is content marks the container (the innermost element around all of it), whose
 other blocks belong to the article too, except where the ratios or the elements themselves (navigation, forms, asides,
 elements named as adverts, notices or reader comments, and the like) speak against it.
 
@@ -48,6 +48,8 @@ _NAMED = frozenset(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _POINTS = re.compile("[.,;:!?…。，、！？؟।]")
+#: Elements that hold a piece of an article, not an article.
+_PIECES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li ul ol dd dt dl pre blockquote figure figcaption td th tr tbody thead tfoot table caption".split())
 _CLOSES_P = _BLOCK - {"body", "html", "head"}
 _CLOSED_BY_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
@@ -132,13 +134,17 @@ def blocks(page: str) -> list[_Block]:
     return out
 
 
-def _shared(a: tuple, b: tuple) -> float:
+def _common(a: tuple, b: tuple) -> int:
     n = 0
     for x, y in zip(a, b, strict=False):
         if x != y:
             break
         n += 1
-    return n / max(1, len(a), len(b))
+    return n
+
+
+def _shared(a: tuple, b: tuple) -> float:
+    return _common(a, b) / max(1, len(a), len(b))
 
 
 def main_text(page: str, share: float = 0.2, reach: int = 2) -> str:
@@ -173,7 +179,7 @@ def main_text(page: str, share: float = 0.2, reach: int = 2) -> str:
         by_path[b.path] = max(f, by_path.get(b.path, 0.0))
     best = max(by_path.values())
     content = [i for i, (b, _) in enumerate(free) if by_path[b.path] >= 3 * share * best]
-    # The container: the innermost element that holds nearly all content.
+    # The container: the innermost element around all content that is more than a piece of text itself.
     weight_of: dict[int, float] = {}
     total = 0.0
     for i in content:
@@ -181,9 +187,13 @@ def main_text(page: str, share: float = 0.2, reach: int = 2) -> str:
         total += len(t)
         for k in b.nodes:
             weight_of[k] = weight_of.get(k, 0.0) + len(t)
-    container = max((k for k, w in weight_of.items() if w >= 0.9 * total), default=None)
-    if container is not None and len(content) == 1 and len(free[content[0]][0].nodes) > 1:
-        container = free[content[0]][0].nodes[-2]
+    first = free[content[0]][0]
+    depth = min(_common(first.nodes, free[i][0].nodes) for i in content)
+    if len(content) == 1 and depth > 1:
+        depth -= 1
+    while depth > 1 and first.path[depth - 1].split(".")[0] in _PIECES:
+        depth -= 1
+    container = first.nodes[depth - 1] if depth else None
     for name in ("article", "main"):  # where the page says what its article is, and content lies there
         for i in content:
             steps = [s.split(".")[0] for s in free[i][0].path]

@@ -33,6 +33,15 @@ def test_article_without_the_rest():
     ]
 
 
+def test_one_long_paragraph_or_section_does_not_drop_the_others():
+    long = " ".join(["A long sentence, with commas, that goes on."] * 60)
+    short = ["A first paragraph, which is not so long, but has points. It counts, too.", "The last paragraph, also short, ends the text. So it does, indeed."]
+    page = f"<body><nav><a href=/>Home</a></nav><div id=story><h1>Heading</h1><p>{short[0]}</p><p>{long}</p><p>{short[1]}</p></div><footer>All rights, reserved.</footer></body>"
+    assert m.main_text(page).split("\n") == ["Heading", short[0], long, short[1]]
+    page = f"<body><div id=story><section><h2>One</h2><p>{short[0]}</p></section><section><h2>Two</h2><p>{long}</p><p>{long}</p></section><section><h2>Three</h2><p>{short[1]}</p></section></div></body>"
+    assert m.main_text(page).split("\n") == ["One", short[0], "Two", long, long, "Three", short[1]]
+
+
 def test_given_pages():
     """The pages' articles hold a heading and paragraphs between <article> and </article>."""
     pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
