@@ -6,7 +6,8 @@ number of blocks. These two ratios of each block are smoothed along the page, wh
 of its path it shares, and multiplied; link text counts as none. Paths whose fused ratio falls under a share of the
 page's best one are not content. What is content marks the container (the innermost element around all of it), whose
 other blocks belong to the article too, except where the ratios or the elements themselves (navigation, forms, asides,
-elements named as adverts, notices or reader comments, and the like) speak against it.
+elements named as adverts, notices or reader comments, and the like) speak against it. Such a name does not count where
+it stands around most of the page's text that is no link, or around its largest <article> or <main>.
 
 Pages may be cut off or badly nested. Every step is linear in the page.
 
@@ -45,6 +46,8 @@ _NAMED = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus feedback footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification "
     "notices outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply search share sharing sidebar signin signup skip social sponsor sponsored sponsors subscribe subscription survey taboola tags toolbar tracking trending warning widget widgets".split()
 )
+#: Those of them that mark what readers wrote.
+_READERS = frozenset("comment comments disqus feedback replies reply".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _POINTS = re.compile("[.,;:!?…。，、！？؟।]")
@@ -55,28 +58,29 @@ _CLOSED_BY_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr":
 
 
 class _Block:
-    __slots__ = ("barred", "linked", "nodes", "path", "text")
+    __slots__ = ("barred", "linked", "nodes", "path", "text", "words")
 
-    def __init__(self, path: tuple[str, ...], nodes: tuple[int, ...], barred: bool):
-        self.path, self.nodes, self.barred, self.text, self.linked = path, nodes, barred, [], 0
+    def __init__(self, path: tuple[str, ...], nodes: tuple[int, ...], barred: bool, words: tuple[tuple[int, str, frozenset[str]], ...]):
+        self.path, self.nodes, self.barred, self.words, self.text, self.linked = path, nodes, barred, words, [], 0
 
 
-def _marks(name: str, rest: str, inside_article: bool) -> tuple[str, bool]:
-    """The element's step in a path, and whether it bars its content."""
-    step, barred = name, name in _OUTSIDE or (name == "header" and not inside_article)
+def _marks(name: str, rest: str, inside_article: bool) -> tuple[str, bool, frozenset[str]]:
+    """The element's step in a path, whether it bars its content whatever that is, and the words that speak against it."""
+    step, barred, words = name, name in _OUTSIDE or (name == "header" and not inside_article), set()
     for key, value in _ATTRIBUTE.findall(rest) if rest.strip(" /") else ():
         key, value = key.lower(), value.strip("\"'")
         if key == "class":
             step += "." + ".".join(sorted(value.split()))
         if key in ("class", "id", "role"):
-            barred |= not _NAMED.isdisjoint(w.lower() for w in _WORD.findall(value)) and name not in ("html", "body", "article", "main")
+            if name not in ("html", "body", "article", "main"):
+                words |= _NAMED.intersection(w.lower() for w in _WORD.findall(value))
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             barred = True
-    return step, barred
+    return step, barred, frozenset(words)
 
 
 def blocks(page: str) -> list[_Block]:
-    stack: list[tuple[str, str, int, bool]] = []  # name, step, number, barred by it or by what is around it
+    stack: list[tuple[str, str, int, bool, tuple]] = []  # name, step, number, barred and words of it and of what is around it
     out: list[_Block] = []
     open_block: _Block | None = None
     link = number = articles = 0
@@ -89,7 +93,7 @@ def blocks(page: str) -> list[_Block]:
             if open_block is None:
                 if not piece.strip():
                     continue
-                open_block = _Block(tuple(x[1] for x in stack), tuple(x[2] for x in stack), bool(stack) and stack[-1][3])
+                open_block = _Block(tuple(x[1] for x in stack), tuple(x[2] for x in stack), *(stack[-1][3:] if stack else (False, ())))
                 out.append(open_block)
             open_block.text.append(piece)
             if link:
@@ -102,10 +106,10 @@ def blocks(page: str) -> list[_Block]:
             open_block.text.append(" ")
         if name not in _BLOCK:
             # Inline elements part no blocks; one that is hidden or named as something else is a block of its own.
-            if not closing and name not in _VOID and m["rest"] and _marks(name, m["rest"], True)[1]:
+            if not closing and name not in _VOID and m["rest"] and any(_marks(name, m["rest"], True)[1:]):
                 open_block = None
                 number += 1
-                stack.append((name, name, number, True))
+                stack.append((name, name, number, True, ()))
             elif closing and stack and stack[-1][0] == name:
                 open_block = None
                 stack.pop()
@@ -126,11 +130,12 @@ def blocks(page: str) -> list[_Block]:
             stack.pop()
         if name in _VOID:
             continue
-        step, barred = _marks(name, m["rest"], articles > 0)
+        step, barred, words = _marks(name, m["rest"], articles > 0)
         number += 1
         articles += name in ("article", "main")
         if len(stack) < 512:  # beyond that, deeper elements are read as part of the last
-            stack.append((name, step, number, barred or (bool(stack) and stack[-1][3])))
+            around = stack[-1][3:] if stack else (False, ())
+            stack.append((name, step, number, barred or around[0], (*around[1], (number, step, words)) if words else around[1]))
     return out
 
 
@@ -147,6 +152,38 @@ def _shared(a: tuple, b: tuple) -> float:
     return _common(a, b) / max(1, len(a), len(b))
 
 
+def _overrule(found: list[tuple[_Block, str]]) -> None:
+    """Take away words that speak against most of the page's text: it is for the ratios to judge that.
+
+    Elements of the same step and words count together. Words for readers' comments must hold nearly all text, since
+    comments may well be longer than the article. The page's largest <article> or <main>, if it holds a quarter of the
+    text, takes away all other words around it.
+    """
+    if not any(b.words for b, _ in found):
+        return
+    total, by_words, by_article, outside = 0.0, {}, {}, {}
+    for b, t in found:
+        if b.barred:
+            continue
+        plain = len(t) * max(0.0, 1 - b.linked / max(1, sum(map(len, b.text))))
+        total += plain
+        for key in {w[1:] for w in b.words}:
+            by_words[key] = by_words.get(key, 0.0) + plain
+        for k, step in zip(b.nodes, b.path, strict=True):
+            if step.split(".")[0] in ("article", "main"):
+                outside[k] = {w[1:] for w in b.words if w[0] < k}
+                if all(_READERS.isdisjoint(w) for _, w in outside[k]):
+                    by_article[k] = by_article.get(k, 0.0) + plain
+    gone = {key for key, n in by_words.items() if n > total * (0.5 if _READERS.isdisjoint(key[1]) else 0.9)}
+    lifted = max(by_article, key=by_article.get, default=None)
+    if lifted is not None and by_article[lifted] < 0.25 * total:
+        lifted = None
+    for b, _ in found:
+        if b.words:
+            inside = lifted is not None and lifted in b.nodes
+            b.words = tuple(w for w in b.words if w[1:] not in gone and not (inside and w[0] < lifted))
+
+
 def main_text(page: str, share: float = 0.2, reach: int = 2) -> str:
     """The article's blocks, one a line."""
     found = []
@@ -154,7 +191,8 @@ def main_text(page: str, share: float = 0.2, reach: int = 2) -> str:
         text = " ".join(html.unescape("".join(b.text)).split())
         if text:
             found.append((b, text))
-    free = [(b, t) for b, t in found if not b.barred]
+    _overrule(found)
+    free = [(b, t) for b, t in found if not b.barred and not b.words]
     if not free:
         return ""
     # Ratios of each path: text that is no link, and punctuation, for a block.

@@ -42,6 +42,22 @@ def test_one_long_paragraph_or_section_does_not_drop_the_others():
     assert m.main_text(page).split("\n") == ["One", short[0], "Two", long, long, "Three", short[1]]
 
 
+def test_names_around_the_article_do_not_bar_it():
+    text = ["A first paragraph, which has points. It counts, too.", "A second one, which is longer, goes on for a while. It ends here."]
+    story = f"<h1>Heading</h1><p>{text[0]}</p><p>{text[1]}</p>"
+    side = "<div class=sidebar><p>Read also, if you like, something else.</p></div><div id=comments><article><p>I think, as a reader, not so.</p></article></div>"
+    for name in ("layout has-sidebar", "no-sidebar", "post tags-politics", "category-search", "widget-text-editor", "post comments-open"):
+        for inside in (story, f"<article>{story}</article>", f"<main>{story}</main>"):
+            page = f'<body><nav><a href=/>Home</a></nav><div class="{name}">{inside}{side}</div><footer>All rights, reserved.</footer></body>'
+            assert m.main_text(page).split("\n") == ["Heading", *text], (name, inside)
+    # Parts of one kind count together; hidden articles, teasers and long comments stay out.
+    page = "<body>" + "".join(f'<div class="widget-text-editor"><p>{t}</p></div>' for t in text * 2) + side + "</body>"
+    assert m.main_text(page).split("\n") == text * 2
+    assert m.main_text(f"<body><div hidden><article>{story}</article></div></body>") == ""
+    page = f"<body><div><h1>Heading</h1><p>{text[0]}</p><p>{text[1]}</p></div><div class=related><article><p>A teaser, short.</p></article></div><div id=comments>" + "<p>I think, as a reader, that this is long.</p>" * 9 + "</div></body>"
+    assert m.main_text(page).split("\n") == ["Heading", *text]
+
+
 def test_given_pages():
     """The pages' articles hold a heading and paragraphs between <article> and </article>."""
     pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
