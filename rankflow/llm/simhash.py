@@ -144,13 +144,28 @@ def ball_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.groupBy("prefix").applyInArrow(_collide(bits, half), "a long, b long")
 
 
+def _classes(docs: DataFrame, words_each: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, print) of each document, and (print, class, component_id) of each print.
+
+    Links are between prints: rows without an id, or that repeat one, may have nothing else in common. A class is named
+    by its smallest print, its component_id is its smallest doc_id.
+    """
+    prints = materialize(fingerprints(docs, words_each), "prints")
+    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    found = components(ball_links(nodes.select("print", F.col("print").alias("node")), radius)).withColumnRenamed("node", "print")
+    named = nodes.join(found, "print", "left").select("print", "least", F.coalesce("component", "print").alias("class"))
+    least = named.groupBy("class").agg(F.min("least").alias("component_id"))
+    return prints, named.join(least, "class").select("print", "class", "component_id")
+
+
+def _hex(print_: str = "print"):
+    return F.lpad(F.lower(F.hex(print_)), 16, "0")
+
+
 def simhash_classes(docs: DataFrame, words_each: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
-    prints = materialize(fingerprints(docs, words_each), "prints")
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("node"))
-    found = components(ball_links(nodes, radius))
-    classes = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "print").select(id_back(), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), id_back("component_id"))
+    prints, classes = _classes(docs, words_each, radius)
+    return prints.join(classes, "print").select(id_back(), _hex().alias("fingerprint"), id_back("component_id"))
 
 
 def keep_one(docs: DataFrame, words_each: int = 4, radius: int = 4) -> DataFrame:
@@ -158,9 +173,9 @@ def keep_one(docs: DataFrame, words_each: int = 4, radius: int = 4) -> DataFrame
 
     Where a doc_id occurs in several rows, the rows are told apart by their fingerprint and then their text.
     """
-    classes = simhash_classes(docs, words_each, radius)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     if not ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        classes = simhash_classes(docs, words_each, radius)
         first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
         return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
 
@@ -168,7 +183,9 @@ def keep_one(docs: DataFrame, words_each: int = 4, radius: int = 4) -> DataFrame
     def own(text: pd.Series) -> pd.Series:
         return pd.Series([f"{fingerprint((t or '').encode(), words_each):016x}" for t in text])
 
-    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("kept_id")).agg(F.min("fingerprint").alias("kept_print"))
+    prints, classes = _classes(docs, words_each, radius)
+    chosen = prints.join(classes, "print").groupBy("class").agg(F.min(F.struct("doc_id", _hex().alias("print"))).alias("kept"))
+    chosen = chosen.select(id_back("kept.doc_id").alias("kept_id"), F.col("kept.print").alias("kept_print"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), own(F.col("text").cast("string")).alias("print"))
     rows = rows.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("print") == F.col("kept_print")), "left_semi")
-    return rows.groupBy("id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
+    return rows.groupBy("id", "print").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")

@@ -86,3 +86,14 @@ def test_edge_rows(spark):
     assert by[2].fingerprint == "0" * 16 and by[4].component_id == by[2].component_id == 2
     assert by[7].component_id is None and by[7].fingerprint == f"{brute_print('one two'):016x}"
     assert m.simhash_classes(df.where(F.lit(False))).count() == 0
+
+
+def test_rows_without_or_with_the_same_id_are_apart(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon", "one two three four five six", "Seite auf Seite ab und zu", "un deux trois quatre cinq")
+    rows = [(None, a), (None, b), (6, b), (7, a), (3, c), (5, c), (5, d), (9, d), (9, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((x.doc_id, x.text) for x in m.keep_one(df).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (3, c), (5, d)], key=str)
+    got = {(x.doc_id, x.fingerprint, x.component_id) for x in m.simhash_classes(df).collect()}
+    name = lambda t: f"{brute_print(t):016x}"
+    assert got == {(i, name(t), {a: None, b: None, c: 3, d: 5}[t]) for i, t in rows}
