@@ -32,6 +32,15 @@ def names_of(mask: Column, names: list[str]) -> Column:
     return F.array_join(F.array_compact(F.array(*parts)), "|")
 
 
+def either(a: Column, b: Column) -> Column:
+    return a.bitwiseOR(b)
+
+
+def without(a: Column, b: Column) -> Column:
+    """The bits of a that b lacks."""
+    return a.bitwiseAND(F.bitwise_not(b))
+
+
 def merge_tier(a: Column, b: Column, undecided: int = 0) -> Column:
     """The bits that both have; undecided where they have none in common."""
     both = a.bitwiseAND(b)

@@ -47,10 +47,11 @@ def sampling_penalty(share: Column, least: float = 0.01, power: float = 2.0) ->
     return F.when(share > least, 1.0).otherwise(F.exp(-power * (1 - share / least)))
 
 
-def blend_weight(share: Column, least: float = 0.01, prior: float = 0.001) -> Column:
-    """1 from the least share on; below it share / min(prior + share, least), the share held within [least * 1e-6, least]."""
-    held = F.greatest(F.least(share, F.lit(least)), F.lit(least * 1e-6))
-    return F.when(share >= least, 1.0).otherwise(held / F.least(prior + held, F.lit(least)))
+def blend_weight(share: Column, prior: Column, least: float = 0.01) -> Column:
+    """1 from the least share on; below it share / min(prior + share, least), both held within [least * 1e-6, least]; least is 1e-6 or more."""
+    floor = max(least, 1e-6)
+    held = lambda c: F.greatest(F.least(c, F.lit(floor)), F.lit(floor * 1e-6))
+    return F.when(share >= least, 1.0).otherwise(held(share) / F.least(held(prior) + held(share), F.lit(floor)))
 
 
 def rank_64k(score: Column) -> Column:

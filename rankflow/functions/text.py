@@ -36,9 +36,18 @@ def count_text(c: Column) -> Column:
     return F.format_string("%012d", c.cast("long"))
 
 
+#: The weights of a key's bytes by place, repeated sixteen times; later bytes do not count.
+HASH_WEIGHTS = (61, 59, 53, 47, 43, 41, 37, 31, 29, 23, 17, 13, 11, 7, 3, 1)
+
+
 def key_hash(c: Column) -> Column:
-    """A portable 64-bit hash of the key's UTF-8 bytes."""
-    return F.xxhash64(c)
+    """The 32-bit hash of a key's UTF-8 bytes by which stores deal keys to buckets: (hash + byte * weight) * 5 for each byte."""
+    raw = F.hex(F.substring(F.encode(c, "UTF-8"), 1, 16 * len(HASH_WEIGHTS)))
+    places = F.when(F.length(raw) > 0, F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    weights = F.array(*map(F.lit, HASH_WEIGHTS))
+    byte = lambda i: F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    step = lambda h, i: F.pmod((h + byte(i) * F.get(weights, i % len(HASH_WEIGHTS))) * 5, F.lit(1 << 32))
+    return F.aggregate(places, F.lit(0).cast("long"), step)
 
 
 def to_hex(c: Column) -> Column:

@@ -6,45 +6,74 @@ the letter's place, host labels from the last to the first, each followed by a p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _FORM = r"^(?i)(http|https)://([^/:?#]+)(?::([0-9]{1,5}))?((?:[/?#].*)?)$"
+_MARK = "\x01"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parsed(url: Column) -> Column:
+    """A valid URL's struct of scheme, host (in lower case), port, rest, path, labels, ip (whether the host is one) and turned; null for others.
+
+    The expression is matched once; all that follows reads its parts.
+    """
+    parts = F.when(~url.contains(_MARK), F.split(F.regexp_replace(url, _FORM, f"$1{_MARK}$2{_MARK}$3{_MARK}$4"), _MARK, -1))
 
+    def named(p: Column) -> Column:
+        get = lambda i: F.get(p, F.lit(i))
+        rest = F.when(get(3) == "", "/").when(~get(3).startswith("/"), F.concat(F.lit("/"), get(3))).otherwise(get(3))
+        return F.when(F.size(p) == 4, F.struct(F.lower(get(0)).alias("scheme"), F.lower(get(1)).alias("host"), get(2).alias("port"), get(3).alias("rest"), rest.alias("path"), F.split(F.lower(get(1)), r"\.", -1).alias("labels")))
 
-def _group(url: Column, n: int) -> Column:
-    return F.regexp_extract(url, _FORM, n)
+    def checked(s: Column) -> Column:
+        labels = s["labels"]
+        ip = _is_ip(labels)
+        valid = ip | ((F.size(labels) >= 2) & F.forall(labels, lambda x: x != ""))
+        return F.struct(*[s[n].alias(n) for n in ("scheme", "host", "port", "rest", "path", "labels")], ip.alias("ip"), valid.alias("valid"))
+
+    return _let(_let(parts, named), checked)
+
+
+def _of(url: Column, use: Callable[[Column], Column], valid: bool = True) -> Column:
+    """use(the parsed URL); null for what is none, and, if so asked, for invalid ones."""
+    return _let(_parsed(url), lambda s: F.when(s["valid"] if valid else s["host"].isNotNull(), use(s)))
 
 
 def host(url: Column) -> Column:
     """The host in lower case; '' for what is no http(s) URL."""
-    return F.lower(_group(url, 2))
+    return F.when(url.isNotNull(), F.coalesce(_of(url, lambda s: s["host"], valid=False), F.lit("")))
 
 
 def path(url: Column) -> Column:
     """All after host and port, '/' at least."""
-    rest = _group(url, 4)
-    return F.when(rest == "", "/").when(F.substring(rest, 1, 1) != "/", F.concat(F.lit("/"), rest)).otherwise(rest)
+    return F.when(url.isNotNull(), F.coalesce(_of(url, lambda s: s["path"], valid=False), F.lit("/")))
+
+
+def _is_ip(parts: Column) -> Column:
+    return (F.size(parts) == 4) & F.forall(parts, lambda p: F.coalesce(p.rlike("^[0-9]{1,5}$") & (p.try_cast("int") <= 65535), F.lit(False)))
 
 
 def is_ip(h: Column) -> Column:
     """Four parts, each a number below 65,536."""
-    parts = F.split(h, r"\.", -1)
-    return (F.size(parts) == 4) & F.forall(parts, lambda p: F.coalesce(p.rlike("^[0-9]{1,5}$") & (p.try_cast("int") <= 65535), F.lit(False)))
+    return _is_ip(F.split(h, r"\.", -1))
 
 
 def is_valid(url: Column) -> Column:
     """An http(s) URL whose host is an IP or has two labels or more, none of them empty."""
-    labels = F.split(host(url), r"\.", -1)
-    return url.rlike(_FORM) & (is_ip(host(url)) | ((F.size(labels) >= 2) & F.forall(labels, lambda x: x != "")))
+    return F.when(url.isNotNull(), F.coalesce(_of(url, lambda s: F.lit(True)), F.lit(False)))
 
 
 def reverse(url: Column) -> Column:
     """http://www.foo.com:8080/a -> h8080-com.foo.www./a; null for invalid URLs."""
-    letter = F.when(F.lower(_group(url, 1)) == "https", "s").otherwise("h")
-    h = host(url)
-    turned = F.when(is_ip(h), F.concat(h, F.lit("."))).otherwise(F.concat(F.array_join(F.reverse(F.split(h, r"\.", -1)), "."), F.lit(".")))
-    return F.when(is_valid(url), F.concat(letter, F.rpad(_group(url, 3), 5, "-"), turned, path(url)))
+    turned = lambda s: F.concat(F.when(s["ip"], s["host"]).otherwise(F.array_join(F.reverse(s["labels"]), ".")), F.lit("."))
+    return _of(url, lambda s: F.concat(F.when(s["scheme"] == "https", "s").otherwise("h"), F.rpad(s["port"], 5, "-"), turned(s), s["path"]))
 
 
 _TURNED = r"^([hs])([0-9]{0,5})(-*)([^/]*)\.(/.*)$"
@@ -52,46 +81,62 @@ _TURNED = r"^([hs])([0-9]{0,5})(-*)([^/]*)\.(/.*)$"
 
 def reverse_back(turned: Column) -> Column:
     """The URL of a reversed one; null for anything else."""
-    part = lambda n: F.regexp_extract(turned, _TURNED, n)
-    good = turned.rlike(_TURNED) & (F.length(part(2)) + F.length(part(3)) == 5)
-    port = F.when(part(2) == "", "").otherwise(F.concat(F.lit(":"), part(2)))
-    return F.when(good, F.concat(F.when(part(1) == "s", "https://").otherwise("http://"), host_back(part(4)), port, part(5)))
+    parts = F.when(~turned.contains(_MARK), F.split(F.regexp_replace(turned, _TURNED, f"$1{_MARK}$2{_MARK}$3{_MARK}$4{_MARK}$5"), _MARK, -1))
+
+    def back(p: Column) -> Column:
+        get = lambda i: F.get(p, F.lit(i))
+        port = F.when(get(1) == "", "").otherwise(F.concat(F.lit(":"), get(1)))
+        good = (F.size(p) == 5) & (F.length(get(1)) + F.length(get(2)) == 5)
+        return F.when(good, F.concat(F.when(get(0) == "s", "https://").otherwise("http://"), host_back(get(3)), port, get(4)))
+
+    return _let(parts, back)
 
 
 def host_back(turned_host: Column) -> Column:
     """com.foo.www -> www.foo.com; IPs stay."""
-    return F.when(is_ip(turned_host), turned_host).otherwise(F.array_join(F.reverse(F.split(turned_host, r"\.", -1)), "."))
+    return _let(F.split(turned_host, r"\.", -1), lambda p: F.when(_is_ip(p), F.array_join(p, ".")).otherwise(F.array_join(F.reverse(p), ".")))
 
 
-def domain(url: Column, suffixes: list[str] | tuple[str, ...] = ()) -> Column:
-    """The registered name: one label more than the longest matching suffix (of two labels or more), else two labels."""
-    h = host(url)
-    labels = F.split(h, r"\.", -1)
+def _domain(s: Column, suffixes: list[str] | tuple[str, ...]) -> Column:
+    labels = s["labels"]
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
     out = last(2)
-    for n in sorted({s.count(".") + 1 for s in suffixes}):
-        known = [s.lower() for s in suffixes if s.count(".") + 1 == n]
+    for n in sorted({x.count(".") + 1 for x in suffixes}):
+        known = [x.lower() for x in suffixes if x.count(".") + 1 == n]
         out = F.when((F.size(labels) > n) & last(n).isin(known), last(n + 1)).otherwise(out)
-    return F.when(is_valid(url), F.when(is_ip(h), h).otherwise(out))
+    return F.when(s["ip"], s["host"]).otherwise(out)
+
+
+def domain(url: Column, suffixes: list[str] | tuple[str, ...] = ()) -> Column:
+    """The registered name: one label more than the longest matching suffix (of two labels or more), else two labels."""
+    return _of(url, lambda s: _domain(s, suffixes))
+
+
+def domain_back(turned_domain: Column) -> Column:
+    """h-----com.foo. -> foo.com: the domain or host of a reversed one without its path."""
+    return host_back(F.regexp_extract(turned_domain, r"^[hs][0-9]{0,5}-*([^/]*)\.$", 1))
 
 
 def first_path(url: Column) -> Column:
     """Host and first path segment: http://a.b/c/d -> a.b/c/."""
-    segment = F.regexp_extract(path(url), "^/([^/?#]+)/", 1)
-    return F.when(is_valid(url), F.when(segment == "", F.concat(host(url), F.lit("/"))).otherwise(F.concat(host(url), F.lit("/"), segment, F.lit("/"))))
+    return _of(url, lambda s: _let(F.regexp_extract(s["path"], "^/([^/?#]+)/", 1), lambda x: F.when(x == "", F.concat(s["host"], F.lit("/"))).otherwise(F.concat(s["host"], F.lit("/"), x, F.lit("/")))))
 
 
 def segmented(url: Column, suffixes: list[str] | tuple[str, ...] = ()) -> Column:
-    """domain, host_suffix (labels before it), l1_suffix (first path segment), url_suffix (the rest)."""
-    segment = F.regexp_extract(path(url), "^/([^/?#]+)/", 1)
-    before = F.substring(host(url), F.lit(1), F.greatest(F.length(host(url)) - F.length(domain(url, suffixes)) - 1, F.lit(0)))
-    rest = F.when(segment == "", path(url)).otherwise(F.substring(path(url), F.length(segment) + 2, F.length(path(url))))
-    return F.struct(domain(url, suffixes).alias("domain"), before.alias("host_suffix"), segment.alias("l1_suffix"), rest.alias("url_suffix"))
+    """domain, host_suffix (labels before it), l1_suffix (first path segment), url_suffix (the rest); null for invalid URLs."""
+
+    def made(s: Column) -> Column:
+        before = lambda d: F.substring(s["host"], F.lit(1), F.greatest(F.length(s["host"]) - F.length(d) - 1, F.lit(0)))
+        rest = lambda x: F.when(x == "", s["path"]).otherwise(F.substring(s["path"], F.length(x) + 2, F.length(s["path"])))
+        two = F.struct(_domain(s, suffixes).alias("d"), F.regexp_extract(s["path"], "^/([^/?#]+)/", 1).alias("x"))
+        return _let(two, lambda t: F.struct(t["d"].alias("domain"), before(t["d"]).alias("host_suffix"), t["x"].alias("l1_suffix"), rest(t["x"]).alias("url_suffix")))
+
+    return _of(url, made)
 
 
 def is_home_page(url: Column) -> Column:
     """A valid URL with nothing after the host but a slash."""
-    return is_valid(url) & (path(url) == "/") & ~url.contains("#") & ~url.contains("?")
+    return F.when(url.isNotNull(), F.coalesce(_of(url, lambda s: (s["path"] == "/") & ~s["rest"].contains("#") & ~s["rest"].contains("?")), F.lit(False)))
 
 
 def is_blog_host(d: Column, names: tuple[str, ...]) -> Column:

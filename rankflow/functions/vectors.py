@@ -32,6 +32,23 @@ def summary(df: DataFrame, value: str, by: list[str] | tuple[str, ...] = ()) ->
     )
 
 
+def summaries(df: DataFrame, values: list[str], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(by, column, n, mean, deviation): of several columns, in one pass."""
+    sums = [x for c in values for x in (F.count(c).alias(f"n:{c}"), F.avg(c).alias(f"mean:{c}"), F.stddev(c).alias(f"sd:{c}"))]
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`n:{c}`").alias("n"), F.col(f"`mean:{c}`").alias("mean"), F.col(f"`sd:{c}`").alias("deviation")) for c in values])
+    return df.groupBy(*by).agg(*sums).select(*by, F.inline(parts))
+
+
+def distance_matrix(df: DataFrame, row: str, vector: str, by: list[str] | tuple[str, ...]) -> DataFrame:
+    """(by, i, j, squared): squared distances of all pairs of rows i < j of a matrix; `by` names the matrix a row is of.
+
+    The result is as large as the square of a matrix's rows: every pair is asked for. Rows pair by an equi-join on `by`.
+    """
+    a = df.select(*by, F.col(row).alias("i"), F.col(vector).alias("_a"))
+    b = df.select(*by, F.col(row).alias("j"), F.col(vector).alias("_b"))
+    return a.join(b, list(by)).where("i < j").select(*by, "i", "j", squared_distance(F.col("_a"), F.col("_b")).alias("squared"))
+
+
 def rescaled(df: DataFrame, value: str, low: float, high: float, out: str = "rescaled") -> DataFrame:
     """A column stretched to [low, high]; low where all values are equal. One row of bounds is joined, no window over all rows."""
     bounds = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankflow.storage import ranged, starts_of
+
 META = "m:"
 #: Grades by name.
 GRADES = {"definitive": 4, "perfect": 4, "excellent": 3, "good": 2, "fair": 1, "bad": 0, "detrimental": 0, "unjudged": 0, "unknown": -1, "": -1, "highlyrelevant": 2, "relevant": 1, "nonrelevant": 0}
@@ -49,6 +51,11 @@ def one_hot(code: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == code).cast("int"))
 
 
+def binary_features(df: DataFrame, codes: list[tuple[str, int]]) -> list[Column]:
+    """A 0/1 column for each code of each feature (column of codes, number of bins); features with a single bin are dropped."""
+    return [(F.col(f"`{c}`") == i).cast("int").alias(f"{c}:{i}") for c, bins in codes if bins > 1 for i in range(bins)]
+
+
 def aligned(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Data sets one after another with the first one's columns, by name; a feature that is missing is 0."""
     out = first
@@ -68,9 +75,6 @@ def without_degenerate(df: DataFrame, group: str, label: str) -> DataFrame:
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
     """(group, size, start): sizes, and the rows before each group in the order of ids. Groups, not rows, meet in the running sum."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    parts = sizes.repartitionByRange(group).withColumn("_part", F.spark_partition_id())
-    totals = parts.groupBy("_part").agg(F.sum("size").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = F.coalesce(F.sum("size").over(Window.partitionBy("_part").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("_own", own).join(starts, "_part").select(group, "size", (F.col("_start") + F.col("_own")).alias("start"))
+    parts = ranged(sizes, [group])
+    own = F.coalesce(F.sum("size").over(Window.partitionBy("_part").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("_before", own).join(starts_of(parts, "size"), "_part").select(group, "size", (F.col("_start") + F.col("_before")).alias("start"))

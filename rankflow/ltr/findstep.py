@@ -15,56 +15,72 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.ltr.metrics import GAINS
+from rankflow.storage import ranged
 
 
-def _ndcgs(label: np.ndarray, scores: np.ndarray, cut: int) -> np.ndarray:
-    """The NDCG of each row of scores; equal scores put low labels first."""
-    gains = np.array(GAINS)[np.clip(label.astype(int), 0, len(GAINS) - 1)]
-    discounts = 1 / np.log(2 + np.arange(min(cut, len(label))))
-    best = float(np.sort(gains)[::-1][:cut] @ discounts)
-    first = np.argsort(label, kind="stable")
-    order = first[np.argsort(-scores[:, first], axis=1, kind="stable")[:, :cut]]
-    return gains[order] @ discounts / best if best > 0 else np.zeros(len(scores))
+def _batch_events(y: np.ndarray, a: np.ndarray, b: np.ndarray, low: float, high: float, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """Events of queries of one size: rows are queries. Equal scores put low labels first."""
+    m, n = y.shape
+    first = np.argsort(y, axis=1, kind="stable")
+    y, a, b = (np.take_along_axis(x, first, 1) for x in (y, a, b))
+    gains = np.array(GAINS)[np.clip(y.astype(int), 0, len(GAINS) - 1)]
+    discounts = 1 / np.log(2 + np.arange(min(cut, n)))
+    best = -np.sort(-gains, axis=1)[:, : len(discounts)] @ discounts
+    i, j = np.triu_indices(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = (a[:, i] - a[:, j]) / (b[:, j] - b[:, i])
+    at = np.sort(np.where((at > low) & (at < high), at, high), axis=1)
+    at = at[:, : int((at < high).sum(1).max(initial=0))]  # columns that are `high` in every query say nothing
+    edges = np.concatenate((np.full((m, 1), low), at, np.full((m, 1), high)), 1)
+    middle = (edges[:, :-1] + edges[:, 1:]) / 2
+    values = np.empty_like(middle)
+    step = max(1, (1 << 20) // max(1, m * n))
+    for lo in range(0, middle.shape[1], step):
+        scores = a[:, None, :] + middle[:, lo : lo + step, None] * b[:, None, :]
+        order = np.argsort(-scores, axis=2, kind="stable")[:, :, : len(discounts)]
+        values[:, lo : lo + step] = np.take_along_axis(np.broadcast_to(gains[:, None, :], scores.shape), order, 2) @ discounts
+    values = np.where(best[:, None] > 0, values / np.where(best > 0, best, 1)[:, None], 0.0)
+    change = np.diff(values, axis=1, prepend=0.0)
+    keep = (np.abs(change) > 1e-15) & (edges[:, :-1] < high)
+    keep[:, 0] = True
+    return edges[:, :-1][keep], change[keep]
 
 
 def _events(low: float, high: float, cut: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weights, changes = [], []
-            for rows in batch.column(0):
-                y, a, b = (np.array([r[c] for r in rows.as_py()], float) for c in ("label", "score", "step"))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    at = (a[:, None] - a[None, :]) / (b[None, :] - b[:, None])
-                cross = np.unique(at[np.isfinite(at) & (at > low) & (at < high)])
-                edges = np.concatenate(([low], cross, [high]))
-                middle = (edges[:-1] + edges[1:]) / 2
-                step = max(1, (1 << 20) // len(y))
-                values = np.concatenate([_ndcgs(y, a + m[:, None] * b, cut) for m in np.split(middle, range(step, len(middle), step))])
-                keep = np.append(True, np.abs(np.diff(values)) > 1e-15)
-                weights.append(edges[:-1][keep])
-                changes.append(np.diff(values[keep], prepend=0.0))
-            if weights:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(weights)), pa.array(np.concatenate(changes))], ["weight", "change"])
+            rows = batch.column(0)
+            flat = rows.flatten()
+            y, a, b = (flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(3))
+            sizes = rows.value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes):
+                own = starts[sizes == n]
+                most = max(1, (1 << 21) // int(n * n))  # queries whose crossings are held at once
+                for lo in range(0, len(own), most):
+                    at = own[lo : lo + most, None] + np.arange(n)
+                    weights, changes = _batch_events(y[at], a[at], b[at], low, high, cut)
+                    into, back = np.unique(weights, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(into), pa.array(np.bincount(back, changes, len(into)))], ["weight", "change"])
 
     return run
 
 
 def best_step(df: DataFrame, group: str, label: str, score: str, step: str, low: float = 0.0, high: float = 1.0, cut: int = 10) -> DataFrame:
-    """One row: weight (midway in the best stretch) and the mean NDCG there."""
+    """One row: weight (midway in the best stretch) and the mean NDCG there. Queries whose labels are all equal do not count."""
     slim = df.select(F.col(group).alias("g"), F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("score"), F.col(step).cast("double").alias("step"))
-    spread = slim.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g")
-    slim = slim.join(spread, "g", "left_semi")
-    events = slim.groupBy("g").agg(F.collect_list(F.struct("label", "score", "step")).alias("rows")).select("rows").mapInArrow(_events(low, high, cut), "weight double, change double").groupBy("weight").agg(F.sum("change").alias("change"))
+    queries = slim.groupBy("g").agg(F.collect_list(F.struct("label", "score", "step")).alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    events = queries.select("rows").mapInArrow(_events(low, high, cut), "weight double, change double").groupBy("weight").agg(F.sum("change").alias("change"))
     # Running sums in ranges of weights, set off by the sums of the ranges before.
-    parts = events.repartitionByRange("weight").withColumn("part", F.spark_partition_id())
-    sums = parts.groupBy("part").agg(F.sum("change").alias("s"), F.min("weight").alias("first"))
-    w = Window.orderBy("part")
-    starts = sums.select("part", F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.lead("first").over(w).alias("after"))
-    own = Window.partitionBy("part").orderBy("weight")
-    run = parts.join(starts, "part").select("weight", (F.col("before") + F.sum("change").over(own.rowsBetween(Window.unboundedPreceding, 0))).alias("total"), F.coalesce(F.lead("weight").over(own), "after", F.lit(high)).alias("end"))
-    n = spread.agg(F.count(F.lit(1)).alias("n"))
-    best = run.agg(F.max_by(F.struct("weight", "end", "total"), F.struct("total", (-F.col("weight")).alias("w"))).alias("b"))
-    return best.crossJoin(n).where("n > 0").select(((F.col("b.weight") + F.col("b.end")) / 2).alias("weight"), (F.col("b.total") / F.col("n")).alias("ndcg"))
+    parts = ranged(events, ["weight"])
+    sums = parts.groupBy("_part").agg(F.sum("change").alias("s"), F.min("weight").alias("first"))
+    w = Window.orderBy("_part")
+    starts = sums.select("_part", F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.lead("first").over(w).alias("after"))
+    own = Window.partitionBy("_part").orderBy("_own")
+    run = parts.join(starts, "_part").select("weight", (F.col("before") + F.sum("change").over(own.rowsBetween(Window.unboundedPreceding, 0))).alias("total"), F.coalesce(F.lead("weight").over(own), "after", F.lit(high)).alias("end"))
+    n = slim.groupBy("g").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").agg(F.count(F.lit(1)).alias("n"))
+    best = run.agg(F.max_by(F.struct("weight", "end", "total"), F.struct(F.round("total", 9).alias("t"), (-F.col("weight")).alias("w"))).alias("b"))
+    return best.crossJoin(F.broadcast(n)).where("n > 0").select(((F.col("b.weight") + F.col("b.end")) / 2).alias("weight"), (F.col("b.total") / F.col("n")).alias("ndcg"))
 
 
 def blended(df: DataFrame, scores: dict[str, float], out: str = "score") -> DataFrame:

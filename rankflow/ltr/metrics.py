@@ -25,35 +25,67 @@ def _ordered(group: str, label: str, score: str, ties: str):
     return Window.partitionBy(group).orderBy(F.col(score).desc(), by_label)
 
 
+def _gains_by_rank(label: str, rank: str, cut: int, gains: Column | None = None) -> Column:
+    value = gain(F.col(label)) if gains is None else gains
+    return F.sum(F.when(F.col(rank) < cut, value * discount(F.col(rank))).otherwise(0.0))
+
+
+def _placed(df: DataFrame, group: str, label: str, score: str, ties: str) -> tuple[DataFrame, Column | None]:
+    """df with _r, places from 0, and what a row gains if that is not its own label's gain. Both windows share the group's shuffle."""
+    kind = "pessimistic" if ties == "mean" else ties
+    ranked = df.withColumn("_r", F.row_number().over(_ordered(group, label, score, kind)) - 1)
+    if ties != "mean":
+        return ranked, None
+    return ranked.withColumn("_mean", F.avg(gain(F.col(label))).over(Window.partitionBy(group, score))), F.col("_mean")
+
+
 def dcg(df: DataFrame, group: str, label: str, score: str, cut: int, ties: str = "pessimistic") -> DataFrame:
     """(group, dcg) at a cut. ties: optimistic, pessimistic, or mean (a block of equal scores shares its mean gain)."""
-    if ties == "mean":
-        ranked = df.withColumn("_r", F.row_number().over(_ordered(group, label, score, "pessimistic")) - 1)
-        seen = F.sum(F.when(F.col("_r") < cut, discount(F.col("_r"))).otherwise(0.0))
-        blocks = ranked.groupBy(group, score).agg((F.avg(gain(F.col(label))) * seen).alias("_part"))
-        return blocks.groupBy(group).agg(F.sum("_part").alias("dcg"))
-    ranked = df.withColumn("_r", F.row_number().over(_ordered(group, label, score, ties)) - 1)
-    return ranked.groupBy(group).agg(F.sum(F.when(F.col("_r") < cut, gain(F.col(label)) * discount(F.col("_r"))).otherwise(0.0)).alias("dcg"))
+    ranked, gains = _placed(df, group, label, score, ties)
+    return ranked.groupBy(group).agg(_gains_by_rank(label, "_r", cut, gains).alias("dcg"))
 
 
-def extreme_dcg(df: DataFrame, group: str, label: str, cut: int, best: bool = True) -> DataFrame:
-    """(group, dcg) of the best or the worst order."""
+def extreme_dcg(df: DataFrame, group: str, label: str, cut: int, best: bool = True, offset: int = 0) -> DataFrame:
+    """(group, dcg) of the best or the worst order, whose first row has the place `offset`; the cut counts all places."""
     w = Window.partitionBy(group).orderBy(F.col(label).desc() if best else F.col(label).asc())
-    ranked = df.withColumn("_r", F.row_number().over(w) - 1)
-    return ranked.groupBy(group).agg(F.sum(F.when(F.col("_r") < cut, gain(F.col(label)) * discount(F.col("_r"))).otherwise(0.0)).alias("dcg"))
+    ranked = df.withColumn("_r", F.row_number().over(w) - 1 + offset)
+    return ranked.groupBy(group).agg(_gains_by_rank(label, "_r", cut).alias("dcg"))
 
 
 def ndcg(df: DataFrame, group: str, label: str, score: str, cut: int, ties: str = "pessimistic", empty: float | None = None, rule: str = "labels") -> DataFrame:
-    """(group, ndcg). Degenerate queries (rule labels: all labels equal; rule gain: no gain) are left out, or get the score `empty`."""
-    best = extreme_dcg(df, group, label, cut).withColumnRenamed("dcg", "_best")
-    spread = df.groupBy(group).agg((F.min(label) == F.max(label)).alias("_flat"))
-    both = dcg(df, group, label, score, cut, ties).join(best, group).join(spread, group)
+    """(group, ndcg). Degenerate queries (rule labels: all labels equal; rule gain: no gain) are left out, or get the score `empty`.
+
+    One shuffle by group: its orders by score and by label are two windows over it, and one aggregate takes both.
+    """
+    ranked, gains = _placed(df, group, label, score, ties)
+    ranked = ranked.withColumn("_b", F.row_number().over(Window.partitionBy(group).orderBy(F.col(label).desc())) - 1)
+    both = ranked.groupBy(group).agg(_gains_by_rank(label, "_r", cut, gains).alias("dcg"), _gains_by_rank(label, "_b", cut).alias("_best"), (F.min(label) == F.max(label)).alias("_flat"))
     flat = F.col("_flat") if rule == "labels" else F.col("_best") <= 0
     both = both.where(~flat) if empty is None else both
     value = F.when(flat, F.lit(empty)).otherwise(F.try_divide("dcg", "_best")) if empty is not None else F.try_divide("dcg", "_best")
     return both.select(group, F.coalesce(value, F.lit(0.0)).alias("ndcg"))
 
 
+def mean_measures(df: DataFrame, group: str, label: str, score: str, cut: int, empty: float | None = None) -> DataFrame:
+    """One row: the means over queries of cross entropy and pair error (of queries with pairs), and of NDCG by tie rule."""
+    pair = pair_error(df, group, label, score).select(group, "error").join(cross_entropy(df, group, label, score), group)
+    out = pair.agg(F.avg("entropy").alias("cross_entropy"), F.avg("error").alias("pair_error"))
+    for ties in ("pessimistic", "mean", "optimistic"):
+        one = ndcg(df, group, label, score, cut, ties, empty).agg(F.avg("ndcg").alias(f"ndcg_{ties}"))
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out
+
+
+def class_measures(df: DataFrame, group: str, label: str, probabilities: str, cut: int, empty: float | None = None) -> DataFrame:
+    """One row for a classifier of grades: mean NDCG of its expected labels by tie rule, and its share of wrong classes."""
+    scored = df.select(group, label, expected_label(F.col(probabilities)).alias("_score"), argmax(F.col(probabilities)).alias("_class"))
+    out = class_error(scored, label, "_class").select(F.col("error").alias("class_error"))
+    for ties in ("pessimistic", "mean", "optimistic"):
+        one = ndcg(scored, group, label, "_score", cut, ties, empty).agg(F.avg("ndcg").alias(f"ndcg_{ties}"))
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out
+
+
 def reciprocal_rank(df: DataFrame, group: str, label: str, score: str, tie: str) -> DataFrame:
     """(group, rr): one over the place of the first row with a label, 0 if there is none."""
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(tie))))
@@ -71,21 +103,17 @@ def pair_error(df: DataFrame, group: str, label: str, score: str) -> DataFrame:
     """(group, pairs, errors, error): counted without listing pairs.
 
     For each row, the rows of lower labels with scores from its own on up are counted by running sums over the scores,
-    one for each label, so a query costs rows times labels.
+    one for each label, so a query costs rows times labels. Rows of equal score and label are counted before they meet.
     """
     tally = df.groupBy(group, score, label).agg(F.count(F.lit(1)).alias("_n"))
-    labels = df.groupBy(group).agg(F.collect_set(label).alias("_labels"))
-    wide = tally.join(labels, group).select(group, score, label, "_n", F.explode("_labels").alias("_low")).where(F.col("_low") <= F.col(label))
-    lower = tally.select(group, F.col(score).alias("_s"), F.col(label).alias("_low"), F.col("_n").alias("_m"))
-    # Running sums over (group, low label): rows of that label at or above each score.
-    events = wide.where(F.col("_low") < F.col(label)).select(group, "_low", F.col(score).alias("_s"), "_n", F.lit(0).cast("long").alias("_m"))
-    both = events.unionByName(lower.withColumn("_n", F.lit(0).cast("long")))
-    w = Window.partitionBy(group, "_low").orderBy(F.col("_s").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    wrong = both.withColumn("_above", F.sum("_m").over(w)).groupBy(group).agg(F.sum(F.col("_n") * F.col("_above")).alias("errors"))
-    by_label = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
-    below = Window.partitionBy(group).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    counts = by_label.withColumn("_p", F.col("_n") * F.coalesce(F.sum("_n").over(below), F.lit(0))).groupBy(group).agg(F.sum("_p").alias("pairs"))
-    return counts.where("pairs > 0").join(wrong, group).select(group, "pairs", "errors", (F.col("errors") / F.col("pairs")).alias("error"))
+    labels = tally.withColumn("_labels", F.collect_set(label).over(Window.partitionBy(group)))
+    wide = labels.withColumn("_low", F.explode("_labels")).where(F.col("_low") <= F.col(label))
+    mine = wide.select(group, "_low", F.col(score).alias("_s"), F.when(F.col("_low") < F.col(label), F.col("_n")).otherwise(0).alias("_n"), F.when(F.col("_low") == F.col(label), F.col("_n")).otherwise(0).alias("_m"))
+    per_label = Window.partitionBy(group, "_low")
+    above = per_label.orderBy(F.col("_s").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    counted = mine.withColumn("_above", F.sum("_m").over(above)).withColumn("_all", F.sum("_m").over(per_label))
+    out = counted.groupBy(group).agg(F.sum(F.col("_n") * F.col("_all")).alias("pairs"), F.sum(F.col("_n") * F.col("_above")).alias("errors"))
+    return out.where("pairs > 0").select(group, "pairs", "errors", (F.col("errors") / F.col("pairs")).alias("error"))
 
 
 def pair_cost(hi: Column, lo: Column) -> Column:

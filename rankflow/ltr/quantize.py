@@ -3,58 +3,103 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.storage import numbered_rows
+
 
 def dense_codes(df: DataFrame, value: str, out: str = "code") -> DataFrame:
     """Each distinct value's place among all, from 0. Distinct values, not rows, are numbered."""
     distinct = df.select(F.col(value).alias("_v")).distinct()
-    parts = distinct.repartitionByRange("_v").withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    codes = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy("_v")) - 1).join(starts, "_part").select("_v", (F.col("_start") + F.col("_own")).alias(out))
+    codes = numbered_rows(distinct, ["_v"], out)
     return df.join(codes, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
+class GapBins:
+    """Where bins start over values that come in ascending order: a value opens one if it is a gap beyond the last start.
+
+    The gap is the first of 1e-8, 2e-8, 4e-8 ... under which there are at most `most` starts. All gaps that may still be it
+    are followed at once, so one pass is enough and memory is bounded, whatever the number of values.
+    """
+
+    def __init__(self, most: int = 65_535, gap: float = 1e-8):
+        self.most, self.first = most, None
+        self.going: list[tuple[float, list[float]]] = [(gap, [])]
+
+    def add(self, values: np.ndarray) -> None:
+        if not len(values):
+            return
+        if self.first is None:
+            self.first = float(values[0])
+            self.going[0][1].append(self.first)
+        # A gap wider than all values so far has one start, so gaps need not be followed before values spread beyond them.
+        while self.going[-1][0] <= float(values[-1]) - self.first:
+            self.going.append((self.going[-1][0] * 2, [self.first]))
+        self.going = [(gap, starts) for gap, starts in self.going if self._follow(gap, starts, values)]
+
+    def _follow(self, gap: float, starts: list[float], values: np.ndarray) -> bool:
+        at = int(np.searchsorted(values, starts[-1] + gap))
+        while at < len(values):
+            if values[at] - starts[-1] < gap:  # the sum was rounded
+                at += 1
+                continue
+            starts.append(float(values[at]))
+            if len(starts) > self.most:
+                return False
+            at = max(at + 1, int(np.searchsorted(values, starts[-1] + gap)))
+        return True
+
+    def starts(self) -> list[float]:
+        return self.going[0][1]
+
+
 def gap_bins(values: np.ndarray, most: int = 65_535, gap: float = 1e-8) -> list[float]:
-    """Where bins start over sorted values: a value opens one if it is a gap beyond the last start; the gap doubles until there are few enough."""
-    while True:
-        starts: list[float] = []
-        for v in values.tolist():
-            if not starts or v - starts[-1] >= gap:
-                starts.append(v)
-                if len(starts) > most:
-                    break
-        if len(starts) <= most:
-            return starts
-        gap *= 2
-
-
-def codebook(long: DataFrame, most: int = 65_535, rough: int = 1_000_000) -> DataFrame:
-    """(feature, value) -> (feature, starts): bins of each feature over its distinct values.
-
-    Distinct values are taken before they meet; a feature with more than `rough` of them is cut by quantiles, a fixed
-    number of which stand for it.
+    """The starts over sorted values."""
+    bins = GapBins(most, gap)
+    bins.add(np.asarray(values, np.float64))
+    return bins.starts()
+
+
+def codebook(long: DataFrame, most: int = 65_535) -> DataFrame:
+    """(feature, value) -> (feature, starts): gap bins of each feature over all its distinct values.
+
+    Distinct values are taken before they meet; a feature's values then pass one task in order, batch by batch, which
+    holds the starts and no values.
     """
-    distinct = long.where(F.col("value").isNotNull()).select("feature", F.col("value").cast("double").alias("value")).distinct()
-    counts = distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    few = distinct.join(counts.where(F.col("n") <= rough), "feature", "left_semi")
+    distinct = long.where(F.col("value").isNotNull()).select("feature", F.col("value").cast("double").alias("value")).where(~F.isnan("value")).distinct()
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feature, own = None, None
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([feature], kind), pa.array([own.starts()], pa.list_(pa.float64()))], ["feature", "starts"])
+        for batch in batches:
+            names, values, kind = batch.column(0), batch.column(1).to_numpy(), batch.schema.field(0).type
+            runs = pa.compute.run_end_encode(names) if len(names) else None
+            at = 0
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True) if runs is not None else ():
+                if own is None or name != feature:
+                    if own is not None:
+                        yield pack()
+                    feature, own = name, GapBins(most)
+                own.add(values[at:end])
+                at = end
+        if own is not None:
+            yield pack()
+
+    return distinct.repartition("feature").sortWithinPartitions("feature", "value").mapInArrow(bins, f"feature {dict(long.dtypes)['feature']}, starts array<double>")
 
-    def bins(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"feature": [pdf.feature.iloc[0]], "starts": [gap_bins(np.sort(pdf.value.to_numpy()), most)]})
 
-    exact = few.groupBy("feature").applyInPandas(bins, f"feature {dict(long.dtypes)['feature']}, starts array<double>")
-    shares = [i / 4096 for i in range(4097)]
-    many = distinct.join(counts.where(F.col("n") > rough), "feature", "left_semi").groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile_approx("value", shares, 100_000))).alias("starts"))
-    return exact.unionByName(many)
+#: From so many bins on, codes are found by levels of arrays; up to it, by nested conditions.
+NESTED, FAN = 64, 16
 
 
 def encode(value: Column, starts: list[float]) -> Column:
-    """The last bin that starts at or before the value, 0 at least; by halving, in one expression."""
+    """The last bin that starts at or before the value, 0 at least; by halving, or by levels of FAN starts each."""
 
     def within(lo: int, hi: int) -> Column:
         if hi - lo == 1:
@@ -62,7 +107,16 @@ def encode(value: Column, starts: list[float]) -> Column:
         mid = (lo + hi) // 2
         return F.when(value >= starts[mid], within(mid, hi)).otherwise(within(lo, mid))
 
-    return within(0, max(1, len(starts)))
+    if len(starts) <= NESTED:
+        return within(0, max(1, len(starts)))
+    levels = [list(starts)]
+    while len(levels[0]) > FAN:
+        levels.insert(0, levels[0][::FAN])
+    text = F.lit(";".join(",".join(map(repr, level)) for level in levels))
+    table = F.split(text, ";").cast("array<string>")
+    arrays = F.transform(table, lambda t: F.split(t, ",").cast("array<double>"))  # constant, folded once
+    step = lambda at, level: at * FAN + F.greatest(F.size(F.filter(F.slice(level, at * FAN + 1, FAN), lambda s: s <= value)) - 1, F.lit(0))
+    return F.when(value.isNotNull(), F.aggregate(arrays, F.lit(0), step))
 
 
 def decode(starts: list[float], code: float) -> float:

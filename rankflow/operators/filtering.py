@@ -14,17 +14,48 @@ from rankflow.relation import Relation
 _FILTERS: dict[str, tuple[Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], str | None]] = {}
 
 
-def where(r: Relation, predicate: str) -> Relation:
-    """Rows for which a SQL predicate is true. `record.Name` is the column of that name; `^` stands for a quote."""
-    text = re.sub(r"\brecord\.(\w+)", lambda m: f"`{_named(r, m[1])}`", predicate.replace("^", '"')).replace("==", "=").replace("&&", " AND ").replace("||", " OR ")
-    return r.with_df(r.df.where(F.expr(text)))
-
-
-def _named(r: Relation, name: str) -> str:
-    for c in r.df.columns:
+def predicate_sql(predicate: str, columns: list[str]) -> str:
+    """The SQL of a predicate: outside of quotes, `record.Name` is a column, `==`, `&&`, `||` and `!` are operators.
+
+    Quotes are ', " or ^; a quote inside is doubled or follows a backslash, as in SQL.
+    """
+    out = []
+    for m in re.finditer(r"""(?P<q>['"^])(?P<in>(?:\\.|(?P=q)(?P=q)|(?!(?P=q)).)*)(?P=q)|(?P<out>[^'"^]+|.)""", predicate, re.DOTALL):
+        if m["q"]:
+            text = m["in"].replace(m["q"] * 2, m["q"])
+            text = re.sub(r"\\(.)|'", lambda x: "\\'" if x[0] == "'" else x[0], text, flags=re.DOTALL)
+            out.append(f"'{text}'")
+            continue
+        piece = re.sub(r"\brecord\.(\w+)", lambda x: f"`{_named(columns, x[1])}`", m["out"])
+        piece = re.sub(r"!(?!=)", " NOT ", piece)
+        out.append(piece.replace("==", "=").replace("&&", " AND ").replace("||", " OR "))
+    return "".join(out)
+
+
+def where(r: Relation, predicate: str, strict: bool = False, failures=None) -> Relation:
+    """Rows for which a SQL predicate is true (see predicate_sql).
+
+    A row for which it can't be evaluated (a text that is no number, a division by zero, a missing value) is dropped, or
+    fails the job if strict. failures: a pyspark Observation; its `failed` is the number of rows so dropped.
+    """
+    session = r.df.sparkSession
+    text = predicate_sql(predicate, r.df.columns)
+    before = session.conf.get("spark.sql.ansi.enabled")
+    session.conf.set("spark.sql.ansi.enabled", str(strict).lower())  # plans are analysed, and keep their mode, as they are made
+    try:
+        df = r.df
+        if failures is not None:
+            df = df.observe(failures, F.count_if(F.expr(text).isNull()).alias("failed"))
+        return r.with_df(df.where(F.expr(text)))
+    finally:
+        session.conf.set("spark.sql.ansi.enabled", before)
+
+
+def _named(columns: list[str], name: str) -> str:
+    for c in columns:
         if c.lower() == name.lower():
             return c
-    raise ValueError(f"no column {name!r} in {r.df.columns}")
+    raise ValueError(f"no column {name!r} in {columns}")
 
 
 def key_query(r: Relation, text: str) -> Relation:

@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.relation import Relation
+from rankflow.storage import numbered_rows, placed_rows
+
+
+def _condition(left: Relation, right: Relation, names: list[str]) -> Column:
+    """Key columns pairwise in their own types, cast to text only where types differ. A null key matches nothing.
+
+    Keys of different widths are compared as one text each, parts joined by TAB.
+    """
+    if len(left.keys) != len(right.keys):
+        return left.key() == F.concat_ws("\t", *[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names])
+    out = None
+    types, others = dict(left.df.dtypes), dict(right.df.dtypes)
+    for k, other, n in zip(left.keys, right.keys, names, strict=True):
+        a, b = F.col(f"`{k}`"), F.col(f"`{n}`")
+        same = a == b if types[k] == others[other] or _both_whole(types[k], others[other]) else a.cast("string") == b.cast("string")
+        out = same if out is None else out & same
+    return out
+
+
+def _both_whole(a: str, b: str) -> bool:
+    return {a, b} <= {"tinyint", "smallint", "int", "bigint"}
 
 
 def _joined(left: Relation, right: Relation, how: str) -> Relation:
     """All left columns, then the right's that are no keys; a name that is taken becomes <right source>:<name>."""
-    a = left.df.withColumn("_key", left.key())
     names = {c.lower() for c in left.df.columns}
     rest = [c for c in right.df.columns if c not in right.keys]
     fresh = [c if c.lower() not in names else f"{right.name}:{c}" for c in rest]
-    b = right.df.select(right.key().alias("_right_key"), F.lit(True).alias("_there"), *[F.col(f"`{c}`").alias(n) for c, n in zip(rest, fresh, strict=True)])
-    out = a.join(b, a["_key"] == b["_right_key"], how)
+    keys = [f"_right_key{i}" for i in range(len(right.keys))]
+    b = right.df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(right.keys, keys, strict=True)], F.lit(True).alias("_there"), *[F.col(f"`{c}`").alias(n) for c, n in zip(rest, fresh, strict=True)])
+    out = left.df.join(b, _condition(left, right, keys), how)
     value = (lambda c: F.col(f"`{c}`")) if how == "inner" else (lambda c: _blank(b, c))
     return left.with_df(out.select(*[F.col(f"`{c}`") for c in left.df.columns], *[value(c).alias(c) for c in fresh]), ordering=None, kind="table")
 
 
-def _blank(df: DataFrame, name: str):
+def _blank(df: DataFrame, name: str) -> Column:
     """Blank text for rows without a partner; other types keep null."""
     c = F.col(f"`{name}`")
     return F.when(F.col("_there").isNull(), F.lit("")).otherwise(c) if dict(df.dtypes)[name] == "string" else c
@@ -35,8 +56,9 @@ def left_outer_join(left: Relation, right: Relation) -> Relation:
 
 
 def _filtered(left: Relation, right: Relation, how: str) -> Relation:
-    keys = right.df.select(right.key().alias("_right_key"))
-    return left.with_df(left.df.join(keys, left.key() == F.col("_right_key"), how))
+    names = [f"_right_key{i}" for i in range(len(right.keys))]
+    keys = right.df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(right.keys, names, strict=True)])
+    return left.with_df(left.df.join(keys, _condition(left, right, names), how))
 
 
 def filter_by_right(left: Relation, right: Relation) -> Relation:
@@ -48,32 +70,35 @@ def filter_not_right(left: Relation, right: Relation) -> Relation:
     return _filtered(left, right, "left_anti")
 
 
-def concat(*relations: Relation) -> Relation:
-    """All rows, with the source's number in `_source` where order matters to the caller."""
+def concat(*relations: Relation, source: str | None = None) -> Relation:
+    """All rows, whatever columns each has. source: a column for the number of the relation that a row came from."""
     first = relations[0]
-    out = first.df
-    for r in relations[1:]:
-        out = out.unionByName(r.df, allowMissingColumns=True)
+    numbered = [r.df if source is None else r.df.withColumn(source, F.lit(i)) for i, r in enumerate(relations)]
+    out = numbered[0]
+    for df in numbered[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
     return first.with_df(out, ordering=None)
 
 
 def merge(direction: str, *relations: Relation) -> Relation:
-    """All rows in the order of their keys."""
-    both = concat(*relations)
+    """All rows in the order of their keys; rows of equal keys in the order of the relations."""
+    both = concat(*relations, source="_source")
     order = both.key().desc() if direction == "-" else both.key().asc()
-    return both.with_df(both.df.orderBy(order), ordering=direction)
+    return both.with_df(both.df.orderBy(order, "_source").drop("_source"), ordering=direction)
+
 
+def zip_join(left: DataFrame, right: DataFrame, order: tuple[list[str], list[str]] | None = None) -> DataFrame:
+    """Rows of equal place side by side; different numbers of rows are an error.
 
-def zip_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of equal place side by side; different numbers of rows are an error. Places are those of Spark's partitions and rows."""
+    order: the columns that give each side's places. Without them, places are those of Spark's partitions and rows, which
+    mean something only where each side is read from files as it lies there.
+    """
 
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        part = df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-        sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-        starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-        return part.join(starts, "_part").select((F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).alias("_at"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+    def placed(df: DataFrame, by: list[str] | None, name: str) -> DataFrame:
+        rows = placed_rows(df) if by is None else numbered_rows(df, [*by, *[c for c in df.columns if c not in by]], "_at")
+        return rows.select("_at", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
 
-    both = placed(left, "_l").join(placed(right, "_r"), "_at", "full")
+    by_left, by_right = order or (None, None)
+    both = placed(left, by_left, "_l").join(placed(right, by_right, "_r"), "_at", "full")
     checked = both.withColumn("_l", F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.raise_error(F.lit("the inputs have different numbers of rows"))).otherwise(F.col("_l")))
     return checked.select(F.col("_at").alias("row_id"), "_l.*", *[F.col(f"_r.`{c}`").alias(c if c not in left.columns else f"right:{c}") for c in right.columns])

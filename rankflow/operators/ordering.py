@@ -71,4 +71,11 @@ def contiguous_groups(df: DataFrame, value: str, order: list[str], by: list[str]
 
 
 def shuffled(df: DataFrame, seed: int = SEED) -> DataFrame:
-    return df.orderBy(F.rand(seed))
+    """Rows in an order that only the rows and the seed decide, whatever the partitions."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), *[F.col(f"`{c}`") for c in df.columns])
+
+
+def sampled_groups(df: DataFrame, group: str, n: int, seed: int = 0) -> DataFrame:
+    """Rows of n groups drawn without replacement: those with the smallest numbers made from id and seed. n ids are broadcast if they are few."""
+    chosen = df.select(group).distinct().orderBy(share_of(group, seed), group).limit(n)
+    return df.join(chosen, group, "left_semi")

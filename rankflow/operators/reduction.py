@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from rankflow.relation import Relation
 
@@ -31,6 +34,34 @@ def reduce(r: Relation, using: dict[str, Callable[[Column], Column]] | None = No
     return r.with_df(out, ordering=None)
 
 
+def reduce_by_function(r: Relation, function: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], finish: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> Relation:
+    """Rows of equal keys folded by the user's own function(rows, before): a frame with one row a key, of the relation's columns.
+
+    `rows` hold one key; `before` is what the rows seen so far came to, or None. The function runs in every task before
+    the shuffle and again after it, so it must not depend on the order or the grouping of rows; a hot key then arrives as
+    one row per task. finish(row) makes the last change.
+    """
+    keys, schema = list(r.keys), r.df.schema
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, pd.DataFrame] = {}
+        for batch in batches:
+            for key, rows in batch.groupby(keys, sort=False, dropna=False):
+                held[key] = function(rows, held.get(key))
+            if len(held) > 10_000:
+                yield pd.concat(held.values())[schema.names]
+                held = {}
+        if held:
+            yield pd.concat(held.values())[schema.names]
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        out = function(rows, None)
+        return (finish(out) if finish else out)[schema.names]
+
+    some = r.df.mapInPandas(partial, schema)
+    return r.with_df(some.groupBy(*[F.col(f"`{k}`") for k in keys]).applyInPandas(whole, schema), ordering=None)
+
+
 def append_strings(df: DataFrame) -> DataFrame:
     """(key, pos, value) -> (key, pos, value): the values of a key one after another by pos."""
     parts = F.array_sort(F.collect_list(F.struct("pos", "value")))
@@ -43,35 +74,54 @@ def merge_maps(df: DataFrame) -> DataFrame:
     return flat.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("edge", "weight")))).alias("edges"))
 
 
-def positions(df: DataFrame, array: str, by: list[str]) -> DataFrame:
-    """(by, position, total): sums of arrays of scores by place."""
-    return df.select(*by, F.posexplode(array).alias("position", "score")).groupBy(*by, "position").agg(F.sum("score").alias("total"))
+def positions(df: DataFrame, array: str, by: list[str], count: str | None = None) -> DataFrame:
+    """(by, position, total[, agg_count]): sums of arrays of scores by place, and how many rows (or what sum of `count`) they are of."""
+    flat = df.select(*by, *([F.col(count).alias("_c")] if count else []), F.posexplode(array).alias("position", "score"))
+    return flat.groupBy(*by, "position").agg(F.sum("score").alias("total"), (F.sum("_c") if count else F.count(F.lit(1))).alias("agg_count"))
+
+
+def largest_positions(df: DataFrame, array: str, by: list[str], count: str, sampling: str) -> DataFrame:
+    """(by, position, score, agg_count, sampling): merged scores, the greatest by place, with the greatest count and sampling."""
+    flat = df.select(*by, F.col(count).alias("_c"), F.col(sampling).alias("_s"), F.posexplode(array).alias("position", "score"))
+    return flat.groupBy(*by, "position").agg(F.max("score").alias("score"), F.max("_c").alias("agg_count"), F.max("_s").alias("sampling"))
 
 
 def about(r: Relation) -> DataFrame:
-    """One row that describes a relation; none for an empty one."""
-    facts = r.df.agg(F.count(F.lit(1)).alias("num_records"))
+    """One row that describes a relation; none for an empty one. num_bytes: its records as lines, in UTF-8."""
+    line = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in r.df.columns])
+    facts = r.df.agg(F.count(F.lit(1)).alias("num_records"), F.sum(F.octet_length(line)).alias("num_bytes"))
     return facts.where("num_records > 0").select(
-        F.lit(r.name).alias("name"), F.lit(r.kind).alias("kind"), F.lit(",".join(r.df.columns)).alias("columns"), F.lit("+".join(r.keys)).alias("key"), "num_records", F.lit(r.ordering or "").alias("sorted")
+        F.lit(r.name).alias("name"), F.lit(r.kind).alias("kind"), F.lit(",".join(r.df.columns)).alias("columns"), F.lit("+".join(r.keys)).alias("key"), "num_records", "num_bytes", F.lit(r.ordering or "").alias("sorted")
     )
 
 
-def bloom_filter(keys: DataFrame, column: str, bits: int = 1 << 20, hashes: int = 5) -> list[int]:
-    """Places of the set bits of a Bloom filter over a column, by double hashing. At most `bits` numbers reach the driver."""
-    return [r[0] for r in keys.select(F.explode(_places(column, bits, hashes)).alias("place")).distinct().collect()]
+#: A Bloom filter has this many bits at most (8 MB); with more keys it lets more rows through, and loses none.
+MOST_BITS = 1 << 26
+
+
+def bloom_filter(keys: DataFrame, column: str, n_keys: int | None = None, bits_per_key: int = 10) -> bytes | None:
+    """A Bloom filter over a column, built by partial aggregation; None if there is no key. n_keys: their number, else it is counted."""
+    n_keys = n_keys or max(1, keys.select(F.approx_count_distinct(column, 0.02)).first()[0])
+    bits = min(MOST_BITS, max(64, n_keys * bits_per_key))
+    made = InternalFunction._invoke_internal_function_over_columns("bloom_filter_agg", F.xxhash64(column), F.lit(n_keys).cast("long"), F.lit(bits).cast("long"))
+    found = keys.agg(made.alias("f")).first().f
+    return None if found is None else bytes(found)
 
 
-def _places(column: str, bits: int, hashes: int) -> Column:
-    first = F.pmod(F.xxhash64(column), F.lit(bits))
-    second = F.pmod(F.hash(column).cast("long"), F.lit(bits - 1)) + 1
-    return F.array(*[F.pmod(first + F.lit(i) * second, F.lit(bits)) for i in range(hashes)])
+def bloom_merged(a: bytes | None, b: bytes | None) -> bytes | None:
+    """The filter of the keys of both; they must have been built with the same numbers of keys and bits a key."""
+    if a is None or b is None:
+        return a if b is None else b
+    if len(a) != len(b) or a[:12] != b[:12]:
+        raise ValueError("filters of different shapes can't be merged")
+    return (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes()
 
 
-def bloom_filtered(df: DataFrame, column: str, places: list[int], bits: int = 1 << 20, hashes: int = 5) -> DataFrame:
-    """Rows that may be in the filter: all that are, and a few that are not. The filter is a bit string of fixed size."""
-    raw = bytearray(bits // 8)
-    for p in places:
-        raw[p // 8] |= 1 << p % 8
-    words = F.lit(bytes(raw).hex())
-    nibble = lambda p: F.conv(F.substring(words, (F.floor(p / 8) * 2 + F.when(p % 8 >= 4, 1).otherwise(2)).cast("int"), F.lit(1)), 16, 10).cast("int")
-    return df.where(F.forall(_places(column, bits, hashes), lambda p: F.call_function("shiftright", nibble(p), (p % 4).cast("int")).bitwiseAND(F.lit(1)) == 1))
+def bloom_filtered(df: DataFrame, column: str, made: bytes | None) -> DataFrame:
+    """Rows that may be in the filter: all that are, and a few that are not. Spark's own runtime filters use the same expression."""
+    if made is None:
+        return df.where(F.lit(False))
+    jvm = df.sparkSession._jvm
+    utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(utils.expression(F.lit(made)._jc), utils.expression(F.xxhash64(column)._jc))
+    return df.where(Column(utils.column(test)))

@@ -63,7 +63,6 @@ def evaluate(spark: SparkSession, text: str, tables: dict[str, Relation] | None
         text = " ".join(r.value for r in spark.read.text(text[1:].strip()).collect())  # an expression, not data
     listed, output = tokens(text)
     stack: list[Relation] = []
-    limit = next((_number(m[1]) for t in listed if (m := re.fullmatch(r"Head\((\d+)\)", t))), 1000)
 
     def pop(n: int = 1) -> list[Relation]:
         if len(stack) < n:
@@ -95,7 +94,7 @@ def evaluate(spark: SparkSession, text: str, tables: dict[str, Relation] | None
         "Concat": lambda a: joins.concat(*pop(_number(a))),
         "Filter": lambda a: filtering.user_filter(*pop(), a),
     }
-    for token in listed:
+    for place, token in enumerate(listed):
         m = re.fullmatch(r"(\w+)\s*(?:\((.*)\))?", token, re.DOTALL)
         if m and m[1] in named and (m[2] is not None or m[1] in ("Sort", "Reduce", "About", "InnerJoin", "LeftOuterJoin", "FilterByRight", "FilterNotRight")):
             stack.append(named[m[1]](m[2] or ""))
@@ -104,7 +103,9 @@ def evaluate(spark: SparkSession, text: str, tables: dict[str, Relation] | None
         elif tables and token in tables:
             stack.append(tables[token])
         elif token in ("null", "null0"):
-            stack.append(endless(spark, limit, token == "null0"))
+            if not any(t.startswith("Head(") for t in listed[place + 1 :]):
+                raise ValueError(f"{token} never ends: a Head has to follow")
+            stack.append(endless(spark, fixed=token == "null0"))
         elif m and m[2] is not None:
             raise ValueError(f"no operator {m[1]!r}")
         else:

@@ -150,9 +150,9 @@ def random_sample(spark, d):
     return ordering.random(_t(spark, d, "region"), 3).df
 
 
-@query("SELECT 'orders' AS name, 'table' AS kind, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns, 'o_orderkey' AS key, count(*)::BIGINT AS num_records, '' AS sorted FROM orders")
+@query("SELECT 'orders' AS name, 'table' AS kind, 'o_orderkey,o_custkey,o_orderstatus,o_orderdate,o_orderpriority' AS columns, 'o_orderkey' AS key, count(*)::BIGINT AS num_records, sum(strlen(concat_ws(chr(9), o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderdate::VARCHAR, o_orderpriority)))::BIGINT AS num_bytes, '' AS sorted FROM orders")
 def about_stats(spark, d):
-    return reduction.about(_t(spark, d, "orders"))
+    return reduction.about((r := _t(spark, d, "orders")).with_df(r.df.drop("o_totalprice")))
 
 
 @query("SELECT conv_id::VARCHAR AS key, string_agg(role || ':' || text, '' ORDER BY turn) AS value FROM conversations GROUP BY conv_id")
@@ -199,7 +199,7 @@ def user_filter(spark, d):
 def bloom_semi_join(spark, d):
     """The filter thins the left side out; the exact join decides."""
     right = _t(spark, d, "lineitem").df.where("l_quantity = 50 and l_discount = 0.1").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
-    left = reduction.bloom_filtered(_t(spark, d, "supplier").df, "s_suppkey", reduction.bloom_filter(right, "s_suppkey", 1 << 14), 1 << 14)
+    left = reduction.bloom_filtered(_t(spark, d, "supplier").df, "s_suppkey", reduction.bloom_filter(right, "s_suppkey"))
     return left.join(right, "s_suppkey", "left_semi").select("s_suppkey")
 
 
@@ -518,10 +518,10 @@ def url_date(spark, d):
     return _t(spark, d, "pages").df.select("page_id", urls.url_date(u).alias("day"))
 
 
-@query("SELECT o_custkey, i AS position, sum((o_orderkey >> i::INT) & 1)::BIGINT AS total FROM orders, range(8) t(i) GROUP BY ALL")
+@query("SELECT o_custkey, i AS position, sum((o_orderkey >> i::INT) & 1)::BIGINT AS total, count(*)::BIGINT AS agg_count FROM orders, range(8) t(i) GROUP BY ALL")
 def segment_aggregate(spark, d):
     df = _t(spark, d, "orders").df.select("o_custkey", bits.bit_array(F.col("o_orderkey"), 8).alias("scores"))
-    return reduction.positions(df, "scores", ["o_custkey"]).select("o_custkey", F.col("position").cast("long").alias("position"), "total")
+    return reduction.positions(df, "scores", ["o_custkey"]).select("o_custkey", F.col("position").cast("long").alias("position"), "total", "agg_count")
 
 
 @query("SELECT c_mktsegment, count(*)::BIGINT AS n, round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4) AS median, min(c_acctbal) AS least, max(c_acctbal) AS greatest, round(stddev_samp(c_acctbal), 4) AS deviation, round(var_pop(c_acctbal), 2) AS variance FROM customer GROUP BY 1")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rankflow.functions.text import normalize_key
 from rankflow.relation import Relation
+from rankflow.storage import numbered_rows
 
 UNSUPPORTED = ("cosmos:", "clip:", "sql:")
 
@@ -32,11 +33,31 @@ def directory(spark: SparkSession, path: str, pattern: str = "*") -> Relation:
     return Relation(df.select(normalize_key(F.col("value")).alias("key")), ("key",), "line", _name(path))
 
 
-def delimited(spark: SparkSession, path: str, separator: str = "\t", header: bool = True, key: str | None = None, schema=None) -> Relation:
-    """TSV or CSV with doubled quotes, quoted line ends and trimmed items; all columns are text unless a schema is given."""
-    reader = spark.read.option("sep", separator).option("header", header).option("quote", '"').option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-    df = (reader.schema(schema) if schema else reader).csv(path)
+def delimited(spark: SparkSession, path: str, separator: str = "\t", header: bool = True, key: str | None = None, schema=None, collapse: bool = False, case: str | None = None) -> Relation:
+    """TSV or CSV with doubled quotes, quoted line ends and trimmed items; all columns are text unless a schema is given.
+
+    separator: one mark, or several, of which each parts items. collapse: runs of marks count as one. Both of these read
+    plain lines, whose items are not quoted and which may be split at any line end. case: "lower" or "upper" for the
+    names in the header. Text that is missing is ''.
+    """
+    if len(separator) > 1 or collapse:
+        text = spark.read.option("lineSep", "\n").text(path)
+        first = text.first() if header else None  # one row: names
+        marks = "[" + re.escape(separator) + "]" + ("+" if collapse else "")
+        line = F.regexp_replace("value", "\r$", "")
+        names = re.split(marks, first.value.rstrip("\r")) if first else None
+        if names is None:
+            width = text.select(F.max(F.size(F.split(line, marks, -1))).alias("n")).first().n or 1
+            names = [f"_c{i}" for i in range(width)]
+        parts = F.split(line, marks, -1)
+        rows = text.where(line != first.value.rstrip("\r")) if first else text
+        df = rows.where(line != "").select(*[F.trim(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))).alias(n.strip()) for i, n in enumerate(names)])
+    else:
+        reader = spark.read.option("sep", separator).option("header", header).option("quote", '"').option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+        df = (reader.schema(schema) if schema else reader).csv(path)
     df = df.fillna("") if schema is None else df
+    if case:
+        df = df.toDF(*[getattr(c, case)() for c in df.columns])
     return Relation(df, (key or df.columns[0],), "table", _name(path))
 
 
@@ -46,9 +67,17 @@ def xml_table(spark: SparkSession, path: str, row_tag: str, key: str | None = No
     return Relation(df, (key or df.columns[0],), "table", _name(path))
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> Relation:
-    """A database table, or a query in parentheses with a name, by JDBC."""
-    df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def jdbc_options(url: str, table: str, split_by: str | None = None, low: int = 0, high: int = 0, parts: int = 1, fetch: int = 10_000) -> dict[str, str]:
+    """Options of a JDBC read: in `parts` ranges of a numeric column between low and high, or by one task without split_by."""
+    out = {"url": url, "dbtable": table, "fetchsize": str(fetch)}
+    if split_by:
+        out |= {"partitionColumn": split_by, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return out
+
+
+def jdbc_table(spark: SparkSession, url: str, table: str, split_by: str | None = None, low: int = 0, high: int = 0, parts: int = 1, fetch: int = 10_000, **options: str) -> Relation:
+    """A database table, or a query in parentheses with a name, by JDBC; split_by reads it in `parts` tasks."""
+    df = spark.read.format("jdbc").options(**jdbc_options(url, table, split_by, low, high, parts, fetch), **options).load()
     return Relation(df, (df.columns[0],), "table", table.split(".")[-1])
 
 
@@ -82,8 +111,8 @@ def multi_file(spark: SparkSession, path: str) -> Relation:
     return lines(spark, listed(path))
 
 
-def endless(spark: SparkSession, n: int, fixed: bool = False) -> Relation:
-    """The debugging source, bounded: n random keys, or n times the same."""
+def endless(spark: SparkSession, n: int = 1 << 40, fixed: bool = False) -> Relation:
+    """The debugging source: n random keys, or n times the same. Rows are made as they are asked for, so a limit ends it."""
     key = F.lit("0") if fixed else F.uuid()
     return Relation(spark.range(n).select(key.alias("key")), ("key",), "line", "null")
 
@@ -142,12 +171,18 @@ def get_prefix(r: Relation, prefix: str) -> DataFrame:
 
 
 def numbered(r: Relation) -> DataFrame:
-    """Rows with record_no, their place by key from 0: ranges of the key are numbered on their own and set off by their sizes."""
-    from pyspark.sql import Window
-
-    parts = r.df.repartitionByRange(r.key()).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(r.key(), *[F.col(f"`{c}`") for c in r.df.columns]))
-    return parts.withColumn("_own", own).join(starts, "_part").select((F.col("_start") + F.col("_own") - 1).alias("record_no"), *[F.col(f"`{c}`") for c in r.df.columns])
+    """Rows with record_no, their place by key (then by the other columns) from 0."""
+    return numbered_rows(r.df, [*r.keys, *[c for c in r.df.columns if c not in r.keys]])
+
+
+def get_record_no(r: Relation, number: int) -> DataFrame:
+    """The row of a record number; none if there is no such number."""
+    return numbered(r).where(F.col("record_no") == number)
+
+
+def get_or_missing(r: Relation, keys: DataFrame) -> DataFrame:
+    """(asked, found, and r's columns) for keys (column key): all rows of each, or one row with found = false and nulls."""
+    asked = keys.select(F.col("key").cast("string").alias("asked")).distinct()
+    rows = r.df.withColumn("_key", r.key())
+    out = asked.join(rows, F.col("asked") == F.col("_key"), "left")
+    return out.select("asked", F.col("_key").isNotNull().alias("found"), *[F.col(f"`{c}`") for c in r.df.columns])

@@ -130,10 +130,120 @@ def test_reduce(spark):
 
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(0, 2000, 7).select(F.col("id").alias("k"))
-    places = reduction.bloom_filter(keys, "k", 1 << 14)
-    left = reduction.bloom_filtered(spark.range(2000).select(F.col("id").alias("k")), "k", places, 1 << 14)
-    got = {r.k for r in left.collect()}
-    assert got >= set(range(0, 2000, 7)) and len(got) < 500
+    made = reduction.bloom_filter(keys, "k")
+    every = spark.range(2000).select(F.col("id").alias("k"))
+    got = {r.k for r in reduction.bloom_filtered(every, "k", made).collect()}
+    assert got >= set(range(0, 2000, 7)) and len(got) < 400
+    parts = [reduction.bloom_filter(keys.where(c), "k", n_keys=300) for c in ("k < 1000", "k >= 1000")]
+    got = {r.k for r in reduction.bloom_filtered(every, "k", reduction.bloom_merged(*parts)).collect()}
+    assert got >= set(range(0, 2000, 7)) and len(got) < 400
+    with pytest.raises(ValueError):
+        reduction.bloom_merged(made, reduction.bloom_filter(keys, "k", n_keys=5000))
+    assert reduction.bloom_filter(keys.where("false"), "k") is None and reduction.bloom_filtered(every, "k", None).count() == 0
+    assert reduction.bloom_merged(None, made) == made
+
+
+@pytest.mark.parametrize("advisory", ["1m", "64m"])
+def test_numbers_lose_no_rows(spark, advisory):
+    """A million rows of over 100 MB in all, behind a shuffle, under adaptive execution."""
+    from rankflow.storage import numbered_rows, placed_rows
+
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n = 1_000_000
+        df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.hash("id")).alias("k"), F.concat(F.md5(F.col("id").cast("string")), F.md5(F.col("id").cast("string")), F.sha2(F.col("id").cast("string"), 256)).alias("wide"))
+        got = numbered_rows(df.repartition("wide"), ["k", "wide"])
+        facts = got.agg(F.count(F.lit(1)), F.count_distinct("record_no"), F.min("record_no"), F.max("record_no"), F.count_distinct("wide")).first()
+        assert tuple(facts) == (n, n, 0, n - 1, n)
+        assert got.where("record_no in (0, 400000, 999999)").count() == 3
+        pairs = got.select("record_no", "k").join(got.select((F.col("record_no") - 1).alias("record_no"), F.col("k").alias("next")), "record_no")
+        assert pairs.where("k > next").count() == 0
+        facts = placed_rows(df.repartition("k")).agg(F.count(F.lit(1)), F.count_distinct("_at"), F.max("_at")).first()
+        assert tuple(facts) == (n, n, n - 1)
+        other = df.select(F.col("k").alias("k2"), F.length("wide").alias("size")).repartition("size")
+        zipped = joins.zip_join(df.repartition("wide"), other, (["k"], ["k2"]))
+        assert tuple(zipped.agg(F.count(F.lit(1)), F.count_if(F.col("k") != F.col("k2")), F.max("row_id")).first()) == (n, 0, n - 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_predicates_leave_quotes_alone(spark):
+    t = table(spark, [("a&&b", "1"), ("c==d", "x"), ("e||f^", ""), ("it's", "2"), ("record.k", "3")], ["k", "v"])
+    keep = lambda p, **o: [r[0] for r in rows(filtering.where(t, p, **o))]
+    assert keep("record.k == 'a&&b'") == ["a&&b"] and keep('record.K == "c==d"') == ["c==d"] and keep("record.k == 'e||f^'") == ["e||f^"]
+    assert keep("record.k == ^a&&b^ || record.k == 'record.k'") == ["a&&b", "record.k"]
+    assert keep('record.k == "it\'s"') == keep("record.k == 'it''s'") == keep("record.k == 'it\\\'s'") == ["it's"]
+    assert keep("!(record.v == '1') && record.v != '2' && record.v != ''") == ["c==d", "record.k"]
+    assert keep("cast(record.v as int) >= 2") == ["it's", "record.k"]
+    assert keep("6 / (cast(record.v as int) - 1) > 0") == ["it's", "record.k"]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        keep("cast(record.v as int) >= 2", strict=True)
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    assert len(rows(filtering.where(t, "cast(record.v as int) > 0", failures=seen))) == 3 and seen.get["failed"] == 2
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_keys_join_in_their_types(spark):
+    a = Relation(spark.createDataFrame([("a\tb", "c", 1), ("a", "b\tc", 2), (None, "z", 3)], "p string, q string, n int"), ("p", "q"), "table", "a")
+    b = Relation(spark.createDataFrame([("a", "b\tc", 9), (None, "z", 8)], "p string, q string, m int"), ("p", "q"), "table", "b")
+    assert [r.n for r in joins.inner_join(a, b).df.collect()] == [2]
+    one = Relation(spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), ("k",), "table", "a")
+    two = Relation(spark.createDataFrame([(1, "p")], "k long, w string"), ("k",), "table", "b")
+    text = Relation(spark.createDataFrame([("2", "q")], "k string, w string"), ("k",), "table", "c")
+    assert rows(joins.inner_join(one, two)) == [(1, "x", "p")] and rows(joins.inner_join(one, text)) == [(2, "y", "q")]
+    plan = joins.inner_join(one, two).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat_ws" not in plan
+
+
+def test_concat_merge_and_reduce_by_function(spark):
+    import pandas as pd
+
+    a, b = table(spark, [("x", "1"), ("y", "2")], ["k", "v"]), table(spark, [("x", "3")], ["k", "v"])
+    assert rows(joins.concat(a, b, source="from")) == [("x", "1", 0), ("x", "3", 1), ("y", "2", 0)]
+    assert [tuple(r) for r in joins.merge("+", b, a).df.collect()] == [("x", "3"), ("x", "1"), ("y", "2")]
+
+    def longest(rows, before):
+        every = rows if before is None else pd.concat((before, rows))
+        return every.assign(n=every.v.str.len()).sort_values(["n", "v"]).tail(1)[["k", "v"]]
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.col("id").cast("string").alias("v")).repartition(6)
+    got = {r.k: r.v for r in reduction.reduce_by_function(Relation(df, ("k",)), longest, lambda r: r.assign(v="<" + r.v + ">")).df.collect()}
+    assert len(got) == 51 and got["hot"] == "<2997>" and got["k1"] == "<2951>"
+
+
+def test_options_of_tables(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Name  Size\nx   1\r\ny 2\n")
+    r = readers.delimited(spark, f"{tmp_path}/a.txt", " ", collapse=True, case="lower")
+    assert r.df.columns == ["name", "size"] and rows(r) == [("x", "1"), ("y", "2")]
+    (tmp_path / "b.txt").write_text("1;2,3\n4,5\n")
+    assert rows(readers.delimited(spark, f"{tmp_path}/b.txt", ";,", header=False)) == [("1", "2", "3"), ("4", "5", "")]
+    got = readers.jdbc_options("jdbc:x", "t", "id", 0, 100, 8)
+    assert got["numPartitions"] == "8" and got["upperBound"] == "100" and "partitionColumn" not in readers.jdbc_options("jdbc:x", "t")
+    t = table(spark, [("a", "1"), ("b", "2")], ["k", "v"])
+    asked = spark.createDataFrame([("a",), ("z",)], "key string")
+    assert sorted(map(tuple, readers.get_or_missing(t, asked).collect())) == [("a", True, "a", "1"), ("z", False, None, None)]
+    assert [r.k for r in readers.get_record_no(t, 1).collect()] == ["b"] and readers.get_record_no(t, 2).count() == 0
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from rankflow import storage
+
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId=master))
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(fake("yarn"))
+    assert storage.shared_dir(fake("local[4]")) == storage.shared_dir(fake("local[4]"))
+    df, path = storage.stored(spark.range(3).toDF("x"), "gone")
+    assert df.count() == 3
+    storage.drop(spark, path)
+    assert not __import__("os").path.exists(path.removeprefix("file://").removeprefix("file:"))
 
 
 def test_expression_language(spark, tmp_path):
@@ -147,6 +257,9 @@ def test_expression_language(spark, tmp_path):
     t = table(spark, [("x", "1")], ["k", "v"])
     assert rows(evaluate(spark, "t ^ t ^ t ^ Concat(3) ^ Where(v > 0) ^ Head(2)", {"t": t})) == [("x", "1")] * 2
     assert evaluate(spark, "null0 ^ Head(4)").df.distinct().count() == 1
+    assert evaluate(spark, "null ^ 'a*' ^ Head(6)").df.where("key like 'a%'").count() == 6
+    with pytest.raises(ValueError, match="Head"):
+        evaluate(spark, "null ^ Sort")
     assert evaluate(spark, "t ^ About", {"t": t}).df.first().num_records == 1
     for bad in ("t ^ t", "t ^ Nope(1)", "InnerJoin", "t ^ Head(x)", "t ^ Where(", "t > a > b", "sql:server/db/t"):
         with pytest.raises(ValueError):

@@ -64,6 +64,91 @@ def test_gap_bins_and_codes(spark):
     assert got[1] == 0 and None not in got
 
 
+def plain_gaps(values, most, gap=1e-8):
+    while True:
+        starts = []
+        for v in values:
+            if not starts or v - starts[-1] >= gap:
+                starts.append(v)
+        if len(starts) <= most:
+            return starts
+        gap *= 2
+
+
+def test_gap_bins_in_one_pass(spark):
+    r = np.random.default_rng(0)
+    for values, most in ((np.sort(r.random(3000)), 100), (np.sort(r.lognormal(0, 4, 2000)), 40), (np.arange(50.0), 50), (np.arange(50.0), 7), (np.array([-1e300, 0.0, 1e300]), 1), (np.array([3.0]), 5)):
+        want = plain_gaps(values.tolist(), most)
+        assert quantize.gap_bins(values, most) == want
+        bins = quantize.GapBins(most)
+        for part in np.array_split(values, 9):
+            bins.add(part)
+        assert bins.starts() == want
+    rows = [(f, float(v)) for f in ("a", "b", "c") for v in r.random(500)] + [("d", 1.0), ("e", None)]
+    got = {x.feature: x.starts for x in quantize.codebook(spark.createDataFrame(rows * 2, "feature string, value double"), 37).collect()}
+    assert got == {f: plain_gaps(sorted({v for g, v in rows if g == f}), 37) for f in "abcd"}
+
+
+def test_codes_of_many_bins(spark):
+    starts = sorted(set(np.random.default_rng(1).normal(size=5000).tolist()))
+    values = [-99.0, 99.0, starts[0], starts[-1], *starts[::171], *np.random.default_rng(2).normal(size=300).tolist()]
+    df = spark.createDataFrame([(x,) for x in values] + [(None,)], "v double")
+    got = [x.c for x in df.coalesce(1).select(quantize.encode(F.col("v"), starts).alias("c")).collect()]
+    assert got == [quantize.code_of(starts, x) for x in values] + [None]
+
+
+def test_own_loss_gap_bins_trim_and_classes(spark):
+    df = friedman(spark, 300)
+    boost.register_loss("half_l2", boost.Loss(lambda y, f: (y - f) / 2, lambda y, f: F.lit(0.5), lambda n, r, w: r / max(w, 1e-9)))
+    model = boost.train(df, ["a", "b", "c"], "y", boost.Settings(loss="half_l2", trees=3, leaves=4, rate=1.0, bins=0), valid=df)
+    assert model.history[-1]["rmse"] < 0.6
+    model = boost.train(df, ["a", "b", "c"], "cls", boost.Settings(loss="logistic", classes=3, trees=3, leaves=4, rate=0.5, trim=0.1, trim_from=1), valid=df)
+    assert model.history[-1]["error"] < 0.3
+    back = model_io.from_ini(model_io.to_ini(model))
+    assert [len(t) for t in back.trees] == [3, 3, 3]
+    want, got = ([tuple(r) for r in x.predict(df).select("score", "score_1", "score_2").orderBy("id").collect()] for x in (model, back))
+    assert want == got
+    table = model_io.from_table(model_io.to_table(model, spark))
+    assert table.base == model.base and len(table.trees) == 3
+    pair = boost.train(df, ["a", "b", "c"], "cls", boost.Settings(loss="lambda", trees=2, leaves=4, label_share=0.3), group="q", valid=df)
+    assert pair.history[-1]["ndcg"] > 0.8
+
+
+def test_a_tree_is_grown_best_first(spark):
+    """Against a plain best-first search over the same bins."""
+    df = friedman(spark, 150)
+    model = boost.train(df, ["a", "b", "c"], "y", boost.Settings(trees=1, leaves=5, rate=1.0, bins=0))
+    pdf = df.toPandas()
+    tree = model.trees[0][0]
+    books = boost._books(df, ["a", "b", "c"], 0)
+    y = pdf.y.to_numpy() - model.base
+    codes = {f: np.array([quantize.code_of(books[f], x) for x in pdf[f]]) for f in "abc"}
+
+    def best(on):
+        top = (1e-12, None, None)
+        for f in "abc":
+            code = codes[f]
+            for c in range(len(books[f]) - 1):
+                left = on & (code <= c)
+                right = on & ~left
+                if min(left.sum(), right.sum()) >= 15 and (g := y[left].sum() ** 2 / left.sum() + y[right].sum() ** 2 / right.sum() - y[on].sum() ** 2 / on.sum()) > top[0] + 1e-9:
+                    top = (g, f, c)
+        return top
+
+    leaves, order = {0: np.ones(len(pdf), bool)}, []
+    while len(leaves) < 5:
+        at = max(leaves, key=lambda i: best(leaves[i])[0])
+        _, f, c = best(leaves[at])
+        on = leaves.pop(at)
+        left = codes[f] <= c
+        k = 2 * len(order) + 1
+        order.append((at, f, k, k + 1))
+        leaves[k], leaves[k + 1] = on & left, on & ~left
+    assert [(i, n.feature, n.left, n.right) for i, n in enumerate(tree.nodes) if n.feature] == sorted(order)
+    for i, on in leaves.items():
+        assert tree.nodes[i].value == pytest.approx(y[on].mean())
+
+
 def friedman(spark, n=600):
     r = np.random.default_rng(0)
     x = r.random((n, 3))
@@ -96,7 +181,7 @@ def test_model_files(spark):
     df = friedman(spark, 200)
     model = boost.train(df, ["a", "b", "c"], "y", boost.Settings(trees=2, leaves=4))
     want = [r.score for r in model.predict(df).orderBy("id").collect()]
-    for back in (model_io.from_table(model_io.to_table(model, spark), model.base), model_io.from_ini(model_io.to_ini(model))):
+    for back in (model_io.from_table(model_io.to_table(model, spark)), model_io.from_ini(model_io.to_ini(model))):
         assert [r.score for r in back.predict(df).orderBy("id").collect()] == pytest.approx(want)
     assert model_io.to_xml(model).count("<tree ") == 2
     lacking = model.predict(df.drop("a")).first()
@@ -105,14 +190,22 @@ def test_model_files(spark):
 
 def test_step_search_matches_grid(spark):
     r = random.Random(5)
-    rows = [(q, (y := r.choices(range(5), (0.3704, 0.2855, 0.2714, 0.0523, 0.0204))[0]), y + r.random() * 10, y + r.random() * 20) for q in range(6) for _ in range(12)]
+    sizes = (12, 12, 7, 30, 12, 3)
+    rows = [(q, (y := r.choices(range(5), (0.3704, 0.2855, 0.2714, 0.0523, 0.0204))[0]), y + r.random() * 10, y + r.random() * 20) for q in range(6) for _ in range(sizes[q])]
     df = spark.createDataFrame(rows, "q int, label int, score double, step double")
     best = findstep.best_step(df, "q", "label", "score", "step", 0.0, 3.0, 5).first()
     groups = {}
     for q, y, a, b in rows:
         groups.setdefault(q, []).append((y, a, b))
     groups = {q: np.array(v) for q, v in groups.items() if len({x[0] for x in v}) > 1}
-    mean = lambda w: np.mean([findstep._ndcgs(v[:, 0], (v[:, 1] + w * v[:, 2])[None, :], 5)[0] for v in groups.values()])
+
+    def one(v, w):
+        gains = np.array(metrics.GAINS)[v[:, 0].astype(int)]
+        order = sorted(range(len(v)), key=lambda i: (-(v[i, 1] + w * v[i, 2]), v[i, 0]))[:5]
+        parts = lambda g: sum(x / np.log(2 + i) for i, x in enumerate(g))
+        return parts(gains[order]) / parts(sorted(gains, reverse=True)[:5]) if gains.max() > 0 else 0.0
+
+    mean = lambda w: np.mean([one(v, w) for v in groups.values()])
     grid = max(mean(w) for w in np.linspace(0, 3, 3001))
     assert best.ndcg >= grid - 1e-9 and mean(best.weight) == pytest.approx(best.ndcg)
 

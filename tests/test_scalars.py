@@ -87,7 +87,8 @@ def test_segments(spark):
     assert value(spark, segments.preselected(a, F.lit(2).cast("long"), F.array(F.lit(0.0), F.lit(3.0)))) == [0.0, 3.0]
     assert value(spark, segments.propagated(a, b, F.lit(0.5))) == [1.5, 1.75]
     assert value(spark, segments.sampling_penalty(F.lit(0.005))) == pytest.approx(2.718281828 ** (-2 * 0.5))
-    assert value(spark, segments.blend_weight(F.lit(0.5))) == 1.0 and 0 < value(spark, segments.blend_weight(F.lit(0.001))) < 1
+    assert value(spark, segments.blend_weight(F.lit(0.5), F.lit(0.001))) == 1.0 and value(spark, segments.blend_weight(F.lit(0.001), F.lit(0.003))) == pytest.approx(0.25)
+    assert value(spark, segments.blend_weight(F.lit(0.0), F.lit(0.0))) == pytest.approx(0.5) and value(spark, segments.blend_weight(F.lit(0.004), F.lit(5.0))) == pytest.approx(0.4)
     assert value(spark, segments.rank_64k(F.lit(1.1))) == 65535 and value(spark, segments.rank_64k(F.lit(0.0))) == 0
 
 
