@@ -1,36 +1,17 @@
-"""What the training-data operators share: the shared folder, sizes, small numpy helpers."""
+"""What the training-data operators share: sizes, ids, small numpy helpers. Tables in the shared folder are rankflow.storage's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A missing doc_id takes part under this id and comes back as null.
-NULL_ID = -(2**63)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or an own one where that is unset (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="rankflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from rankflow.storage import drop, materialize, new_path, shared_dir, stored
 
+__all__ = ["NULL_ID", "buckets_for", "drop", "id_and_text", "id_back", "input_bytes", "materialize", "new_path", "ranges", "shared_dir", "stable_order", "stored"]
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A missing doc_id takes part under this id and comes back as null.
+NULL_ID = -(2**63)
 
 
 def input_bytes(df: DataFrame) -> int:

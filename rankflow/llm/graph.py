@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import materialize
+from rankflow.llm.common import drop, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a long, b long) -> (node, component): the smallest node reachable. Nodes without a link to another are left out.
 
-    Rounds join on the node with AQE free to split hubs; each round is written to the shared folder. Rounds grow with
-    the logarithm of the longest chain.
+    Rounds join on the node with AQE free to split hubs; each round is written to the shared folder, and the one before is
+    deleted. Rounds grow with the logarithm of the longest chain.
+
+    Defined cases: a link with a null end links nothing; a link of a node with itself, and repeated links, change nothing;
+    no links give an empty result; other columns are ignored.
     """
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    spark = links.sparkSession
+    edges, path = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = _mark(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -22,8 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))  # here b < a
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
-        now = _mark(edges)
+        edges, new = stored(small.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        drop(spark, path)
+        path, now = new, _mark(edges)
         if now == mark:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         mark = now

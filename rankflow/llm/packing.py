@@ -7,9 +7,12 @@ it exactly are consumed as far as their counts allow; what fits nowhere exactly
 their place by their rank among the pieces of their length: ranks are counted within each task, and the tasks' counts
 are summed up, so a length that a third of all pieces share is no hot group.
 
+Ids are those of the tokenizers library, special tokens that occur in a text included: `<|endoftext|>` is its one id.
+
 Defined cases: null text is empty and gives one piece holding only the end id; a null doc_id stays null; repeated rows
-are packed once each; an empty table gives an empty result. Documents longer than max_len are cut into pieces of
-max_len, of which the first may be shorter.
+are packed once each; an empty table gives an empty result; only doc_id and text are read, whatever other columns are
+called. Documents longer than max_len, however long, are cut into pieces of max_len, of which the first may be shorter;
+pieces of one length are alike, so ties between them change no number of sequences.
 """
 
 from __future__ import annotations
@@ -37,11 +40,13 @@ def _encoder(path: str):
     if path.endswith(".json") and os.path.exists(ranks_path):
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.asarray(encoding.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        special = {t.content: i for i, t in Tokenizer.from_file(path).get_added_tokens_decoder().items()}
+        encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in special}, special_tokens=special)
+        return lambda text: np.asarray(encoding.encode_to_numpy(text, allowed_special="all"), np.uint32)
     return _plain_encoder(path)
 
 
@@ -49,7 +54,6 @@ def _plain_encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -78,7 +82,11 @@ def _pieces(path: str, max_len: int, end_id: int):
 
 
 def plan(counts: np.ndarray, max_len: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, sequences) that use counts[l] pieces of each length l exactly."""
+    """Patterns (lengths, sequences) that use counts[l] pieces of each length l exactly.
+
+    The largest length left is taken up first. While one, two or three of the pieces left fill its gap exactly, they are
+    consumed, as many times as their counts allow; only then the rest of that length goes by best fit.
+    """
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
 
@@ -90,47 +98,53 @@ def plan(counts: np.ndarray, max_len: int) -> list[tuple[tuple[int, ...], int]]:
             left[used] -= times * need[used]
             out.append((lengths, times))
 
-    def pairs(gap: int) -> np.ndarray:
-        """Available counts of (a, gap - a) for a from ceil(gap / 2) on."""
-        a = np.arange((gap + 1) // 2, gap)
-        return np.minimum(left[a], left[gap - a])
+    def best_pair(total: int, *held: int) -> tuple[int, int] | None:
+        """The pair of that sum of which most are left besides the pieces held; of an a + a, half as many are."""
+        a = np.arange((total + 1) // 2, total)
+        if not len(a):
+            return None
+        free = left if not held else left - np.bincount(held, minlength=len(left))
+        most = np.minimum(free[a], free[total - a])
+        if total % 2 == 0:
+            most[0] //= 2
+        at = int(np.argmax(most))
+        return (int(a[at]), total - int(a[at])) if most[at] > 0 else None
 
     if max_len < len(left) and left[max_len]:
         take(max_len)
     for large in range(max_len - 1, 0, -1):
         gap = max_len - large
-        if left[large] and left[gap]:
+        if left[large] and left[gap] - (gap == large) > 0:
             take(large, gap)
-        while left[large] and gap > 1 and (found := pairs(gap)).any():
-            a = (gap + 1) // 2 + int(np.argmax(found))
-            before = int(left[large])
-            take(large, a, gap - a)
-            if left[large] == before:
-                break
-        for a in np.flatnonzero(left[1:gap])[::-1] + 1 if left[large] and gap > 2 else ():
-            rest = gap - int(a)
-            while left[large] and left[a] and rest > 1 and (found := pairs(rest)).any():
-                b = (rest + 1) // 2 + int(np.argmax(found))
-                before = int(left[large])
-                take(large, int(a), b, rest - b)
-                if left[large] == before:
+        while left[large] and (pair := best_pair(gap, large)):
+            take(large, *pair)
+        if left[large] and gap > 2:
+            # Sums that two lengths left could have, as bits: thirds without such a partner need no search.
+            there = [int(a) for a in np.flatnonzero(left[1:gap]) + 1]
+            bits = sum(1 << a for a in there)
+            sums = 0
+            for a in there:
+                sums |= bits << a
+            for a in reversed(there):
+                if not left[large]:
+                    break
+                if not sums >> (gap - a) & 1:
+                    continue
+                while left[large] and left[a] - (a == large) > 0 and (pair := best_pair(gap - a, large, a)):
+                    take(large, a, *pair)
+        while left[large]:  # nothing fits exactly: best fit, the largest pieces that fit into what is left
+            used = np.zeros_like(left)
+            used[large], room, pattern = 1, gap, [large]
+            while room:
+                fits = np.flatnonzero(left[1 : room + 1] > used[1 : room + 1])
+                if not len(fits):
                     break
-            if not left[large]:
-                break
-        if left[large]:  # nothing fits exactly: best fit, the largest pieces that fit into what is left
-            while left[large]:
-                used = np.zeros_like(left)
-                used[large], room, pattern = 1, gap, [large]
-                while room:
-                    fits = np.flatnonzero(left[1 : room + 1] > used[1 : room + 1])
-                    if not len(fits):
-                        break
-                    best = int(fits[-1]) + 1
-                    times = int(min(left[best] - used[best], room // best))
-                    used[best] += times
-                    pattern += [best] * times
-                    room -= times * best
-                take(*pattern)
+                best = int(fits[-1]) + 1
+                times = int(min(left[best] - used[best], room // best))
+                used[best] += times
+                pattern += [best] * times
+                room -= times * best
+            take(*pattern)
     return out
 
 

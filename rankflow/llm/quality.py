@@ -181,6 +181,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> AdditiveM
     """Fit on the labelled rows outside the held-out fold, at most `sample` of them, by the order of a hash of the id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    # Labels without a document take up no place in the sample.
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     chosen = known.withColumn("h", F.xxhash64("doc_id", "quality")).orderBy("h", "doc_id").limit(sample).select("doc_id", "quality")
     # The sample is bounded (16 bytes a row), so it may go to every task; the texts stay where they are.
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")

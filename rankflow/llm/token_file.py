@@ -10,8 +10,12 @@ checkpoint. The table is in every file's header row.
 Files are written as a table of blocks by shard, through Spark, so that they may lie in any store that Spark reaches;
 shards follow each other in ascending order of doc_id.
 
+Ids are those of the tokenizers library, special tokens that occur in a text included.
+
 Defined cases: null text is empty and has only the end id; a null doc_id comes first; rows that repeat a doc_id follow
-each other in the order of their length and checksum; an empty table gives an empty file.
+each other in the order of their length and checksum; a text of any length is one document of one block, which may then
+hold more ids than others; an empty table gives an empty file; only doc_id and text are read, whatever other columns are
+called.
 """
 
 from __future__ import annotations
@@ -30,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import buckets_for, new_path, ranges
+from rankflow.llm.common import drop, new_path, ranges
 
 _U = np.uint64
 SCALE = 20  # bits of the sum of all frequencies
 LOW = 1 << 31  # states lie from here up to 2 ** 63
 LANES, BLOCK_IDS, CHECKPOINT = 4096, 1 << 20, 128
+#: Bytes of ids in a shard, about.
+SHARD_BYTES = 16_000_000
 MAGIC = b"RKT1"
 _HEAD = struct.Struct("<4sQIIQII")
 
@@ -57,7 +63,8 @@ def _byte_signs() -> list[str]:
 class WordIds:
     """Ids of a lower-case byte-level vocabulary with word ends, under which no id spans white space.
 
-    Words parted by white space are looked up in a cache. Of those that it lacks, plain ones are parted into pieces as
+    Texts are parted at special tokens first: the library takes those out before it looks at anything else, and what lies
+    between them is encoded on its own. Words parted by white space are looked up in a cache. Of those that it lacks, plain ones are parted into pieces as
     the vocabulary's pattern says, and the tokenizers library's model encodes each piece that is new; others go through
     the whole tokenizer, parted by a special token. The tests hold both ways to the tokenizer's own result.
     """
@@ -72,6 +79,8 @@ class WordIds:
         self.model, self.signs = self.exact.model, _byte_signs()
         self.apart, self.apart_id, self.most, self.most_pieces = apart, self.joined.token_to_id(apart), most, most_pieces
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.special = {t.content: i for i, t in self.joined.get_added_tokens_decoder().items()}
+        self.part = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")")
         self._clear()
 
     def _piece(self, piece: str) -> tuple[int, ...]:
@@ -152,6 +161,18 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, the number of ids of each text)."""
+        if not any("<|" in t and self.part.search(t) for t in texts):
+            return self._encode(texts)
+        parts = [self.part.split(t) for t in texts]  # plain, special, plain, special, ..., plain
+        ids, sizes = self._encode([x for p in parts for x in p[::2]])
+        after = np.cumsum([len(p[::2]) for p in parts])
+        marks = [[self.special[x] for x in p[1::2]] for p in parts]
+        inside = np.delete(np.arange(len(sizes)), after - 1)  # the plain parts that a special token follows
+        ids = np.insert(ids, np.cumsum(sizes)[inside], np.array([i for m in marks for i in m], np.uint32))
+        whole = np.add.reduceat(sizes, np.append(0, after[:-1])) + np.array([len(m) for m in marks])
+        return ids, whole
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.most:
             self._thin_out()
         words, counts = [], []
@@ -368,7 +389,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     vocabulary = max(end_id + 1, Tokenizer.from_file(tokenizer_path).get_vocab_size())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens_path = new_path(spark, "tokens")
-    base.mapInArrow(_tokenize(tokenizer_path, end_id, vocabulary), "doc_id long, n long, ids binary").write.parquet(tokens_path)
+    base.mapInArrow(_tokenize(tokenizer_path, end_id, vocabulary), "doc_id long, n long, ids binary").write.mode("overwrite").parquet(tokens_path)
     tokens = spark.read.schema("doc_id long, n long, ids binary").parquet(tokens_path)
     counted = tokens.where("n < 0").select("ids").mapInArrow(_counts, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = np.zeros(vocabulary, np.int64)
@@ -376,9 +397,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         counts[r.token] = r.n
     freq = frequencies(counts)
     spark.createDataFrame([(SCALE, freq.astype("<u4").tobytes())], "scale int, freq binary").coalesce(1).write.parquet(f"{path}/table")
-    shards = buckets_for(tokens, 24, 4)
+    # Ranges of documents by the bytes of all ids, which are known by now.
+    shards = int(min(1_000_000, max(4, -(-int(counts.sum()) * (2 if vocabulary <= 1 << 16 else 4) // SHARD_BYTES))))
     ordered = tokens.where("n >= 0").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n", F.crc32("ids"))
     ordered.mapInArrow(_encode(freq, vocabulary), "shard int, block int, n_ids long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    drop(spark, tokens_path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -386,9 +409,10 @@ def read_tokens(spark, path: str) -> DataFrame:
     head = spark.read.schema("scale int, freq binary").parquet(f"{path}/table").first()
     freq = np.frombuffer(head.freq, "<u4").astype(np.int64)
     blocks = spark.read.schema("shard int, block int, n_ids long, data binary").parquet(f"{path}/blocks")
-    before = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    # A row for each million ids: only numbers, no data.
-    first = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    # Shards are summed up first: one row each meets in one task, and a shard's own blocks are set off within it.
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select("shard", earlier(Window.orderBy("shard")).alias("of_shard"))
+    first = blocks.select("shard", "block", earlier(Window.partitionBy("shard").orderBy("block")).alias("of_block")).join(shards, "shard").select("shard", "block", (F.col("of_shard") + F.col("of_block")).alias("first"))
     decoded = blocks.select("shard", "block", "data").mapInArrow(_decode(freq), "doc_id long, shard int, block int, at long, n_tokens long, ids_crc32 long")
     return decoded.join(first, ["shard", "block"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

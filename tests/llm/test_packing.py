@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
@@ -47,13 +48,48 @@ def test_plan_fills_singles_pairs_triples_exactly():
     assert sum(t for _, t in m.plan(counts, 100)) == 10
 
 
+def test_no_exact_combination_is_left_when_best_fit_begins():
+    """Replays the plan: before a sequence that is not full, nothing left could have filled it with up to three pieces."""
+    assert sum(t for _, t in m.plan(np.bincount([60, 38, 25, 20, 15], minlength=101), 100)) == 2
+    assert ((60, 25, 15), 1) in [(tuple(sorted(x, reverse=True)), t) for x, t in m.plan(np.bincount([60, 38, 25, 20, 15], minlength=101), 100)]
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        size = int(r.integers(8, 40))
+        counts = np.bincount(r.integers(1, size, int(r.integers(3, 60))), minlength=size + 1)
+        left = counts.copy()
+        for lengths, times in m.plan(counts, size):
+            if sum(lengths) < size:
+                free = left - np.bincount(lengths[:1], minlength=size + 1)
+                for k in (1, 2, 3):
+                    for c in combinations_with_replacement(np.flatnonzero(free > 0).tolist(), k):
+                        assert sum(c) + lengths[0] != size or (np.bincount(c, minlength=size + 1) > free).any(), (lengths, c)
+            left -= times * np.bincount(lengths, minlength=size + 1)
+        assert not left.any()
+
+
+def library(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    return [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+SPECIAL = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|>\n", "<|endoftext|", "<|<|endoftext|>|>", "x<|startoftext|>  <|ENDOFTEXT|> y", "it's<|endoftext|>'s  \u00e9\u0301<|endoftext|>\u0301"]
+
+
+def test_special_tokens_as_the_library_has_them():
+    fast = m._encoder(PATH)
+    assert [fast(t).tolist() for t in SPECIAL] == library(SPECIAL)
+    assert fast("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995]
+
+
 def test_encoders_agree():
     r = random.Random(0)
     texts = ["", " ", "a  b\n \n c", "<|endoftext|>", "it's 123 Ünïcode 　 x", "x" * 3000, "\U0001f600 ́a"]
     texts += ["".join(chr(r.choice((r.randint(32, 127), r.randint(1, 0x2FF), r.randint(0x4E00, 0x4F00)))) for _ in range(200)) for _ in range(50)]
     fast, plain = m._encoder(PATH), m._plain_encoder(PATH)
-    for t in texts:
-        assert fast(t).tolist() == plain(t).tolist()
+    for t, want in zip(texts, library(texts), strict=True):
+        assert fast(t).tolist() == plain(t).tolist() == want
 
 
 def test_pieces_are_placed_gapless(spark):

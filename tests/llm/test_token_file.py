@@ -16,7 +16,6 @@ def plain(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -31,6 +30,23 @@ def test_word_cache_gives_the_tokenizer_s_ids():
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == plain(texts[lo : lo + 7])
 
 
+def test_special_tokens_as_the_library_has_them():
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b", "plain", "<|startoftext|><|endoftext|>", " <|endoftext|>\n", "<|endoftext|", "<|<|endoftext|>|>", "x<|startoftext|>  <|ENDOFTEXT|> y", "", "it's<|endoftext|>'s  \u00e9<|endoftext|>\u0301"]
+    w = m.WordIds(PATH)
+    for at in range(len(texts)):
+        some = texts[at:] + texts[:at]
+        ids, sizes = w.encode(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == plain(some)
+    assert w.encode(texts[:1])[0].tolist() == [3306, 49407, 1002]
+
+
+def test_long_text(spark):
+    text = "One two, three <|endoftext|> four. " * 30_000
+    (row,) = m.token_file(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
+    want = np.array([*plain([text])[0], 2], "<u4")
+    assert tuple(row) == (1, 0, len(want), zlib.crc32(want))
+
+
 @pytest.mark.parametrize("n", [1, 5, 64, 1000, 70_001])
 def test_block_round_trip(n):
     r = np.random.default_rng(n)
