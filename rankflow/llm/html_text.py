@@ -1,18 +1,31 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as a sequence of blocks: runs of text between block-level tags, each under the path of the block-level
-elements around it. Per path, the text length and the punctuation of all its blocks are summed up and divided by the
-number of blocks. These two ratios of each block are smoothed along the page, where a neighbour counts the more the more
-of its path it shares, and multiplied; link text counts as none. Paths whose fused ratio falls under a share of the
-page's best one are not content. What is content marks the container (the innermost element around all of it), whose
-other blocks belong to the article too, except where the ratios or the elements themselves (navigation, forms, asides,
-elements named as adverts, notices or reader comments, and the like) speak against it. Such a name does not count where
-it stands around most of the page's text that is no link, or around its largest <article> or <main>.
+A page is read as a sequence of blocks: runs of text between block-level tags, each under the path of the elements around
+it. Then
 
-Pages may be cut off or badly nested. Every step is linear in the page.
+1. ratios: per path, text length and punctuation of all its blocks are summed up and divided by their number. Link text
+   counts as none.
+2. smoothing: both ratios of a block are averaged with those of its neighbours on the page, which count the more the
+   more of its path they share.
+3. fusing: the product of their logarithms, times the share of the path's text that is no link. A heading has the ratio of what it heads, if that is greater. Where a class,
+   id or role says that an element is something else (an advert, a notice, reader comments), the ratio is lowered to a
+   twentieth; it is still for the ratios to decide, and such a name does not count where it stands around most of the
+   page's text, or around its largest <article> or <main>.
+4. thresholds: paths whose best fused ratio is at least CORE of the page's best are its core. The content node is the
+   innermost element around all of the core that is more than a piece of text itself, or the <article> or <main> that
+   holds most of it. Inside it, each block is kept if its path's ratio reaches a share of the page's best: LEAST for
+   elements that are made for text (paragraphs, headings, list items, cells, quotes), BOX for boxes of any use, whose path must hold some
+   punctuation too, unless it comes first and may be the title.
+
+Only HTML itself bars text from taking part: nav, footer, aside, head, menu, dialog, button, label, fieldset, a header
+outside of articles, what is hidden, scripts and styles, and forms, except for one around most of the page's text.
+
+Pages may be cut off or badly nested, to any depth: every step is linear in the page. A script or the like that is not
+closed ends where a page's text plainly begins again (the head's end, the body, an article, a paragraph, a heading).
 
 Defined cases: null html is empty; a page without content gives empty text; a row gives a row, whatever ids repeat or
-are missing; an empty table gives an empty result.
+are missing; very long pages are read as a whole; equal ratios are all kept; an empty table gives an empty result; only
+page_id, url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -26,22 +39,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Elements whose content is no markup; they are taken out as a whole.
+_RAW = frozenset("script style noscript template iframe svg textarea select title".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title)\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^<>"']|"[^"<]*"|'[^'<]*')*+|[^<>]*)>"""
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-zA-Z][^<>]*\Z"
     r"|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
+#: Where the text of a page begins again after something that was not closed.
+_AGAIN = re.compile(r"<(?:/head|body|article|main|p|h1)\b", re.IGNORECASE)
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that never hold the article's text.
-_OUTSIDE = frozenset("nav footer aside form head menu dialog button label fieldset".split())
-#: Parts of a class, id or role that mark an element as something else than the article.
+#: Elements that never hold the article's text, by what HTML means them for.
+_OUTSIDE = frozenset("nav footer aside head menu dialog button label fieldset".split())
+#: Parts of a class, id or role that speak for something else than the article.
 _NAMED = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus feedback footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification "
     "notices outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply search share sharing sidebar signin signup skip social sponsor sponsored sponsors subscribe subscription survey taboola tags toolbar tracking trending warning widget widgets".split()
@@ -51,22 +67,45 @@ _READERS = frozenset("comment comments disqus feedback replies reply".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _POINTS = re.compile("[.,;:!?…。，、！？؟।]")
-#: Elements that hold a piece of an article, not an article.
-_PIECES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li ul ol dd dt dl pre blockquote figure figcaption td th tr tbody thead tfoot table caption".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements made for text: a piece of an article, not an article.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li dd dt pre blockquote figcaption td th caption".split())
+_PIECES = _TEXT | frozenset("ul ol dl figure tr tbody thead tfoot table".split())
 _CLOSES_P = _BLOCK - {"body", "html", "head"}
 _CLOSED_BY_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+#: Shares of the page's best ratio: core paths; blocks of text elements, and of boxes, inside the content node. How a name lowers a ratio.
+CORE, LEAST, BOX, NAME = 0.6, 0.07, 0.2, 0.05
+#: Neighbours on each side that smoothing takes in.
+REACH = 2
+
+
+class _Node:
+    """An element that is open or was. named: it, or the innermost element around it, whose name speaks against it."""
+
+    __slots__ = ("article", "bad", "barred", "depth", "form", "key", "main", "mass", "named", "parent", "path", "readers", "tag")
+
+    def __init__(self, parent: _Node | None, tag: str, path: int, barred: bool, key: tuple[str, frozenset[str]] | None):
+        self.parent, self.tag, self.path, self.barred, self.key = parent, tag, path, barred, key
+        self.named = self if key else parent.named if parent else None
+        self.readers = bool(key and key[1] & _READERS) or bool(parent and parent.readers)
+        self.mass, self.bad = 0.0, False
+        self.depth = parent.depth + 1 if parent else 1
+        self.article = (parent.article if parent else None) or (self if tag == "article" else None)
+        self.main = (parent.main if parent else None) or (self if tag == "main" else None)
+        self.form = (parent.form if parent else None) or (self if tag == "form" else None)
 
 
 class _Block:
-    __slots__ = ("barred", "linked", "nodes", "path", "text", "words")
+    __slots__ = ("apart", "linked", "node", "parts", "plain", "text")
 
-    def __init__(self, path: tuple[str, ...], nodes: tuple[int, ...], barred: bool, words: tuple[tuple[int, str, frozenset[str]], ...]):
-        self.path, self.nodes, self.barred, self.words, self.text, self.linked = path, nodes, barred, words, [], 0
+    def __init__(self, node: _Node, apart: int):
+        #: apart: the depth of the innermost element around both this block and the one before.
+        self.node, self.apart, self.parts, self.linked, self.text, self.plain = node, apart, [], 0, "", 0.0
 
 
-def _marks(name: str, rest: str, inside_article: bool) -> tuple[str, bool, frozenset[str]]:
-    """The element's step in a path, whether it bars its content whatever that is, and the words that speak against it."""
-    step, barred, words = name, name in _OUTSIDE or (name == "header" and not inside_article), set()
+def _marks(name: str, rest: str, in_article: bool) -> tuple[str, bool, frozenset[str]]:
+    """The element's step in a path, whether HTML bars what is in it, and the words that speak against it."""
+    step, barred, words = name, name in _OUTSIDE or (name == "header" and not in_article), set()
     for key, value in _ATTRIBUTE.findall(rest) if rest.strip(" /") else ():
         key, value = key.lower(), value.strip("\"'")
         if key == "class":
@@ -79,175 +118,255 @@ def _marks(name: str, rest: str, inside_article: bool) -> tuple[str, bool, froze
     return step, barred, frozenset(words)
 
 
+def _raw_end(page: str, name: str, at: int, closed: dict[str, int]) -> int:
+    """Where a raw element that opened before `at` ends."""
+    if name not in closed:
+        closed[name] = max((m.start() for m in re.finditer(rf"</{name}\s*>", page, re.IGNORECASE)), default=-1)
+    if closed[name] >= at:
+        return re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at).end()
+    m = _AGAIN.search(page, at)
+    return m.start() if m else len(page)
+
+
 def blocks(page: str) -> list[_Block]:
-    stack: list[tuple[str, str, int, bool, tuple]] = []  # name, step, number, barred and words of it and of what is around it
+    top = _Node(None, "", 0, False, None)
+    paths: dict[tuple[int, str], int] = {}
+    stack, open_names = [top], {}
     out: list[_Block] = []
-    open_block: _Block | None = None
-    link = number = articles = 0
-    for m in _TOKEN.finditer(page):
+    block: _Block | None = None
+    lowest, link, at, closed = 1, 0, 0, {}
+
+    def push(name: str, step: str, barred: bool, words: frozenset[str]) -> None:
+        around = stack[-1]
+        path = paths.setdefault((around.path, step), len(paths) + 1)
+        stack.append(_Node(around, name, path, barred or around.barred, (step, words) if words else None))
+        open_names[name] = open_names.get(name, 0) + 1
+
+    def pop() -> str:
+        nonlocal lowest
+        gone = stack.pop()
+        open_names[gone.tag] -= 1
+        lowest = min(lowest, len(stack))
+        return gone.tag
+
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         name = m["name"]
         if name is None:
             piece = m[0]
             if piece[0] == "<" and piece != "<":
                 continue
-            if open_block is None:
+            if block is None:
                 if not piece.strip():
                     continue
-                open_block = _Block(tuple(x[1] for x in stack), tuple(x[2] for x in stack), *(stack[-1][3:] if stack else (False, ())))
-                out.append(open_block)
-            open_block.text.append(piece)
+                block = _Block(stack[-1], lowest)
+                lowest = len(stack)
+                out.append(block)
+            block.parts.append(piece)
             if link:
-                open_block.linked += len(piece)
+                block.linked += len(piece)
             continue
         name, closing = name.lower(), bool(m["end"])
+        if name in _RAW:
+            if not closing:
+                at = _raw_end(page, name, at, closed)
+            continue
         if name == "a":
             link = 0 if closing else 1
-        if name == "br" and open_block is not None:
-            open_block.text.append(" ")
+        if name == "br" and block is not None:
+            block.parts.append(" ")
         if name not in _BLOCK:
-            # Inline elements part no blocks; one that is hidden or named as something else is a block of its own.
-            if not closing and name not in _VOID and m["rest"] and any(_marks(name, m["rest"], True)[1:]):
-                open_block = None
-                number += 1
-                stack.append((name, name, number, True, ()))
-            elif closing and stack and stack[-1][0] == name:
-                open_block = None
-                stack.pop()
+            # Inline elements part no blocks; one that is hidden or named as something else has a path of its own.
+            if not closing and name not in _VOID and m["rest"]:
+                step, barred, words = _marks(name, m["rest"], True)
+                if barred or words:
+                    block = None
+                    push(name, step, barred, words)
+            elif closing and stack[-1].tag == name:
+                block = None
+                pop()
             continue
-        open_block, link = None, 0
+        block, link = None, 0
         if closing:
-            if any(x[0] == name for x in reversed(stack[-64:])):
-                while stack:
-                    gone = stack.pop()
-                    articles -= gone[0] in ("article", "main")
-                    if gone[0] == name:
-                        break
+            if open_names.get(name):
+                while pop() != name:
+                    pass
             continue
+        if open_names.get("head") and name not in ("head", *_VOID):  # what is no part of a head ends it
+            while pop() != "head":
+                pass
         if name in _CLOSES_P:
-            while stack and (stack[-1][0] == "p" or stack[-1][0] not in _BLOCK):
-                stack.pop()
-        while stack and stack[-1][0] in _CLOSED_BY_SELF.get(name, ()):
-            stack.pop()
-        if name in _VOID:
-            continue
-        step, barred, words = _marks(name, m["rest"], articles > 0)
-        number += 1
-        articles += name in ("article", "main")
-        if len(stack) < 512:  # beyond that, deeper elements are read as part of the last
-            around = stack[-1][3:] if stack else (False, ())
-            stack.append((name, step, number, barred or around[0], (*around[1], (number, step, words)) if words else around[1]))
+            while len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag not in _BLOCK):
+                pop()
+        while len(stack) > 1 and stack[-1].tag in _CLOSED_BY_SELF.get(name, ()):
+            pop()
+        if name not in _VOID:
+            push(name, *_marks(name, m["rest"], stack[-1].article is not None or stack[-1].main is not None))
     return out
 
 
-def _common(a: tuple, b: tuple) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def _around(node: _Node, depth: int) -> _Node:
+    while node.depth > depth:
+        node = node.parent
+    return node
 
 
-def _shared(a: tuple, b: tuple) -> float:
-    return _common(a, b) / max(1, len(a), len(b))
+def _judge_names(free: list[_Block], largest: _Node | None) -> None:
+    """Set `bad` of named nodes: whether their name, or one around it, speaks against what is in them.
 
+    Elements of one step and one set of words count together; a name around over half of the text does not count, one for
+    readers' comments only if around nine tenths, since comments may well be longer than the article. Inside of the
+    largest <article> or <main>, names around that do not count.
+    """
+    nodes: dict[int, _Node] = {}
+    for b in free:
+        node = b.node.named
+        if node:
+            node.mass += b.plain
+        while node and id(node) not in nodes:
+            nodes[id(node)] = node
+            node = node.parent.named if node.parent else None
+    order = sorted(nodes.values(), key=lambda n: n.depth)
+    for node in reversed(order):
+        if up := node.parent.named:
+            up.mass += node.mass
+    by_key: dict[tuple, float] = {}
+    for node in order:
+        up, steps = node.parent.named, 0
+        while up and up.key != node.key and steps < 64:  # an element inside one of its own kind is counted there
+            up, steps = up.parent.named, steps + 1
+        if not up or up.key != node.key:
+            by_key[node.key] = by_key.get(node.key, 0.0) + node.mass
+    total = sum(b.plain for b in free)
+    for node in order:
+        up = node.parent.named
+        if largest is not None and largest in (node.article, node.main) and up and largest not in (up.article, up.main):
+            up = None
+        node.bad = by_key[node.key] <= total * (0.9 if node.key[1] & _READERS else 0.5) or bool(up and up.bad)
 
-def _overrule(found: list[tuple[_Block, str]]) -> None:
-    """Take away words that speak against most of the page's text: it is for the ratios to judge that.
 
-    Elements of the same step and words count together. Words for readers' comments must hold nearly all text, since
-    comments may well be longer than the article. The page's largest <article> or <main>, if it holds a quarter of the
-    text, takes away all other words around it.
-    """
-    if not any(b.words for b, _ in found):
-        return
-    total, by_words, by_article, outside = 0.0, {}, {}, {}
-    for b, t in found:
-        if b.barred:
-            continue
-        plain = len(t) * max(0.0, 1 - b.linked / max(1, sum(map(len, b.text))))
-        total += plain
-        for key in {w[1:] for w in b.words}:
-            by_words[key] = by_words.get(key, 0.0) + plain
-        for k, step in zip(b.nodes, b.path, strict=True):
-            if step.split(".")[0] in ("article", "main"):
-                outside[k] = {w[1:] for w in b.words if w[0] < k}
-                if all(_READERS.isdisjoint(w) for _, w in outside[k]):
-                    by_article[k] = by_article.get(k, 0.0) + plain
-    gone = {key for key, n in by_words.items() if n > total * (0.5 if _READERS.isdisjoint(key[1]) else 0.9)}
-    lifted = max(by_article, key=by_article.get, default=None)
-    if lifted is not None and by_article[lifted] < 0.25 * total:
-        lifted = None
-    for b, _ in found:
-        if b.words:
-            inside = lifted is not None and lifted in b.nodes
-            b.words = tuple(w for w in b.words if w[1:] not in gone and not (inside and w[0] < lifted))
-
-
-def main_text(page: str, share: float = 0.2, reach: int = 2) -> str:
-    """The article's blocks, one a line."""
+def main_text(page: str) -> str:
+    """The content's blocks, one a line."""
     found = []
     for b in blocks(page):
-        text = " ".join(html.unescape("".join(b.text)).split())
-        if text:
-            found.append((b, text))
-    _overrule(found)
-    free = [(b, t) for b, t in found if not b.barred and not b.words]
+        text = " ".join(html.unescape("".join(b.parts)).split())
+        if text and not b.node.barred:
+            b.text = text
+            b.plain = len(text) * max(0.0, 1 - b.linked / max(1, sum(map(len, b.parts))))
+            found.append(b)
+        elif found or not b.node.barred:
+            b.text = ""
+            found.append(b)  # kept for what lies between blocks; it takes no part
+    # What two blocks that take part share, where others lie between them.
+    kept, lowest = [], 1 << 60
+    for b in found:
+        lowest = min(lowest, b.apart)
+        if b.text:
+            b.apart, lowest = lowest, 1 << 60
+            kept.append(b)
+    total = sum(b.plain for b in kept)
+    wide: dict[int, float] = {}
+    for b in kept:
+        if b.node.form:
+            wide[id(b.node.form)] = wide.get(id(b.node.form), 0.0) + b.plain
+    out_of_form = [b for b in kept if not b.node.form or wide[id(b.node.form)] > 0.5 * total]
+    if len(out_of_form) < len(kept):
+        free, lowest = [], 1 << 60
+        stays = set(map(id, out_of_form))
+        for b in kept:
+            lowest = min(lowest, b.apart)
+            if id(b) in stays:
+                b.apart, lowest = lowest, 1 << 60
+                free.append(b)
+    else:
+        free = kept
     if not free:
         return ""
-    # Ratios of each path: text that is no link, and punctuation, for a block.
-    sums: dict[tuple, list[float]] = {}
-    for b, t in free:
-        own = sums.setdefault(b.path, [0.0, 0.0, 0.0])
-        plain = max(0.0, 1 - b.linked / max(1, sum(map(len, b.text))))
+    # The largest <article> or <main>: names around it do not count for what is in it.
+    sizes, nodes = {}, {}
+    for b in free:
+        for own in (b.node.article, b.node.main):
+            if own and not own.readers:
+                sizes[id(own)] = sizes.get(id(own), 0.0) + b.plain
+                nodes[id(own)] = own
+    largest = nodes[max(sizes, key=sizes.get)] if sizes and max(sizes.values()) >= 0.25 * sum(b.plain for b in free) else None
+
+    _judge_names(free, largest)
+
+    def lowered(b: _Block) -> bool:
+        named = b.node.named
+        if named and largest is not None and largest in (b.node.article, b.node.main) and largest not in (named.article, named.main):
+            return False
+        return bool(named and named.bad)
+
+    # Ratios of each path.
+    sums: dict[int, list[float]] = {}
+    for b in free:
+        own = sums.setdefault(b.node.path, [0.0, 0.0, 0.0, 0])
         own[0] += 1
-        own[1] += len(t) * plain
-        own[2] += len(_POINTS.findall(t)) * plain
-    ratio = [(sums[b.path][1] / sums[b.path][0], sums[b.path][2] / sums[b.path][0]) for b, _ in free]
+        own[3] += len(b.text)
+        own[1] += b.plain
+        own[2] += len(_POINTS.findall(b.text)) * b.plain / max(1, len(b.text))
+    lengths = [sums[b.node.path][1] / sums[b.node.path][0] for b in free]
+    points = [sums[b.node.path][2] / sums[b.node.path][0] for b in free]
+    n = len(free)
     fused = []
-    for i, (b, _) in enumerate(free):
-        weight = length = points = 0.0
-        for j in range(max(0, i - reach), min(len(free), i + reach + 1)):
-            w = math.exp(-((i - j) ** 2) / 2) * _shared(b.path, free[j][0].path)
-            weight, length, points = weight + w, length + w * ratio[j][0], points + w * ratio[j][1]
-        weight = weight or 1.0
-        fused.append(math.log1p(length / weight) * math.log1p(1 + points / weight))
-    by_path: dict[tuple, float] = {}
-    for (b, _), f in zip(free, fused, strict=True):
-        by_path[b.path] = max(f, by_path.get(b.path, 0.0))
-    best = max(by_path.values())
-    content = [i for i, (b, _) in enumerate(free) if by_path[b.path] >= 3 * share * best]
-    # The container: the innermost element around all content that is more than a piece of text itself.
-    weight_of: dict[int, float] = {}
-    total = 0.0
-    for i in content:
-        b, t = free[i]
-        total += len(t)
-        for k in b.nodes:
-            weight_of[k] = weight_of.get(k, 0.0) + len(t)
-    first = free[content[0]][0]
-    depth = min(_common(first.nodes, free[i][0].nodes) for i in content)
-    if len(content) == 1 and depth > 1:
-        depth -= 1
-    while depth > 1 and first.path[depth - 1].split(".")[0] in _PIECES:
+    for i, b in enumerate(free):
+        weight, length, point = 1.0, lengths[i], points[i]
+        for step in (-1, 1):
+            shared = b.node.depth
+            for k in range(1, REACH + 1):
+                j = i + step * k
+                if not 0 <= j < n:
+                    break
+                shared = min(shared, free[j].node.depth, (free[j] if step > 0 else free[j + 1]).apart)
+                w = math.exp(-k * k / 2) * shared / max(b.node.depth, free[j].node.depth)
+                weight, length, point = weight + w, length + w * lengths[j], point + w * points[j]
+        fused.append(math.log1p(length / weight) * math.log1p(1 + point / weight) * (NAME if lowered(b) else 1.0) * sums[b.node.path][1] / sums[b.node.path][3])
+    by_path: dict[tuple[int, bool], float] = {}
+    key = [(b.node.path, lowered(b)) for b in free]
+    for k, f in zip(key, fused, strict=True):
+        by_path[k] = max(f, by_path.get(k, 0.0))
+    score = [by_path[k] for k in key]
+    for i in range(n - 2, -1, -1):  # a heading has the ratio of what it heads
+        if free[i].node.tag in _HEADINGS and not key[i][1] and free[i].plain > 0 and free[i + 1].apart >= free[i].node.depth - 1:
+            score[i] = max(score[i], score[i + 1])
+    best = max(score)
+    if best <= 0:  # nothing but links
+        return ""
+    core = [i for i in range(n) if score[i] >= CORE * best]
+    # The content node.
+    first, last = free[core[0]], core[-1]
+    depth = min([first.node.depth, *(free[i].apart for i in range(core[0] + 1, last + 1))])
+    if len(core) == 1 and depth > 1:
         depth -= 1
-    container = first.nodes[depth - 1] if depth else None
-    for name in ("article", "main"):  # where the page says what its article is, and content lies there
-        for i in content:
-            steps = [s.split(".")[0] for s in free[i][0].path]
-            if name in steps and weight_of[free[i][0].nodes[steps.index(name)]] >= 0.5 * total:
-                container = free[i][0].nodes[steps.index(name)]
-                break
+    node = _around(first.node, depth)
+    while node.depth > 1 and (node.tag in _PIECES or node.tag not in _BLOCK):
+        node = node.parent
+    mass = sum(len(free[i].text) for i in core)
+    for name in ("article", "main"):
+        held: dict[int, float] = {}
+        for i in core:
+            if own := getattr(free[i].node, name):
+                held[id(own)] = held.get(id(own), 0.0) + len(free[i].text)
+                if held[id(own)] >= 0.5 * mass:
+                    node = own
+                    break
         else:
             continue
         break
-    out = []
-    for b, t in free:
-        if container is not None and container not in b.nodes:
-            continue
-        if by_path[b.path] < share * best and sum(map(len, b.text)) and b.linked > 0.5 * sum(map(len, b.text)):
-            continue
-        out.append(t)
+    # Blocks inside it lie next to each other on the page: from the first to the last that it is around.
+    start = stop = core[next(k for k, i in enumerate(core) if _around(free[i].node, node.depth) is node)]
+    while start > 0 and free[start].apart >= node.depth:
+        start -= 1
+    while stop + 1 < n and free[stop + 1].apart >= node.depth:
+        stop += 1
+    out: list[str] = []
+    for i in range(start, stop + 1):
+        of_text = free[i].node.tag in _TEXT
+        if score[i] >= (LEAST if of_text else BOX) * best and (of_text or points[i] > 0 or not out):
+            out.append(free[i].text)
     return "\n".join(out)
 
 
