@@ -217,7 +217,7 @@ def _judge_names(free: list[_Block], largest: _Node | None) -> None:
 
     Elements of one step and one set of words count together; a name around over half of the text does not count, one for
     readers' comments only if around nine tenths, since comments may well be longer than the article. Inside of the
-    largest <article> or <main>, names around that do not count.
+    largest <article> or <main>, names around that do not count; outside of it, all do.
     """
     nodes: dict[int, _Node] = {}
     for b in free:
@@ -241,9 +241,11 @@ def _judge_names(free: list[_Block], largest: _Node | None) -> None:
     total = sum(b.plain for b in free)
     for node in order:
         up = node.parent.named
-        if largest is not None and largest in (node.article, node.main) and up and largest not in (up.article, up.main):
+        inside = largest is not None and largest in (node.article, node.main)
+        if inside and up and largest not in (up.article, up.main):
             up = None
-        node.bad = by_key[node.key] <= total * (0.9 if node.key[1] & _READERS else 0.5) or bool(up and up.bad)
+        widest = total * (0.9 if node.key[1] & _READERS else 0.5)
+        node.bad = by_key[node.key] <= widest or (largest is not None and not inside) or bool(up and up.bad)
 
 
 def main_text(page: str) -> str:
