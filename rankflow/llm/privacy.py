@@ -6,11 +6,16 @@ the patterns' own forms, forms that the patterns miss ("name [at] host.org", "12
 and look-alikes that are nobody's data (dates, prices, versions, keys). It reads windows of 96 characters, two of which
 overlap by half, around every character that each labelled form must contain: a digit, an @ or a bracketed "at"; text
 without those has nothing the network can label, so leaving it out drops nothing. Each window gets its best tag path and
-the marginals of it; windows are then reconciled over the whole text: spans cut by a window's edge give way to whole
-ones, of overlapping spans the surer stays, and spans that touch a pattern's span are not added.
+the marginals of it; windows are then reconciled over the whole text: spans of one kind that window edges cut are joined
+to one stretch where they meet, which, unless a whole span lies there, is read again in a window wide enough for it and
+what is around it, and wider again while it is still cut. Of overlapping spans the surer stays, spans that touch a
+pattern's span are not added, and nothing longer than LONGEST characters is an address or a number.
 
-Defined cases: null text is empty; ids may be null or repeat; every row gives a row; an empty table gives an empty
-result.
+The weights are kept in the shared folder under a hash of all that decides them, so they are trained once.
+
+Defined cases: null text is empty; ids may be null or repeat; every row gives a row; texts of any length are read as a
+whole; of equally sure spans the first stays; an empty table gives an empty result; personal_data reads doc_id and text
+only, mask keeps all columns whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankflow.llm.common import shared_dir
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -81,6 +88,8 @@ def written(spans: list[Span]) -> str:
 
 # The network. Tags: 0 is outside, 2k+1 begins kind k, 2k+2 goes on with it.
 WINDOW, STRIDE = 96, 48
+#: Characters of an added span at most, and those around it that a second reading takes in on each side at least.
+LONGEST, MARGIN = 400, 32
 TAGS = 1 + 2 * len(KINDS)
 _SIGNS = 130  # ASCII, 128 for all else, 129 beyond the text
 
@@ -196,6 +205,10 @@ def _made_up(r: random.Random) -> tuple[str, str]:
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     w = lambda a, z: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, z)))
     kind = r.choice(KINDS)
+    if kind == "email" and r.random() < 0.25:  # as long as they come
+        name = r.choice(".._-").join(w(1, 12) for _ in range(r.randint(2, 9)))
+        host = ".".join(w(2, 12) for _ in range(r.randint(2, 7))) + r.choice((".com", ".org", ".edu", ".de"))
+        return kind, name + r.choice(("@", " @ ", " [at] ", "[at]", " (at) ", "(at)", "( at )")) + host
     if kind == "email":
         name = r.choice((w(2, 9), f"{w(2, 7)}.{d(2)}", f"{w(1, 6)}.{w(2, 8)}", f"{w(3, 8)}{d(2)}", f"{w(2, 5)}_{w(2, 6)}"))
         host = f"{w(3, 9)}{r.choice(('', d(1)))}.{r.choice(('example.com', 'com', 'org', 'net', 'de', 'fr', 'es', 'co.uk'))}"
@@ -225,7 +238,7 @@ def training_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     ids, tags = np.full((n, WINDOW), 129), np.zeros((n, WINDOW), np.int64)
     for row in range(n):
         text, labels = "", []
-        while len(text) < 2 * WINDOW:
+        while len(text) < 4 * WINDOW:
             x = r.random()
             piece, kind = ("".join(r.choice(parts) for _ in range(r.randint(1, 4))) + r.choice(("", "", "", ",", ".")), None) if x < 0.75 else (_look_alike(r), None) if x < 0.87 else _made_up(r)[::-1]
             k = KINDS.index(kind) if kind else 0
@@ -234,15 +247,35 @@ def training_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             end = r.choice((" ", " ", " ", "\n", ", ", ". "))
             labels += [0] * len(end)
             text += end
-        at = r.randint(0, WINDOW // 2) if r.random() < 0.8 else 0
+        at = r.randint(0, 3 * WINDOW - 1) if r.random() < 0.8 else 0
         upto = at + (WINDOW if r.random() < 0.9 else r.randint(10, WINDOW))
         piece = signs(text[at:upto])
         ids[row, : len(piece)], tags[row, : len(piece)] = piece, labels[at:upto]
     return ids, tags
 
 
+#: What decides the weights; the version counts changes of the sentences they are trained from.
+TRAINING = {"steps": 260, "batch": 96, "seed": 3, "rate": 0.025, "version": 2}
+
+
+def weights(spark: SparkSession) -> Tagger:
+    """The network, from the shared folder if it was trained before."""
+    name = hashlib.md5(repr((sorted(TRAINING.items()), WINDOW, TAGS, _SIGNS)).encode()).hexdigest()
+    path = f"{shared_dir(spark)}/privacy-weights-{name}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        net = Tagger(TRAINING["seed"])
+        for r in spark.read.schema("name string, shape array<int>, data binary").parquet(path).collect():  # a few thousand numbers
+            net.p[r.name] = np.frombuffer(r.data, np.float64).reshape(r.shape).copy()
+        return net
+    net = trained()
+    rows = [(k, list(v.shape), v.astype(np.float64).tobytes()) for k, v in net.p.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return net
+
+
 @cache
-def trained(steps: int = 320, batch: int = 48, seed: int = 3, rate: float = 0.02) -> Tagger:
+def trained(steps: int = TRAINING["steps"], batch: int = TRAINING["batch"], seed: int = TRAINING["seed"], rate: float = TRAINING["rate"]) -> Tagger:
     """The network after so many Adam steps over made-up windows; the same weights each time."""
     net = Tagger(seed)
     mean, square = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -273,7 +306,7 @@ def windows(text: str) -> list[int]:
 def _plausible(kind: str, piece: str) -> bool:
     digits = _digits(piece)
     if kind == "email":
-        return bool(_AT.search(piece)) and "." in piece and len(piece) >= 6
+        return bool(_AT.search(piece)) and "." in piece and 6 <= len(piece) <= LONGEST
     if kind == "ip":
         parts = re.findall("[0-9]+", piece)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -282,19 +315,42 @@ def _plausible(kind: str, piece: str) -> bool:
 
 def _window_spans(start: int, tags: np.ndarray, sure: np.ndarray, size: int) -> Iterator[tuple[float, bool, Span]]:
     """(how sure, cut by an edge, span) of a window's tags."""
-    t = 0
-    while t < WINDOW and start + t < size:
+    t, width = 0, len(tags)
+    while t < width and start + t < size:
         if tags[t] and (tags[t] % 2 or t == 0):
             kind, z = (int(tags[t]) - 1) // 2, t + 1
-            while z < WINDOW and tags[z] == 2 * kind + 2:
+            while z < width and tags[z] == 2 * kind + 2:
                 z += 1
-            cut = (t == 0 and start > 0) or (z == WINDOW and start + z < size)
+            cut = (t == 0 and start > 0) or (z == width and start + z < size)
             yield float(sure[t:z].min()), cut, (KINDS[kind], start + t, min(start + z, size))
             t = z
         else:
             t += 1
 
 
+def stretches(found: list[tuple[float, bool, Span]], least: float = 0.5) -> list[Span]:
+    """Cut spans of one kind, joined where they meet, that no whole and sure span of their kind touches."""
+    whole: dict[str, list[tuple[int, int]]] = {}
+    for sure, cut, (kind, a, z) in found:
+        if not cut and sure >= least:
+            whole.setdefault(kind, []).append((a, z))
+    out: list[Span] = []
+    for kind, a, z in sorted(s for _, cut, s in found if cut):
+        if out and out[-1][0] == kind and a <= out[-1][2]:
+            out[-1] = kind, out[-1][1], max(z, out[-1][2])
+        else:
+            out.append((kind, a, z))
+    for spans in whole.values():
+        spans.sort()
+
+    def touched(kind: str, a: int, z: int) -> bool:
+        spans = whole.get(kind, [])
+        at = bisect.bisect_left(spans, (z, z))
+        return any(y > a for _, y in spans[max(0, at - 4) : at])  # spans of a kind overlap only from window to window
+
+    return [s for s in out if not touched(*s)]
+
+
 def reconciled(found: list[tuple[float, bool, Span]], base: list[Span], text: str, least: float = 0.5) -> list[Span]:
     """Of all windows' spans of a text, those to add: whole, sure, plausible, apart from each other and from the base."""
     taken: list[tuple[int, int]] = []  # apart from each other, in order
@@ -314,35 +370,46 @@ def reconciled(found: list[tuple[float, bool, Span]], base: list[Span], text: st
     return out
 
 
-def all_spans(texts: list[str], net: Tagger, at_once: int = 512) -> Iterator[tuple[list[Span], list[Span]]]:
-    """(base spans, added spans) of each text."""
-    base, found, jobs = [base_spans(t) for t in texts], [[] for _ in texts], []
-
-    def work() -> None:
-        ids = np.full((len(jobs), WINDOW), 129)
-        for row, (i, start) in enumerate(jobs):
-            piece = signs(texts[i][start : start + WINDOW])
+def _read(texts: list[str], jobs: list[tuple[int, int]], width: int, net: Tagger, at_once: int) -> Iterator[tuple[int, list[tuple[float, bool, Span]]]]:
+    """(text, spans) of each window (text, start) of a width, in the order of the jobs."""
+    at_once = max(1, at_once * WINDOW // width)
+    for lo in range(0, len(jobs), at_once):
+        own = jobs[lo : lo + at_once]
+        ids = np.full((len(own), width), 129)
+        for row, (i, start) in enumerate(own):
+            piece = signs(texts[i][start : start + width])
             ids[row, : len(piece)] = piece
         tags, sure = net.decode(ids)
-        for row, (i, start) in enumerate(jobs):
-            if tags[row].any():
-                found[i] += _window_spans(start, tags[row], sure[row], len(texts[i]))
-        jobs.clear()
+        for row, (i, start) in enumerate(own):
+            yield i, list(_window_spans(start, tags[row], sure[row], len(texts[i]))) if tags[row].any() else []
 
-    for i, text in enumerate(texts):
-        for start in windows(text):
-            jobs.append((i, start))
-            if len(jobs) == at_once:
-                work()
-    if jobs:
-        work()
+
+def all_spans(texts: list[str], net: Tagger, at_once: int = 512) -> Iterator[tuple[list[Span], list[Span]]]:
+    """(base spans, added spans) of each text."""
+    base, found = [base_spans(t) for t in texts], [[] for _ in texts]
+    for i, spans in _read(texts, [(i, start) for i, t in enumerate(texts) for start in windows(t)], WINDOW, net, at_once):
+        found[i] += spans
+    todo = [(i, s) for i in range(len(texts)) if found[i] for s in stretches(found[i])]
+    while todo:
+        by_width: dict[int, list[tuple[int, Span, int]]] = {}
+        for i, (kind, a, z) in todo:
+            if z - a <= LONGEST:
+                width = -(-(z - a + 2 * MARGIN) // STRIDE) * STRIDE
+                by_width.setdefault(width, []).append((i, (kind, a, z), max(0, (a + z - width) // 2)))
+        todo = []
+        for width, own in by_width.items():
+            for (i, (kind, a, z), _), (_, spans) in zip(own, _read(texts, [(i, start) for i, _, start in own], width, net, at_once), strict=True):
+                spans = [s for s in spans if s[2][0] == kind and s[2][1] < z and a < s[2][2]]
+                found[i] += [s for s in spans if not s[1]]
+                if cut := [s[2] for s in spans if s[1]]:  # it goes on beyond a window that was wide enough for what was known of it
+                    todo.append((i, (kind, min(a, *(s[1] for s in cut)), max(z, *(s[2] for s in cut)))))
     for i, text in enumerate(texts):
         yield base[i], reconciled(found[i], base[i], text) if found[i] else []
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row: doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans, n_added."""
-    net = trained()
+    net = weights(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,7 +439,7 @@ def masked_text(text: str, spans: list[Span]) -> str:
 
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with personal data masked; n_chars, where there is one, follows the new text. Null texts stay null."""
-    net = trained()
+    net = weights(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -65,6 +66,56 @@ def test_spans_across_windows_are_whole():
         assert base == [] and [text[a:z] for k, a, z in more if k == "ip"] == ["12 . 34 . 56 . 78"]
 
 
+def test_cut_spans_are_joined():
+    cut = [(0.99, True, ("email", 10, 40)), (0.98, True, ("email", 30, 70)), (0.9, True, ("ip", 200, 210)), (0.9, False, ("ip", 205, 220))]
+    assert m.stretches(cut) == [("email", 10, 70)]
+    assert m.stretches([]) == []
+
+
+def test_long_address_at_every_offset():
+    net = m.trained()
+    address = "first.last-middle [at] dept.faculty.science.university.campus.example.org"
+    assert len(address) > 70
+    found = 0
+    for shift in range(48):
+        text = "the er re ung " * 10 + "e" * shift + " " + address + " and so it ends. " + "the er " * 20
+        ((base, more),) = m.all_spans([text], net)
+        assert base == []
+        found += [text[a:z] for k, a, z in more if k == "email"] == [address]
+    print("found at", found, "of 48 offsets")
+    assert found >= 46
+
+
+def test_recall_of_planted_forms_in_given_documents():
+    """Forms that the patterns miss, up to 200 characters long, planted at random places of given documents."""
+    import pandas as pd
+
+    r = random.Random(8)
+    texts = [t for t in pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.tolist() if len(t) > 300 and not m.base_spans(t)][:300]
+    net, planted, before = m.trained(), [], []
+    word = lambda a, z: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, z)))
+    for t in texts:
+        long = r.random() < 0.5
+        name, host = ".".join(word(2, 9) for _ in range(r.randint(2, 8 if long else 3))), ".".join(word(3, 10) for _ in range(r.randint(2, 7 if long else 3)))
+        piece = r.choice((f"{name} [at] {host}.org", f"{name}(at){host}.com", " . ".join(str(r.randint(1, 255)) for _ in range(4)), f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}"))
+        at = t.find(" ", r.randint(0, len(t) - 200))
+        planted.append((t[:at] + " " + piece + t[at:], at + 1, at + 1 + len(piece)))
+        before.append(t)
+    hit = touched = 0
+    for (_, more), (_, a, z) in zip(m.all_spans([t for t, _, _ in planted], net), planted, strict=True):
+        hit += any((x, y) == (a, z) for _, x, y in more)
+        touched += any(x < z and a < y for _, x, y in more)
+    false = sum(len(more) for _, more in m.all_spans(before, net))
+    longest = max(z - a for _, a, z in planted)
+    print("exact", hit, "touched", touched, "of", len(planted), "longest", longest, "false spans", false)
+    assert hit >= 0.85 * len(planted) and touched >= 0.9 * len(planted) and longest > 110 and false <= 0.1 * len(before)
+
+
+def test_weights_are_kept(spark):
+    first, again = m.weights(spark), m.weights(spark)
+    assert all((first.p[k] == v).all() for k, v in again.p.items()) and all((m.trained().p[k] == v).all() for k, v in again.p.items())
+
+
 def test_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
