@@ -5,21 +5,27 @@ vectors that name it; pairs that share at least two pivots are candidates and ar
 precision. A pair is judged only in the list of its smallest shared pivot (of those both are close to, where there is one), so
 each link counts once.
 
-Equal vectors are one node with a multiplicity and are never paired with each other. A list longer than a block is
-worked off as pairs of blocks, each a group of its own, so a list with a third of all vectors is spread over many tasks
-and is never held as a whole. Of the links of a group only the counts and one edge per vector (to the smallest vector of
-its local class) leave the task. Verifying a group of near but different vectors takes time with the square of its size:
-every link has to be counted.
-
-Pivots are the index's bounded sample: twice the square root of the number of vectors, at most 4,096, the first by a hash
-of their id, without those near an earlier one: else a large group of near vectors would draw as large a share of the
-pivots, all about equally near to each of its vectors, whose order tells nothing. Two vectors that are both close to a
-pivot they name are a candidate pair by that pivot alone. Every vector is indexed. Recall against brute force is measured
-in the tests.
+A list longer than a block is parted by the second pivot that a pair shares: each vector in it goes once to each of the
+other pivots that it names, and once, if it is close, to those that are close too. So a vector is sent at most nearest x
+nearest times, however long the lists are, and the lists of two pivots are far shorter than those of one. A list of two
+that is still longer than a block (a large group of near but different vectors) is worked off as pairs of blocks, each a
+group of its own, so a group with a third of all vectors is spread over many tasks and is never held as a whole. Of the
+links of a group only the counts and one edge per vector (to the smallest vector of its local class) leave the task.
+Verifying such a group takes time, and sends its vectors, with the square of its size: every link has to be counted.
+
+Equal vectors are one node with a multiplicity and are never paired with each other.
+
+Pivots are the index's bounded sample: twice the square root of the number of vectors, of at most PIVOT_BYTES in all (at 64
+dimensions, 131,072 of them, which the square root reaches at four thousand million vectors), the first by a hash of their
+id, without those near an earlier one: else a large group of near vectors would draw as large a share of the pivots, all
+about equally near to each of its vectors, whose order tells nothing. Two vectors that are both close to a pivot they
+name are a candidate pair by that pivot alone. Every vector is indexed. Recall against brute force is measured in the
+tests.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different lengths do not link; rows that repeat id and vector are one; a null vec_id is the smallest id; empty tables
-give empty results.
+different lengths do not link; rows that repeat id and vector count once as links and give a row each; vectors equally
+near to several pivots name the first of them; a null vec_id is the smallest id; an empty table gives an empty result;
+only vec_id and embedding are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -31,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import NULL_ID, id_back, materialize
+from rankflow.llm.common import NULL_ID, drop, id_back, materialize, stored
 from rankflow.llm.graph import components
 
-MOST_PIVOTS = 4096
+#: Bytes of all pivots at most: what goes to every task.
+PIVOT_BYTES = 1 << 26
 #: A pivot has no greater cosine than this with an earlier one.
 APART = 0.8
 #: From this cosine on a vector is close to a pivot. A vector within 0.9 of a pivot links at 0.95 only to such within 0.71.
@@ -98,7 +105,8 @@ def _describe(pivots: np.ndarray, nearest: int):
 
 def _verify(threshold: float, min_shared: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        pivot, left, right = (k.as_py() for k in key)
+        # second: -1 in the list of one pivot; in one of two, the other; equal to the pivot, that of vectors close to it.
+        pivot, second, left, right = (k.as_py() for k in key)
         # In a pair of different blocks, links lie between the two; within one block, above the diagonal.
         side = table.column("part").to_numpy()
         order = np.argsort(side, kind="stable")
@@ -129,7 +137,12 @@ def _verify(threshold: float, min_shared: int):
             first = cut or lo + 1
             # A pair close to this pivot is judged in the list of its smallest shared close one, any other in that of its smallest.
             by_close = close[lo:hi, None] & close[None, first:]
-            shared = (named[lo:hi] @ named[first:].T >= min_shared) & (named_close[lo:hi] @ named_close[first:].T == 0) | by_close
+            if second == pivot:
+                shared = by_close
+            else:
+                shared = (named[lo:hi] @ named[first:].T >= min_shared) & (named_close[lo:hi] @ named_close[first:].T == 0)
+                if second < 0:
+                    shared |= by_close
             dense = 16 * np.count_nonzero(shared) > shared.size
             if dense:
                 shared &= x[lo:hi] @ x[first:].T >= threshold
@@ -148,8 +161,10 @@ def _verify(threshold: float, min_shared: int):
                 for chosen, names in ((both_close & ~sure, near_close), (~both_close, near)):
                     c, d = a[chosen], b[chosen]
                     both = (names[c][:, :, None] == names[d][:, None, :]) & (names[c] >= 0)[:, :, None]
-                    smallest = np.where(both.any(2), names[c], np.iinfo(np.int64).max).min(1)
-                    ok = smallest == pivot
+                    smallest = np.sort(np.where(both.any(2), names[c], np.iinfo(np.int64).max), axis=1)
+                    ok = smallest[:, 0] == pivot
+                    if second >= 0 and names is near:  # a pair that is not close meets in several lists of two
+                        ok &= smallest[:, 1] == second
                     ends.append((c[ok], d[ok]))
         if ends:
             a, b = (np.concatenate(e) for e in zip(*ends, strict=True))
@@ -172,33 +187,46 @@ def _verify(threshold: float, min_shared: int):
 
 def near_vectors(embeddings: DataFrame, threshold: float = 0.95, nearest: int = 8, min_shared: int = 2, block: int = 2048) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    base = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).distinct()
-    base = materialize(base, "vectors")
+    if min_shared != 2:
+        raise ValueError("lists of two pivots hold all pairs that share two")
+    spark = embeddings.sparkSession
+    every = embeddings.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    base = materialize(every.distinct(), "vectors")
     nodes = base.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     units = materialize(nodes.select("node", "copies", "embedding").mapInArrow(_clean, "node long, copies long, unit binary"), "units")
-    n = units.count()
-    wanted = int(np.clip(2 * np.sqrt(n), 16, MOST_PIVOTS))
+    n, widest = units.agg(F.count(F.lit(1)), F.max(F.length("unit"))).first()
+    wanted = int(np.clip(2 * np.sqrt(n), 16, max(16, PIVOT_BYTES // (widest or 8))))
     chosen = [np.frombuffer(r.unit, np.float64) for r in units.select("unit", "node").orderBy(F.xxhash64("node"), "node").limit(wanted).collect()]
     pivots = np.zeros((max(1, len(chosen)), max([1, *map(len, chosen)])))
     for i, p in enumerate(chosen):
         pivots[i, : len(p)] = p
     pivots = _apart(pivots)
-    min_shared = min(min_shared, len(pivots))
-    described = materialize(units.mapInArrow(_describe(pivots, nearest), "node long, copies long, unit binary, near array<int>, n_close int"), "described")
+    if len(pivots) < 2:  # a single pivot is shared by all
+        min_shared = 1
+    described, path = stored(units.mapInArrow(_describe(pivots, nearest), "node long, copies long, unit binary, near array<int>, n_close int"), "described")
     posted = described.select("node", "copies", "unit", "near", "n_close", F.explode("near").alias("pivot"))
-    blocks = {r.pivot: -(-r["count"] // block) for r in posted.groupBy("pivot").count().collect()}  # at most 4,096 rows
-    long_lists = F.create_map(*[F.lit(x) for k, v in blocks.items() if v > 1 for x in (k, v)]) if any(v > 1 for v in blocks.values()) else None
-    count = F.coalesce(F.try_element_at(long_lists, F.col("pivot")), F.lit(1)) if long_lists is not None else F.lit(1)
-    parted = posted.withColumn("n_parts", count.cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n_parts")).cast("int"))
+    narrow = described.select(F.explode("near").alias("pivot"))
+    long_lists = narrow.groupBy("pivot").count().where(F.col("count") > block).select("pivot", F.lit(True).alias("long")) if min_shared == 2 else narrow.select("pivot", F.lit(True).alias("long")).where("false")
+    posted = posted.join(F.broadcast(long_lists), "pivot", "left")  # at most a row for each pivot
+    # In a long list: the other pivots that a vector names, and the list's own if it is close to it.
+    place = F.array_position("near", F.col("pivot"))
+    seconds = F.filter("near", lambda q: (q != F.col("pivot")) | (place <= F.col("n_close")))
+    posted = posted.withColumn("second", F.explode(F.when(F.col("long"), seconds).otherwise(F.array(F.lit(-1)))))
+    # A pair's second shared pivot is greater than its first, so only greater ones, and the list's own, are of use.
+    posted = posted.where((F.col("second") < 0) | (F.col("second") >= F.col("pivot")))
+    sizes = posted.select("pivot", "second").groupBy("pivot", "second").count().where(F.col("count") > block)
+    parted = posted.join(sizes.select("pivot", "second", F.ceil(F.col("count") / block).cast("int").alias("n_parts")), ["pivot", "second"], "left")
+    parted = parted.withColumn("n_parts", F.coalesce("n_parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("n_parts")).cast("int"))
     paired = parted.withColumn("other", F.explode(F.expr("sequence(0, n_parts - 1)")))
-    grouped = paired.select("pivot", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "node", "copies", "unit", "near", "n_close")
-    found = materialize(grouped.groupBy("pivot", "left", "right").applyInArrow(_verify(threshold, min_shared), "node long, links long, least long"), "found")
+    grouped = paired.select("pivot", "second", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "node", "copies", "unit", "near", "n_close")
+    found = materialize(grouped.groupBy("pivot", "second", "left", "right").applyInArrow(_verify(threshold, min_shared), "node long, links long, least long"), "found")
+    drop(spark, path)
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     # Only the clean vectors have a node; copies of unclean ones do not link.
     known = units.select("node", "copies").join(totals, "node", "left").join(classes, "node", "left")
     of_vector = nodes.select("embedding", "node").join(known, "node").select("embedding", "node", "copies", "links", "component")
-    out = base.join(of_vector, "embedding", "left")
+    out = every.join(of_vector, "embedding", "left")
     component = F.coalesce("component", "node", "vec_id")
     return out.select(
         id_back("vec_id"),

@@ -36,7 +36,7 @@ def got(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("block", [2048, 40])
+@pytest.mark.parametrize("block", [2048, 40, 7])
 def test_recall_against_brute_force(spark, block):
     rows = planted()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).repartition(3)
@@ -66,6 +66,16 @@ def test_recall_with_a_third_in_one_group(spark, noise):
     assert ((mine == 0) & (want > 0)).sum() == 0
 
 
+def test_ties_at_the_pivots(spark):
+    """Vectors of two values only: many are equally near to many pivots, and most cosines are alike."""
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.choice([-1.0, 1.0], 12)]) for i in range(500)]
+    rows += [(1000 + i, [x * 2 for x in rows[i][1]]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    mine, want = got(m.near_vectors(df, block=64)), brute(rows)
+    assert mine == want
+
+
 def test_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     assert got(m.near_vectors(df)) == brute([(r.vec_id, r.embedding) for r in df.collect()])
@@ -76,7 +86,7 @@ def test_edge_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, [1.0, 0.0, 0.0]), (11, [1e-30, 1e-32]), (12, [1.0, 0.0]), (None, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit("x"))
     out = {r.vec_id: tuple(r)[1:] for r in m.near_vectors(df).collect()}
-    assert len(out) == 13
+    assert len(out) == 13 and m.near_vectors(df).count() == 14  # a repeated row gives a row
     for i in (1, 2, 11, 12):
         assert out[i] == (3, 1, i == 1)
     for i in (3, 4, 5, 6, 7, 8, 9, 10):
