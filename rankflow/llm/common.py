@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankflow.storage import drop, materialize, new_path, shared_dir, stored
 
-__all__ = ["NULL_ID", "buckets_for", "drop", "id_and_text", "id_back", "input_bytes", "materialize", "new_path", "ranges", "shared_dir", "stable_order", "stored"]
+__all__ = ["NULL_ID", "buckets_for", "drop", "id_and_text", "id_back", "input_bytes", "materialize", "new_path", "ranges", "shared_dir", "stored"]
 
 #: A missing doc_id takes part under this id and comes back as null.
 NULL_ID = -(2**63)
@@ -37,13 +37,6 @@ def id_back(column: str = "doc_id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
 
-def stable_order(keys: np.ndarray) -> np.ndarray:
-    """Stable argsort of non-negative keys below 2**32, by one sort of packed 64-bit words."""
-    packed = (keys.astype(np.uint64) << np.uint64(32)) | np.arange(len(keys), dtype=np.uint64)
-    packed.sort()
-    return (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... (lengths[0] of them), then the same for the next."""
     total = int(lengths.sum())

@@ -4,24 +4,31 @@ The suffixes are never sorted as a whole. Each text is cut into fragments, so th
 lie in fragments of one key: a start belongs to the smallest hash among the 32-byte strings inside its 100 bytes, and
 a fragment is a run of starts with the same smallest hash together with the 99 bytes that follow it. Then
 
-1. scan: fragments (key, content hash, place) are dealt to buckets by key. A task keeps one of equal fragments and
+1. split keys: keys under which very many different fragments meet (a passage that follows a different word in each of
+   a billion documents) are found in a sixteenth of the documents, drawn by hash. Their fragments are dealt start by
+   start, by a hash of the whole 100 bytes, from the outset, so no task receives such a key. The sample only says how
+   rows are dealt: every document's every start takes part.
+2. scan: fragments (key, content hash, place) are dealt to buckets by key. A task keeps one of equal fragments and
    settles the copies itself, so that a passage held by a third of the corpus sends one record per task, not one per
    copy.
-2. bucket: keys met once hold no repeat. Of equal fragments the first stays, the others are repeats as a whole.
-3. merge: the text of the remaining, distinct fragments is dealt to the same buckets, in shards. Each shard builds its
-   own multi-string Burrows-Wheeler transform, and the transforms are merged by refining their interleave: a round
-   hands out the preceding symbols of the shards in the present interleave and sorts them stably, after which the
-   interleave is right for one symbol more. A symbol is a block of 20 bytes, so five rounds reach common prefixes of
-   100 bytes. Block boundaries found on the way are the common prefix lengths; what is still one block in the end is a
-   repeated interval, and all its starts but the first are repeats.
-4. apply: the covered bytes of each document are removed.
-
-A key with very many distinct fragments (say, a passage that follows a different word in each of a billion documents) is
-dealt anew, start by start, by a hash of the whole 100 bytes.
+3. bucket: keys with one fragment hold no repeat, unless it repeats itself. Of equal fragments the first stays, the
+   others are repeats as a whole. A key that the sample missed, of more than `hot_fragments` different fragments or
+   HOT_BYTES of their text, is dealt anew start by start.
+4. merge: the text of the remaining, distinct fragments is dealt to the same buckets, and worked off in units of whole
+   keys, of UNIT + HOT_BYTES at most. A unit has two shards. Each builds its own multi-string Burrows-Wheeler transform
+   over symbols of 20 bytes, with a dictionary of its own. The transforms are merged by refining their interleave:
+   where each suffix of one shard falls among those of the other starts as everywhere, and a round narrows it by one
+   symbol, with two rank queries to the other's transform (how often does this symbol stand before this place in it).
+   Nothing is ranked or sorted across shards. After five rounds a place that is still an interval is a common prefix of
+   100 bytes; intervals within and across shards give the repeats, and all starts of one but the first are repeats.
+5. apply: the covered bytes of each document are removed.
+
+Shards and their merge lie in one task, since sending transforms would take five bytes for each byte of text.
 
 Defined cases: null text is empty; a null doc_id counts as the smallest id; rows that repeat both doc_id and text are
-one document and give one row; different texts under one doc_id are told apart by their hash, and rank by it. Empty
-tables give empty results.
+one document and give equal rows, one each; different texts under one doc_id are told apart by their hash, and rank by it; of
+equal strings the one that starts first stays; very long texts are worked off in parts that share 99 bytes; empty tables
+give empty results; only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -35,15 +42,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import buckets_for, id_and_text, id_back, materialize, ranges, stable_order
+from rankflow.llm.common import buckets_for, id_and_text, id_back, materialize, ranges
 
 SPAN, GRAM, STEP = 100, 32, 20
 #: Starts in a fragment at most; only periodic texts have longer runs.
 RUN = 4096
 #: Bytes of text hashed at once, fragment records kept before they are sent, bytes of fragments merged at once.
 CHUNK, RECORDS, UNIT = 1 << 19, 1 << 20, 1 << 20
-SHARDS = 4
+#: Text of the distinct fragments of a key from which on it is dealt start by start; keys known beforehand at most; one in so many documents tells them.
+HOT_BYTES, MOST_SPLIT, SAMPLE = 1 << 21, 1_000_000, 16
 COPY, MERGE, HOT = 0, 1, 2
+HOT_SEED = 11
 
 _RECORD = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("starts", "<u2"), ("flag", "u1")])
 _PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("starts", "<u2")])
@@ -97,7 +106,33 @@ def fragments(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[first], s[first] - begins[doc[first]], long, v[first], np.logical_or.reduceat(inner, first)
 
 
-def _scan(buckets: int):
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, hash) of the different fragments of a batch."""
+    for batch in batches:
+        for records in _batches_of_records(batch):
+            both = np.unique(records[["key", "hash"]])
+            yield pa.RecordBatch.from_arrays([pa.array(both["key"].view(np.int64)), pa.array(both["hash"].view(np.int64))], ["key", "hash"])
+
+
+def _batches_of_records(batch: pa.RecordBatch, split: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The fragments of a batch's documents, about CHUNK bytes of text at once."""
+    todo, size = [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+        raw = text.as_py()
+        if len(raw) < SPAN:
+            continue
+        name = _signed(xxhash.xxh64_intdigest(raw, 42))  # what Spark's xxhash64 gives
+        for at in range(0, len(raw) - SPAN + 1, 4 * CHUNK):  # parts of a very long text share 99 bytes
+            todo.append((doc, name, at, raw[at : at + 4 * CHUNK + SPAN - 1]))
+            size += len(todo[-1][3])
+            if size > CHUNK:
+                yield _records(todo, split)
+                todo, size = [], 0
+    if todo:
+        yield _records(todo, split)
+
+
+def _scan(buckets: int, split: np.ndarray):
     def pack(records: np.ndarray) -> Iterator[pa.RecordBatch]:
         records = records[np.lexsort((records["start"], records["text"], records["doc"], records["hash"], records["key"]))]
         again = np.append(False, (records["key"][1:] == records["key"][:-1]) & (records["hash"][1:] == records["hash"][:-1]))
@@ -116,30 +151,12 @@ def _scan(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            todo, size = [], 0
-            texts = batch.column(1).cast(pa.binary())
-            for i in range(len(ids) + 1):
-                if i == len(ids) or size > CHUNK:
-                    if todo:
-                        held.append(_records(todo))
-                        n += len(held[-1])
-                    todo, size = [], 0
-                    if n > RECORDS:
-                        yield from pack(np.concatenate(held))
-                        held, n = [], 0
-                if i < len(ids):
-                    raw = texts[i].as_py()
-                    if len(raw) < SPAN:
-                        continue
-                    name = _signed(xxhash.xxh64_intdigest(raw, 42))  # what Spark's xxhash64 gives
-                    for at in range(0, len(raw) - SPAN + 1, 4 * CHUNK):  # parts of a very long text share 99 bytes
-                        todo.append((int(ids[i]), name, at, raw[at : at + 4 * CHUNK + SPAN - 1]))
-                        size += len(todo[-1][3])
-                        if size > CHUNK:
-                            held.append(_records(todo))
-                            n += len(held[-1])
-                            todo, size = [], 0
+            for records in _batches_of_records(batch, split):
+                held.append(records)
+                n += len(records)
+                if n > RECORDS:
+                    yield from pack(np.concatenate(held))
+                    held, n = [], 0
         if n:
             yield from pack(np.concatenate(held))
 
@@ -150,19 +167,34 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _records(todo: list[tuple[int, int, int, bytes]]) -> np.ndarray:
+def _records(todo: list[tuple[int, int, int, bytes]], split: np.ndarray | None = None) -> np.ndarray:
+    """The fragments' records; those of split keys (sorted) as one record for each start, keyed by its 100 bytes."""
     joined = b"".join(x[3] for x in todo)
     b = np.frombuffer(joined, np.uint8)
     ends = np.cumsum([len(x[3]) for x in todo])
     doc, start, starts, key, inner = fragments(b, ends)
-    out = np.zeros(len(doc), _RECORD)
-    begin = (ends - np.array([len(x[3]) for x in todo]))[doc] + start
+    begins = ends - np.array([len(x[3]) for x in todo])
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
+    alone = np.zeros(len(key), bool)
+    if split is not None and len(split) and len(key):
+        alone = split[np.minimum(np.searchsorted(split, key), len(split) - 1)] == key
+    if alone.any():
+        one_doc, one_start = np.repeat(doc[alone], starts[alone]), ranges(start[alone], starts[alone])
+        at = begins[one_doc] + one_start
+        own, other = (np.array([digest(view[a : a + SPAN], seed) for a in at.tolist()], _U) for seed in (HOT_SEED, HOT_SEED + 1))
+        keep = ~alone
+        doc, start, starts, key, inner = doc[keep], start[keep], starts[keep], key[keep], inner[keep]
+    out = np.zeros(len(doc), _RECORD)
+    begin = begins[doc] + start
     out["hash"] = np.array([digest(view[a:z]) for a, z in zip(begin.tolist(), (begin + starts + SPAN - 1).tolist(), strict=True)], _U)
-    out["key"], out["starts"], out["flag"] = key, starts, inner * 2
+    out["key"], out["starts"], out["flag"], out["start"] = key, starts, inner * 2, start
+    if alone.any():
+        more = np.zeros(len(own), _RECORD)
+        more["key"], more["hash"], more["starts"], more["start"] = own, other, 1, one_start
+        out, doc = np.concatenate((out, more)), np.concatenate((doc, one_doc))
+    out["start"] += np.array([x[2] for x in todo], np.uint32)[doc]
     out["doc"] = np.array([x[0] for x in todo], np.int64)[doc]
     out["text"] = np.array([x[1] for x in todo], np.int64)[doc]
-    out["start"] = np.array([x[2] for x in todo], np.int64)[doc] + start
     return out
 
 
@@ -180,10 +212,13 @@ def _bucket(hot: int):
             first = np.flatnonzero(new_key)
             size = np.diff(np.append(first, len(records)))
             group = np.cumsum(new_key) - 1
-            wanted = (size > 1) | (np.maximum.reduceat(records["flag"], first) > 0)
-            crowded = np.add.reduceat((~again).astype(np.int64), first) > hot
+            # Fragments that meet no other and hold no repeat of their own are done with; so is the first of equal ones.
+            distinct = np.add.reduceat((~again).astype(np.int64), first)
+            meeting = (distinct > 1) | (np.bitwise_or.reduceat(records["flag"], first) & 2 > 0)
+            text = np.add.reduceat(np.where(again, 0, records["starts"].astype(np.int64) + SPAN - 1), first)
+            crowded = (distinct > hot) | ((text > HOT_BYTES) & (distinct > 1))
             kind = np.where(again, COPY, np.where(crowded[group], HOT, MERGE))
-            keep = wanted[group]
+            keep = meeting[group] | again
             records, kind = records[keep], kind[keep]
         else:
             kind = np.zeros(0, np.int64)
@@ -217,7 +252,7 @@ def _cut(buckets: int):
                     if x["kind"] == HOT:
                         for i in range(x["starts"]):
                             texts.append(part[i : i + SPAN])
-                            pieces.append((xxhash.xxh64_intdigest(texts[-1], 11), doc, name, x["start"] + i, 1))
+                            pieces.append((xxhash.xxh64_intdigest(texts[-1], HOT_SEED), doc, name, x["start"] + i, 1))
                     else:
                         texts.append(part)
                         pieces.append((x["key"] & (2**64 - 1), doc, name, x["start"], x["starts"]))
@@ -230,83 +265,138 @@ def _cut(buckets: int):
     return run
 
 
-def _symbols(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A dense number for the 20 bytes at each place: equal numbers for equal bytes, nothing else."""
+def _blocks(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 20 bytes at each place, as two numbers of eight bytes and one of four."""
     x = np.append(text, np.zeros(STEP, np.uint8)).astype(_U)
     for width in (1, 2):
         x = (x[:-width] << _U(8 * width)) | x[width:]
-    four = x
     eight = (x[:-4] << _U(32)) | x[4:]
-    a, b, c = eight[at], eight[at + 8], four[at + 16]
-    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93):
-        h = (a ^ (a >> _U(32))) * _U(seed)
-        h = ((h ^ (h >> _U(29))) + b) * _U(seed)
-        h = ((h ^ (h >> _U(32))) + c) * _U(seed)
-        h ^= h >> _U(31)
-        order = np.argsort(h)
-        h = h[order]
-        new = np.append(True, h[1:] != h[:-1])
-        tied = np.flatnonzero(~new)
-        i, j = order[tied], order[tied - 1]
-        if ((a[i] == a[j]) & (b[i] == b[j]) & (c[i] == c[j])).all():
-            out = np.empty(len(at), np.uint32)
-            out[order] = np.cumsum(new)
-            return out
-    raise RuntimeError("four hash functions collided")
+    return eight[at], eight[at + 8], x[at + 16]
+
+
+def _hashed(blocks: tuple[np.ndarray, np.ndarray, np.ndarray], seed: int) -> np.ndarray:
+    a, b, c = blocks
+    s = _U(seed)
+    h = (a ^ (a >> _U(32))) * s
+    h = ((h ^ (h >> _U(29))) + b) * s
+    h = ((h ^ (h >> _U(32))) + c) * s
+    return h ^ (h >> _U(31))
+
 
+def _same(blocks: tuple, i: np.ndarray, j: np.ndarray) -> bool:
+    return all((x[i] == x[j]).all() for x in blocks)
 
-def merged_repeats(text: np.ndarray, starts: np.ndarray, shards: int = SHARDS) -> np.ndarray:
+
+def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank from 1): equal keys have equal ranks."""
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), _U)
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    sorted_keys = keys[order]
+    np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=new[1:])
+    rank[order] = np.cumsum(new, dtype=_U)
+    return order, rank
+
+
+class _Transform:
+    """A shard's multi-string Burrows-Wheeler transform over symbols of 20 bytes.
+
+    Suffixes start at every byte that a whole symbol follows, and go on in steps of a symbol to their fragment's end;
+    what ends sorts first. They are sorted by their first five symbols, by doubling: one, two, four, five.
+    """
+
+    def __init__(self, hashes: np.ndarray, blocks: tuple, lo: int, hi: int, local: np.ndarray, count: np.ndarray):
+        self.lo, n = lo, hi - lo
+        order, self.symbol = _dense(hashes[lo:hi])
+        first = np.flatnonzero(np.diff(self.symbol[order], prepend=_U(0)))
+        #: The dictionary: hashes of the symbols that occur, ascending, and a place of each.
+        self.names, self.at = hashes[lo + order[first]], lo + order[first]
+        tied = np.setdiff1d(np.arange(n), first, assume_unique=True)
+        self.sound = _same(blocks, lo + order[tied], lo + order[tied - 1])
+        self.rest = (count - local)[lo:hi]  # places of the fragment from here on
+        behind = lambda rank, k: np.where(self.rest > k, np.append(rank[k:], np.zeros(k, _U))[:n], _U(0))
+        _, two = _dense(self.symbol << _U(32) | behind(self.symbol, STEP))
+        _, four = _dense(two << _U(32) | behind(two, 2 * STEP))
+        self.order, self.five = _dense(four << _U(32) | behind(self.symbol, 4 * STEP))
+
+    def occurrences(self) -> np.ndarray:
+        """For each symbol, the places of the transform at which it stands, plus one; 0 for a symbol that nothing follows."""
+        place = np.empty(len(self.order), _U)
+        place[self.order] = np.arange(1, len(self.order) + 1, dtype=_U)
+        n = len(place)
+        after = np.where(self.rest > STEP, np.append(place[STEP:], np.zeros(STEP, _U))[:n], _U(0))
+        return np.sort(self.symbol << _U(32) | after)
+
+
+def _interleaved(a: _Transform, b: _Transform, blocks: tuple) -> np.ndarray | None:
+    """For each suffix of a: the place in b's order of the suffixes with the same five symbols, -1 if there are none. None if hashes collide."""
+    at = np.searchsorted(b.names, a.names)
+    known = np.flatnonzero(at < len(b.names))
+    known = known[b.names[at[known]] == a.names[known]]
+    if not _same(blocks, a.at[known], b.at[at[known]]):
+        return None
+    there = np.zeros(len(a.names) + 1, bool)
+    there[known + 1] = True
+    base = np.zeros(len(a.names) + 1, _U)
+    base[1:] = (at.astype(_U) + _U(1)) << _U(32)  # b's number of the symbol
+    listed = b.occurrences()
+    # Only suffixes whose symbol b has can stay intervals; they are asked in a's order, so that queries ascend.
+    going = a.order[there[a.symbol[a.order]]]
+    n = len(a.symbol)
+    low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    head = base[a.symbol[going]]
+    low[going] = np.searchsorted(listed, head)
+    high[going] = np.searchsorted(listed, head | _U(len(listed) + 1))
+    for _ in range(SPAN // STEP - 1):
+        going = going[a.rest[going] > STEP]
+        going = going[high[going + STEP] > low[going + STEP]]
+        head = base[a.symbol[going]]
+        new_low = np.searchsorted(listed, head | (low[going + STEP] + 1).astype(_U))
+        new_high = np.searchsorted(listed, head | (high[going + STEP] + 1).astype(_U))
+        low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        low[going], high[going] = new_low, new_high
+    return np.where(high > low, low, -1)
+
+
+def merged_repeats(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Of all starts of all fragments, one after another: does its 100-byte string start earlier in this list?
 
     text: the fragments one after another; starts: the number of starts of each, in ascending order of their place in the corpus.
     """
     sizes = starts + SPAN - 1
-    count = sizes - STEP + 1  # places with a whole block
-    n = int(count.sum())
-    owner = np.repeat(np.arange(len(starts)), count)
-    local = ranges(np.zeros(len(starts), np.int64), count)
-    place = ranges(np.cumsum(sizes) - sizes, count)
-    symbol = _symbols(text, place)
-    has_before, is_end = local >= STEP, local + STEP >= count[owner]
-    # Each shard: whole fragments. Its transform: the blocks before its suffixes, in the order of their first 100 bytes.
-    shards = max(1, min(shards, len(starts)))
-    edge = np.append(0, np.cumsum(count))[np.linspace(0, len(starts), shards + 1).astype(int)]
-    orders, transforms, ends = [], [], []
-    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-        last = lo + np.flatnonzero(is_end[lo:hi])
-        order = lo + stable_order(symbol[lo:hi])
-        for _ in range(SPAN // STEP - 1):
-            order = np.concatenate((last, order[has_before[order]] - STEP))
-            order = order[stable_order(symbol[order])]
-        orders.append(order)
-        ends.append(last)
-        transforms.append(np.where(has_before[order], symbol[order - STEP * has_before[order]], 0))
-    sizes_of = [len(x) for x in orders]
-    before = np.concatenate(transforms)
-    end_symbol = symbol[np.concatenate(ends)]
-    end_shard = np.repeat(np.arange(shards, dtype=np.uint8), [len(x) for x in ends])
-    mix = np.repeat(np.arange(shards, dtype=np.uint8), sizes_of)  # the interleave
-    block = np.zeros(n, np.int64)
-    handed = np.empty(n, before.dtype)
-    for depth in range(SPAN // STEP):
-        handed[np.argsort(mix, kind="stable")] = before
-        going = handed > 0
-        listed = np.concatenate((end_symbol, handed[going]))
-        order = stable_order(listed)
-        mix = np.concatenate((end_shard, mix[going]))[order]
-        block = np.concatenate((np.full(len(end_symbol), -1 if depth else 0), block[going]))[order]  # nothing after a text's end equals anything
-        listed = listed[order]
-        block = np.cumsum(np.append(False, (listed[1:] != listed[:-1]) | (block[1:] != block[:-1])))
-    suffix = np.empty(n, np.int64)
-    suffix[np.argsort(mix, kind="stable")] = np.concatenate(orders)
-    # Intervals: what is one block after 100 bytes.
-    real = local[suffix] < starts[owner[suffix]]
-    suffix, block = suffix[real], block[real]
-    first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    earliest = np.repeat(np.minimum.reduceat(suffix, first), np.diff(np.append(first, len(block))))
-    repeat = np.zeros(n, bool)
-    repeat[suffix] = suffix != earliest
-    return repeat[local < starts[owner]]
+    counts = sizes - STEP + 1  # places with a whole symbol
+    n = int(counts.sum())
+    count = np.repeat(counts, counts)
+    local = ranges(np.zeros(len(starts), np.int64), counts)
+    real = local < np.repeat(starts, counts)
+    blocks = _blocks(text, ranges(np.cumsum(sizes) - sizes, counts))
+    ends = np.cumsum(counts)
+    cut = int(ends[np.searchsorted(ends, n // 2)]) if len(starts) > 1 else n  # the shards are whole fragments
+    edges = [(0, cut)] + ([(cut, n)] if cut < n else [])
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93):
+        hashes = _hashed(blocks, seed)
+        shards = [_Transform(hashes, blocks, lo, hi, local, count) for lo, hi in edges]
+        if not all(s.sound for s in shards):
+            continue
+        repeat = np.zeros(n, bool)
+        for s, (lo, hi) in zip(shards, edges, strict=True):
+            own = np.flatnonzero(real[lo:hi])
+            first = np.empty(hi - lo + 1, np.int64)
+            first[s.five[own[::-1]]] = own[::-1]  # of equal ones the last written is the earliest
+            repeat[lo + own] = first[s.five[own]] != own
+        if len(shards) == 2:
+            a, b = shards
+            met = _interleaved(a, b, blocks)
+            if met is None:
+                continue
+            met = met[real[:cut] & (met >= 0)]
+            # What a has too starts earlier there. b's interval is the class of the suffix at its first place.
+            seen = np.zeros(n - cut + 1, bool)
+            seen[b.five[b.order[met]]] = True
+            repeat[cut:] |= seen[b.five] & real[cut:]
+        return repeat[real]
+    raise RuntimeError("four hash functions collided")
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -374,22 +464,32 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def _split_keys(base: DataFrame, hot_fragments: int) -> np.ndarray:
+    """Keys that the sample shows to be crowded, ascending; of very many, those with the most fragments. Others are dealt with in _bucket."""
+    some = base.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(SAMPLE)) == 0)
+    seen = some.mapInArrow(_keys, "key long, hash long").distinct().groupBy("key").count()
+    crowded = seen.where(F.col("count") >= max(2, hot_fragments // (2 * SAMPLE))).orderBy(F.col("count").desc(), "key").limit(MOST_SPLIT)
+    return np.sort(np.array([r.key for r in crowded.collect()], np.int64).view(_U))
+
+
 def suffix_dedup(docs: DataFrame, hot_fragments: int = 50_000, buckets: int | None = None) -> DataFrame:
-    """One row per document: n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans (see the module's text).
+    """One row per row: n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans (see the module's text).
 
-    hot_fragments: from so many distinct fragments of one key on, that key is dealt anew by whole 100-byte strings.
+    hot_fragments: from so many distinct fragments of one key on, that key is dealt by whole 100-byte strings.
     """
-    base = id_and_text(docs).dropDuplicates(["doc_id", "text"]) if _repeats_ids(docs) else id_and_text(docs)
+    every = id_and_text(docs)
+    base = every.dropDuplicates(["doc_id", "text"]) if _repeats_ids(docs) else every
     buckets = buckets or buckets_for(docs, 8)
-    sent = base.mapInArrow(_scan(buckets), "bucket int, blob binary")
+    split = _split_keys(base, hot_fragments)
+    sent = base.mapInArrow(_scan(buckets, split), "bucket int, blob binary")
     found = materialize(sent.groupBy("bucket").applyInArrow(_bucket(hot_fragments), _FOUND), "suffix-fragments")
-    named = base.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    name = lambda df: df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     listed = found.where(F.col("kind") != COPY).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "start", "starts", "kind")).alias("listed"))
-    pieces = named.join(listed.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "listed")
+    pieces = name(base).join(listed.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "listed")
     merged = pieces.mapInArrow(_cut(buckets), "bucket int, n int, blob binary").groupBy("bucket").applyInArrow(_merge, "doc_id long, text_hash long, a long, z long")
     copies = found.where(F.col("kind") == COPY).select("doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("starts") - 1).alias("z"))
     spans = merged.unionByName(copies).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
-    whole = named.join(spans.hint("shuffle_hash"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
+    whole = name(every).join(spans.hint("shuffle_hash"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
     out = whole.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_starts array<long>, span_ends array<long>")
     return out.select(id_back(), *[c for c in out.columns if c != "doc_id"])
 

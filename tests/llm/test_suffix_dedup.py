@@ -71,15 +71,87 @@ def test_merge_of_shards_matches_plain_search():
             x = t[s : s + 100].tobytes()
             want.append(x in seen)
             seen.add(x)
-    for shards in (1, 2, 5, 40):
-        assert m.merged_repeats(joined, np.array([len(t) - 99 for t in texts]), shards).tolist() == want
+    starts = np.array([len(t) - 99 for t in texts])
+    assert m.merged_repeats(joined, starts).tolist() == want
+    for k in (1, 2, 3, 7):  # fewer texts: shards of one or two
+        n, size = int(starts[:k].sum()), sum(map(len, texts[:k]))
+        assert m.merged_repeats(joined[:size], starts[:k]).tolist() == want[:n]
+
+
+def test_interleave_of_transforms_is_the_number_of_smaller_suffixes():
+    """Rank queries against the other shard's transform give each suffix's class there; checked against all pairs."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 99, int(n), dtype=np.uint8) for n in rng.integers(100, 180, 12)]
+    texts += [t[: int(rng.integers(100, len(t) + 1))] for t in texts[:8]]
+    joined, counts = np.concatenate(texts), np.array([len(t) - 19 for t in texts])
+    n = int(counts.sum())
+    local, count = m.ranges(np.zeros(len(counts), np.int64), counts), np.repeat(counts, counts)
+    sizes = counts + 19
+    places = m.ranges(np.cumsum(sizes) - sizes, counts)
+    blocks = m._blocks(joined, places)
+    hashes = m._hashed(blocks, 0x9E3779B97F4A7C15)
+    cut = int(np.cumsum(counts)[9])
+    a, b = m._Transform(hashes, blocks, 0, cut, local, count), m._Transform(hashes, blocks, cut, n, local, count)
+    met = m._interleaved(a, b, blocks)
+    whole = [joined[p : p + 100].tobytes() if c - i > 80 else None for p, i, c in zip(places.tolist(), local.tolist(), count.tolist(), strict=True)]
+    there = {w for w in whole[cut:] if w}
+    for i in range(cut):
+        if whole[i]:
+            assert (met[i] >= 0) == (whole[i] in there)
+            if met[i] >= 0:
+                assert whole[cut + b.order[met[i]]] == whole[i] and (met[i] == 0 or whole[cut + b.order[met[i] - 1]] != whole[i])
+
+
+def hashed_brute(rows):
+    """brute() by 64-bit hashes of the strings, for larger inputs."""
+    import xxhash
+
+    raws = [t.encode() for _, t in rows]
+    all_hashes = np.array([xxhash.xxh64_intdigest(memoryview(r)[s : s + 100]) for r in raws for s in range(len(r) - 99)], np.uint64)
+    _, first = np.unique(all_hashes, return_index=True)
+    again = np.ones(len(all_hashes), bool)
+    again[first] = False
+    out, at = [], 0
+    for (doc, _), raw in zip(rows, raws, strict=True):
+        n = max(0, len(raw) - 99)
+        edge = np.zeros(len(raw) + 1, np.int64)
+        on = np.flatnonzero(again[at : at + n])
+        np.add.at(edge, on, 1)
+        np.add.at(edge, on + 100, -1)
+        cover, at = np.cumsum(edge)[:-1] > 0, at + n
+        spans = int((np.diff(cover.astype(int), prepend=0) == 1).sum())
+        out.append((doc, len(raw), int(cover.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~cover].tobytes()).hexdigest()))
+    return out
+
+
+def test_one_key_in_very_many_fragments(spark):
+    """A passage between words that differ in each of 20,000 documents: found by the sample, dealt by whole strings."""
+    r = random.Random(2)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(130))
+    rows = [(i, f"{i * 7919 % 100003:06d} {r.random():.9f} {passage} {r.random():.9f}, {i}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    split = m._split_keys(m.id_and_text(df), 1000)
+    assert 1 <= len(split) < 200
+    dealt = df.select("doc_id", "text").mapInArrow(m._scan(64, split), "bucket int, blob binary")
+    sizes = [x.n for x in dealt.groupBy("bucket").agg(F.sum(F.length("blob")).alias("n")).collect()]
+    assert max(sizes) < 0.2 * sum(sizes), (max(sizes), sum(sizes))
+    assert got(m.suffix_dedup(df, hot_fragments=1000)) == hashed_brute(rows)
+    assert got(m.suffix_dedup(df.limit(0).union(df.where("doc_id < 3000")), hot_fragments=3)) == hashed_brute(rows[:3000])
+
+
+def test_very_long_text(spark):
+    r = random.Random(9)
+    part = "".join(r.choice("abcdefghij klmnop") for _ in range(700_000))
+    rows = [(1, part[:400_000] + part * 7 + "end"), (2, part[1000:1500])]
+    assert len(rows[0][1]) > 5_000_000
+    assert got(m.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == hashed_brute(rows)
 
 
 def test_edge_rows(spark):
     long = "word and another word, " * 20
     df = spark.createDataFrame([(3, None, 1), (None, long, 2), (4, long, 3), (4, long, 3), (5, "", None)], "doc_id long, text string, n_bytes int")
     rows = {r.doc_id: r for r in m.suffix_dedup(df).collect()}
-    assert len(rows) == 4 and rows[3].n_bytes == 0 and rows[5].n_removed == 0
+    assert len(rows) == 4 and m.suffix_dedup(df).count() == 5 and rows[3].n_bytes == 0 and rows[5].n_removed == 0
     assert rows[4].n_removed == len(long) and rows[4].n_spans == 1
     assert 0 < rows[None].n_removed < len(long)
     assert m.suffix_dedup(df.where(F.lit(False))).count() == 0
