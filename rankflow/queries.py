@@ -581,3 +581,6 @@ def boost_train(spark, d):
 @query()
 def find_step(spark, d):
     return findstep.best_step(_ranked(spark, d).withColumn("step", F.col("tie") % 10 * -1.0), "q", "label", "score", "step", 0.0, 5.0, 3)
+
+
+from rankflow import more_queries  # noqa: E402, F401  registers its queries here

@@ -66,14 +66,15 @@ def write_history(spark: SparkSession, history: list[dict[str, float]], path: st
 def write_uri(r: Relation, uri: str) -> None:
     scheme, _, rest = uri.partition(":")
     compression = next((name for end, name in ((".gz", "gzip"), (".bz2", "bzip2"), (".zst", "zstd")) if uri.endswith(end)), None)
+    bare = uri[: uri.rindex(".")] if compression else uri
     if uri in ("null", "nul"):
         write_nothing(r)
     elif scheme in ("records", "recs"):
         write_records(r, rest)
     elif scheme in ("store", "tstore"):
         write_store(r, rest)
-    elif uri.removesuffix(".gz").endswith((".csv", ".tsv")):
-        write_table(r, uri, "," if ".csv" in uri else "\t", compression=compression)
+    elif bare.endswith((".csv", ".tsv")):
+        write_table(r, uri, "," if bare.endswith(".csv") else "\t", compression=compression)
     elif uri.endswith(".parquet"):
         write_records(r, uri)
     elif uri.endswith(".xml"):
