@@ -8,7 +8,9 @@ Text documents take part as 8-bit mono sound: their bytes, filled up with 255 to
 samples of a RIFF/WAVE file, which holds them without loss.
 
 Defined cases: null text or value is empty; empty values have no type; ids may be null or repeat; equal values give
-equal results; a row gives a row.
+equal results; a row gives a row, so an empty table gives an empty result; texts and values of any length are read as a
+whole; of items that start at one place the first format in the list counts; text_media reads doc_id and text only, and
+sniffed keeps all columns, a column `sniffed` of the same name excepted.
 """
 
 from __future__ import annotations
@@ -162,16 +164,67 @@ def _ogg(d: Data, at: int) -> int | None:
     return i if i > at else None
 
 
+@cache
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    table = []
+    for byte in range(256):
+        crc = byte << (bits - 8)
+        for _ in range(8):
+            crc = (crc << 1) ^ (polynomial if crc >> (bits - 1) & 1 else 0)
+        table.append(crc & ((1 << bits) - 1))
+    return table
+
+
+def _flac_header(raw: bytes, at: int) -> tuple[int, int] | None:
+    """(samples in the frame, where its header ends) of a frame at a place, if its own checksum holds."""
+    if at + 6 > len(raw) or raw[at] != 0xFF or raw[at + 1] & 0xFE != 0xF8 or raw[at + 3] & 1:
+        return None
+    size, rate, i = raw[at + 2] >> 4, raw[at + 2] & 15, at + 4
+    lead = raw[i]
+    i += 1 if lead < 0x80 else max(2, 8 - (lead ^ 0xFF).bit_length()) if lead >= 0xC0 else 99
+    extra = i
+    i += (1 if size == 6 else 2 if size == 7 else 0) + (1 if rate == 12 else 2 if rate in (13, 14) else 0)
+    if size == 0 or rate == 15 or i >= len(raw):
+        return None
+    table, crc = _crc_table(0x07, 8), 0
+    for byte in raw[at:i]:
+        crc = table[crc ^ byte]
+    if crc != raw[i]:
+        return None
+    samples = 192 if size == 1 else 576 << (size - 2) if size < 6 else raw[extra] + 1 if size == 6 else int.from_bytes(raw[extra : extra + 2], "big") + 1 if size == 7 else 256 << (size - 8)
+    return samples, i + 1
+
+
 def _flac(d: Data, at: int) -> int | None:
-    i, first = at + 4, True
-    while (head := d.number(">I", i)) >= 0:
+    """Metadata blocks, then frames: each begins with a header that its checksum confirms and ends where the checksum of all of it does."""
+    i, first, info = at + 4, True, at + 8
+    while True:
+        head = d.number(">I", i)
         size = head & 0xFFFFFF
-        if (first and (head >> 24 & 127 or size != 34)) or i + 4 + size > len(d.raw):
+        if head < 0 or (first and (head >> 24 & 127 or size != 34)) or i + 4 + size > len(d.raw):
             return None
         i, first = i + 4 + size, False
         if head >> 31:
-            return len(d.raw)  # frames have no stated end
-    return None
+            break
+    raw = d.raw
+    least, most = int.from_bytes(raw[info + 4 : info + 7], "big"), int.from_bytes(raw[info + 7 : info + 10], "big")
+    total = int.from_bytes(raw[info + 13 : info + 18], "big") & ((1 << 36) - 1)
+    table, seen = _crc_table(0x8005, 16), 0
+    while not total or seen < total:
+        found = _flac_header(raw, i)
+        if not found:
+            return None if total else i  # where the number of samples is not told, frames go on as long as there are any
+        samples, body = found
+        crc, stop = 0, min(len(raw), i + most) if most else len(raw)
+        for k in range(i, stop):
+            crc = (crc << 8 & 0xFFFF) ^ table[crc >> 8 ^ raw[k]]
+            z = k + 1
+            if crc == 0 and z >= max(body + 3, i + least) and (seen + samples >= total or _flac_header(raw, z)):
+                break
+        else:
+            return None
+        i, seen = z, seen + samples
+    return i
 
 
 def _mp4(d: Data, at: int) -> int | None:

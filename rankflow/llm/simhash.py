@@ -8,7 +8,9 @@ the smallest member is linked to the others, never all pairs. Equal fingerprints
 that. A prefix with many fingerprints is worked off in parts by further bits.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like any other; fewer words than a shingle
-give one shingle of all of them; a null doc_id is the smallest id; repeated rows give a row each.
+give one shingle of all of them; a bit that exactly half of the hashes have is 0; a null doc_id is the smallest id; repeated
+rows give a row each; texts of any length are read as a whole; an empty table gives an empty result; simhash_classes reads
+doc_id and text only, keep_one keeps all columns, whatever they are called.
 """
 
 from __future__ import annotations

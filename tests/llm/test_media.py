@@ -17,6 +17,27 @@ def png():
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0ab\0cd")) + chunk(b"IEND", b"")
 
 
+def crc(raw, polynomial, bits):
+    value = 0
+    for byte in raw:
+        value ^= byte << (bits - 8)
+        for _ in range(8):
+            value = (value << 1 ^ (polynomial if value >> (bits - 1) & 1 else 0)) & ((1 << bits) - 1)
+    return value
+
+
+def flac(frames=3, told=True):
+    """Frames of 192 equal samples each."""
+    parts = []
+    for k in range(frames):
+        head = bytes([0xFF, 0xF8, 0x14, 0x08, k])
+        body = head + bytes([crc(head, 0x07, 8)]) + bytes([0, 0, 40 + k])
+        parts.append(body + crc(body, 0x8005, 16).to_bytes(2, "big"))
+    sizes = (11).to_bytes(3, "big") * 2
+    info = struct.pack(">HH", 192, 192) + sizes + ((44100 << 44) | (15 << 36) | (192 * frames if told else 0)).to_bytes(8, "big") + bytes(16)
+    return b"fLaC" + struct.pack(">I", 0x80000022) + info + b"".join(parts)
+
+
 def samples():
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
@@ -31,7 +52,7 @@ def samples():
         "zip": z.getvalue(),
         "gzip": gzip.compress(b"some text" * 50),
         "mp4": struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0) + struct.pack(">I4s", 12, b"mdat") + b"abcd",
-        "flac": b"fLaC" + struct.pack(">I", 0x80000022) + bytes(34),
+        "flac": flac(),
     }
 
 
@@ -44,6 +65,23 @@ def test_each_format_is_known_corrected_and_carved():
         assert [(x.kind, x.end - x.start) for x in found] == [(kind, len(raw))], kind
 
 
+def test_flac_ends_with_its_last_frame():
+    for raw in (flac(), flac(told=False), flac(1), flac(40)):
+        found = m.items(b"xx" + raw + b"what follows it, of any kind")
+        assert [(x.kind, x.start, x.end) for x in found] == [("flac", 2, 2 + len(raw))]
+    assert m.items(flac()[:-1]) == [] and m.items(flac()[:60] + b"\1" + flac()[61:]) == []
+
+
+def test_very_long_values(spark):
+    text = "é and more of it, " * 150_000
+    (row,) = m.text_media(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    raw = text.encode()
+    padded = raw + b"\xff" * (-len(raw) % 576)
+    assert (row.n_bytes, row.payload_bytes, row.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
+    assert m.sniff(b"x" * 3_000_000 + png() + b"y" * 3_000_000)[2][0][:2] == ("png", 3_000_000)
+    assert m.text_media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_damage_is_seen():
     raw = bytearray(png())
     raw[20] ^= 1

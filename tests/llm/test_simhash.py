@@ -78,6 +78,14 @@ def test_against_brute_force(spark):
     assert got == {i: (f"{prints[i]:016x}", want[i]) for i in rows}
 
 
+def test_very_long_texts_and_even_bits():
+    r = random.Random(6)
+    for n in (65_536 + 3, 65_537 + 3, 140_001):  # shingles at and beyond the edges of a part
+        text = " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n))
+        assert m.fingerprint(text.encode()) == brute_print(text)
+    assert m.fingerprint(b"a b c d e") == brute_print("a b c d e")  # two shingles: bits that one of them has are 0
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(4, None, "a"), (2, " \t\n", "b"), (None, "One two", None), (7, "one  TWO", "c"), (7, "one  TWO", "c"), (9, "ONE É two " * 9, "d")], "doc_id long, text string, print string")
     rows = m.simhash_classes(df).collect()
