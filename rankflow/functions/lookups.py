@@ -21,6 +21,19 @@ def file_format(kind: Column) -> Column:
     return mapped(kind, FORMATS, "Unknown")
 
 
+def parsed_settings(lines: DataFrame, defaults: dict[str, str] | None = None, column: str = "value") -> DataFrame:
+    """(name, setting) of key=value lines: names in lower case, both trimmed; of several lines of a name the greatest counts;
+    comments (#, ;), [sections] and lines without = are left out; defaults stand where no line names them."""
+    line = F.trim(F.col(column))
+    kept = lines.where(line.contains("=") & ~line.rlike(r"^[#;\[]"))
+    found = kept.select(F.lower(F.trim(F.substring_index(line, "=", 1))).alias("name"), F.trim(F.substring(line, F.locate("=", line) + 1, F.length(line))).alias("setting"))
+    found = found.groupBy("name").agg(F.max("setting").alias("setting"))
+    if not defaults:
+        return found
+    base = lines.sparkSession.createDataFrame([(k.lower(), v) for k, v in defaults.items()], "name string, default string")
+    return base.join(found, "name", "full").select("name", F.coalesce("setting", "default").alias("setting"))
+
+
 def inherited(df: DataFrame, name: str, levels: list[tuple[DataFrame, list[str]]], default: object = None) -> DataFrame:
     """df with the setting `name` of the first level that has one for the row's keys, else default.
 

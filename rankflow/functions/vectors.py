@@ -18,6 +18,30 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(squared_distance(a, b))
 
 
+def filled(size: int, value: float) -> Column:
+    return F.array_repeat(F.lit(float(value)), size)
+
+
+def span(low: int, high: int, step: int = 1) -> Column:
+    """low, low + step, ... below high, as doubles."""
+    return F.array(*[F.lit(float(x)) for x in range(low, high, step)]).cast("array<double>")
+
+
+def sliced(a: Column, start: int, size: int) -> Column:
+    """`size` values from a place on, which counts from 0; fewer at the end."""
+    return F.slice(a, start + 1, size)
+
+
+def picked(a: Column, places: list[int]) -> Column:
+    """The values at places from 0, in their order; null beyond the end."""
+    return F.array(*[F.get(a, F.lit(i)) for i in places])
+
+
+def compressed(a: Column, mask: Column) -> Column:
+    """The values whose place is true in an array of flags."""
+    return F.transform(F.filter(F.arrays_zip(a.alias("x"), mask.alias("m")), lambda z: z["m"]), lambda z: z["x"])
+
+
 def cumulative(df: DataFrame, value: str, by: list[str], order: list[str], out: str = "cumulative") -> DataFrame:
     """Running sums within groups."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

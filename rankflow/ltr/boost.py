@@ -324,8 +324,12 @@ def _trimmed(rows: DataFrame, s: Settings, k: int, iteration: int) -> DataFrame:
     return rows.where(at > limit)
 
 
-def train(df: DataFrame, features: list[str], label: str, settings: Settings, group: str | None = None, valid: DataFrame | None = None) -> Ensemble:
-    """Fit an ensemble. group: the query column, for pair losses. valid: rows whose error is kept in history."""
+def train(df: DataFrame, features: list[str], label: str, settings: Settings, group: str | None = None, valid: DataFrame | None = None, learner: Callable[..., Tree] | None = None, measure: Callable[[DataFrame], dict[str, float]] | None = None) -> Ensemble:
+    """Fit an ensemble. group: the query column, for pair losses. valid: rows whose error is kept in history.
+
+    learner: a weak learner of the user's own, with grow()'s arguments; measure: what history keeps of the scored valid rows.
+    """
+    learner = learner or grow
     s = settings
     if s.loss in PAIR_LOSSES and group is None:
         raise ValueError("pair losses need a group")
@@ -342,14 +346,14 @@ def train(df: DataFrame, features: list[str], label: str, settings: Settings, gr
     rows = _kept(rows.select(*df.columns, "codes", "_id", *[F.lit(model.base).alias(f"_f{k}") for k in range(many)]))
     for i in range(s.trees):
         work = _responses(_share(rows, s, i, group), s, label, group).persist()
-        trees = [grow(_trimmed(work, s, k, i), features, books, s, f"_r{k}", f"_w{k}", label, f"_f{k}", _allowed(len(features), s, i)) for k in range(many)]
+        trees = [learner(_trimmed(work, s, k, i), features, books, s, f"_r{k}", f"_w{k}", label, f"_f{k}", _allowed(len(features), s, i)) for k in range(many)]
         work.unpersist()
         model.trees.append(trees)
         rows = rows.withColumns({f"_f{k}": F.col(f"_f{k}") + t.column() for k, t in enumerate(trees)})
         if i % s.refresh == s.refresh - 1:
             rows = _kept(rows)
         if valid is not None:
-            model.history.append({"iteration": i + 1} | _measured(model, valid, label, s, group))
+            model.history.append({"iteration": i + 1} | (measure(model.predict(valid)) if measure else _measured(model, valid, label, s, group)))
     return model
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankflow.storage import ranged, starts_of
+from rankflow.storage import numbered_rows, ranged, starts_of
 
 META = "m:"
 #: Grades by name.
@@ -72,6 +72,11 @@ def without_degenerate(df: DataFrame, group: str, label: str) -> DataFrame:
     return df.join(mixed, group, "left_semi")
 
 
+def own_groups(df: DataFrame, order: list[str], out: str = "group_no") -> DataFrame:
+    """Every row a group of its own, numbered from 0 in an order."""
+    return numbered_rows(df, order, out)
+
+
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
     """(group, size, start): sizes, and the rows before each group in the order of ids. Groups, not rows, meet in the running sum."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow import columns
-from rankflow.functions import bits, dates, lookups, segments, text, urls, vectors
+from rankflow.functions import bits, dates, lookups, segments, strings, text, urls, vectors
 from rankflow.ltr import boost, data, findstep, metrics, model_io, quantize, transforms
 from rankflow.operators import filtering, joins, ordering, projection, reduction
 from rankflow.plans.expression import evaluate
@@ -140,6 +140,38 @@ def shuffled_rows(spark, d):
     return ordering.shuffled(_t(spark, d, "nation").df.select("n_nationkey", "n_name"))
 
 
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS group_no FROM orders")
+def own_groups(spark, d):
+    return data.own_groups(_t(spark, d, "orders").df.select("o_orderkey"), ["o_orderkey"])
+
+
+@query("SELECT count(*)::BIGINT AS records, sum(strlen(c_name))::BIGINT AS bytes FROM customer")
+def observed_records(spark, d):
+    """What an observation holds of a relation that was written to nothing."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    writers.write_nothing(reduction.observed(_t(spark, d, "customer", "c_name"), seen))
+    return spark.createDataFrame([(seen.get["records"], seen.get["bytes"])], "records long, bytes long")
+
+
+@query("SELECT s_suppkey, (s_suppkey % 7)::INTEGER AS bucket FROM supplier")
+def hashed_buckets(spark, d):
+    """Buckets by a hasher of the user's own."""
+    return ordering.bucketed(_t(spark, d, "supplier"), 7, lambda key: key.cast("long")).df.select("s_suppkey", "bucket")
+
+
+filtering.register_operator("keys_only", lambda r: r.with_df(r.df.select(*r.keys).distinct()))
+filtering.load_filter("def accept(batches):\n    for b in batches:\n        yield b[b.n_regionkey % 2 == 0]\n", "even_regions")
+
+
+@query("SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey % 2 = 0")
+def filter_source(spark, d):
+    """A filter from its source, then an operator over the whole relation."""
+    nation = Relation(_t(spark, d, "nation").df, ("n_regionkey",), "table", "nation")
+    return evaluate(spark, "nation ^ Filter(even_regions) ^ Apply(keys_only)", {"nation": nation}).df
+
+
 # --- Sources and sinks, read back
 
 
@@ -240,6 +272,27 @@ def sink_history_best(spark, d):
     return metrics.best_iteration(back, "rmse", higher=False)
 
 
+@query("SELECT n_regionkey, sum(n_nationkey)::BIGINT AS total FROM nation GROUP BY 1")
+def store_push(spark, d):
+    """Records pushed one by one, reduced as the store is written."""
+    path = new_path(spark, "push") + "/store"
+    pusher = writers.StorePusher(spark, "n_regionkey int, total long", "n_regionkey", buffer=10)
+    for row in _t(spark, d, "nation").df.collect():  # 25 rows
+        pusher.add(row.n_regionkey, row.n_nationkey)
+    pusher.write(path, lambda r: reduction.reduce(r, {"total": F.sum}))
+    return readers.store(spark, path).df
+
+
+@query("SELECT count(*)::BIGINT AS lines, 2::BIGINT AS files FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)")
+def concatenate_files(spark, d):
+    folder = new_path(spark, "files")
+    for name, column in (("nation", "n_name"), ("region", "r_name")):
+        _t(spark, d, name).df.select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    writers.concatenated(spark, [f"{folder}/nation", f"{folder}/region"], f"{folder}/both")
+    sums = writers.file_checksums(spark, f"{folder}/*/part-*").where("bytes > 0 and path not like '%/both/%'").agg(F.count_distinct("sha256").alias("files"))
+    return readers.lines(spark, f"{folder}/both").df.agg(F.count(F.lit(1)).alias("lines")).crossJoin(sums)
+
+
 # --- Text, keys, URLs, dates, bits
 
 
@@ -358,6 +411,28 @@ def file_formats(spark, d):
     return _t(spark, d, "nation").df.select("n_nationkey", lookups.file_format(kind).alias("format"))
 
 
+@query("""SELECT page_id, contains(url, 'example') AS has, starts_with(url, 'https') AS https, suffix(url, '#top') AS top, instr(url, '/') - 1 AS slash, url[1:4] || '--' || url[5:] AS inserted, url[1:2] || url[6:] AS removed, url[4:8] AS part,
+lpad(page_id::VARCHAR, greatest(length(page_id::VARCHAR), 3)::INTEGER, '0') AS "left", rpad(page_id::VARCHAR, greatest(length(page_id::VARCHAR), 3)::INTEGER, '.') AS "right", replace(url, 'example', 'x') AS replaced, len(regexp_split_to_array(url, '[/?]')) AS parts, trim(url, 'ht') AS trimmed, lower('A  B ' || url) AS normal, page_id || '+' || page_id AS joined FROM (SELECT page_id, url FROM pages)""")
+def string_methods(spark, d):
+    u, p = F.col("url"), F.col("page_id")
+    return _t(spark, d, "pages").df.select(
+        "page_id", strings.contains(u, "example").alias("has"), strings.starts_with(u, "https").alias("https"), strings.ends_with(u, "#top").alias("top"), strings.index_of(u, "/").cast("long").alias("slash"), strings.insert(u, 4, "--").alias("inserted"),
+        strings.remove(u, 2, 3).alias("removed"), strings.substring(u, 3, 5).alias("part"), strings.pad_left(p, 3, "0").alias("left"), strings.pad_right(p, 3, ".").alias("right"), strings.replace(u, "example", "x").alias("replaced"),
+        F.size(strings.split(u, "/?")).cast("long").alias("parts"), strings.trim(u, "ht").alias("trimmed"), F.concat(F.lit("a  b "), strings.normalize(u)).alias("normal"), strings.join("+", p, p).alias("joined"),
+    )
+
+
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
+def checksums(spark, d):
+    return _t(spark, d, "documents").df.select("doc_id", strings.checksums(F.col("text").cast("binary")).alias("c")).select("doc_id", "c.md5", "c.sha1", "c.sha256")
+
+
+@query("SELECT 'depth' AS name, '7' AS setting UNION ALL SELECT 'path', '/a=b' UNION ALL SELECT 'size', '10'")
+def settings_lines(spark, d):
+    lines = spark.createDataFrame([("# note = 1",), (" Size = 10",), ("size=05",), ("[part]",), ("path = /a=b",), ("",), ("none",)], "value string")
+    return lookups.parsed_settings(lines, {"Depth": "7", "SIZE": "1"})
+
+
 # --- Segments
 
 _PAIR_SQL = "p AS (SELECT l_orderkey, l_linenumber, l_partkey, [l_quantity, l_tax * 100, l_discount * 100] AS a, [l_linenumber::DOUBLE, 5.0, 4.0] AS b, l_partkey % 8 AS mask FROM lineitem)"
@@ -426,6 +501,15 @@ def distance_matrix(spark, d):
     return vectors.distance_matrix(df, "n_nationkey", "v", ["n_regionkey"])
 
 
+@query("SELECT p_partkey, 9.0::DOUBLE AS made, (p_size * 2.0 + p_partkey)::DOUBLE AS sliced, (p_partkey * 10.0 + p_size)::DOUBLE AS picked, (p_size + p_size * 2)::DOUBLE AS compressed FROM part")
+def array_helpers(spark, d):
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    size, key = F.col("p_size").cast("double"), F.col("p_partkey").cast("double")
+    a = F.array(size, size * 2, key)
+    pick = vectors.picked(a, [2, 0])
+    return _t(spark, d, "part").df.select("p_partkey", (total(vectors.filled(2, 1.5)) + total(vectors.span(0, 6, 2))).alias("made"), total(vectors.sliced(a, 1, 5)).alias("sliced"), (pick[0] * 10 + pick[1]).alias("picked"), total(vectors.compressed(a, F.array(F.lit(True), F.lit(True), F.lit(False)))).alias("compressed"))
+
+
 # --- Labels, bins, features
 
 

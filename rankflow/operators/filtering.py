@@ -78,6 +78,32 @@ def user_filter(r: Relation, name: str) -> Relation:
     return r.with_df(out, keys=r.keys if all(k in out.columns for k in r.keys) else (out.columns[0],), ordering=None)
 
 
+def load_filter(source: str, name: str) -> None:
+    """Register the user filter that a Python source defines: a function `accept(batches)`, and `SCHEMA` if it changes the columns.
+
+    The source is run on the driver; the function goes to the executors. It is the user's own code.
+    """
+    space: dict[str, object] = {"__name__": f"filter_{name}"}
+    exec(compile(source, name, "exec"), space)
+    if not callable(space.get("accept")):
+        raise ValueError(f"{name}: a filter source defines accept(batches)")
+    register_filter(name, space["accept"], space.get("SCHEMA"))
+
+
+_OPERATORS: dict[str, Callable[[Relation], Relation]] = {}
+
+
+def register_operator(name: str, function: Callable[[Relation], Relation]) -> None:
+    """An operator of the user's own over a whole relation: it sees columns, keys and order, and adds to the plan."""
+    _OPERATORS[name] = function
+
+
+def user_operator(r: Relation, name: str) -> Relation:
+    if name not in _OPERATORS:
+        raise ValueError(f"no user operator {name!r}")
+    return _OPERATORS[name](r)
+
+
 def filled_rows(r: Relation, label: str, column: str, value: str | None) -> Relation:
     """Rows of a group that count: labelled without the mark Filled_, or the filter column has the wanted value, or none is wanted."""
     if value is None:

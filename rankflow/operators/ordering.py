@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.functions.text import key_hash
 from rankflow.relation import Relation
 
 #: Fixed value: the seed where none is given.
@@ -34,6 +37,11 @@ def in_range(df: DataFrame, group: str, low: float, high: float, seed: int = 0)
     return df.where(share_of(group, seed).between(low, high) & (share_of(group, seed) < high))
 
 
+def bucketed(r: Relation, buckets: int, hasher: Callable[[Column], Column] = key_hash, out: str = "bucket") -> Relation:
+    """A column with the bucket of each row's key, by a hash that may be the user's own."""
+    return r.with_df(r.df.withColumn(out, F.pmod(hasher(r.key()), F.lit(buckets)).cast("int")))
+
+
 def share_of(group: str, seed: int = 0):
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 

@@ -74,6 +74,11 @@ def merge_maps(df: DataFrame) -> DataFrame:
     return flat.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("edge", "weight")))).alias("edges"))
 
 
+def observed(r: Relation, observation) -> Relation:
+    """The relation as it is; once it has run, the pyspark Observation holds its `records` and the `bytes` of their keys."""
+    return r.with_df(r.df.observe(observation, F.count(F.lit(1)).alias("records"), F.sum(F.octet_length(r.key())).alias("bytes")))
+
+
 def positions(df: DataFrame, array: str, by: list[str], count: str | None = None) -> DataFrame:
     """(by, position, total[, agg_count]): sums of arrays of scores by place, and how many rows (or what sum of `count`) they are of."""
     flat = df.select(*by, *([F.col(count).alias("_c")] if count else []), F.posexplode(array).alias("position", "score"))

@@ -93,11 +93,15 @@ def evaluate(spark: SparkSession, text: str, tables: dict[str, Relation] | None
         "Merge": lambda a: (lambda n, d: joins.merge(direction(d), *pop(_number(n))))(*(_args(a, 1, 2) + ["+"])[:2]),
         "Concat": lambda a: joins.concat(*pop(_number(a))),
         "Filter": lambda a: filtering.user_filter(*pop(), a),
+        "Apply": lambda a: filtering.user_operator(*pop(), a),
     }
     for place, token in enumerate(listed):
         m = re.fullmatch(r"(\w+)\s*(?:\((.*)\))?", token, re.DOTALL)
         if m and m[1] in named and (m[2] is not None or m[1] in ("Sort", "Reduce", "About", "InnerJoin", "LeftOuterJoin", "FilterByRight", "FilterNotRight")):
             stack.append(named[m[1]](m[2] or ""))
+        elif token.endswith(".py") and stack:  # a user filter in a file
+            filtering.load_filter("\n".join(r.value for r in spark.read.text(token).coalesce(1).collect()), token)
+            stack.append(filtering.user_filter(*pop(), token))
         elif re.fullmatch(r"'[^']*'", token):
             stack.append(filtering.key_query(*pop(), token[1:-1]))
         elif tables and token in tables:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.functions.text import count_text
 from rankflow.relation import Relation
+from rankflow.storage import drop, new_path
 
 
 def as_text(r: Relation):
@@ -40,6 +43,45 @@ def write_store(r: Relation, path: str, files: int | None = None) -> None:
     ranged.sortWithinPartitions(*key).write.parquet(path)
 
 
+class StorePusher:
+    """Records pushed one by one from the driver into a store: a bounded buffer, parts in the shared folder, one sort at the end."""
+
+    def __init__(self, spark: SparkSession, schema: str, key: str, buffer: int = 100_000):
+        self.spark, self.schema, self.key, self.buffer = spark, schema, key, buffer
+        self.rows: list[tuple] = []
+        self.path: str | None = None
+
+    def add(self, *values: object) -> None:
+        self.rows.append(values)
+        if len(self.rows) >= self.buffer:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.path is None:
+            self.path = new_path(self.spark, "pushed")
+        self.spark.createDataFrame(self.rows, self.schema).write.mode("append").parquet(self.path)
+        self.rows = []
+
+    def write(self, path: str, reducer: Callable[[Relation], Relation] | None = None, kind: str = "table") -> None:
+        """Write the store; reducer: what equal keys come to."""
+        if self.rows or self.path is None:
+            self._flush()
+        r = Relation(self.spark.read.schema(self.schema).parquet(self.path), (self.key,), kind)
+        write_store(reducer(r) if reducer else r, path)
+        drop(self.spark, self.path)
+
+
+def concatenated(spark: SparkSession, paths: list[str], out: str) -> None:
+    """The lines of several files or folders as one."""
+    spark.read.text(paths).write.text(out)
+
+
+def file_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, crc32, sha256) of each file."""
+    raw = spark.read.format("binaryFile").load(path)
+    return raw.select("path", F.col("length").alias("bytes"), F.crc32("content").alias("crc32"), F.sha2("content", 256).alias("sha256"))
+
+
 def write_jdbc(r: Relation, url: str, table: str, **options: str) -> None:
     r.df.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
 

@@ -217,6 +217,18 @@ def test_concat_merge_and_reduce_by_function(spark):
     assert len(got) == 51 and got["hot"] == "<2997>" and got["k1"] == "<2951>"
 
 
+def test_filters_from_files_and_own_operators(spark, tmp_path):
+    (tmp_path / "long.py").write_text("SCHEMA = 'k string, n long'\n\ndef accept(batches):\n    for b in batches:\n        yield b[b.v.str.len() > 1].assign(n=b.v.str.len())[['k', 'n']]\n")
+    t = table(spark, [("a", "xx"), ("b", "y"), ("c", "zzz")], ["k", "v"])
+    assert rows(evaluate(spark, f"t ^ {tmp_path}/long.py ^ Sort(-)", {"t": t})) == [("a", 2), ("c", 3)]
+    filtering.register_operator("first_key", lambda r: r.with_df(r.df.orderBy(*r.keys).limit(1)))
+    assert rows(evaluate(spark, "t ^ Apply(first_key)", {"t": t})) == [("a", "xx")]
+    with pytest.raises(ValueError, match="accept"):
+        filtering.load_filter("x = 1", "bad")
+    with pytest.raises(ValueError, match="no user operator"):
+        evaluate(spark, "t ^ Apply(nothing)", {"t": t})
+
+
 def test_options_of_tables(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Name  Size\nx   1\r\ny 2\n")
     r = readers.delimited(spark, f"{tmp_path}/a.txt", " ", collapse=True, case="lower")

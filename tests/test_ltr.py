@@ -234,6 +234,19 @@ def test_streams(spark, tmp_path):
     assert [tuple(r)[0::3] for r in windows.sessions(src, "ts", "k", "45 minutes").orderBy("k").collect()] == [("a", 2), ("b", 1)]
 
 
+def test_own_learner_and_measure(spark):
+    df = friedman(spark, 120)
+    seen = []
+
+    def stump(coded, features, books, s, response, weight, label, score, allowed=None):
+        seen.append(score)
+        left, right = (coded.where(c).agg(F.avg(response)).first()[0] for c in ("a <= 0.5", "a > 0.5"))
+        return boost.Tree([boost.Node("a", 0.5, 1, 2), boost.Node(value=left), boost.Node(value=right)])
+
+    model = boost.train(df, ["a"], "y", boost.Settings(trees=2), valid=df, learner=stump, measure=lambda x: {"worst": x.agg(F.max(F.abs(F.col("y") - F.col("score")))).first()[0]})
+    assert seen == ["_f0", "_f0"] and [set(h) for h in model.history] == [{"iteration", "worst"}] * 2
+
+
 def test_boost_samples(spark):
     df = spark.range(600).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), (F.col("id") % 7 * 2.0).alias("y"), (F.col("id") % 50).alias("q"))
     s = boost.Settings(trees=6, leaves=4, rate=0.5, row_share=0.6, feature_share=0.5, seed=3)
