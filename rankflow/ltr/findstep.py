@@ -46,6 +46,59 @@ def _batch_events(y: np.ndarray, a: np.ndarray, b: np.ndarray, low: float, high:
     return edges[:, :-1][keep], change[keep]
 
 
+#: From so many rows on, a query's rows are narrowed down before their crossings are listed.
+LARGE, HALVINGS = 64, 20
+
+
+def _stretches(y: np.ndarray, a: np.ndarray, b: np.ndarray, low: float, high: float, cut: int, halvings: int = HALVINGS) -> tuple[np.ndarray, np.ndarray]:
+    """(where stretches start, unscaled DCG in each) of one large query.
+
+    A row can be among the first `cut` somewhere in a stretch only if its greatest score there reaches the cut-th greatest
+    of all rows' least scores there. Scores are linear, so both are at the ends. What is left of a narrow stretch is few
+    rows, and only their crossings matter; a stretch with many is halved, if that leaves fewer.
+    """
+
+    def leading(lo: float, hi: float) -> np.ndarray:
+        if len(y) <= cut:
+            return np.ones(len(y), bool)
+        ends = np.stack((a + lo * b, a + hi * b))
+        return ends.max(0) >= np.partition(ends.min(0), len(y) - cut)[len(y) - cut]
+
+    keep = leading(low, high)
+    y, a, b = y[keep], a[keep], b[keep]
+    if len(y) > LARGE and halvings:
+        middle = (low + high) / 2
+        halves = [(low, middle), (middle, high)]
+        kept = [leading(*side) for side in halves]
+        if sum(int(k.sum()) for k in kept) < 1.7 * len(y):
+            parts = [_stretches(y[k], a[k], b[k], *side, cut, halvings - 1) for side, k in zip(halves, kept, strict=True)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    first = np.argsort(y, kind="stable")
+    y, a, b = y[first], a[first], b[first]
+    gains = np.array(GAINS)[np.clip(y.astype(int), 0, len(GAINS) - 1)]
+    discounts = 1 / np.log(2 + np.arange(min(cut, len(y))))
+    i, j = np.triu_indices(len(y), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = (a[i] - a[j]) / (b[j] - b[i])
+    edges = np.concatenate(([low], np.unique(at[(at > low) & (at < high)]), [high]))
+    middle = (edges[:-1] + edges[1:]) / 2
+    values, step = np.empty(len(middle)), max(1, (1 << 20) // len(y))
+    for lo in range(0, len(middle), step):
+        order = np.argsort(-(a + middle[lo : lo + step, None] * b), axis=1, kind="stable")[:, : len(discounts)]
+        values[lo : lo + step] = gains[order] @ discounts
+    return edges[:-1], values
+
+
+def _large_events(y: np.ndarray, a: np.ndarray, b: np.ndarray, low: float, high: float, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    gains = -np.sort(-np.array(GAINS)[np.clip(y.astype(int), 0, len(GAINS) - 1)])[:cut]
+    best = gains @ (1 / np.log(2 + np.arange(len(gains))))
+    at, values = _stretches(y, a, b, low, high, cut)
+    change = np.diff(values / best if best > 0 else values * 0, prepend=0.0)
+    keep = np.abs(change) > 1e-15
+    keep[0] = True
+    return at[keep], change[keep]
+
+
 def _events(low: float, high: float, cut: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +110,10 @@ def _events(low: float, high: float, cut: int):
             for n in np.unique(sizes):
                 own = starts[sizes == n]
                 most = max(1, (1 << 21) // int(n * n))  # queries whose crossings are held at once
-                for lo in range(0, len(own), most):
+                for at in own[:, None] + np.arange(n) if n > LARGE else ():
+                    weights, changes = _large_events(y[at], a[at], b[at], low, high, cut)
+                    yield pa.RecordBatch.from_arrays([pa.array(weights), pa.array(changes)], ["weight", "change"])
+                for lo in range(0, len(own), most) if n <= LARGE else ():
                     at = own[lo : lo + most, None] + np.arange(n)
                     weights, changes = _batch_events(y[at], a[at], b[at], low, high, cut)
                     into, back = np.unique(weights, return_inverse=True)

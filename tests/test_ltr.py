@@ -190,7 +190,7 @@ def test_model_files(spark):
 
 def test_step_search_matches_grid(spark):
     r = random.Random(5)
-    sizes = (12, 12, 7, 30, 12, 3)
+    sizes = (12, 12, 7, 150, 12, 3)
     rows = [(q, (y := r.choices(range(5), (0.3704, 0.2855, 0.2714, 0.0523, 0.0204))[0]), y + r.random() * 10, y + r.random() * 20) for q in range(6) for _ in range(sizes[q])]
     df = spark.createDataFrame(rows, "q int, label int, score double, step double")
     best = findstep.best_step(df, "q", "label", "score", "step", 0.0, 3.0, 5).first()
@@ -210,6 +210,17 @@ def test_step_search_matches_grid(spark):
     assert best.ndcg >= grid - 1e-9 and mean(best.weight) == pytest.approx(best.ndcg)
 
 
+def test_large_queries_give_the_same_events():
+    r = np.random.default_rng(2)
+    for n, cut in ((200, 5), (300, 1), (90, 90), (70, 200)):
+        y, a, b = r.integers(0, 5, n).astype(float), r.normal(size=n).round(2), r.normal(size=n).round(2)
+        w, c = findstep._large_events(y, a, b, 0.0, 3.0, cut)
+        w2, c2 = findstep._batch_events(y[None], a[None], b[None], 0.0, 3.0, cut)
+        grid = np.linspace(0.0005, 2.9995, 700)
+        one, two = ((np.where(x[None, :] < grid[:, None], z, 0)).sum(1) for x, z in ((w, c), (w2, c2)))
+        assert np.allclose(one, two)
+
+
 def test_networks(spark):
     x = [F.lit(1.0), F.lit(2.0)]
     out = transforms.network(x, [([[1.0, -1.0], [0.5, 0.5]], [0.0, 1.0], "tanh"), ([[2.0, 1.0]], [0.1], "linear")])
