@@ -92,33 +92,48 @@ class WordIds:
             found = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(written)])
         return found
 
+    def _plain_words(self, words: list[str]) -> tuple[list[str], list[int], list[int], list[str]]:
+        """(words of ASCII letters, all their ids, the numbers of their ids, the other words)."""
+        plain, flat, sizes, others = [], [], [], []
+        known, tokenize = self.pieces, self.model.tokenize
+        if len(known) >= self.most_pieces:
+            known.clear()
+        for word in words:
+            if word.isalpha() and word.isascii():
+                w = word.lower()
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = tuple([t.id for t in tokenize(w)])
+                flat += ids
+                sizes.append(len(ids))
+                plain.append(word)
+            else:
+                others.append(word)
+        return plain, flat, sizes, others
+
     def _clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.start, self.size, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint32), 0
         self.again = np.zeros(1 << 16, bool)
 
     def _learn(self, words: list[str]) -> None:
-        plain, rest, odd, flat, sizes = [], [], [], [], []
+        plain, flat, sizes, words = self._plain_words(words)
+        rest, odd = [], []
         ended, plain_word, parted, piece, known = _ENDED.fullmatch, _PLAIN.fullmatch, _PIECE.findall, self._piece, self.pieces.get
         for word in words:
-            w = word
-            if w.isascii() and w.isalpha():
-                ids = known(w := w.lower()) or piece(w)
-                flat += ids
-                sizes.append(len(ids))
-            elif m := ended(w):
+            if m := ended(word):
                 ids = known(p := m[1].lower()) or piece(p)
                 if p := m[2]:
                     ids = ids + (known(p) or piece(p))
                 flat += ids
                 sizes.append(len(ids))
-            elif plain_word(w):
+            elif plain_word(word):
                 before = len(flat)
-                for p in parted(w.lower()):
+                for p in parted(word.lower()):
                     flat += known(p) or piece(p)
                 sizes.append(len(flat) - before)
             else:
-                (odd if "<|" in w else rest).append(w)
+                (odd if "<|" in word else rest).append(word)
                 continue
             plain.append(word)
         parts, more = [np.array(flat, np.uint32)], [np.array(sizes, np.int64)]
