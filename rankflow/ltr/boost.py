@@ -252,47 +252,75 @@ def _best(h: Histogram, least: int) -> tuple[float, int, int] | None:
     return best
 
 
+def _threshold(starts: list[float], code: int, midway: bool) -> float:
+    """Where a split after a bin parts raw values: midway to the next bin's start, or right before it."""
+    return decode(starts, code) if midway else float(np.nextafter(starts[code + 1], -np.inf))
+
+
 def grow(coded: DataFrame, features: list[str], books: dict[str, list[float]], s: Settings, response: str, weight: str, label: str, score: str, allowed: list[int] | None = None) -> Tree:
     """A tree over rows with codes: `codes` is an array with the bin of each feature. allowed: the features' numbers to split by, if not all."""
     listed = list(range(len(features))) if allowed is None else allowed
-    trial = Tree()  # all splits looked at so far; the tree takes the best of them first
+    trial = Tree()  # all splits made so far, of which the tree takes the best first
+    cuts: dict[int, tuple[int, int]] = {}  # a split node of it -> feature and code
+    parent: dict[int, int] = {}
     sums: dict[int, Histogram] = {}
+    totals: dict[int, tuple[int, float]] = {}
+    found: dict[int, tuple[float, int, int] | None] = {}
+
+    def leaf(i: int = 0) -> Column:
+        if i not in cuts:
+            return F.lit(i)
+        f, code = cuts[i]
+        return F.when(F.get("codes", F.lit(f)) <= code, leaf(trial.nodes[i].left)).otherwise(leaf(trial.nodes[i].right))
 
     def count(ids: list[int]) -> None:
-        rows = coded.select(trial.leaf().cast("int").alias("node"), "codes", F.col(response).cast("double").alias("response")).where(F.col("node").isin(ids))
+        rows = coded.select(leaf().cast("int").alias("node"), "codes", F.col(response).cast("double").alias("response"))
+        rows = rows.where(F.col("node").isin(ids)) if cuts else rows
         made = rows.mapInArrow(_histograms(listed), "node int, feature int, bin int, n long, total double")
         for i in ids:
             sums[i] = {f: (np.zeros(len(books[features[f]]), np.int64), np.zeros(len(books[features[f]]))) for f in listed}
         for x in made.groupBy("node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():  # leaves x features x bins
             sums[x.node][x.feature][0][x.bin], sums[x.node][x.feature][1][x.bin] = x.n, x.total
-
-    def expand(ids: list[int]) -> None:
-        """Split these leaves of the trial tree and count their children."""
-        wanted = []
         for i in ids:
-            gain, f, code = found[i]
-            at, node = len(trial.nodes), trial.nodes[i]
-            node.feature, node.threshold, node.left, node.right, node.gain = features[f], decode(books[features[f]], code), at, at + 1, gain
-            trial.nodes += [Node(), Node()]
-            n = sums[i][f][0]
-            wanted.append(at if 2 * n[: code + 1].sum() <= n.sum() else at + 1)
-        count(wanted)
-        for i, small in zip(ids, wanted, strict=True):
-            other = trial.nodes[i].left + trial.nodes[i].right - small
+            found[i] = _best(sums[i], s.least)
+
+    def divide(i: int) -> None:
+        """Split a leaf of the trial tree; its histogram says what goes left and right."""
+        gain, f, code = found[i]
+        at, node = len(trial.nodes), trial.nodes[i]
+        node.feature, node.threshold, node.left, node.right, node.gain = features[f], _threshold(books[features[f]], code, not s.bins), at, at + 1, gain
+        trial.nodes += [Node(), Node()]
+        cuts[i], parent[at], parent[at + 1] = (f, code), i, i
+        n, t = sums[i][f]
+        totals[at] = int(n[: code + 1].sum()), float(t[: code + 1].sum())
+        totals[at + 1] = int(n[code + 1 :].sum()), float(t[code + 1 :].sum())
+
+    def count_children(ids: list[int]) -> None:
+        """One pass counts the smaller child of each; the other is what is left of the parent."""
+        pairs = [sorted((trial.nodes[i].left, trial.nodes[i].right), key=lambda j: (totals[j][0], j)) for i in ids]
+        count([small for small, _ in pairs])
+        for i, (small, other) in zip(ids, pairs, strict=True):
             sums[other] = {f: (n - sums[small][f][0], t - sums[small][f][1]) for f, (n, t) in sums[i].items()}
-            found[small], found[other] = _best(sums[small], s.least), _best(sums[other], s.least)
+            found[other] = _best(sums[other], s.least)
 
     count([0])
-    found = {0: _best(sums[0], s.least)}
+    whole = next(iter(sums[0].values()), (np.zeros(1, np.int64), np.zeros(1)))
+    totals[0] = int(whole[0].sum()), float(whole[1].sum())
     tree, leaves = Tree(), {0: 0}  # leaf of the tree -> its node in the trial tree
     while len(tree.nodes) < 2 * s.leaves - 1:
+        if lacking := {parent[j] for j in leaves.values() if j not in sums}:
+            for j in leaves.values():  # what may be split next is counted in the same pass
+                if found.get(j) and j not in cuts:
+                    divide(j)
+                    lacking.add(j)
+            count_children(sorted(lacking))
         open_leaves = [i for i in leaves if found[leaves[i]]]
         if not open_leaves:
             break
         at = max(open_leaves, key=lambda i: (found[leaves[i]][0], -i))
+        if leaves[at] not in cuts:
+            divide(leaves[at])
         own = trial.nodes[leaves[at]]
-        if own.feature is None:
-            expand([leaves[i] for i in open_leaves if trial.nodes[leaves[i]].feature is None])
         k, node = len(tree.nodes), tree.nodes[at]
         node.feature, node.threshold, node.left, node.right, node.gain = own.feature, own.threshold, k, k + 1, own.gain
         tree.nodes += [Node(), Node()]
@@ -300,8 +328,7 @@ def grow(coded: DataFrame, features: list[str], books: dict[str, list[float]], s
         leaves[k], leaves[k + 1] = own.left, own.right
     if s.loss == "l2":  # the histograms hold all that its leaves need
         for i, j in leaves.items():
-            n, t = next(iter(sums[j].values())) if sums[j] else (np.zeros(1), np.zeros(1))
-            tree.nodes[i].value = _leaf_value(s, int(n.sum()), float(t.sum()), 0.0, None)
+            tree.nodes[i].value = _leaf_value(s, *totals[j], 0.0, None)
         return tree
     asked = coded.groupBy(tree.leaf().alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.sum(response).alias("r"), F.sum(weight).alias("w"), F.percentile_approx(F.col(label) - F.col(score), 0.5, 10_000).alias("middle"))
     for x in asked.collect():  # leaves
