@@ -10,8 +10,10 @@ Features are counts and shares over the whole text; labels, language, source and
 takes at most `sample` labelled rows (a documented bound), chosen by a hash of their id; scoring covers every row.
 
 Defined cases: null text is empty and is scored like any other; labels that are null or neither 0 nor 1 are not
-learned from; several labels of one document count as several rows; repeated rows are scored once each; without any
-label to learn from every score is 0.5; an empty table gives an empty result.
+learned from, nor are those of ids without a document; several labels of one document count as several rows; repeated rows
+are scored once each; texts of any length are read as a whole; of equally good splits the first counts; without any label
+to learn from every score is 0.5; an empty table gives an empty result; quality_scores reads doc_id and text only,
+keep_good keeps all columns, whatever they are called.
 """
 
 from __future__ import annotations
