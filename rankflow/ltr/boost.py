@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rankflow.ltr import metrics as M
 from rankflow.ltr.quantize import codebook, decode, encode, gap_bins
-from rankflow.storage import materialize
+from rankflow.storage import drop, stored
 
 
 @dataclass
@@ -370,15 +370,17 @@ def train(df: DataFrame, features: list[str], label: str, settings: Settings, gr
         model.base = float(first or 0.0)
     many = s.classes if s.loss == "logistic" and s.classes > 2 else 1
     rows = df.withColumn("codes", codes).withColumn("_id", F.monotonically_increasing_id())
-    rows = _kept(rows.select(*df.columns, "codes", "_id", *[F.lit(model.base).alias(f"_f{k}") for k in range(many)]))
+    rows, path = stored(rows.select(*df.columns, "codes", "_id", *[F.lit(model.base).alias(f"_f{k}") for k in range(many)]), "boost")
     for i in range(s.trees):
         work = _responses(_share(rows, s, i, group), s, label, group).persist()
         trees = [learner(_trimmed(work, s, k, i), features, books, s, f"_r{k}", f"_w{k}", label, f"_f{k}", _allowed(len(features), s, i)) for k in range(many)]
         work.unpersist()
         model.trees.append(trees)
         rows = rows.withColumns({f"_f{k}": F.col(f"_f{k}") + t.column() for k, t in enumerate(trees)})
-        if i % s.refresh == s.refresh - 1:
-            rows = _kept(rows)
+        if i % s.refresh == s.refresh - 1:  # lineage is cut through the shared folder, from which lost executors' rows are read again
+            before = path
+            rows, path = stored(rows, "boost")
+            drop(df.sparkSession, before)
         if valid is not None:
             model.history.append({"iteration": i + 1} | (measure(model.predict(valid)) if measure else _measured(model, valid, label, s, group)))
     return model
@@ -411,11 +413,6 @@ def _allowed(features: int, s: Settings, iteration: int) -> list[int] | None:
     return sorted(drawn[: max(1, round(features * s.feature_share))].tolist())
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder, from which lost executors' rows are read again."""
-    return materialize(df, "boost")
-
-
 def _measured(model: Ensemble, valid: DataFrame, label: str, s: Settings, group: str | None) -> dict[str, float]:
     scored = model.predict(valid)
     if s.loss in PAIR_LOSSES:
