@@ -13,7 +13,8 @@ a fragment is a run of starts with the same smallest hash together with the 99 b
    copy.
 3. bucket: keys with one fragment hold no repeat, unless it repeats itself. Of equal fragments the first stays, the
    others are repeats as a whole. A key that the sample missed, of more than `hot_fragments` different fragments or
-   HOT_BYTES of their text, is dealt anew start by start.
+   HOT_BYTES of their text, is dealt anew start by start; equal strings collapse before they are sent and again where
+   they meet, so that a run of one letter, or a passage that many fragments hold, is no load of its own.
 4. merge: the text of the remaining, distinct fragments is dealt to the same buckets, and worked off in units of whole
    keys, of UNIT + HOT_BYTES at most. A unit has two shards. Each builds its own multi-string Burrows-Wheeler transform
    over symbols of 20 bytes, with a dictionary of its own. The transforms are merged by refining their interleave:
@@ -42,20 +43,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import buckets_for, id_and_text, id_back, materialize, ranges
+from rankflow.llm.common import id_and_text, id_back, materialize, ranges
 
 SPAN, GRAM, STEP = 100, 32, 20
 #: Starts in a fragment at most; only periodic texts have longer runs.
 RUN = 4096
-#: Bytes of text hashed at once, fragment records kept before they are sent, bytes of fragments merged at once.
-CHUNK, RECORDS, UNIT = 1 << 19, 1 << 20, 1 << 20
+#: Bytes of text hashed at once, fragment records kept before they are sent, bytes of fragments merged at once (about 120 bytes of memory each).
+CHUNK, RECORDS, UNIT = 1 << 19, 1 << 19, 1 << 18
+#: Bytes of text to a bucket, bytes of fragments and number of settled starts kept before they are sent, bytes sent at once.
+BUCKET, CUT, SETTLED, SENT = 6_000_000, 1 << 22, 1 << 17, 1 << 22
 #: Text of the distinct fragments of a key from which on it is dealt start by start; keys known beforehand at most; one in so many documents tells them.
-HOT_BYTES, MOST_SPLIT, SAMPLE = 1 << 21, 1_000_000, 16
+HOT_BYTES, MOST_SPLIT, SAMPLE = 1 << 19, 1_000_000, 16
 COPY, MERGE, HOT = 0, 1, 2
 HOT_SEED = 11
 
 _RECORD = np.dtype([("key", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("starts", "<u2"), ("flag", "u1")])
 _PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("starts", "<u2")])
+_SPAN = np.dtype([("doc", "<i8"), ("text", "<i8"), ("a", "<i8"), ("z", "<i8")])
 _U = np.uint64
 
 
@@ -122,8 +126,8 @@ def _batches_of_records(batch: pa.RecordBatch, split: np.ndarray | None = None)
         if len(raw) < SPAN:
             continue
         name = _signed(xxhash.xxh64_intdigest(raw, 42))  # what Spark's xxhash64 gives
-        for at in range(0, len(raw) - SPAN + 1, 4 * CHUNK):  # parts of a very long text share 99 bytes
-            todo.append((doc, name, at, raw[at : at + 4 * CHUNK + SPAN - 1]))
+        for at in range(0, len(raw) - SPAN + 1, CHUNK):  # parts of a very long text share 99 bytes
+            todo.append((doc, name, at, raw[at : at + CHUNK + SPAN - 1]))
             size += len(todo[-1][3])
             if size > CHUNK:
                 yield _records(todo, split)
@@ -140,13 +144,14 @@ def _scan(buckets: int, split: np.ndarray):
         followed = np.append(again[1:], False) & ~again
         records["flag"][followed] |= 1
         records["flag"][again] = 4
-        # Copies need no meeting: they go anywhere, evenly.
-        to = np.where(again, records["hash"] % _U(buckets), records["key"] % _U(buckets)).astype(np.int64)
+        # Copies need no meeting: they go anywhere, evenly, by their place and not by what they hold.
+        place = (records["doc"].view(_U) + records["start"]) * _U(0x9E3779B97F4A7C15) >> _U(32)
+        to = (np.where(again, place, records["key"]) % _U(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         records, to = records[order], to[order]
         cut = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-        blobs = [records[a:z].tobytes() for a, z in zip(cut.tolist(), np.append(cut[1:], len(to)).tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        rows = ((b, records[a:z].tobytes()) for b, a, z in zip(to[cut].tolist(), cut.tolist(), np.append(cut[1:], len(to)).tolist(), strict=True))
+        yield from _sent(rows, [("bucket", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -155,14 +160,27 @@ def _scan(buckets: int, split: np.ndarray):
                 held.append(records)
                 n += len(records)
                 if n > RECORDS:
-                    yield from pack(np.concatenate(held))
-                    held, n = [], 0
+                    joined, held, n = np.concatenate(held), [], 0
+                    yield from pack(joined)
         if n:
             yield from pack(np.concatenate(held))
 
     return run
 
 
+def _sent(rows: Iterator[tuple], columns: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last value is a blob, about SENT bytes to a batch."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size > SENT:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*held, strict=True), columns, strict=True)], [c for c, _ in columns])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(zip(*held, strict=True), columns, strict=True)], [c for c, _ in columns])
+
+
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -230,20 +248,32 @@ def _bucket(hot: int):
 
 
 def _cut(buckets: int):
-    """Documents with their listed fragments -> the fragments' text, dealt to buckets."""
+    """Documents with their listed fragments -> the fragments' text, dealt to buckets.
 
-    def pack(pieces: list[tuple], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if not pieces:
-            return
-        rows = np.array(pieces, _PIECE)
-        to = (rows["key"] % _U(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cut = np.flatnonzero(np.append(True, np.diff(to[order]) != 0))
-        blobs = [rows[i].tobytes() + b"".join(texts[j] for j in i.tolist()) for i in np.split(order, cut[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(to[order][cut].astype(np.int32)), pa.array([len(i) for i in np.split(order, cut[1:])], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "n", "blob"])
+    n: so many fragments with their text; below 0: so many spans that are settled, without text. Of the strings of a crowded
+    key each is sent once, whatever number of documents or places of a periodic text holds it; the first stands for all.
+    """
+
+    def pack(pieces: list[tuple], texts: list[bytes], seen: dict[bytes, tuple], settled: list[tuple]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces + [(xxhash.xxh64_intdigest(x, HOT_SEED), *place, 1) for x, place in seen.items()]
+        texts = texts + list(seen)
+
+        def rows() -> Iterator[tuple]:
+            if pieces:
+                known = np.array(pieces, _PIECE)
+                to = (known["key"] % _U(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                cut = np.flatnonzero(np.append(True, np.diff(to[order]) != 0))
+                for b, i in zip(to[order][cut].tolist(), np.split(order, cut[1:]), strict=True):
+                    yield b, len(i), known[i].tobytes() + b"".join(texts[j] for j in i.tolist())
+            if settled:
+                spans = _runs(np.array(settled, np.int64))
+                yield int(spans["doc"][0]) % buckets, -len(spans), spans.tobytes()
+
+        yield from _sent(rows(), [("bucket", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, texts, size = [], [], 0
+        pieces, texts, seen, settled, size = [], [], {}, [], 0
         for batch in batches:
             for doc, name, text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
                 raw = text.as_py()
@@ -251,20 +281,36 @@ def _cut(buckets: int):
                     part = raw[x["start"] : x["start"] + x["starts"] + SPAN - 1]
                     if x["kind"] == HOT:
                         for i in range(x["starts"]):
-                            texts.append(part[i : i + SPAN])
-                            pieces.append((xxhash.xxh64_intdigest(texts[-1], HOT_SEED), doc, name, x["start"] + i, 1))
+                            string, place = part[i : i + SPAN], (doc, name, x["start"] + i)
+                            first = seen.setdefault(string, place)
+                            if first is place:
+                                size += SPAN
+                                continue
+                            settled.append(max(first, place))
+                            if place < first:
+                                seen[string] = place
                     else:
                         texts.append(part)
                         pieces.append((x["key"] & (2**64 - 1), doc, name, x["start"], x["starts"]))
-                    size += len(part)
-                if size > 8 * UNIT:
-                    yield from pack(pieces, texts)
-                    pieces, texts, size = [], [], 0
-        yield from pack(pieces, texts)
+                        size += len(part)
+                    if size > CUT or len(settled) > SETTLED:
+                        yield from pack(pieces, texts, seen, settled)
+                        pieces, texts, seen, settled, size = [], [], {}, [], 0
+        yield from pack(pieces, texts, seen, settled)
 
     return run
 
 
+def _runs(places: np.ndarray) -> np.ndarray:
+    """Rows (document, text, start) -> spans of starts that follow each other."""
+    places = places[np.lexsort((places[:, 2], places[:, 1], places[:, 0]))]
+    new = np.flatnonzero(np.append(True, (places[1:, :2] != places[:-1, :2]).any(axis=1) | (places[1:, 2] > places[:-1, 2] + 1)))
+    out = np.empty(len(new), _SPAN)
+    out["doc"], out["text"], out["a"] = places[new].T
+    out["z"] = places[np.append(new[1:], len(places)) - 1, 2]
+    return out
+
+
 def _blocks(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The 20 bytes at each place, as two numbers of eight bytes and one of four."""
     x = np.append(text, np.zeros(STEP, np.uint8)).astype(_U)
@@ -399,26 +445,50 @@ def merged_repeats(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     raise RuntimeError("four hash functions collided")
 
 
+def _settle(rows: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows left, rows that repeat another's string): of fragments of one key and one start, those equal to the key's first."""
+    one = np.flatnonzero(rows["starts"] == 1)
+    one = one[np.lexsort((rows["start"][one], rows["text"][one], rows["doc"][one], rows["key"][one]))]
+    new = np.append(True, rows["key"][one][1:] != rows["key"][one][:-1])[: len(one)]
+    head = one[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(one) else one
+    again = np.zeros(len(rows), bool)
+    follows = np.flatnonzero(~new)
+    window = np.arange(SPAN)
+    for i in np.array_split(follows, -(-len(follows) // 10_000)) if len(follows) else ():
+        again[one[i]] = (text[begin[one[i]][:, None] + window] == text[begin[head[i]][:, None] + window]).all(axis=1)
+    return np.flatnonzero(~again), np.flatnonzero(again)
+
+
 def _merge(table: pa.Table) -> pa.Table:
-    rows, texts = [], []
+    rows, texts, settled = [np.zeros(0, _PIECE)], [np.zeros(0, np.uint8)], [np.zeros(0, _SPAN)]
     for n, blob in zip(table.column("n").to_pylist(), table.column("blob"), strict=True):
         blob = blob.as_buffer()
+        if n < 0:
+            settled.append(np.frombuffer(blob, _SPAN, -n))
+            continue
         rows.append(np.frombuffer(blob, _PIECE, n))
         texts.append(np.frombuffer(blob, np.uint8, offset=n * _PIECE.itemsize))
     rows, text = np.concatenate(rows), np.concatenate(texts)
+    settled = np.concatenate(settled)
     del texts
     sizes = rows["starts"].astype(np.int64) + SPAN - 1
     begin = np.cumsum(sizes) - sizes
+    left, again = _settle(rows, text, begin)
+    docs, names = [settled["doc"], rows["doc"][again]], [settled["text"], rows["text"][again]]
+    froms, tos = [settled["a"], rows["start"][again]], [settled["z"], rows["start"][again]]
+    rows, sizes, begin = rows[left], sizes[left], begin[left]
     by_key = np.argsort(rows["key"], kind="stable")
-    last_of_key = np.append(rows["key"][by_key][1:] != rows["key"][by_key][:-1], True)
-    # Units: whole keys, about 1 MB.
+    last_of_key = np.append(rows["key"][by_key][1:] != rows["key"][by_key][:-1], True)[: len(rows)]
+    # A string that is left alone under its key meets no other.
+    alone = last_of_key & np.append(True, last_of_key[:-1])[: len(rows)] & (rows["starts"][by_key] == 1)
+    by_key, last_of_key = by_key[~alone], last_of_key[~alone]
+    # Units: whole keys, of UNIT + HOT_BYTES at most.
     filled = np.cumsum(sizes[by_key])
     cuts, base = [0], 0
     for i in np.flatnonzero(last_of_key).tolist():
-        if filled[i] - base >= UNIT or i == len(rows) - 1:
+        if filled[i] - base >= UNIT or i == len(by_key) - 1:
             cuts.append(i + 1)
             base = filled[i]
-    docs, names, froms, tos = [], [], [], []
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         ids = by_key[lo:hi]
         ids = ids[np.lexsort((rows["start"][ids], rows["text"][ids], rows["doc"][ids]))]
@@ -436,7 +506,7 @@ def _merge(table: pa.Table) -> pa.Table:
         names.append(rows["text"][who])
         froms.append(rows["start"][who] + local[a])
         tos.append(rows["start"][who] + local[z])
-    flat = lambda xs: np.concatenate(xs).astype(np.int64) if xs else np.zeros(0, np.int64)
+    flat = lambda xs: np.concatenate([x.astype(np.int64) for x in xs])
     return pa.table({"doc_id": flat(docs), "text_hash": flat(names), "a": flat(froms), "z": flat(tos)})
 
 
@@ -479,7 +549,7 @@ def suffix_dedup(docs: DataFrame, hot_fragments: int = 50_000, buckets: int | No
     """
     every = id_and_text(docs)
     base = every.dropDuplicates(["doc_id", "text"]) if _repeats_ids(docs) else every
-    buckets = buckets or buckets_for(docs, 8)
+    buckets = buckets or _buckets(every)
     split = _split_keys(base, hot_fragments)
     sent = base.mapInArrow(_scan(buckets, split), "bucket int, blob binary")
     found = materialize(sent.groupBy("bucket").applyInArrow(_bucket(hot_fragments), _FOUND), "suffix-fragments")
@@ -494,6 +564,12 @@ def suffix_dedup(docs: DataFrame, hot_fragments: int = 50_000, buckets: int | No
     return out.select(id_back(), *[c for c in out.columns if c != "doc_id"])
 
 
+def _buckets(every: DataFrame) -> int:
+    """By the text itself: files of copies are far smaller than what they hold."""
+    total = every.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return int(min(1_000_000, max(8, -(-total // BUCKET))))
+
+
 def _repeats_ids(docs: DataFrame) -> bool:
     """Whether a doc_id occurs twice; reads one column."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))

@@ -155,3 +155,73 @@ def test_edge_rows(spark):
     assert rows[4].n_removed == len(long) and rows[4].n_spans == 1
     assert 0 < rows[None].n_removed < len(long)
     assert m.suffix_dedup(df.where(F.lit(False))).count() == 0
+
+
+def cut_rows(docs, buckets=16):
+    """What _cut sends for documents of (id, text, [(key, start, starts, kind)])."""
+    kind = m.pa.list_(m.pa.struct([("key", m.pa.int64()), ("start", m.pa.int64()), ("starts", m.pa.int32()), ("kind", m.pa.int32())]))
+    listed = [[dict(zip(("key", "start", "starts", "kind"), x, strict=True)) for x in fragments] for _, _, fragments in docs]
+    ids = m.pa.array([d for d, _, _ in docs], m.pa.int64())
+    batch = m.pa.RecordBatch.from_arrays([ids, m.pa.array([0] * len(docs), m.pa.int64()), m.pa.array([t for _, t, _ in docs]), m.pa.array(listed, kind)], ["doc_id", "text_hash", "text", "listed"])
+    return m.pa.Table.from_batches(list(m._cut(buckets)(iter([batch]))))
+
+
+def test_crowded_key_of_one_string_is_sent_once():
+    """Runs of one letter, each of its own length, are different fragments of one key and one string."""
+    docs = [(i, "-" * (n + 99), [(5, 0, n, m.HOT)]) for i, n in enumerate(range(1, 1500, 3))]
+    sent = cut_rows(docs)
+    assert sum(map(len, sent.column("blob").to_pylist())) < 200_000  # a string for each start would be 51 MB
+    found = m._merge(sent).to_pydict()
+    repeats = sum(z - a + 1 for a, z in zip(found["a"], found["z"], strict=True))
+    assert repeats == sum(n for _, _, [(_, _, n, _)] in docs) - 1
+    assert min(zip(found["doc_id"], found["a"], strict=True)) == (1, 0)
+
+
+def test_merge_of_a_large_bucket_stays_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    same = rng.integers(97, 123, 100, dtype=np.uint8).tobytes()
+    pieces = [(7, i, 0, 0, 1) for i in range(30_000)]  # one string from 30,000 tasks
+    texts = [same] * 30_000
+    for key in range(40):  # and keys of 100 kB
+        body = rng.integers(97, 123, 200, dtype=np.uint8).tobytes()
+        for i in range(250):
+            pieces.append((100 + key, i, 0, 1000 * key, 301))
+            texts.append(rng.integers(97, 123, 100, dtype=np.uint8).tobytes() + body + rng.integers(97, 123, 100, dtype=np.uint8).tobytes())
+    rows = np.array(pieces, m._PIECE)
+    table = m.pa.table({"bucket": m.pa.array([0], m.pa.int32()), "n": m.pa.array([len(rows)], m.pa.int32()), "blob": m.pa.array([rows.tobytes() + b"".join(texts)])})
+    tracemalloc.start()
+    found = m._merge(table).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    strings = [x[a : a + 100] for x in texts for a in range(len(x) - 99)]
+    assert sum(z - a + 1 for a, z in zip(found["a"], found["z"], strict=True)) == len(strings) - len(set(strings))
+    assert peak < 120e6, peak
+
+
+def test_copies_of_one_fragment_are_dealt_evenly():
+    """A line of one fragment in 20,000 documents: the copies' records spread over all buckets."""
+    r = random.Random(4)
+    line = "".join(r.choice("abcdefgh ") for _ in range(100))
+    batch = m.pa.RecordBatch.from_arrays([m.pa.array(range(20_000), m.pa.int64()), m.pa.array([line] * 20_000)], ["doc_id", "text"])
+    sizes = {}
+    for out in m._scan(32, np.zeros(0, np.uint64))(iter([batch])):
+        for b, blob in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            sizes[b] = sizes.get(b, 0) + len(blob)
+    assert len(sizes) == 32 and max(sizes.values()) < 2 * sum(sizes.values()) / 32
+
+
+def test_buckets_follow_the_text_and_not_its_files(spark, tmp_path):
+    spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("one line that is said again and again, "), 5000).alias("text")).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert m._buckets(m.id_and_text(docs)) == 13  # 78 MB of text in files of less than 2 MB
+
+
+def test_runs_of_one_letter_and_crowded_passages(spark):
+    r = random.Random(6)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, "-" * r.randint(90, 900) + f"{r.random():.12f} {passage[r.randint(0, 99):]} {r.random():.12f}" + "ab" * r.randint(0, 300)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for hot in (3, 50_000):
+        assert got(m.suffix_dedup(df, hot_fragments=hot)) == hashed_brute(rows)
