@@ -16,6 +16,7 @@ sniffed keeps all columns, a column `sniffed` of the same name excepted.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,12 +26,16 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.llm.common import materialize
 
 FRAME = 576
+#: Bytes of a value that are looked at together: the automaton takes four bytes for each, the sums of a feature eight.
+PIECE = 1 << 20
+#: Media are written, and so read, in groups of about this many bytes: a task holds no more of them in its heap.
+ROW_GROUPS = {"parquet.block.size": str(4 << 20)}
 
 
 class Item(NamedTuple):
@@ -263,11 +268,20 @@ def _automaton():
     return found, ahocorasick.unicode
 
 
+def _magic(raw: bytes) -> Iterator[tuple[int, int]]:
+    """(place of the last byte, format) of all magic bytes; the automaton keeps its state from piece to piece."""
+    automaton, as_text = _automaton()
+    search = automaton.iter("" if as_text else b"")
+    for at in range(0, len(raw), PIECE):
+        piece = raw[at : at + PIECE]
+        search.set(piece.decode("latin-1") if as_text else piece)
+        yield from search
+
+
 def items(raw: bytes) -> list[Item]:
     """The valid media items in raw, in order of their start; one inside another is listed too, unless it starts with it."""
-    automaton, as_text = _automaton()
     d, out, starts = Data(raw), [], set()
-    for last, i in automaton.iter(raw.decode("latin-1") if as_text else raw):
+    for last, i in _magic(raw):
         magic, kind, before, valid = FORMATS[i]
         at = last - len(magic) + 1 - before
         if at >= 0 and at not in starts and (end := valid(d, at + before)) is not None:
@@ -302,20 +316,28 @@ def from_wav(raw: bytes) -> bytes:
 
 def feature(samples: np.ndarray) -> str:
     """Loudness, brightness and level of 8-bit samples, in fixed decimals."""
-    x = samples.astype(np.int16) - 128
-    mean, rms = float(x.mean()), float(np.sqrt(np.square(x, dtype=np.int64).mean()))
-    crossings = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
-    return f"samples={len(x)};mean={mean:.4f};rms={rms:.4f};crossings={crossings};min={int(x.min())};max={int(x.max())}"
+    total = squares = crossings = 0
+    for at in range(0, len(samples), PIECE):
+        x = samples[at : at + PIECE].astype(np.int64) - 128
+        up = samples[at : at + PIECE + 1] >= 128  # and the next piece's first, for a crossing between the two
+        total, squares, crossings = total + int(x.sum()), squares + int(x @ x), crossings + int((up[1:] != up[:-1]).sum())
+    mean, rms = total / len(samples), math.sqrt(squares / len(samples))
+    return f"samples={len(samples)};mean={mean:.4f};rms={rms:.4f};crossings={crossings};min={int(samples.min()) - 128};max={int(samples.max()) - 128}"
 
 
-def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, media = [], []
-        for x in batch.column(1).cast(pa.binary()):
-            raw = x.as_py() or b""
-            sizes.append(len(raw))
-            media.append(to_wav(raw + b"\xff" * (FRAME * max(1, -(-len(raw) // FRAME)) - len(raw))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(["application/octet-stream"] * len(sizes)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "declared", "media"])
+def _little(n: Column) -> Column:
+    """A number as four bytes, the lowest first."""
+    digits = F.lpad(F.hex(n), 8, "0")
+    return F.unhex(F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)]))
+
+
+def wav_column(text: Column, rate: int = 8000) -> Column:
+    """The same as to_wav of the filled-up bytes of a text, row by row inside the JVM: no batch of whole texts is held or sent."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    n = F.octet_length(text).cast("long")
+    fill = F.when(n == 0, FRAME).otherwise(F.pmod(-n, F.lit(FRAME))).cast("int")
+    head = struct.pack("<4s4sIHHIIHH4s", b"WAVE", b"fmt ", 16, 1, 1, rate, rate, 1, 8, b"data")
+    return F.concat(F.lit(b"RIFF"), _little(n + fill + 36), F.lit(head), _little(n + fill), text.cast("binary"), F.substring(F.lit(b"\xff" * FRAME), F.lit(1), fill))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +356,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """Store every text as sound in a media column, read it back: one row per row, see the module's text."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stored = materialize(base.mapInArrow(_store, "doc_id long, n_bytes long, declared string, media binary"), "media")
+    text = F.col("text").cast("string")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    stored = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), F.lit("application/octet-stream").alias("declared"), wav_column(text).alias("media")), "media", **ROW_GROUPS)
     return stored.mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 

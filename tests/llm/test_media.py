@@ -4,9 +4,12 @@ import io
 import random
 import struct
 import time
+import tracemalloc
 import zipfile
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rankflow.llm import media as m
@@ -125,3 +128,47 @@ def test_any_media_column(spark):
     assert rows[2].kind == "image/png" and rows[2].corrected and not rows[2].embedded
     assert rows[1].kind == "image/gif" and bytes(rows[1].embedded[0].bytes) == png()
     assert rows[3].kind is None
+
+
+def test_texts_are_stored_without_batches_in_python(spark, monkeypatch):
+    plans, write = [], m.materialize
+    monkeypatch.setattr(m, "materialize", lambda df, label, **options: plans.append(df._jdf.queryExecution().toString()) or write(df, label, **options))
+    assert m.text_media(spark.createDataFrame([(1, "a")], "doc_id long, text string")).count() == 1
+    assert len(plans) == 1 and "Python" not in plans[0] and "InArrow" not in plans[0]
+
+
+def test_stored_column_is_the_wave_file(spark):
+    texts = [None, *["x" * n for n in (0, 1, 2, 219, 220, 475, 476, 575, 576, 577, 1152, 65_500, 70_000, 17_000_000)], "é\0\u4e2d𝄞" * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raws = {i: (t or "").encode() for i, t in enumerate(texts)}
+    whole = {i: m.to_wav(x + b"\xff" * (576 * max(1, -(-len(x) // 576)) - len(x))) for i, x in raws.items()}
+    got = {r.doc_id: (r.size, r.sha) for r in df.select("doc_id", F.octet_length(m.wav_column(F.col("text"))).alias("size"), F.sha2(m.wav_column(F.col("text")), 256).alias("sha")).collect()}
+    assert got == {i: (len(x), hashlib.sha256(x).hexdigest()) for i, x in whole.items()}
+    (row,) = spark.sql("select 1L doc_id, cast(X'ff61fe00c328' as string) text").select(m.wav_column(F.col("text")).alias("w")).collect()  # bytes that are no UTF-8 stay as they are
+    assert bytes(row.w) == m.to_wav(b"\xff\x61\xfe\0\xc3\x28" + b"\xff" * 570)
+
+
+def test_long_values_are_read_in_little_memory():
+    raw = m.to_wav(random.Random(5).randbytes(576) * 40_000)  # 23 MB
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([len(raw) - 44]), pa.array(["audio/wav"]), pa.array([raw], pa.binary())], ["doc_id", "n_bytes", "declared", "media"])
+    tracemalloc.start()
+    (out,) = m._read(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x = np.frombuffer(raw[44:], np.uint8).astype(np.int16) - 128
+    rms = float(np.sqrt(np.square(x, dtype=np.int64).mean()))
+    crossings = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
+    says = f"samples={len(x)};mean={float(x.mean()):.4f};rms={rms:.4f};crossings={crossings};min={x.min()};max={x.max()}"
+    assert out.column(7)[0].as_py().endswith(says)
+    assert peak < 4 * len(raw), peak
+
+
+def test_pieces_change_nothing(monkeypatch):
+    r = random.Random(8)
+    raw = b"".join(x for kind, x in samples().items()) + r.randbytes(3000)
+    whole = m.items(raw), m.feature(np.frombuffer(raw, np.uint8))
+    assert len(whole[0]) >= 10
+    for size in (1, 2, 3, 7, 64, 1000, len(raw) - 1, len(raw)):
+        monkeypatch.setattr(m, "PIECE", size)
+        assert (m.items(raw), m.feature(np.frombuffer(raw, np.uint8))) == whole, size
+    assert m.items(b"") == []
