@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankflow.llm.digest import digest_sql, document_digests
+from rankflow.llm.divergence import divergence_sql, divergences
 from rankflow.llm.html_text import extract
 from rankflow.llm.media import text_media
 from rankflow.llm.mixing import mixing_sql, mixing_table
@@ -16,6 +18,7 @@ from rankflow.llm.quality import quality_scores
 from rankflow.llm.simhash import simhash_classes
 from rankflow.llm.suffix_dedup import suffix_dedup
 from rankflow.llm.token_file import token_file
+from rankflow.llm.vector_codes import vector_codes, vector_codes_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +72,25 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_pack, op3_pivot_index, op4_simhash, op5_quality, op6_privacy, op7_html, op8_tokens, op9_mixing, op10_media)}
+    every = (
+        op1_suffix_dedup, op2_pack, op3_pivot_index, op4_simhash, op5_quality, op6_privacy, op7_html, op8_tokens, op9_mixing, op10_media,
+        op11_vector_codes, op12_digest, op13_divergence,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing_sql()}
+    return {"op9_mixing": mixing_sql(), "op11_vector_codes": vector_codes_sql(), "op12_digest": digest_sql(), "op13_divergence": divergence_sql()}
