@@ -40,6 +40,8 @@ from rankflow.storage import numbered_rows
 #: Documents of a language that a kept word is in; what is added to a count; ranks of words.
 LEAST_DOCS, PRIOR, RANKS = 30, 5, 50
 UNIT = 1_000_000_000
+#: A vocabulary of more bytes than this, with 100 for each word, is not broadcast.
+BROADCAST_BYTES = 1 << 26
 #: Sources in a block, words in a chunk, chunks in a segment.
 BLOCK, CHUNK, SEGMENT = 32, 1024, 4
 #: Words that a task holds before it passes their counts on; bytes of a text that are cut into words at once.
@@ -121,8 +123,8 @@ def shares(n: np.ndarray, every: int, kept: int) -> np.ndarray:
 class _Tile:
     """One segment of one pair of blocks: the sums of its pairs so far, and the chunk that is being filled."""
 
-    def __init__(self, left: int, right: int, length: int, chunk: int):
-        self.left, self.right, self.length, self.chunk = left, right, length, chunk
+    def __init__(self, left: int, right: int, length: int):
+        self.left, self.right, self.length = left, right, length
         self.rows: dict[int, list[int]] = {left: [], right: []}
         self.base: dict[int, list[int]] = {left: [], right: []}
         self.of: dict[int, tuple[int, int, int, int]] = {}
@@ -155,64 +157,68 @@ class _Tile:
         return a[i].tolist(), b[j].tolist(), sums[i, j].tolist()
 
 
-def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile, then chunk, where chunk -1 names the sources: submatrices of the tiles."""
-    key, tile, at, matrices = None, None, -1, None
+def _tiled(width: int):
+    """Rows sorted by tile, then chunk of so many words, where chunk -1 names the sources: submatrices of the tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tile, at, matrices = None, None, -1, None
+
+        def close_chunk() -> None:
+            nonlocal matrices
+            if matrices is not None:
+                tile.add(matrices)
+                tile.taken += matrices[tile.left].shape[1]
+                matrices = None
+
+        def result() -> pa.RecordBatch:
+            a, b, value = tile.finish()
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(value, pa.int64())], ["lang", "a", "b", "value"])
+
+        for batch in batches:
+            names = batch.schema.names
+            *small, places, numbers = (batch.column(names.index(c)) for c in ("lang", "left", "right", "segment", "length", "first", "chunk", "block", "source_no", "every", "kept", "places", "numbers"))
+            for row, (lang, left, right, segment, length, first, chunk, block, source, every, kept) in enumerate(zip(*[c.to_pylist() for c in small], strict=True)):
+                if key != (lang, left, right, segment):
+                    if tile is not None:
+                        close_chunk()
+                        yield result()
+                    key, tile, at = (lang, left, right, segment), _Tile(left, right, length), -1
+                if chunk < 0:
+                    tile.member(block, source, every, kept)
+                    continue
+                if chunk != at:
+                    close_chunk()
+                    at = chunk
+                    matrices = tile.empty(min(width, length - (chunk * width - first)))
+                _, i, every, kept = tile.of[source]
+                matrices[block][i, places[row].values.to_numpy()] = shares(numbers[row].values.to_numpy(), every, kept)
+        if tile is not None:
+            close_chunk()
+            yield result()
 
-    def close_chunk() -> None:
-        nonlocal matrices
-        if matrices is not None:
-            tile.add(matrices)
-            tile.taken += matrices[tile.left].shape[1]
-            matrices = None
+    return run
 
-    def result() -> pa.RecordBatch:
-        a, b, value = tile.finish()
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(value, pa.int64())], ["lang", "a", "b", "value"])
 
-    for batch in batches:
-        names = batch.schema.names
-        *small, places, numbers = (batch.column(names.index(c)) for c in ("lang", "left", "right", "segment", "length", "first", "chunk", "block", "source_no", "every", "kept", "places", "numbers"))
-        for row, (lang, left, right, segment, length, first, chunk, block, source, every, kept) in enumerate(zip(*[c.to_pylist() for c in small], strict=True)):
-            if key != (lang, left, right, segment):
-                if tile is not None:
-                    close_chunk()
-                    yield result()
-                key, tile, at = (lang, left, right, segment), _Tile(left, right, length, CHUNK), -1
-            if chunk < 0:
-                tile.member(block, source, every, kept)
-                continue
-            if chunk != at:
-                close_chunk()
-                at = chunk
-                matrices = tile.empty(min(CHUNK, length - (chunk * CHUNK - first)))
-            _, i, every, kept = tile.of[source]
-            matrices[block][i, places[row].values.to_numpy()] = shares(numbers[row].values.to_numpy(), every, kept)
-    if tile is not None:
-        close_chunk()
-        yield result()
-
-
-def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(kept: DataFrame, groups: DataFrame, block: int, chunk: int, segment: int) -> DataFrame:
     """lang, a, b (numbers of sources), value: the difference of all pairs a < b of a language's sources."""
-    width = CHUNK * SEGMENT
-    of_group = groups.withColumn("block", F.expr(f"cast(source_no div {BLOCK} as int)")).withColumn("blocks", F.expr(f"cast((of_lang + {BLOCK - 1}) div {BLOCK} as int)"))
+    width = chunk * segment
+    of_group = groups.withColumn("block", F.expr(f"cast(source_no div {block} as int)")).withColumn("blocks", F.expr(f"cast((of_lang + {block - 1}) div {block} as int)"))
     of_group = of_group.withColumn("segments", F.greatest(F.lit(1), F.expr(f"cast((kept + {width - 1}) div {width} as int)")))
     columns = ["lang", "block", "blocks", "source_no", "every", "kept"]
     members = of_group.select(*columns, F.lit(-1).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment"), F.array().cast("array<int>").alias("places"), F.array().cast("array<bigint>").alias("numbers"))
-    counted = kept.select("lang", "source", F.expr(f"cast(place div {CHUNK} as int)").alias("chunk"), F.struct(F.expr(f"cast(place % {CHUNK} as int)").alias("place"), "n").alias("cell"))
-    packed = counted.groupBy("lang", "source", "chunk").agg(F.collect_list("cell").alias("cells"))  # at most CHUNK cells
-    packed = packed.join(of_group, ["lang", "source"]).select(*columns, "chunk", F.expr(f"cast(chunk div {SEGMENT} as int)").alias("segment"), F.col("cells.place").alias("places"), F.col("cells.n").alias("numbers"))
+    counted = kept.select("lang", "source", F.expr(f"cast(place div {chunk} as int)").alias("chunk"), F.struct(F.expr(f"cast(place % {chunk} as int)").alias("place"), "n").alias("cell"))
+    packed = counted.groupBy("lang", "source", "chunk").agg(F.collect_list("cell").alias("cells"))  # at most so many cells
+    packed = packed.join(of_group, ["lang", "source"]).select(*columns, "chunk", F.expr(f"cast(chunk div {segment} as int)").alias("segment"), F.col("cells.place").alias("places"), F.col("cells.n").alias("numbers"))
     sent = members.unionByName(packed).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
     first = F.col("segment").cast("long") * width
     sent = sent.withColumn("first", first).withColumn("length", F.greatest(F.lit(0), F.least(F.lit(width), F.col("kept") - first)))
     tile = ["lang", "left", "right", "segment"]
-    sums = sent.drop("other", "blocks").repartition(*tile).sortWithinPartitions(*tile, "chunk", "source_no").mapInArrow(_tiled, "lang string, a long, b long, value long")
+    sums = sent.drop("other", "blocks").repartition(*tile).sortWithinPartitions(*tile, "chunk", "source_no").mapInArrow(_tiled(chunk), "lang string, a long, b long, value long")
     return sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = RANKS) -> DataFrame:
+def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = RANKS, block: int = BLOCK, chunk: int = CHUNK, segment: int = SEGMENT) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank: how far each source is from each other of its language, and its most divergent words."""
     every, path = stored(counts(docs), "word-counts")
     words_of = every.where("term IS NOT NULL")
@@ -220,17 +226,20 @@ def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = RANK
     numbered = numbered_rows(frequent, ["lang", "term"])
     langs = numbered.groupBy("lang").agg(F.min("record_no").alias("first_no"), F.count(F.lit(1)).alias("kept"), F.sum("total").alias("lang_every"))
     placed = numbered.join(langs.select("lang", "first_no"), "lang").select("lang", "term", "total", (F.col("record_no") - F.col("first_no")).alias("place"))
-    # Rare words end here: in the tasks that read the counts, where the vocabulary is measured to be small enough to send.
-    kept = words_of.join(placed, ["lang", "term"]).groupBy("lang", "source", "term", "total", "place").agg(F.sum("n").alias("n"))
+    placed, vocabulary_path = stored(placed, "vocabulary")
+    rows, size = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    # Rare words end here: in the tasks that read the counts, where the vocabulary is measured to be small enough to send, else by a shuffle.
+    small = F.broadcast(placed) if size + 100 * rows <= BROADCAST_BYTES else placed
+    kept = words_of.select("lang", "source", "term", "n").join(small, ["lang", "term"]).groupBy("lang", "source", "term", "total", "place").agg(F.sum("n").alias("n"))
     kept = materialize(kept, "kept-counts")
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("every"))
     groups = every.where("term IS NULL").select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(langs.drop("first_no"), "lang", "left").fillna(0)
     groups = numbered_rows(groups, ["lang", "source"])
     sizes = groups.groupBy("lang").agg(F.min("record_no").alias("first_no"), F.count(F.lit(1)).alias("of_lang"))
     groups = materialize(groups.join(sizes, "lang").withColumn("source_no", F.col("record_no") - F.col("first_no")).drop("record_no", "first_no"), "sources")
-    drop(docs.sparkSession, path)
+    drop(docs.sparkSession, path, vocabulary_path)
 
-    both = _pairs(kept, groups).select("lang", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "value").select("lang", "p.a", "p.b", "value")
+    both = _pairs(kept, groups, block, chunk, segment).select("lang", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "value").select("lang", "p.a", "p.b", "value")
     names = groups.select("lang", "source", "source_no")
     named = both.join(names.withColumnRenamed("source_no", "a"), ["lang", "a"]).join(names.select("lang", F.col("source").alias("item"), F.col("source_no").alias("b")), ["lang", "b"])
     p, q = _share(F.col("n"), F.col("every"), F.col("kept")), _share(F.col("total"), F.col("lang_every"), F.col("kept"))
