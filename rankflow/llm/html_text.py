@@ -7,18 +7,21 @@ it. Then
    counts as none.
 2. smoothing: both ratios of a block are averaged with those of its neighbours on the page, which count the more the
    more of its path they share.
-3. fusing: the product of their logarithms, times the share of the path's text that is no link. A heading has the ratio of what it heads, if that is greater. Where a class,
-   id or role says that an element is something else (an advert, a notice, reader comments), the ratio is lowered to a
-   twentieth; it is still for the ratios to decide, and such a name does not count where it stands around most of the
-   page's text, or around its largest <article> or <main>.
+3. fusing: the product of their logarithms, times the share of the path's text that is no link. A heading has the ratio of
+   what it heads, if that is greater. Where a class, id or role says that an element is something else (an advert, a notice, reader
+   comments), the ratio is lowered to a twentieth; it is still for the ratios to decide, and such a name does not count on a heading,
+   nor where it stands around most of the page's text or around its largest <article> or <main>. Inside of that, it counts
+   only for what falls short of the core by itself (readers' comments always do).
 4. thresholds: paths whose best fused ratio is at least CORE of the page's best are its core. The content node is the
    innermost element around all of the core that is more than a piece of text itself, or the <article> or <main> that
    holds most of it. Inside it, each block is kept if its path's ratio reaches a share of the page's best: LEAST for
    elements that are made for text (paragraphs, headings, list items, cells, quotes), BOX for boxes of any use, whose path must hold some
-   punctuation too, unless it comes first and may be the title.
+   punctuation too, unless it comes first and may be the title, or the page has none at all. A box that lies between two blocks
+   that are kept (code, verses) stays with them, unless it is named as something else or mostly links.
 
 Only HTML itself bars text from taking part: nav, footer, aside, head, menu, dialog, button, label, fieldset, a header
-outside of articles, what is hidden, scripts and styles, and forms, except for one around most of the page's text.
+outside of articles, what is hidden (by an attribute of that exact name, or its style), scripts and styles, and forms, except for one around most of
+the page's text.
 
 Pages may be cut off or badly nested, to any depth: every step is linear in the page. A script or the like that is not
 closed ends where a page's text plainly begins again (the head's end, the body, an article, a paragraph, a heading).
@@ -64,10 +67,14 @@ _NAMED = frozenset(
 )
 #: Those of them that mark what readers wrote.
 _READERS = frozenset("comment comments disqus feedback replies reply".split())
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: An attribute's name and value. Values are read over, so that no word inside of one is taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _POINTS = re.compile("[.,;:!?…。，、！？؟।]")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose own names do not count.
+_NAMELESS = _HEADINGS | {"html", "body", "article", "main"}
 #: Elements made for text: a piece of an article, not an article.
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li dd dt pre blockquote figcaption td th caption".split())
 _PIECES = _TEXT | frozenset("ul ol dl figure tr tbody thead tfoot table".split())
@@ -82,13 +89,13 @@ REACH = 2
 class _Node:
     """An element that is open or was. named: it, or the innermost element around it, whose name speaks against it."""
 
-    __slots__ = ("article", "bad", "barred", "depth", "form", "key", "main", "mass", "named", "parent", "path", "readers", "tag")
+    __slots__ = ("article", "bad", "barred", "depth", "form", "key", "main", "mass", "named", "parent", "path", "readers", "resume", "tag")
 
     def __init__(self, parent: _Node | None, tag: str, path: int, barred: bool, key: tuple[str, frozenset[str]] | None):
         self.parent, self.tag, self.path, self.barred, self.key = parent, tag, path, barred, key
         self.named = self if key else parent.named if parent else None
         self.readers = bool(key and key[1] & _READERS) or bool(parent and parent.readers)
-        self.mass, self.bad = 0.0, False
+        self.mass, self.bad, self.resume = 0.0, False, None
         self.depth = parent.depth + 1 if parent else 1
         self.article = (parent.article if parent else None) or (self if tag == "article" else None)
         self.main = (parent.main if parent else None) or (self if tag == "main" else None)
@@ -104,16 +111,17 @@ class _Block:
 
 
 def _marks(name: str, rest: str, in_article: bool) -> tuple[str, bool, frozenset[str]]:
-    """The element's step in a path, whether HTML bars what is in it, and the words that speak against it."""
+    """The element's step in a path, whether HTML bars what is in it, and the words that speak against it. A heading's own name is its anchor and speaks for nothing."""
     step, barred, words = name, name in _OUTSIDE or (name == "header" and not in_article), set()
     for key, value in _ATTRIBUTE.findall(rest) if rest.strip(" /") else ():
-        key, value = key.lower(), value.strip("\"'")
+        key = key.lower()
+        value = value[1:-1] if value[:1] in ("'", '"') else value
         if key == "class":
             step += "." + ".".join(sorted(value.split()))
         if key in ("class", "id", "role"):
-            if name not in ("html", "body", "article", "main"):
+            if name not in _NAMELESS:
                 words |= _NAMED.intersection(w.lower() for w in _WORD.findall(value))
-        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
+        elif key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _UNSEEN.search(value)):
             barred = True
     return step, barred, frozenset(words)
 
@@ -177,14 +185,15 @@ def blocks(page: str) -> list[_Block]:
         if name == "br" and block is not None:
             block.parts.append(" ")
         if name not in _BLOCK:
-            # Inline elements part no blocks; one that is hidden or named as something else has a path of its own.
-            if not closing and name not in _VOID and m["rest"]:
+            # Inline elements part no blocks; one that is hidden or named as something else has a path of its own, and the block
+            # around a hidden one goes on behind it. Amid a text, only a whole name counts, not a part of one.
+            if not closing and name not in _VOID and (m["rest"] or name in _OUTSIDE):
                 step, barred, words = _marks(name, m["rest"], True)
-                if barred or words:
-                    block = None
+                if barred or (words and (block is None or not words.isdisjoint(step.lower().split(".")))):
                     push(name, step, barred, words)
+                    stack[-1].resume, block = block if barred else None, None
             elif closing and stack[-1].tag == name:
-                block = None
+                block = stack[-1].resume
                 pop()
             continue
         block, link = None, 0
@@ -231,13 +240,23 @@ def _judge_names(free: list[_Block], largest: _Node | None) -> None:
     for node in reversed(order):
         if up := node.parent.named:
             up.mass += node.mass
-    by_key: dict[tuple, float] = {}
+    # By step and words; an element inside one of its own kind is counted there.
+    inner: dict[int, list[_Node]] = {}
     for node in order:
-        up, steps = node.parent.named, 0
-        while up and up.key != node.key and steps < 64:  # an element inside one of its own kind is counted there
-            up, steps = up.parent.named, steps + 1
-        if not up or up.key != node.key:
+        inner.setdefault(id(node.parent.named), []).append(node)
+    by_key: dict[tuple, float] = {}
+    around: dict[tuple, int] = {}
+    walk = [(n, True) for n in inner.get(id(None), ())]
+    while walk:
+        node, entering = walk.pop()
+        if not entering:
+            around[node.key] -= 1
+            continue
+        if not around.get(node.key):
             by_key[node.key] = by_key.get(node.key, 0.0) + node.mass
+        around[node.key] = around.get(node.key, 0) + 1
+        walk.append((node, False))
+        walk.extend((n, True) for n in inner.get(id(node), ()))
     total = sum(b.plain for b in free)
     for node in order:
         up = node.parent.named
@@ -302,6 +321,10 @@ def main_text(page: str) -> str:
             return False
         return bool(named and named.bad)
 
+    def of_largest(b: _Block) -> bool:
+        """Whether a name inside the largest <article> or <main> speaks against it, other than its own or that of readers' comments."""
+        return largest is not None and largest in (b.node.article, b.node.main) and not b.node.readers and b.node.tag in _TEXT and b.node.named is not b.node
+
     # Ratios of each path.
     sums: dict[int, list[float]] = {}
     for b in free:
@@ -325,9 +348,17 @@ def main_text(page: str) -> str:
                 shared = min(shared, free[j].node.depth, (free[j] if step > 0 else free[j + 1]).apart)
                 w = math.exp(-k * k / 2) * shared / max(b.node.depth, free[j].node.depth)
                 weight, length, point = weight + w, length + w * lengths[j], point + w * points[j]
-        fused.append(math.log1p(length / weight) * math.log1p(1 + point / weight) * (NAME if lowered(b) else 1.0) * sums[b.node.path][1] / sums[b.node.path][3])
+        fused.append(math.log1p(length / weight) * math.log1p(1 + point / weight) * sums[b.node.path][1] / sums[b.node.path][3])
+    # A name lowers the ratio; inside the largest <article> only of what falls short of the core by itself, without its neighbours.
+    alone = [math.log1p(x) * math.log1p(1 + y) * sums[b.node.path][1] / sums[b.node.path][3] for b, x, y in zip(free, lengths, points, strict=True)]
+    core_of_all = CORE * max((f for b, f in zip(free, alone, strict=True) if not lowered(b)), default=0.0)
+    named_bad = [lowered(b) and not (of_largest(b) and f >= core_of_all) for b, f in zip(free, alone, strict=True)]
+    for i in range(n - 2, -1, -1):  # a heading there goes with what it heads
+        if named_bad[i] and free[i].node.tag in _HEADINGS and of_largest(free[i]) and free[i + 1].node.named is free[i].node.named:
+            named_bad[i] = named_bad[i + 1]
+    fused = [f * (NAME if bad else 1.0) for f, bad in zip(fused, named_bad, strict=True)]
     by_path: dict[tuple[int, bool], float] = {}
-    key = [(b.node.path, lowered(b)) for b in free]
+    key = [(b.node.path, bad) for b, bad in zip(free, named_bad, strict=True)]
     for k, f in zip(key, fused, strict=True):
         by_path[k] = max(f, by_path.get(k, 0.0))
     score = [by_path[k] for k in key]
@@ -344,7 +375,9 @@ def main_text(page: str) -> str:
     if len(core) == 1 and depth > 1:
         depth -= 1
     node = _around(first.node, depth)
-    while node.depth > 1 and (node.tag in _PIECES or node.tag not in _BLOCK):
+    # A cell around several elements of the core is one of a page's layout, not of a table.
+    layout = len(core) > 1 and all(free[i].node is not node for i in core)
+    while node.depth > 1 and (node.tag in _PIECES or node.tag not in _BLOCK) and not (layout and node.tag == "td"):
         node = node.parent
     mass = sum(len(free[i].text) for i in core)
     for name in ("article", "main"):
@@ -364,12 +397,17 @@ def main_text(page: str) -> str:
         start -= 1
     while stop + 1 < n and free[stop + 1].apart >= node.depth:
         stop += 1
-    out: list[str] = []
+    pointed = any(points)
+    kept_at = []
     for i in range(start, stop + 1):
         of_text = free[i].node.tag in _TEXT
-        if score[i] >= (LEAST if of_text else BOX) * best and (of_text or points[i] > 0 or not out):
-            out.append(free[i].text)
-    return "\n".join(out)
+        # Boxes without punctuation may be labels; not where no text has any, nor for the first, which may be the title.
+        kept_at.append(score[i] >= (LEAST if of_text else BOX) * best and (of_text or points[i] > 0 or not pointed or not any(kept_at)))
+    # A box between two blocks that are kept belongs to them, unless a name speaks against it or it is all links: code, verses, captions.
+    for k in range(1, len(kept_at) - 1):
+        if not kept_at[k] and kept_at[k - 1] and any(kept_at[k + 1 : k + 2 + REACH]) and not key[start + k][1] and free[start + k].plain > 0.5 * len(free[start + k].text):
+            kept_at[k] = score[start + k] >= LEAST * best
+    return "\n".join(free[start + k].text for k, keep in enumerate(kept_at) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

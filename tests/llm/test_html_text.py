@@ -141,3 +141,106 @@ def test_rows(spark):
     rows = sorted(((r.page_id or 0, r.n_chars, len(r.text)) for r in m.extract(df).collect()))
     assert len(rows) == 4 and all(n == k for _, n, k in rows) and rows[0][1] == 0
     assert m.extract(df.where(F.lit(False))).count() == 0
+
+
+LONG = ["A first paragraph of some length, which has points, as paragraphs do. It counts, too.", "A second one, which is longer, goes on for a while and a while more. It ends here, at last.", "The third, like the others, has commas; it is there for no other reason, or so they say."]
+
+
+def wrapped(inside, tag="article"):
+    return f"<html><body><nav><a href=/>Home</a></nav><{tag}>{inside}</{tag}><footer>All rights, reserved.</footer></body></html>"
+
+
+def lines(page):
+    return m.main_text(page).split("\n")
+
+
+def test_attributes_count_by_their_exact_names():
+    story = "".join(f"<p>{t}</p>" for t in LONG)
+    for around in ('<div title="A hidden gem">%s</div>', '<section aria-label="Hidden costs">%s</section>', '<article data-hidden="false">%s</article>', "<div data-role=comment data-class='ad'>%s</div>", '<div alt="class=ad id=comments hidden">%s</div>', "<div title=' style=display:none '>%s</div>"):
+        assert lines(wrapped(around % story)) == LONG, around
+        assert lines(wrapped(around % story, "div")) == LONG, around
+    for p in ('<p data-style="display:none">%s</p>', '<p title="hidden">%s</p>', "<p data-hidden>%s</p>", "<p style='color:red'>%s</p>", '<p aria-hidden="false">%s</p>'):
+        assert lines(wrapped("".join(p % t for t in LONG))) == LONG, p
+    for p in ("<p hidden>%s</p>", "<p HIDDEN=''>%s</p>", "<p style='color:red; display : none'>%s</p>", '<p aria-hidden="true">%s</p>', "<p aria-hidden=true class=x>%s</p>"):
+        assert lines(wrapped(story + p % "This one is not to be seen, by anyone. Not at all, ever.")) == LONG, p
+    for link in ('<a href="/w/hidden" title="Hidden variable">hidden variable</a>', '<a href="/x?role=comment">hidden variable</a>', "<a href=/x?class=ad&id=share>hidden variable</a>", "<span class=ad-hoc>hidden variable</span>", '<em data-id="comments">hidden variable</em>'):
+        text = [f"It is a {link} that they speak of, in general. Others, however, do not.", *LONG]
+        assert lines(wrapped("".join(f"<p>{t}</p>" for t in text))) == ["It is a hidden variable that they speak of, in general. Others, however, do not.", *LONG], link
+
+
+def test_buttons_and_labels_need_no_attributes():
+    for bare in ("<button>Accept all</button>", "<label>Your mail.</label>", "<button type=button>Accept all</button>"):
+        assert lines(wrapped(f"<p>{LONG[0]}</p>{bare}<p>{LONG[1]}</p>")) == LONG[:2]
+        half = LONG[2].split("; ")
+        assert lines(wrapped(f"<p>{LONG[0]}</p><p>{half[0]}; {bare}{half[1]}</p><p>{LONG[1]}</p>")) == [LONG[0], LONG[2], LONG[1]]
+
+
+def test_names_inside_of_the_article_are_for_the_ratios():
+    p = [f"<p>{t}</p>" for t in LONG]
+    for name in ("search", "related-work", "comments", "sharing", "tags"):
+        assert lines(wrapped(f"{p[0]}<h2 id='{name}'>On this</h2>{p[1]}{p[2]}")) == [LONG[0], "On this", *LONG[1:]], name
+    for name in ("related-work", "search", "notices", "promotion"):
+        assert lines(wrapped(f"{p[0]}<section id='{name}'><h2>On this</h2>{p[1]}{p[2]}</section>")) == [LONG[0], "On this", *LONG[1:]], name
+    short = "<p>Mail, please.</p>"
+    for name in ("newsletter", "share", "related"):
+        assert lines(wrapped(f"{p[0]}<div class='{name}'>{short}</div>{p[1]}{p[2]}")) == LONG, name
+    # What readers wrote stays out, however long it is.
+    assert lines(wrapped("".join(p) + f"<section id=comments><p>{LONG[1]}</p><p>{LONG[2]}</p></section>")) == LONG
+
+
+def test_code_and_boxes_without_punctuation():
+    p = [f"<p>{t}</p>" for t in LONG]
+    for around in ("article", "main", "div"):
+        assert lines(wrapped(f"{p[0]}<div class=code>let x = 1</div>{p[1]}{p[2]}", around)) == [LONG[0], "let x = 1", *LONG[1:]]
+        assert lines(wrapped(f"{p[0]}<pre>let x = 1</pre>{p[1]}{p[2]}", around)) == [LONG[0], "let x = 1", *LONG[1:]]
+    plain = ["Roses are red and violets are blue", "Sugar is sweet and so are you", "No marks stand in any of these lines"]
+    page = "<html><body><ul><li><a href=/>Home</a></li></ul>" + "".join(f"<div>{t}</div>" for t in plain) + "</body></html>"
+    assert lines(page) == plain
+
+
+def test_nested_names_to_any_depth():
+    deep = 200
+    names = "".join(f"<div class='widget w{i}'>" for i in range(deep))
+    page = f"<body><div id=story>{''.join(f'<p>{t}</p>' for t in LONG * 3)}</div>{names}<p>Short, this.</p>{'</div>' * deep}</body>"
+    assert lines(page) == LONG * 3
+
+
+REALISTIC = [
+    # A blog in divs, with a byline, tags and a comment form.
+    """<body class="home blog"><div id="header"><a href="/"><img src=l.png></a><div class="menu"><ul><li><a href=/a>About</a></li><li><a href=/c>Contact</a></li></ul></div></div><div id="wrap"><div class="entry"><h1>On gardens</h1><div class="entry-content"><p>Gardens are old, and they are made by hand. So it was, and so it is.</p><p>My own one is small, but the soil is good; I dug it twice, in spring.</p><blockquote>A garden, they say, is never done.</blockquote><p>What grows there? Beans, mostly, and a rose or two.</p></div><div class="tags">Filed under <a href=/t/1>Plants</a></div></div><div id="sidebar"><h3>Recent</h3><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></div></div><div id="footer">Copyright 2020, me.</div></body>""",
+    # A newspaper in sections, with a paywall notice and related links.
+    """<body><header><a href=/>The Paper</a></header><section class="story-body"><h1>Town votes on bridge</h1><p>The town council voted on Monday, after a long debate, to build a new bridge. It will open in May.</p><p>"We are glad," said the mayor, who had pushed for it. Others were not so sure.</p><h2>What it costs</h2><p>The bridge costs two million, of which the state pays half. The rest, it is hoped, comes from tolls.</p></section><div class="related"><h3>Related</h3><a href=/1>Old bridge closed</a><a href=/2>Ferry returns</a></div><div class="paywall">Subscribe now, and read on.</div><footer>All rights reserved.</footer></body>""",
+    # A manual with code.
+    """<body><div class="navbar"><a href=/>Docs</a> <a href=/api>API</a></div><div class="content"><h1>Install</h1><p>First, fetch the package with the tool that you use. It takes a minute, at most.</p><pre>get package</pre><p>Then, start it. If all is well, you will see a prompt; if not, read the log.</p><ul><li>Linux, any kind, works.</li><li>So does a Mac, from 2015 on.</li></ul></div><div class="footer">Built with care.</div></body>""",
+    # A table layout of long ago.
+    """<html><body><table width=100%><tr><td width=150><a href=1.htm>Home</a><br><a href=2.htm>Links</a></td><td><h2>My trip to the sea</h2><p>We left at dawn, by train, and it rained all the way down to the coast. Nobody minded, since we had tea, and a pack of cards.<p>At noon the sun came out, the sea was calm, and we swam for an hour or so. It was cold, as it always is in June, but we did not care!<p>Then we went home, tired, but glad.</td></tr></table><center><font size=1>Last change: 1999</font></center></body></html>""",
+    # A forum answer: main, with a vote button and readers' comments.
+    """<body><nav><a href=/>Q</a></nav><main><h1>How do I sort a list?</h1><p>I have a list, and I want it sorted by its second part. How is it done, please?</p><button>Vote</button><p>You pass a key: a function, which takes one item and gives what is compared. It is stable, too.</p><div class="comments"><p>Thanks, this worked for me, and saved my day. Great!</p></div></main></body>""",
+    # A recipe with a list and a newsletter box.
+    """<body><div id=top><a href=/>Food</a></div><article><h1>Soup</h1><p>This soup is quick, and it is good on cold days. Serve it hot, with bread.</p><h2 id="related-tools">What you need</h2><ul><li>two onions, sliced</li><li>salt, as you like</li></ul><div class="newsletter-signup"><p>Get more, by mail.</p></div><p>Fry the onions until they are brown, then add water. Cook for an hour, and stir now and then.</p></article></body>""",
+    # A press release with a hidden paragraph and a script inside.
+    """<body><div class="cookie-notice">We use cookies, as all do. <button>OK</button></div><div class=release><h1>New pump announced</h1><p>The maker announced a new pump today, which uses half as much power. It ships in June.</p><script>track("<p>no</p>")</script><p style="display:none">For machines only, not for you. Never to be seen.</p><p>"It took three years," says the chief engineer, "but it works, and it lasts."</p></div><div class="social"><a href=/x>Share</a></div></body>""",
+    # Sections with ids that sound like something else.
+    """<body><article><h1>A survey of sorting</h1><section id="introduction"><p>Sorting is old, and much has been said about it. We add a little, and sum up the rest.</p></section><section id="related-work"><h2>Related work</h2><p>Knuth wrote it all down, once, and most of it still holds. Later work is on caches, mostly.</p></section><section id="search"><h2>Search</h2><p>Once sorted, a list is searched in few steps, each of which halves it. That is, by and large, the point.</p></section></article><footer>Preprint, not reviewed.</footer></body>""",
+    # Paragraphs by line breaks inside of one box.
+    """<body><div class=nav><a href=/>Start</a></div><div class=post><h3>A note</h3><div>It was late, and the lamp was out, but I wrote on. There was no more to say, and I said it.</div><div>In the morning, of course, I tore it up. One should not write at night, or so I think.</div></div><div class=nav><a href=/2>Next</a></div></body>""",
+    # A press page around a form, as some sites wrap all of it.
+    """<body><form id=aspnet action=/p><div class=menu><a href=/>Home</a></div><div id=main><h1>Opening hours</h1><p>We are open on weekdays, from nine to five, and on Saturdays until noon.</p><p>On holidays, of which there are many, we are closed; please call, then, or write.</p></div><input type=hidden name=v value=1></form></body>""",
+]
+WANTED = [
+    ["On gardens", "Gardens are old, and they are made by hand. So it was, and so it is.", "My own one is small, but the soil is good; I dug it twice, in spring.", "A garden, they say, is never done.", "What grows there? Beans, mostly, and a rose or two."],
+    ["Town votes on bridge", "The town council voted on Monday, after a long debate, to build a new bridge. It will open in May.", '"We are glad," said the mayor, who had pushed for it. Others were not so sure.', "What it costs", "The bridge costs two million, of which the state pays half. The rest, it is hoped, comes from tolls."],
+    ["Install", "First, fetch the package with the tool that you use. It takes a minute, at most.", "get package", "Then, start it. If all is well, you will see a prompt; if not, read the log.", "Linux, any kind, works.", "So does a Mac, from 2015 on."],
+    ["My trip to the sea", "We left at dawn, by train, and it rained all the way down to the coast. Nobody minded, since we had tea, and a pack of cards.", "At noon the sun came out, the sea was calm, and we swam for an hour or so. It was cold, as it always is in June, but we did not care!", "Then we went home, tired, but glad."],
+    ["How do I sort a list?", "I have a list, and I want it sorted by its second part. How is it done, please?", "You pass a key: a function, which takes one item and gives what is compared. It is stable, too."],
+    ["Soup", "This soup is quick, and it is good on cold days. Serve it hot, with bread.", "What you need", "two onions, sliced", "salt, as you like", "Fry the onions until they are brown, then add water. Cook for an hour, and stir now and then."],
+    ["New pump announced", "The maker announced a new pump today, which uses half as much power. It ships in June.", '"It took three years," says the chief engineer, "but it works, and it lasts."'],
+    ["A survey of sorting", "Sorting is old, and much has been said about it. We add a little, and sum up the rest.", "Related work", "Knuth wrote it all down, once, and most of it still holds. Later work is on caches, mostly.", "Search", "Once sorted, a list is searched in few steps, each of which halves it. That is, by and large, the point."],
+    ["A note", "It was late, and the lamp was out, but I wrote on. There was no more to say, and I said it.", "In the morning, of course, I tore it up. One should not write at night, or so I think."],
+    ["Opening hours", "We are open on weekdays, from nine to five, and on Saturdays until noon.", "On holidays, of which there are many, we are closed; please call, then, or write."],
+]
+
+
+def test_realistic_pages():
+    for page, want in zip(REALISTIC, WANTED, strict=True):
+        assert lines(page) == want
