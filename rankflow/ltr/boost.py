@@ -14,9 +14,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.ltr import medians, pairwise
 from rankflow.ltr import metrics as M
 from rankflow.ltr.quantize import codebook, decode, encode, gap_bins
 from rankflow.storage import drop, stored
@@ -134,6 +135,7 @@ class Settings:
     clamp: float = 5.0
     cut: int = 10
     refresh: int = 4
+    step: str = "line"  # a leaf's value for pair losses: one Newton step along the line, or the median or average of responses
     row_share: float = 1.0  # of the rows, for each tree; of the queries where there is a group
     feature_share: float = 1.0  # of the features, for each tree
     seed: int = 0
@@ -142,7 +144,7 @@ class Settings:
     trim_from: int = 30  # iterations before any are
 
 
-def _responses(df: DataFrame, s: Settings, label: str, group: str | None) -> DataFrame:
+def _responses(df: DataFrame, s: Settings, label: str, group: str | None, largest: int | None = None) -> DataFrame:
     """Columns _r0.. (what trees fit) and _w0.. (curvatures), from _f0.. ."""
     y, f = F.col(label).cast("double"), F.col("_f0")
     if s.loss in _OWN:
@@ -162,25 +164,20 @@ def _responses(df: DataFrame, s: Settings, label: str, group: str | None) -> Dat
             p = F.exp(F.col(f"_f{k}") - top) / whole
             df = df.withColumn(f"_r{k}", F.when(y == k, 1.0).otherwise(0.0) - p).withColumn(f"_w{k}", p * (1 - p))
         return df
-    # Pairs of a query: gradients are summed up per row before they come back.
+    # Pairs of a query, tile by tile: gradients are summed up per row before they come back.
     slim = df.select(group, "_id", y.alias("_y"), f.alias("_f"))
-    if s.loss != "ranknet":
-        w = Window.partitionBy(group)
+    if s.loss == "ranknet":
+        sums = pairwise.gradients(pairwise.placed(slim, group, [("_y", True), ("_id", False)], largest), group)
+    else:
+        ranked = pairwise.placed(slim, group, [("_f", True), ("_y", False), ("_id", False)], largest)
         gains = M.gain(F.col("_y")) if s.loss == "lambda" else F.col("_y")
-        slim = slim.withColumn("_rank", F.row_number().over(w.orderBy(F.col("_f").desc(), "_y", "_id")) - 1).withColumn("_g", gains)
-        slim = slim.withColumn("_d", F.when(F.col("_rank") < s.cut, M.discount(F.col("_rank"))).otherwise(0.0))
+        ranked = ranked.withColumn("_g", gains.cast("double")).withColumn("_d", F.when(F.col("_place") < s.cut, M.discount(F.col("_place"))).otherwise(0.0))
         if s.loss == "lambda":
-            slim = slim.join(M.extreme_dcg(slim, group, "_y", s.cut).withColumnRenamed("dcg", "_best"), group)
+            ranked = ranked.join(M.extreme_dcg(slim, group, "_y", s.cut).withColumnRenamed("dcg", "_best"), group)
         else:
-            slim = slim.withColumn("_best", F.lit(1.0))
-    a = slim.select(*[F.col(c).alias(c if c == group else f"a{c}") for c in slim.columns])
-    b = slim.select(*[F.col(c).alias(c if c == group else f"b{c}") for c in slim.columns])
-    both = a.join(b, group).where("a_y > b_y")
-    p = 1 / (1 + F.exp(2 * (F.col("a_f") - F.col("b_f"))))
-    size = F.lit(1.0) if s.loss == "ranknet" else F.abs((F.col("a_g") - F.col("b_g")) * (F.col("a_d") - F.col("b_d"))) / F.greatest(F.col("a_best"), F.lit(1e-12))
-    both = both.select(F.col("a_id"), F.col("b_id"), (2 * p * size).alias("g"), (4 * p * (1 - p) * size).alias("h"))
-    ends = both.select(F.explode(F.array(F.struct(F.col("a_id").alias("_id"), F.col("g")), F.struct(F.col("b_id").alias("_id"), (-F.col("g")).alias("g")))).alias("e"), "h")
-    sums = ends.groupBy(F.col("e._id").alias("_id")).agg(F.sum("e.g").alias("_r0"), F.sum("h").alias("_w0"))
+            ranked = ranked.withColumn("_best", F.lit(1.0))
+        sums = pairwise.gradients(ranked, group, lead=s.cut)  # pairs of two rows beyond the cut change nothing
+    sums = sums.select("_id", F.col("r").alias("_r0"), F.col("w").alias("_w0"))
     out = df.join(sums, "_id", "left").fillna(0.0, ["_r0", "_w0"])
     if s.label_share:
         out = out.withColumn("_r0", (1 - s.label_share) * F.col("_r0") + s.label_share * (y - f)).withColumn("_w0", (1 - s.label_share) * F.col("_w0") + s.label_share)
@@ -193,11 +190,13 @@ def _leaf_value(s: Settings, n: float, r: float, w: float, middle: float | None)
     elif s.loss == "l2":
         v = r / max(n, 1)
     elif s.loss == "l1":
-        v = middle or 0.0
+        v = middle if middle and r else 0.0
     elif s.loss == "logistic":
         v = r / max(w, 1e-12) * (s.classes - 1) / s.classes if s.classes > 2 else r / max(w, 1e-12)
-    else:
+    elif s.step == "line":
         v = r / max(w, 1e-12) / 2
+    else:
+        return s.rate / 2 * ((middle or 0.0) if s.step == "median" else r / max(n, 1))
     return max(-s.clamp, min(s.clamp, v * s.rate))
 
 
@@ -330,9 +329,14 @@ def grow(coded: DataFrame, features: list[str], books: dict[str, list[float]], s
         for i, j in leaves.items():
             tree.nodes[i].value = _leaf_value(s, *totals[j], 0.0, None)
         return tree
-    asked = coded.groupBy(tree.leaf().alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.sum(response).alias("r"), F.sum(weight).alias("w"), F.percentile_approx(F.col(label) - F.col(score), 0.5, 10_000).alias("middle"))
+    middle: dict[object, float] = {}
+    if s.loss == "l1":
+        middle = medians.medians(coded, tree.leaf(), F.col(label).cast("double") - F.col(score))
+    elif s.loss in PAIR_LOSSES and s.step == "median":
+        middle = medians.upper_middles(coded, tree.leaf(), F.col(response))
+    asked = coded.groupBy(tree.leaf().alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.sum(response).alias("r"), F.sum(weight).alias("w"))
     for x in asked.collect():  # leaves
-        tree.nodes[x.leaf].value = _leaf_value(s, x.n, x.r, x.w, x.middle)
+        tree.nodes[x.leaf].value = _leaf_value(s, x.n, x.r, x.w, middle.get(x.leaf))
     return tree
 
 
@@ -365,14 +369,18 @@ def train(df: DataFrame, features: list[str], label: str, settings: Settings, gr
     model = Ensemble(features=list(features))
     books = _books(df, features, s.bins)
     codes = F.array(*[encode(F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)), books[f]).cast("int") for f in features])
-    if s.loss in ("l2", "l1"):
-        first = df.agg(F.avg(F.col(label).cast("double")) if s.loss == "l2" else F.percentile_approx(F.col(label).cast("double"), 0.5)).first()[0]
-        model.base = float(first or 0.0)
+    if s.loss == "l2":
+        model.base = float(df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0)
+    elif s.loss == "l1":
+        model.base = medians.medians(df, F.lit(0), F.col(label)).get(0, 0.0)
+    if s.step not in ("line", "median", "average"):
+        raise ValueError(f"unknown step: {s.step}")
+    largest = None if group is None or s.loss not in PAIR_LOSSES else df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
     many = s.classes if s.loss == "logistic" and s.classes > 2 else 1
     rows = df.withColumn("codes", codes).withColumn("_id", F.monotonically_increasing_id())
     rows, path = stored(rows.select(*df.columns, "codes", "_id", *[F.lit(model.base).alias(f"_f{k}") for k in range(many)]), "boost")
     for i in range(s.trees):
-        work = _responses(_share(rows, s, i, group), s, label, group).persist()
+        work = _responses(_share(rows, s, i, group), s, label, group, largest).persist()
         trees = [learner(_trimmed(work, s, k, i), features, books, s, f"_r{k}", f"_w{k}", label, f"_f{k}", _allowed(len(features), s, i)) for k in range(many)]
         work.unpersist()
         model.trees.append(trees)

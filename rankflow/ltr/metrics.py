@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.ltr import pairwise
+
 #: Gains of the labels 0 to 4.
 GAINS = (0.0, 3.0, 7.0, 15.0, 31.0)
 
@@ -123,8 +125,9 @@ def pair_cost(hi: Column, lo: Column) -> Column:
 
 
 def cross_entropy(df: DataFrame, group: str, label: str, score: str) -> DataFrame:
-    """(group, entropy): the mean cost of a query's pairs."""
-    return pairs(df, group, label, score).groupBy(group).agg(F.avg(pair_cost(F.col("hi"), F.col("lo"))).alias("entropy"))
+    """(group, entropy): the mean cost of a query's pairs, summed tile by tile (see pairwise); queries without pairs are left out."""
+    found = pairwise.costs(df, group, F.col(label), F.col(score)).where("pairs > 0")
+    return found.select(group, (F.col("cost") / F.col("pairs")).alias("entropy"))
 
 
 def argmax(probabilities: Column) -> Column:

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.ltr.gap_ranges import ranged_starts
 from rankflow.storage import numbered_rows
 
 
@@ -69,29 +66,10 @@ def gap_bins(values: np.ndarray, most: int = 65_535, gap: float = 1e-8) -> list[
 def codebook(long: DataFrame, most: int = 65_535) -> DataFrame:
     """(feature, value) -> (feature, starts): gap bins of each feature over all its distinct values.
 
-    Distinct values are taken before they meet; a feature's values then pass one task in order, batch by batch, which
-    holds the starts and no values.
+    Distinct values are taken before they meet, and lie in ranges: no task holds all of a feature's (see gap_ranges).
     """
     distinct = long.where(F.col("value").isNotNull()).select("feature", F.col("value").cast("double").alias("value")).where(~F.isnan("value")).distinct()
-
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feature, own = None, None
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array([feature], kind), pa.array([own.starts()], pa.list_(pa.float64()))], ["feature", "starts"])
-        for batch in batches:
-            names, values, kind = batch.column(0), batch.column(1).to_numpy(), batch.schema.field(0).type
-            runs = pa.compute.run_end_encode(names) if len(names) else None
-            at = 0
-            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True) if runs is not None else ():
-                if own is None or name != feature:
-                    if own is not None:
-                        yield pack()
-                    feature, own = name, GapBins(most)
-                own.add(values[at:end])
-                at = end
-        if own is not None:
-            yield pack()
-
-    return distinct.repartition("feature").sortWithinPartitions("feature", "value").mapInArrow(bins, f"feature {dict(long.dtypes)['feature']}, starts array<double>")
+    return ranged_starts(distinct, most)
 
 
 #: From so many bins on, codes are found by levels of arrays; up to it, by nested conditions.

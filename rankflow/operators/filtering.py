@@ -61,8 +61,14 @@ def _named(columns: list[str], name: str) -> str:
 def key_query(r: Relation, text: str) -> Relation:
     """Rows whose key is the text, or begins with it if it ends in *. {n} is the character of code n."""
     text = re.sub(r"\{(\d+)\}", lambda m: chr(int(m[1])), text)
-    key = F.col(f"`{r.keys[0]}`") if len(r.keys) == 1 and dict(r.df.dtypes)[r.keys[0]] == "string" else r.key()
-    return r.with_df(r.df.where(key.startswith(text[:-1]) if text.endswith("*") else key == text))
+    kind = dict(r.df.dtypes)[r.keys[0]] if len(r.keys) == 1 else None
+    key = F.col(f"`{r.keys[0]}`") if kind == "string" else r.key()
+    if text.endswith("*"):
+        return r.with_df(r.df.where(key.startswith(text[:-1])))
+    found = key == text
+    if kind not in (None, "string"):  # the typed comparison reaches the scan, the texts decide ('007' is not 7)
+        found = (F.col(f"`{r.keys[0]}`") == F.lit(text).try_cast(kind)) & found
+    return r.with_df(r.df.where(found))
 
 
 def register_filter(name: str, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | None = None) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,9 +73,15 @@ def filter_not_right(left: Relation, right: Relation) -> Relation:
 
 
 def concat(*relations: Relation, source: str | None = None) -> Relation:
-    """All rows, whatever columns each has. source: a column for the number of the relation that a row came from."""
+    """All rows, whatever columns each has; columns of different types become text, unless all are numbers. source: a column for the number of the relation that a row came from."""
     first = relations[0]
-    numbered = [r.df if source is None else r.df.withColumn(source, F.lit(i)) for i, r in enumerate(relations)]
+    kinds: dict[str, set[str]] = {}
+    for r in relations:
+        for c, t in r.df.dtypes:
+            kinds.setdefault(c.lower(), set()).add(t)
+    mixed = {c for c, ts in kinds.items() if len(ts) > 1 and not all(re.match(r"(tinyint|smallint|int|bigint|float|double|decimal.*)$", t) for t in ts)}
+    as_text = [r.df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c.lower() in mixed else F.col(f"`{c}`") for c in r.df.columns]) for r in relations]
+    numbered = [df if source is None else df.withColumn(source, F.lit(i)) for i, df in enumerate(as_text)]
     out = numbered[0]
     for df in numbered[1:]:
         out = out.unionByName(df, allowMissingColumns=True)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from rankflow.functions.text import normalize_key
 from rankflow.relation import Relation
+from rankflow.sources import store_index
+from rankflow.sources.quoted import quoted_table
 from rankflow.storage import numbered_rows
 
 UNSUPPORTED = ("cosmos:", "clip:", "sql:")
@@ -33,9 +35,10 @@ def directory(spark: SparkSession, path: str, pattern: str = "*") -> Relation:
     return Relation(df.select(normalize_key(F.col("value")).alias("key")), ("key",), "line", _name(path))
 
 
-def delimited(spark: SparkSession, path: str, separator: str = "\t", header: bool = True, key: str | None = None, schema=None, collapse: bool = False, case: str | None = None) -> Relation:
-    """TSV or CSV with doubled quotes, quoted line ends and trimmed items; all columns are text unless a schema is given.
+def delimited(spark: SparkSession, path: str, separator: str = "\t", header: bool = True, key: str | None = None, schema=None, collapse: bool = False, case: str | None = None, line_ends: bool | None = None) -> Relation:
+    """TSV or CSV with doubled quotes and trimmed items; all columns are text unless a schema is given. Files are read in splits.
 
+    line_ends: whether quoted items may hold line ends; without an answer, those of tables parted by TABs may not.
     separator: one mark, or several, of which each parts items. collapse: runs of marks count as one. Both of these read
     plain lines, whose items are not quoted and which may be split at any line end. case: "lower" or "upper" for the
     names in the header. Text that is missing is ''.
@@ -52,8 +55,10 @@ def delimited(spark: SparkSession, path: str, separator: str = "\t", header: boo
         parts = F.split(line, marks, -1)
         rows = text.where(line != first.value.rstrip("\r")) if first else text
         df = rows.where(line != "").select(*[F.trim(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))).alias(n.strip()) for i, n in enumerate(names)])
+    elif separator != "\t" if line_ends is None else line_ends:
+        df = quoted_table(spark, path, separator, header, schema)
     else:
-        reader = spark.read.option("sep", separator).option("header", header).option("quote", '"').option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+        reader = spark.read.option("sep", separator).option("header", header).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
         df = (reader.schema(schema) if schema else reader).csv(path)
     df = df.fillna("") if schema is None else df
     if case:
@@ -88,7 +93,7 @@ def records(spark: SparkSession, path: str, key: str | None = None, kind: str =
 
 
 def store(spark: SparkSession, path: str, key: str | None = None) -> Relation:
-    """An indexed store: Parquet in ranges of the key, sorted within files, so that key filters skip row groups."""
+    """An indexed store: Parquet in ranges of the key, sorted within files, so that key filters skip row groups; its index serves numbers."""
     df = spark.read.parquet(path)
     return Relation(df, (key or df.columns[0],), "table", _name(path))
 
@@ -176,13 +181,28 @@ def numbered(r: Relation) -> DataFrame:
 
 
 def get_record_no(r: Relation, number: int) -> DataFrame:
-    """The row of a record number; none if there is no such number."""
+    """The row of a record number; none if there is no such number. Any relation is sorted for it; a store is not, see stored_record."""
     return numbered(r).where(F.col("record_no") == number)
 
 
+def stored_record(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The record of a number, with record_no, out of the one file of an indexed store that holds it."""
+    return store_index.record_by_no(spark, path, number)
+
+
+def stored_record_no(spark: SparkSession, path: str, *key: object) -> int:
+    """The number of a key's first record in an indexed store; -1 if there is none."""
+    return store_index.record_no(spark, path, *key)
+
+
 def get_or_missing(r: Relation, keys: DataFrame) -> DataFrame:
     """(asked, found, and r's columns) for keys (column key): all rows of each, or one row with found = false and nulls."""
     asked = keys.select(F.col("key").cast("string").alias("asked")).distinct()
     rows = r.df.withColumn("_key", r.key())
-    out = asked.join(rows, F.col("asked") == F.col("_key"), "left")
+    same = F.col("asked") == F.col("_key")
+    if len(r.keys) == 1 and (kind := dict(r.df.dtypes)[r.keys[0]]) != "string":
+        # Joined in the key's own type, so that filters made from the asked keys reach the scan; the texts decide ('007' is not 7).
+        asked = asked.withColumn("_typed", F.col("asked").try_cast(kind))
+        same = (F.col("_typed") == F.col(f"`{r.keys[0]}`")) & same
+    out = asked.join(rows, same, "left")
     return out.select("asked", F.col("_key").isNotNull().alias("found"), *[F.col(f"`{c}`") for c in r.df.columns])

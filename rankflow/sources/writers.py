@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.functions.text import count_text
 from rankflow.relation import Relation
+from rankflow.sources import store_index
+from rankflow.sources.ordered import concatenated
 from rankflow.storage import drop, new_path
 
+__all__ = ["StorePusher", "as_text", "concatenated", "file_checksums", "push_store", "write_history", "write_jdbc", "write_lines", "write_nothing", "write_records", "write_scores", "write_store", "write_table", "write_uri", "write_xml"]
+
 
 def as_text(r: Relation):
     """A record as its line: the key, and after a TAB its data; counts have at least twelve digits."""
@@ -37,10 +42,11 @@ def write_records(r: Relation, path: str) -> None:
 
 
 def write_store(r: Relation, path: str, files: int | None = None) -> None:
-    """Ranges of the key, each sorted: what store() reads with row groups to skip."""
+    """Ranges of the key, each sorted: what store() reads with row groups to skip; and the index of its record numbers."""
     key = [F.col(f"`{k}`") for k in r.keys]
     ranged = r.df.repartitionByRange(files, *key) if files else r.df.repartitionByRange(*key)
     ranged.sortWithinPartitions(*key).write.parquet(path)
+    store_index.write_index(r.df.sparkSession, path, list(r.keys))
 
 
 class StorePusher:
@@ -71,9 +77,10 @@ class StorePusher:
         drop(self.spark, self.path)
 
 
-def concatenated(spark: SparkSession, paths: list[str], out: str) -> None:
-    """The lines of several files or folders as one."""
-    spark.read.text(paths).write.text(out)
+def push_store(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, key: str, path: str, reducer: Callable[[Relation], Relation] | None = None, kind: str = "table") -> None:
+    """A store of the records that function pushes from the rows of each task; reducer: what equal keys come to."""
+    r = Relation(df.mapInPandas(function, schema), (key,), kind)
+    write_store(reducer(r) if reducer else r, path)
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:

@@ -66,8 +66,22 @@ def ranged(df: DataFrame, order: list[str], label: str = "ranges") -> DataFrame:
     """
     keys = [F.col(f"`{c}`") for c in order]
     sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    at = F.monotonically_increasing_id()  # the task's number, then the row's within it
-    return materialize(sorted_rows.withColumn("_id", at).select(F.shiftright("_id", 33).cast("int").alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_own"), *[F.col(f"`{c}`") for c in df.columns]), label)
+    return materialize(_by_task(sorted_rows), label)
+
+
+def _by_task(df: DataFrame) -> DataFrame:
+    """df with _part and _own: its tasks' numbers, and each row's within its task."""
+    at = _free(df, "_at")
+    numbered = df.withColumn(at, F.monotonically_increasing_id())  # the task's number, then the row's within it
+    return numbered.select(F.shiftright(at, 33).cast("int").alias("_part"), F.col(at).bitwiseAND(F.lit((1 << 33) - 1)).alias("_own"), *[F.col(f"`{c}`") for c in df.columns])
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def starts_of(parts: DataFrame, size=None, name: str = "_start") -> DataFrame:
@@ -85,6 +99,5 @@ def numbered_rows(df: DataFrame, order: list[str], name: str = "record_no") -> D
 
 def placed_rows(df: DataFrame, name: str = "_at") -> DataFrame:
     """df with `name`: each row's place in the order of partitions and rows that Spark gives it, written once so that it stays."""
-    at = F.monotonically_increasing_id()
-    parts = materialize(df.withColumn("_id", at).select(F.shiftright("_id", 33).cast("int").alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_own"), *[F.col(f"`{c}`") for c in df.columns]), "places")
+    parts = materialize(_by_task(df), "places")
     return parts.join(starts_of(parts), "_part").select((F.col("_start") + F.col("_own")).alias(name), *[F.col(f"`{c}`") for c in df.columns])
