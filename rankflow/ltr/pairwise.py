@@ -1,7 +1,7 @@
 """Sums over the pairs of a query's rows, for queries of any size.
 
 A query's rows are placed by an order and cut into tiles. Two tiles are a task's piece of work: it takes their rows' labels and
-scores as vectors, works off all their pairs in blocks, and gives one sum per row (or per query), never a pair. A row is so sent
+scores as vectors, works off all their pairs in pieces, and gives one sum per row (or per query), never a pair. A row is so sent
 once for each tile of its query, not once for each row. Tiles that hold one label between them have no pairs and are not paired;
 where only pairs that touch the first places count, one side is of the first tiles, so work is linear in the query.
 
@@ -11,7 +11,7 @@ that are written once; then no query is held by one task anywhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,8 @@ from rankflow.storage import numbered_rows
 
 #: Rows of a tile, and of one query that a window may place.
 TILE, ONE_TASK = 1024, 100_000
-_BLOCK = 128
-
-Kernel = Callable[[dict[str, np.ndarray], dict[str, np.ndarray], bool], list[tuple[np.ndarray, ...]]]
-
+#: Pairs that a task works off at once.
+PAIRS = 1 << 19
 
 def placed(df: DataFrame, group: str, order: list[tuple[str, bool]], largest: int | None = None, name: str = "_place") -> DataFrame:
     """df with each row's place in its group from 0, by (column, descending). largest: rows of the largest group, if they are known."""
@@ -54,42 +52,85 @@ def tiles(rows: DataFrame, group: str, label: str, tile: int = TILE, lead: int |
     return own.join(ends, F.col(group).eqNullSafe(F.col("_tg")) & (F.col("_tile") == F.col("_end"))).drop("_tg", "_end")
 
 
-def _worked(columns: list[str], kernel: Kernel, out: pa.Schema):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        left, right = key[1].as_py(), key[2].as_py()
-        side = table.column("_tile").to_numpy()
-        values = {c: table.column(c).to_numpy() for c in columns}
-        a = {c: v[side == left] for c, v in values.items()}
-        b = a if left == right else {c: v[side == right] for c, v in values.items()}
-        made = kernel(a, b, left == right)
-        arrays = [np.concatenate(x) for x in zip(*made, strict=True)] if made else [np.zeros(0) for _ in out.names]
-        return pa.table([pa.array(x).cast(t) for x, t in zip(arrays, out.types, strict=True)], schema=out)
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0]+1, ... (lengths[0] of them), then the same for the next."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
+
+
+def _pairs_of(starts: np.ndarray, sizes: np.ndarray, lefts: np.ndarray, same: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of all pairs of some groups of rows, at most about PAIRS at once: a of the left tile, b of the right one, or behind a in the same."""
+    rows = _ranges(starts, lefts)
+    ends = np.repeat(starts + sizes, lefts)
+    first = np.where(np.repeat(same, lefts), rows + 1, np.repeat(starts + lefts, lefts))
+    number = ends - first
+    at = np.cumsum(number)
+    low = 0
+    while low < len(rows):
+        high = max(low + 1, int(np.searchsorted(at, (at[low - 1] if low else 0) + PAIRS, "right")))
+        yield np.repeat(rows[low:high], number[low:high]), _ranges(first[low:high], number[low:high])
+        low = high
+
+
+def _worked(columns: list[str], kernel: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], named: bool):
+    """Rows sorted by tile pair -> what the kernel adds up. Tile pairs of small queries are worked off together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def result(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            n = table.num_rows
+            sizes = np.diff(np.append(starts, n))
+            left, right, tile = (table.column(c).to_numpy() for c in ("_left", "_right", "_tile"))
+            lefts, same = np.add.reduceat((tile == left).astype(np.int64), starts), (left == right)[starts]
+            values = {c: table.column(c).to_numpy() for c in columns}
+            of = np.repeat(np.arange(len(starts)), sizes)
+            sums: list[np.ndarray] | None = None
+            for a, b in _pairs_of(starts, sizes, lefts, same):
+                made = kernel(values, a, b, of)
+                sums = made if sums is None else [x + y for x, y in zip(sums, made, strict=True)]
+            names = table.column("_group").take(pa.array(starts)) if named else table.column("_id")
+            return pa.RecordBatch.from_arrays([names.combine_chunks(), *[pa.array(x) for x in sums or []]], ["_group" if named else "_id", *OUT[named]])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            one, two = table.column("_key1").to_numpy(), table.column("_key2").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+            last = int(starts[-1])  # a tile pair that may go on
+            held = table.slice(last)
+            if last:
+                yield result(table.slice(0, last).combine_chunks(), starts[:-1])
+        if held is not None:
+            yield result(held.combine_chunks(), np.zeros(1, np.int64))
 
     return run
 
 
-def pair_masks(a: dict[str, np.ndarray], b: dict[str, np.ndarray], label: str, same: bool):
-    """Blocks of pairs with different labels: (rows of a, sign of a's label over b's by pair; 0 for no pair)."""
-    for low in range(0, len(a[label]), _BLOCK):
-        at = slice(low, low + _BLOCK)
-        sign = np.sign(a[label][at, None] - b[label][None, :])
-        if same:
-            sign[np.arange(len(b[label]))[None, :] <= np.arange(low, low + len(sign))[:, None]] = 0
-        yield at, sign
+#: What is summed up by row, and by query.
+OUT = {False: ("r", "w"), True: ("pairs", "cost")}
+
 
+def _sent(rows: DataFrame, group: str, columns: list[str], tile: int, lead: int | None, named: bool) -> DataFrame:
+    """Rows once for each pair of tiles, those of a pair side by side in one task. Pairs are told by two hashes of query and tiles."""
+    sent = tiles(rows, group, "_y", tile, lead)
+    key = [F.xxhash64(group, "_left", "_right").alias("_key1"), F.xxhash64(F.lit(1), group, "_left", "_right").alias("_key2")]
+    own = [F.col(group).alias("_group")] if named else []
+    return sent.select(*key, "_left", "_right", "_tile", *own, *columns).repartition("_key1", "_key2").sortWithinPartitions("_key1", "_key2", "_tile")
 
-def _gradients(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool) -> list[tuple[np.ndarray, ...]]:
-    sums = [np.zeros((2, len(a["_id"]))), np.zeros((2, len(b["_id"])))]
-    for at, sign in pair_masks(a, b, "_y", same):
-        apart = sign * (a["_f"][at, None] - b["_f"][None, :])
-        p = 1 / (1 + np.exp(np.minimum(2 * apart, 700)))
-        size = np.abs(sign)
-        if "_g" in a:
-            size = size * np.abs((a["_g"][at, None] - b["_g"][None, :]) * (a["_d"][at, None] - b["_d"][None, :])) / np.maximum(a["_best"][at, None], 1e-12)
-        g, h = 2 * p * size, 4 * p * (1 - p) * size
-        sums[0][:, at] += (g * sign).sum(1), h.sum(1)
-        sums[1] += np.stack([-(g * sign).sum(0), h.sum(0)])
-    return [(x["_id"], s[0], s[1]) for x, s in zip((a,) if same else (a, b), [sums[0] + sums[1]] if same else sums, strict=True)]
+
+def _gradients(v: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+    sign = np.sign(v["_y"][a] - v["_y"][b])
+    on = sign != 0
+    a, b, sign = a[on], b[on], sign[on]
+    p = 1 / (1 + np.exp(np.minimum(2 * sign * (v["_f"][a] - v["_f"][b]), 700)))
+    g, h = 2 * p * sign, 4 * p * (1 - p)
+    if "_g" in v:
+        size = np.abs((v["_g"][a] - v["_g"][b]) * (v["_d"][a] - v["_d"][b])) / np.maximum(v["_best"][a], 1e-12)
+        g, h = g * size, h * size
+    n = len(of)
+    return [np.bincount(a, g, n) - np.bincount(b, g, n), np.bincount(a, h, n) + np.bincount(b, h, n)]
 
 
 def gradients(rows: DataFrame, group: str, tile: int = TILE, lead: int | None = None) -> DataFrame:
@@ -98,20 +139,18 @@ def gradients(rows: DataFrame, group: str, tile: int = TILE, lead: int | None =
     rows: group, _id, _y, _f, _place; with _g, _d, _best a pair weighs |differences of gain and discount| over the query's best.
     """
     columns = [c for c in ("_id", "_y", "_f", "_g", "_d", "_best") if c in rows.columns]
-    out = pa.schema([("_id", pa.int64()), ("r", pa.float64()), ("w", pa.float64())])
-    sent = tiles(rows.select(group, "_place", *columns), group, "_y", tile, lead)
-    made = sent.groupBy(group, "_left", "_right").applyInArrow(_worked(columns, _gradients, out), "_id long, r double, w double")
+    sent = _sent(rows.select(group, "_place", *columns), group, columns, tile, lead, False)
+    made = sent.mapInArrow(_worked(columns, _gradients, False), "_id long, r double, w double")
     return made.groupBy("_id").agg(F.sum("r").alias("r"), F.sum("w").alias("w"))
 
 
-def _costs(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool) -> list[tuple[np.ndarray, ...]]:
-    n, cost = 0, 0.0
-    for at, sign in pair_masks(a, b, "_y", same):
-        d = 2 * sign * (a["_f"][at, None] - b["_f"][None, :])
-        on = sign != 0
-        n += int(on.sum())
-        cost += float((np.maximum(-d, 0) + np.log1p(np.exp(-np.abs(d))))[on].sum())
-    return [(np.array([n]), np.array([cost]))]
+def _costs(v: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+    sign = np.sign(v["_y"][a] - v["_y"][b])
+    on = sign != 0
+    a, b = a[on], b[on]
+    d = 2 * sign[on] * (v["_f"][a] - v["_f"][b])
+    n = int(of[-1]) + 1
+    return [np.bincount(of[a], minlength=n).astype(np.int64), np.bincount(of[a], np.maximum(-d, 0) + np.log1p(np.exp(-np.abs(d))), n)]
 
 
 def costs(df: DataFrame, group: str, label: Column, score: Column, tile: int = TILE) -> DataFrame:
@@ -119,12 +158,5 @@ def costs(df: DataFrame, group: str, label: Column, score: Column, tile: int = T
     slim = df.select(F.col(group), label.cast("double").alias("_y"), score.cast("double").alias("_f"))
     slim = slim.where(F.col("_y").isNotNull() & F.col("_f").isNotNull())
     rows = placed(slim, group, [("_y", True), ("_f", True)])
-    kind = rows.schema[group].dataType
-    sent = tiles(rows, group, "_y", tile)
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        found = _worked(["_y", "_f"], _costs, pa.schema([("pairs", pa.int64()), ("cost", pa.float64())]))(key, table)
-        return found.add_column(0, group, pa.array([key[0].as_py()] * found.num_rows, key[0].type))
-
-    made = sent.groupBy(group, "_left", "_right").applyInArrow(run, f"`{group}` {kind.simpleString()}, pairs long, cost double")
-    return made.groupBy(group).agg(F.sum("pairs").alias("pairs"), F.sum("cost").alias("cost"))
+    made = _sent(rows, group, ["_y", "_f"], tile, None, True).mapInArrow(_worked(["_y", "_f"], _costs, True), f"_group {rows.schema[group].dataType.simpleString()}, pairs long, cost double")
+    return made.groupBy(F.col("_group").alias(group)).agg(F.sum("pairs").alias("pairs"), F.sum("cost").alias("cost"))

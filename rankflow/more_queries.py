@@ -27,8 +27,10 @@ def record_numbers(spark, d):
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 1 OFFSET 37")
 def record_by_number(spark, d):
-    r = Relation(_t(spark, d, "orders").df.select("o_custkey", "o_orderkey"), ("o_custkey",))
-    return readers.get_record_no(r, 37).select("o_orderkey", "o_custkey")
+    """A record by number through a store's index: one file is read."""
+    path = new_path(spark, "store") + "/s"
+    writers.write_store(Relation(_t(spark, d, "orders").df.select("o_custkey", "o_orderkey"), ("o_custkey", "o_orderkey")), path)
+    return readers.stored_record(spark, path, 37).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT k.key AS asked, c_custkey IS NOT NULL AS found, c_name FROM (SELECT (range * 5000)::VARCHAR AS key FROM range(5)) k LEFT JOIN customer ON c_custkey::VARCHAR = k.key")
@@ -70,14 +72,18 @@ def active_features(spark, d):
     return filtering.active_features(Relation(df, ("m:DocId",)), ["SIZE"]).df
 
 
-@query("SELECT 'x' AS key, 1::BIGINT AS count WHERE false")
+@query("SELECT r_regionkey, r_name FROM region")
 def empty_source(spark, d):
-    return filtering.empty("key string, count long", spark).df
+    """An empty relation of a table's columns adds nothing to it."""
+    region = Relation(_t(spark, d, "region").df.select("r_regionkey", "r_name"), ("r_regionkey",))
+    return joins.concat(region, filtering.empty(region.df.schema, spark)).df
 
 
-@query("SELECT 4::BIGINT AS rows, 1::BIGINT AS keys, 5::BIGINT AS random")
+@query("SELECT count(*)::BIGINT AS rows, 1::BIGINT AS keys, count(*)::BIGINT AS random FROM nation")
 def endless_source(spark, d):
-    fixed, free = evaluate(spark, "null0 ^ Head(4)").df, evaluate(spark, "null ^ Head(5)").df
+    """As many rows of the endless sources as a table has: equal keys from the one, different ones from the other."""
+    n = _t(spark, d, "nation").df.count()
+    fixed, free = evaluate(spark, f"null0 ^ Head({n})").df, evaluate(spark, f"null ^ Head({n})").df
     return fixed.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("key").alias("keys")).crossJoin(free.agg(F.count_distinct("key").alias("random")))
 
 
@@ -116,14 +122,17 @@ def score_merge(spark, d):
     return out.select("c_mktsegment", F.col("position").cast("long").alias("position"), "score", "agg_count", F.round("sampling", 2).alias("sampling"))
 
 
-@query("SELECT count(*)::BIGINT AS lost FROM supplier WHERE false")
+@query("SELECT count(*) FILTER (s_suppkey % 3 <> 2)::BIGINT AS kept, count(*) FILTER (s_suppkey % 3 = 2)::BIGINT AS others, true AS few_pass FROM supplier")
 def bloom_merged(spark, d):
-    """No key of either of two merged filters is lost."""
+    """Of two merged filters, no key of either is lost, and of other keys at most a twentieth passes."""
     supplier = _t(spark, d, "supplier").df
-    halves = [supplier.where(c).select("s_suppkey") for c in ("s_suppkey % 2 = 0", "s_suppkey % 2 = 1")]
-    made = reduction.bloom_merged(*[reduction.bloom_filter(h, "s_suppkey", n_keys=10_000) for h in halves])
+    thirds = [supplier.where(F.col("s_suppkey") % 3 == k).select("s_suppkey") for k in (0, 1)]
+    made = reduction.bloom_merged(*[reduction.bloom_filter(h, "s_suppkey", n_keys=10_000) for h in thirds])
     through = reduction.bloom_filtered(supplier, "s_suppkey", made)
-    return supplier.join(through, "s_suppkey", "left_anti").agg(F.count(F.lit(1)).alias("lost"))
+    inside = F.col("s_suppkey") % 3 != 2
+    others = supplier.agg(F.count_if(~inside).alias("others"))
+    passed = through.agg(F.count_if(inside).alias("kept"), F.count_if(~inside).alias("passed"))
+    return passed.crossJoin(others).select("kept", "others", (F.col("passed") <= F.col("others") / 20 + 1).alias("few_pass"))
 
 
 @query("SELECT count(DISTINCT l_orderkey)::BIGINT AS groups, bool_and(n = m) AS whole FROM (SELECT l_orderkey, count(*) AS n, count(*) AS m FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) ORDER BY CAST('0x' || substr(md5('3:' || l_orderkey), 1, 8) AS BIGINT), l_orderkey LIMIT 100) GROUP BY 1)")
@@ -234,7 +243,7 @@ def sink_store(spark, d):
     return _back(spark, orders, "out.store", "store:").where("o_custkey BETWEEN 10 AND 20").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT 25::BIGINT AS lines, 5::BIGINT AS matching")
+@query("SELECT 'listed' AS how, n_name AS key FROM nation UNION ALL SELECT 'matching', r_name FROM region")
 def source_directory(spark, d):
     """Files of a folder by pattern, and files that a list names."""
     folder = new_path(spark, "folder")
@@ -242,9 +251,8 @@ def source_directory(spark, d):
     names.coalesce(1).write.mode("overwrite").text(f"{folder}/a")
     projection.to_line(_t(spark, d, "region"), "r_name").df.select(F.col("key").alias("value")).coalesce(1).write.text(f"{folder}/b")
     spark.createDataFrame([(f"# a list\n{folder}/a",)], "value string").coalesce(1).write.text(f"{folder}/list")
-    listed = readers.open_uri(spark, f"multi:{folder}/list").df.agg(F.count(F.lit(1)).alias("lines"))
-    matching = readers.open_uri(spark, f"dir:{folder}/b\\part-*").df.agg(F.count(F.lit(1)).alias("matching"))
-    return listed.crossJoin(matching)
+    listed = readers.open_uri(spark, f"multi:{folder}/list").df.select(F.lit("listed").alias("how"), "key")
+    return listed.unionAll(readers.open_uri(spark, f"dir:{folder}/b\\part-*").df.select(F.lit("matching").alias("how"), "key"))
 
 
 @query("SELECT n_name AS name, n_nationkey::VARCHAR AS key, n_regionkey::VARCHAR AS region FROM nation")
@@ -263,34 +271,27 @@ def sink_scores(spark, d):
     return data.read_ranking(spark, path)
 
 
-@query("SELECT 3 AS iteration, 0.25::DOUBLE AS value")
+@query("WITH e AS (SELECT l_linenumber AS iteration, round(stddev_pop(l_quantity), 4) AS rmse FROM lineitem GROUP BY 1) SELECT iteration, rmse AS value FROM e ORDER BY rmse, iteration LIMIT 1")
 def sink_history_best(spark, d):
-    """A model's errors, written and read back, and the best iteration of them."""
+    """A history of errors (of each line number's quantities), written and read back, and the best iteration of it."""
     path = new_path(spark, "history") + "/t"
-    writers.write_history(spark, [{"iteration": i, "rmse": v} for i, v in ((1, 0.75), (2, 0.5), (3, 0.25), (4, 0.375))], path)
+    errors = _t(spark, d, "lineitem").df.groupBy("l_linenumber").agg(F.round(F.stddev_pop("l_quantity"), 4).alias("rmse")).collect()  # seven numbers
+    writers.write_history(spark, [{"iteration": r.l_linenumber, "rmse": r.rmse} for r in errors], path)
     back = spark.read.schema("iteration int, rmse double").option("sep", "\t").option("header", True).csv(path)
     return metrics.best_iteration(back, "rmse", higher=False)
 
 
-@query("SELECT n_regionkey, sum(n_nationkey)::BIGINT AS total FROM nation GROUP BY 1")
-def store_push(spark, d):
-    """Records pushed one by one, reduced as the store is written."""
-    path = new_path(spark, "push") + "/store"
-    pusher = writers.StorePusher(spark, "n_regionkey int, total long", "n_regionkey", buffer=10)
-    for row in _t(spark, d, "nation").df.collect():  # 25 rows
-        pusher.add(row.n_regionkey, row.n_nationkey)
-    pusher.write(path, lambda r: reduction.reduce(r, {"total": F.sum}))
-    return readers.store(spark, path).df
-
-
-@query("SELECT count(*)::BIGINT AS lines, 2::BIGINT AS files FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)")
+@query("SELECT 'nation' AS file, count(*)::BIGINT AS lines, 1::BIGINT AS sums FROM nation UNION ALL SELECT 'region', count(*), 1 FROM region UNION ALL SELECT 'both', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region), 1")
 def concatenate_files(spark, d):
+    """Two files and both as one: lines and checksums (numbered_file_lines checks the order)."""
     folder = new_path(spark, "files")
     for name, column in (("nation", "n_name"), ("region", "r_name")):
         _t(spark, d, name).df.select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
     writers.concatenated(spark, [f"{folder}/nation", f"{folder}/region"], f"{folder}/both")
-    sums = writers.file_checksums(spark, f"{folder}/*/part-*").where("bytes > 0 and path not like '%/both/%'").agg(F.count_distinct("sha256").alias("files"))
-    return readers.lines(spark, f"{folder}/both").df.agg(F.count(F.lit(1)).alias("lines")).crossJoin(sums)
+    name = F.element_at(F.split("path", "/"), -2)
+    sums = writers.file_checksums(spark, f"{folder}/*/part-*").where("bytes > 0").groupBy(name.alias("file")).agg(F.count_distinct("sha256").alias("sums"))
+    lines = spark.read.text(f"{folder}/*/part-*").groupBy(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("file")).agg(F.count(F.lit(1)).alias("lines"))
+    return lines.join(sums, "file").select("file", "lines", F.least("sums", F.lit(1)).cast("long").alias("sums"))
 
 
 # --- Text, keys, URLs, dates, bits
@@ -427,10 +428,12 @@ def checksums(spark, d):
     return _t(spark, d, "documents").df.select("doc_id", strings.checksums(F.col("text").cast("binary")).alias("c")).select("doc_id", "c.md5", "c.sha1", "c.sha256")
 
 
-@query("SELECT 'depth' AS name, '7' AS setting UNION ALL SELECT 'path', '/a=b' UNION ALL SELECT 'size', '10'")
+@query("SELECT lower(r_name) AS name, r_regionkey::VARCHAR AS setting FROM region UNION ALL SELECT 'depth', '7'")
 def settings_lines(spark, d):
-    lines = spark.createDataFrame([("# note = 1",), (" Size = 10",), ("size=05",), ("[part]",), ("path = /a=b",), ("",), ("none",)], "value string")
-    return lookups.parsed_settings(lines, {"Depth": "7", "SIZE": "1"})
+    """Settings by lines, made of a table's rows: notes, parts and blank lines are passed over, defaults fill up."""
+    region = _t(spark, d, "region").df
+    of_row = F.array(F.lit("# note = 1"), F.concat(F.lit(" "), "r_name", F.lit(" = "), "r_regionkey"), F.lit("[part]"), F.lit(""), F.lit("none"))
+    return lookups.parsed_settings(region.select(F.explode(of_row).alias("value")), {"Depth": "7"})
 
 
 # --- Segments
@@ -538,10 +541,12 @@ def codebook_prices(spark, d):
     return quantize.codebook(long).select("feature", F.size("starts").alias("bins"), F.element_at("starts", 1).alias("first"), F.element_at("starts", -1).alias("last"))
 
 
-@query("SELECT i AS code, ((i * 10) + (i + 1) * 10) / 2.0 AS threshold FROM range(4) t(i) UNION ALL SELECT 4, 40.0")
+@query("WITH s AS (SELECT DISTINCT p_size::DOUBLE AS v FROM part) SELECT row_number() OVER (ORDER BY v) - 1 AS code, coalesce((v + lead(v) OVER (ORDER BY v)) / 2, v) AS threshold FROM s")
 def decode_thresholds(spark, d):
-    starts = [0.0, 10.0, 20.0, 30.0, 40.0]
-    return spark.createDataFrame([(i, quantize.decode(starts, i)) for i in range(5)], "code long, threshold double")
+    """The thresholds that part the bins of a table's feature."""
+    long = _t(spark, d, "part").df.select(F.lit("p_size").alias("feature"), F.col("p_size").cast("double").alias("value"))
+    starts = quantize.codebook(long).first().starts
+    return spark.createDataFrame([(i, quantize.decode(starts, i)) for i in range(len(starts))], "code long, threshold double")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size = 10 THEN 0 WHEN p_size <= 20 THEN 1 WHEN p_size <= 35 THEN 2 WHEN p_size > 35 THEN 3 END AS code FROM part")
@@ -585,10 +590,11 @@ def class_measures(spark, d):
     return _rounded(metrics.class_measures(df, "q", "label", "p", 3), "class_error", "ndcg_pessimistic", "ndcg_mean", "ndcg_optimistic")
 
 
-@query("SELECT i AS rank, round(sum(1 / ln(2.0 + i)) OVER (ORDER BY i), 6) AS total FROM range(10) t(i)")
+@query("SELECT l_orderkey, l_partkey, l_linenumber, round(sum(1 / ln(2.0 + l_linenumber)) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber ROWS UNBOUNDED PRECEDING), 6) AS total FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)")
 def cumulative_discounts(spark, d):
-    df = spark.range(10).select(F.col("id").alias("rank"), F.lit(0).alias("g"), metrics.discount(F.col("id")).alias("x"))
-    return vectors.cumulative(df, "x", ["g"], ["rank"], "total").select("rank", F.round("total", 6).alias("total"))
+    """Running sums of each order's discounts by line number."""
+    df = _t(spark, d, "lineitem").df.select("l_orderkey", "l_partkey", "l_linenumber").distinct().withColumn("x", metrics.discount(F.col("l_linenumber")))
+    return vectors.cumulative(df, "x", ["l_orderkey"], ["l_partkey", "l_linenumber"], "total").select("l_orderkey", "l_partkey", "l_linenumber", F.round("total", 6).alias("total"))
 
 
 def _two_trees() -> boost.Ensemble:
@@ -619,9 +625,12 @@ def model_files(spark, d):
     return model.predict(_sized(spark, d)).select("p_partkey", "score")
 
 
-@query("SELECT 'price' AS feature, round(sqrt(5 / 2.0) / sqrt(9 / 2.0), 6) AS importance UNION ALL SELECT 'size', 1.0")
+@query("SELECT 'size' AS feature, 1.0::DOUBLE AS importance UNION ALL SELECT 'other', 0.0")
 def feature_importance(spark, d):
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in _two_trees().importance().items()], "feature string, importance double")
+    """What a trained model's splits gain: only the feature that the label follows has any."""
+    rows = _t(spark, d, "part").df.select("p_partkey", F.col("p_size").cast("double").alias("size"), F.lit(1.0).alias("other"), F.col("p_size").cast("double").alias("y"))
+    found = boost.train(rows, ["size", "other"], "y", boost.Settings(trees=2, leaves=3)).importance()
+    return spark.createDataFrame([(k, round(found.get(k, 0.0), 6)) for k in ("size", "other")], "feature string, importance double")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size <= 20 THEN 1.0 WHEN p_retailprice <= 1500 THEN -2.0 ELSE 0.5 END::DOUBLE AS value, CASE WHEN p_size <= 20 THEN 1 WHEN p_retailprice <= 1500 THEN 3 ELSE 4 END AS leaf FROM part")

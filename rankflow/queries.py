@@ -460,16 +460,24 @@ def inherited_settings(spark, d):
     return lookups.inherited(customers, "quota", [(own, ["c_custkey"]), (nation, ["c_nationkey"]), (everyone, [])]).select("c_custkey", "quota")
 
 
-def _squares(part: int, parts: int):
-    import pandas as pd
+class _NationRows:
+    """Each part reads its share of a file's rows."""
 
-    n = pd.Series(range(part, 1000, parts), dtype="int64")
-    yield pd.DataFrame({"n": n, "square": n * n})
+    def __init__(self, path: str):
+        self.path = path
 
+    def __call__(self, part: int, parts: int):
+        import pyarrow.parquet as pq
 
-@query("SELECT range AS n, range * range AS square FROM range(1000)")
+        rows = pq.read_table(self.path, columns=["n_nationkey", "n_name"]).to_pandas()
+        yield rows[rows.index % parts == part]
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def user_source(spark, d):
-    return readers.user_source(spark, _squares, "n long, square long", "n").df
+    """A source of the user's own over a table's file."""
+    path = "/" + _t(spark, d, "nation").df.inputFiles()[0].removeprefix("file:").lstrip("/")
+    return readers.user_source(spark, _NationRows(path), "n_nationkey long, n_name string", "n_nationkey").df
 
 
 @query("SELECT o_custkey, bit_or(1::BIGINT << (o_orderkey % 40)::INT) AS any, bit_and(o_orderkey) AS every FROM orders GROUP BY 1")
@@ -583,4 +591,4 @@ def find_step(spark, d):
     return findstep.best_step(_ranked(spark, d).withColumn("step", F.col("tie") % 10 * -1.0), "q", "label", "score", "step", 0.0, 5.0, 3)
 
 
-from rankflow import more_queries  # noqa: E402, F401  registers its queries here
+from rankflow import more_queries, source_queries  # noqa: E402, F401  register their queries here
