@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankflow.operators.ordering import placed_runs
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -96,7 +98,10 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def run_lengths(df: DataFrame, value: str, order: list[str], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """(by, start, length, value): runs of consecutive equal values; start counts rows from 0."""
+    """(by, start, length, value): runs of consecutive equal values; start counts rows from 0. Without `by`, over all rows, by ranges."""
+    if not by:
+        runs = placed_runs(df, value, order)
+        return runs.groupBy("_run").agg(F.min("_at").alias("start"), F.count(F.lit(1)).alias("length"), F.any_value(value).alias("value")).drop("_run")
     w = Window.partitionBy(*by).orderBy(*order)
     placed = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("_new", F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.col("_at") > 0), 0).otherwise(1))
     runs = placed.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

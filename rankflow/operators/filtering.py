@@ -14,11 +14,24 @@ from rankflow.relation import Relation
 _FILTERS: dict[str, tuple[Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], str | None]] = {}
 
 
-def predicate_sql(predicate: str, columns: list[str]) -> str:
+#: What whole numbers are computed as, so that sums and products do not wrap around.
+_WIDE = {"tinyint": "BIGINT", "smallint": "BIGINT", "int": "BIGINT", "bigint": "DECIMAL(38,0)"}
+
+
+def predicate_sql(predicate: str, columns: list[str], types: dict[str, str] | None = None) -> str:
     """The SQL of a predicate: outside of quotes, `record.Name` is a column, `==`, `&&`, `||` and `!` are operators.
 
-    Quotes are ', " or ^; a quote inside is doubled or follows a backslash, as in SQL.
+    Quotes are ', " or ^; a quote inside is doubled or follows a backslash, as in SQL. types: those of columns, where a predicate that
+    computes is to take whole numbers as wider ones.
     """
+    unquoted = re.sub(r"""(['"^]).*?\1""", "", predicate, flags=re.DOTALL)
+    wide = _WIDE if types and re.search(r"[-+*]", unquoted) else {}
+
+    def column(name: str) -> str:
+        found = _named(columns, name)
+        kind = wide.get((types or {}).get(found, ""))
+        return f"CAST(`{found}` AS {kind})" if kind else f"`{found}`"
+
     out = []
     for m in re.finditer(r"""(?P<q>['"^])(?P<in>(?:\\.|(?P=q)(?P=q)|(?!(?P=q)).)*)(?P=q)|(?P<out>[^'"^]+|.)""", predicate, re.DOTALL):
         if m["q"]:
@@ -26,7 +39,7 @@ def predicate_sql(predicate: str, columns: list[str]) -> str:
             text = re.sub(r"\\(.)|'", lambda x: "\\'" if x[0] == "'" else x[0], text, flags=re.DOTALL)
             out.append(f"'{text}'")
             continue
-        piece = re.sub(r"\brecord\.(\w+)", lambda x: f"`{_named(columns, x[1])}`", m["out"])
+        piece = re.sub(r"\brecord\.(\w+)", lambda x: column(x[1]), m["out"])
         piece = re.sub(r"!(?!=)", " NOT ", piece)
         out.append(piece.replace("==", "=").replace("&&", " AND ").replace("||", " OR "))
     return "".join(out)
@@ -36,10 +49,12 @@ def where(r: Relation, predicate: str, strict: bool = False, failures=None) -> R
     """Rows for which a SQL predicate is true (see predicate_sql).
 
     A row for which it can't be evaluated (a text that is no number, a division by zero, a missing value) is dropped, or
-    fails the job if strict. failures: a pyspark Observation; its `failed` is the number of rows so dropped.
+    fails the job if strict. Whole numbers are computed in wider types, so they don't wrap around. While the plan is made, the session's
+    ANSI setting is changed, for other threads of the session too. failures: a pyspark Observation; its `failed` is the number of
+    rows so dropped.
     """
     session = r.df.sparkSession
-    text = predicate_sql(predicate, r.df.columns)
+    text = predicate_sql(predicate, r.df.columns, None if strict else dict(r.df.dtypes))
     before = session.conf.get("spark.sql.ansi.enabled")
     session.conf.set("spark.sql.ansi.enabled", str(strict).lower())  # plans are analysed, and keep their mode, as they are made
     try:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankflow.functions.text import key_hash
 from rankflow.relation import Relation
+from rankflow.storage import ranged
 
 #: Fixed value: the seed where none is given.
 SEED = 31415927
@@ -72,12 +73,36 @@ def rank0(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
 
 
 def contiguous_groups(df: DataFrame, value: str, order: list[str], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """A column `group_no`: it grows whenever the value differs from the row before."""
+    """A column `group_no`: it grows whenever the value differs from the row before. Without `by`, over all rows, by ranges."""
+    if not by:
+        return placed_runs(df, value, order).withColumnRenamed("_run", "group_no").select(*df.columns, "group_no")
     w = Window.partitionBy(*by).orderBy(*order)
     changed = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)
     return df.withColumn("_new", changed).withColumn("group_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
 
 
+def placed_runs(df: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """df with _at, each row's place in the order, and _run, the number of its run of equal values; both from 0.
+
+    Runs are found within stored ranges; where ranges meet, the last value of one and the first of the next tell whether a run goes on.
+    One row a range meets in a window.
+    """
+    parts = ranged(df, order)
+    own = Window.partitionBy("_part").orderBy("_own")
+    changed = F.when((F.col("_own") == 0) | F.lag(value).over(own).eqNullSafe(F.col(value)), 0).otherwise(1)
+    parts = parts.withColumn("_new", changed).withColumn("_within", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    v = F.col(f"`{value}`")
+    edges = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.max("_within").alias("_changes"), F.min_by(v, "_own").alias("_first"), F.max_by(v, "_own").alias("_last"))
+    along = Window.orderBy("_part")
+    begins = F.when(F.row_number().over(along) == 1, 1).when(F.lag("_last").over(along).eqNullSafe(F.col("_first")), 0).otherwise(1)
+    edges = edges.withColumn("_begins", begins)
+    upto, before = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    edges = edges.select("_part", F.coalesce(F.sum("_n").over(before), zero).alias("_rows"), (F.sum("_begins").over(upto) + F.coalesce(F.sum("_changes").over(before), zero) - 1).alias("_runs"))
+    placed = parts.join(edges, "_part")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_rows") + F.col("_own")).alias("_at"), (F.col("_runs") + F.col("_within")).alias("_run"))
+
+
 def shuffled(df: DataFrame, seed: int = SEED) -> DataFrame:
     """Rows in an order that only the rows and the seed decide, whatever the partitions."""
     return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), *[F.col(f"`{c}`") for c in df.columns])

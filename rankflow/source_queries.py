@@ -10,8 +10,9 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.functions import vectors
 from rankflow.ltr import medians, metrics, pairwise, quantize
-from rankflow.operators import joins, projection, reduction, table_functions
+from rankflow.operators import filtering, joins, ordering, projection, reduction, table_functions
 from rankflow.queries import _GAIN_SQL, _RANKED_SQL, _ranked, _t, query
 from rankflow.relation import Relation
 from rankflow.sources import bucketed, data_source, ordered, readers, store_index, writers
@@ -197,6 +198,29 @@ def filter_with_state(spark, d):
     return table_functions.table_filter(Relation(orders, ("o_custkey",)), Spending, "o_custkey long, n long, total long", order=("o_orderdate", "o_orderkey")).df
 
 
+# --- Order
+
+
+@query("""WITH w AS (SELECT event_id, event_type, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) AND row_number() OVER (ORDER BY event_id) > 1 THEN 0 ELSE 1 END AS new FROM events)
+SELECT event_id, event_type, (sum(new) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS group_no FROM w""")
+def contiguous_groups_of_all(spark, d):
+    """Groups of equal neighbours over a whole relation, by ranges."""
+    return ordering.contiguous_groups(_t(spark, d, "events").df.select("event_id", "event_type"), "event_type", ["event_id"])
+
+
+@query("""WITH w AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS at, lag(event_type) OVER (ORDER BY event_id) AS before FROM events),
+r AS (SELECT *, sum(CASE WHEN at > 0 AND event_type IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (ORDER BY at ROWS UNBOUNDED PRECEDING) AS run FROM w)
+SELECT min(at)::BIGINT AS start, count(*)::BIGINT AS length, any_value(event_type) AS value FROM r GROUP BY run""")
+def run_lengths_of_all(spark, d):
+    return vectors.run_lengths(_t(spark, d, "events").df.select("event_id", "event_type"), "event_type", ["event_id"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE 9223372036854775000 + o_orderkey::HUGEINT > 9223372036854775807 AND o_custkey::HUGEINT * 2147483647 * 2147483647 > 0")
+def where_without_overflow(spark, d):
+    """Sums and products beyond a column's type do not wrap around."""
+    return filtering.where(Relation(_t(spark, d, "orders").df.select("o_orderkey", "o_custkey"), ("o_orderkey",)), "9223372036854775000 + record.o_orderkey > 9223372036854775807 && record.o_custkey * 2147483647 * 2147483647 > 0").df.select("o_orderkey")
+
+
 # --- Learning
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankflow.functions.text import normalize_key
 from rankflow.relation import Relation
-from rankflow.sources import store_index
+from rankflow.sources import bucketed, store_index
 from rankflow.sources.quoted import quoted_table
 from rankflow.storage import numbered_rows
 
@@ -61,9 +61,13 @@ def delimited(spark: SparkSession, path: str, separator: str = "\t", header: boo
         reader = spark.read.option("sep", separator).option("header", header).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
         df = (reader.schema(schema) if schema else reader).csv(path)
     df = df.fillna("") if schema is None else df
+    # Names may be marked as keys, name=Key.1, name=Key.2 ...
+    marks = [re.fullmatch(r"(.*)=Key\.(\d+)", c) for c in df.columns]
+    df = df.toDF(*[m[1] if m else c for m, c in zip(marks, df.columns, strict=True)])
     if case:
         df = df.toDF(*[getattr(c, case)() for c in df.columns])
-    return Relation(df, (key or df.columns[0],), "table", _name(path))
+    keys = [c for _, c in sorted((int(m[2]), c) for m, c in zip(marks, df.columns, strict=True) if m)]
+    return Relation(df, (key,) if key else tuple(keys) or (df.columns[0],), "table", _name(path))
 
 
 def xml_table(spark: SparkSession, path: str, row_tag: str, key: str | None = None) -> Relation:
@@ -133,8 +137,32 @@ def user_source(spark: SparkSession, function: Callable[[int, int], Iterator[pd.
     return Relation(spark.range(0, parts, 1, parts).mapInPandas(run, schema), (key,), "table", name)
 
 
+def _there(spark: SparkSession, path: str) -> str:
+    """The path; where nothing lies at it, the compressed file beside it that there is instead."""
+    if re.search(r"[*?\[{]", path):
+        return path
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    exists = lambda p: hadoop(p).getFileSystem(conf).exists(hadoop(p))
+    return path if exists(path) else next((path + end for end in (".gz", ".bz2", ".zst") if exists(path + end)), path)
+
+
+def _kind_of(spark: SparkSession, path: str) -> str:
+    """What lies at a plain path, by what its folder holds: 'store', 'buckets', 'records', or 'lines' for anything else."""
+    if re.search(r"[*?\[{]", path):
+        return "lines"
+    place, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
+    files = place.getFileSystem(conf)
+    if not files.exists(place) or not files.getFileStatus(place).isDirectory():
+        return "lines"
+    names = [s.getPath().getName() for s in files.listStatus(place)]
+    if store_index.INDEX in names or bucketed.ABOUT in names:
+        return "store" if store_index.INDEX in names else "buckets"
+    return "records" if any(n.endswith(".parquet") for n in names) else "lines"
+
+
 def open_uri(spark: SparkSession, uri: str) -> Relation:
-    """A relation by URI: records:, recs:, store:, tstore:, dir:, directory:, multi:, filelist:, xml:<tag>:, or a path by its extension."""
+    """A relation by URI: records:, recs:, store:, tstore:, buckets:, dir:, directory:, multi:, filelist:, xml:<tag>:, or a path by its
+    extension, else by what lies there. Where a text file is missing, the compressed one of its name is read."""
     scheme, _, rest = uri.partition(":")
     if uri.lower().startswith(UNSUPPORTED):
         raise ValueError(f"{scheme}: is not supported here; use a path or a JDBC URL with jdbc_table()")
@@ -142,6 +170,8 @@ def open_uri(spark: SparkSession, uri: str) -> Relation:
         return records(spark, rest)
     if scheme in ("store", "tstore"):
         return store(spark, rest)
+    if scheme == "buckets":
+        return bucketed.buckets(spark, rest)
     if scheme in ("dir", "directory"):
         folder, _, pattern = rest.rpartition("\\") if "\\" in rest else (rest, "", "*")
         return directory(spark, folder, pattern)
@@ -160,10 +190,13 @@ def open_uri(spark: SparkSession, uri: str) -> Relation:
         df = spark.read.json(uri)
         return Relation(df, (df.columns[0],), "table", _name(uri))
     if bare.endswith(".csv"):
-        return delimited(spark, uri, ",")
+        return delimited(spark, _there(spark, uri), ",")
     if bare.endswith(".tsv"):
-        return delimited(spark, uri, "\t")
-    return lines(spark, uri)
+        return delimited(spark, _there(spark, uri), "\t")
+    kind = _kind_of(spark, uri)
+    if kind == "buckets":
+        return bucketed.buckets(spark, uri)
+    return lines(spark, _there(spark, uri)) if kind == "lines" else (store if kind == "store" else records)(spark, uri)
 
 
 def get_record(r: Relation, key: str) -> DataFrame:

@@ -24,13 +24,28 @@ def as_text(r: Relation):
     return F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in r.df.columns if c != "pos"])
 
 
-def write_lines(r: Relation, path: str, compression: str | None = None) -> None:
-    r.df.select(as_text(r).alias("value")).write.option("compression", compression or "none").text(path)
-
-
-def write_table(r: Relation, path: str, separator: str = "\t", header: bool = True, compression: str | None = None) -> None:
-    writer = r.df.write.option("sep", separator).option("header", header).option("escape", '"')
-    (writer.option("compression", compression) if compression else writer).csv(path)
+def _level(compression: str | None, level: int | None) -> dict[str, str]:
+    """The options of a compression and its level, from 1 (fast) to 9 (small); zstd has more. Each goes with one write."""
+    out = {"compression": compression or "none"}
+    if level is not None:
+        if compression in ("gzip", "deflate"):
+            names = {1: "BEST_SPEED", 9: "BEST_COMPRESSION"} | dict(zip(range(2, 9), "TWO THREE FOUR FIVE SIX SEVEN EIGHT".split(), strict=True))
+            out["zlib.compress.level"] = names[level]
+        elif compression == "zstd":
+            out["io.compression.codec.zstd.level"] = str(level)
+        else:
+            raise ValueError(f"no levels for {compression}")
+    return out
+
+
+def write_lines(r: Relation, path: str, compression: str | None = None, level: int | None = None) -> None:
+    r.df.select(as_text(r).alias("value")).write.options(**_level(compression, level)).text(path)
+
+
+def write_table(r: Relation, path: str, separator: str = "\t", header: bool = True, compression: str | None = None, level: int | None = None, key_marks: bool = False) -> None:
+    """key_marks: keys are marked in the header, name=Key.1 and so on, as delimited() reads them."""
+    named = r.df.toDF(*[f"{c}=Key.{r.keys.index(c) + 1}" if c in r.keys else c for c in r.df.columns]) if key_marks else r.df
+    named.write.option("sep", separator).option("header", header).option("escape", '"').options(**_level(compression, level)).csv(path)
 
 
 def write_xml(r: Relation, path: str, row_tag: str = "row", root_tag: str = "rows") -> None:

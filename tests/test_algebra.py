@@ -301,3 +301,46 @@ def test_more_sources(spark, tmp_path):
     t = table(spark, [(x, x) for x in "dbca"], ["k", "v"])
     assert [(r.record_no, r.k) for r in readers.numbered(t).orderBy("record_no").collect()] == list(enumerate("abcd"))
     assert rows(readers.get_record(t, "c")) == [("c", "c")] and rows(readers.get_prefix(t, "")) == rows(t)
+
+
+def test_runs_over_a_whole_relation_by_ranges(spark):
+    import random
+
+    from rankflow.functions import vectors
+
+    r = random.Random(3)
+    values = [v for v in r.choices(["a", "b", None, "a"], k=60) for _ in range(r.randint(1, 40))]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").repartition(5)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        groups = {x.i: x.group_no for x in ordering.contiguous_groups(df, "v", ["i"]).collect()}
+        runs = sorted((x.start, x.length, x.value) for x in vectors.run_lengths(df, "v", ["i"]).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    number, want, at = -1, {}, []
+    for i, v in enumerate(values):
+        if i == 0 or v != values[i - 1]:
+            number += 1
+            at.append([i, 0, v])
+        want[i] = number
+        at[-1][1] += 1
+    assert groups == want and runs == [tuple(x) for x in at]
+    assert ordering.contiguous_groups(df.where("false"), "v", ["i"]).count() == 0
+
+
+def test_whole_numbers_do_not_wrap_around(spark):
+    df = spark.createDataFrame([(2147483647, 9223372036854775807), (1, 1), (None, None)], "x int, y bigint")
+    r = Relation(df, ("x",))
+    assert filtering.where(r, "record.x + 1 < 0").df.count() == 0 and filtering.where(r, "record.y + 1 < 0").df.count() == 0
+    assert filtering.where(r, "record.x + 1 > 2147483647").df.count() == 1 and filtering.where(r, "record.y * 2 > 4").df.count() == 1
+    assert "CAST" not in filtering.predicate_sql("record.x == 1 && record.y != 'a+b'", ["x", "y"], {"x": "int", "y": "bigint"})
+
+
+def test_concat_of_keys_of_different_types(spark):
+    numbers = Relation(spark.createDataFrame([(1, 2)], "key int, n int"), ("key",))
+    texts = Relation(spark.createDataFrame([("a", 2)], "key string, n bigint"), ("key",))
+    assert sorted(tuple(x) for x in joins.concat(numbers, texts).df.collect()) == [("1", 2), ("a", 2)]
+    assert [x.key for x in joins.merge("-", numbers, texts).df.collect()] == ["a", "1"]

@@ -138,3 +138,50 @@ def test_store_index(spark, tmp_path):
     # An empty store has an index without rows.
     writers.write_store(Relation(rows.where("false"), ("k",)), str(tmp_path / "none"))
     assert store_index.record_count(spark, str(tmp_path / "none")) == 0 and store_index.record_by_no(spark, str(tmp_path / "none"), 0).count() == 0
+
+
+def test_plain_paths_are_known_by_what_lies_there(spark, tmp_path):
+    df = spark.range(20).selectExpr("id AS k", "id * 2 AS v")
+    r = Relation(df, ("k",))
+    writers.write_store(r, str(tmp_path / "a"), 2)
+    writers.write_records(r, str(tmp_path / "b"))
+    (tmp_path / "c").write_text("x\ny\n")
+    for name, n, columns in (("a", 20, ["k", "v"]), ("b", 20, ["k", "v"]), ("c", 2, ["key"])):
+        got = readers.open_uri(spark, str(tmp_path / name))
+        assert got.df.count() == n and got.df.columns == columns
+    from rankflow.sources import bucketed
+
+    bucketed.write_buckets(r, str(tmp_path / "d"), 2)
+    assert readers.open_uri(spark, str(tmp_path / "d")).df.count() == readers.open_uri(spark, f"buckets:{tmp_path}/d").df.count() == 20
+    # A missing text file is looked for as a compressed one.
+    import gzip
+
+    (tmp_path / "e.tsv.gz").write_bytes(gzip.compress(b"k\tv\n1\t2\n"))
+    (tmp_path / "f.gz").write_bytes(gzip.compress(b"one\ntwo\n"))
+    assert readers.open_uri(spark, str(tmp_path / "e.tsv")).df.collect()[0][:] == ("1", "2")
+    assert readers.open_uri(spark, str(tmp_path / "f")).df.count() == 2
+
+
+def test_levels_of_compression(spark, tmp_path):
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdef") for _ in range(5)) for _ in range(300)]
+    rel = Relation(spark.createDataFrame([(" ".join(r.choice(words) for _ in range(40)),) for _ in range(3000)], "key string").coalesce(1), ("key",), "line")
+    sizes = {}
+    for level in (1, 9):
+        writers.write_lines(rel, str(tmp_path / f"l{level}"), "gzip", level)
+        sizes[level] = sum(f.stat().st_size for f in (tmp_path / f"l{level}").glob("*.gz"))
+        assert spark.read.text(str(tmp_path / f"l{level}")).count() == 3000
+    assert sizes[9] < sizes[1]
+    with pytest.raises(ValueError):
+        writers.write_lines(rel, str(tmp_path / "x"), "bzip2", 3)
+
+
+def test_keys_are_marked_in_the_header(spark, tmp_path):
+    r = Relation(spark.createDataFrame([("1", "a", "x"), ("2", "b", "y")], "n string, k string, v string"), ("v", "n"))
+    for end, separator in ((".tsv", "\t"), (".csv", ",")):
+        writers.write_table(r, str(tmp_path / f"t{end}"), separator, key_marks=True)
+        header = next(f for f in (tmp_path / f"t{end}").glob("part-*")).read_text().split("\n")[0]
+        assert header == separator.join(("n=Key.2", "k", "v=Key.1"))
+        back = readers.open_uri(spark, str(tmp_path / f"t{end}"))
+        assert back.keys == ("v", "n") and sorted(map(tuple, back.df.collect())) == [("1", "a", "x"), ("2", "b", "y")]
+    assert readers.delimited(spark, str(tmp_path / "t.tsv"), key="k").keys == ("k",)
