@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.ltr import medians, pairwise
+from rankflow.ltr import findstep, medians, pairwise
 from rankflow.ltr import metrics as M
 from rankflow.ltr.quantize import codebook, decode, encode, gap_bins
 from rankflow.storage import drop, stored
@@ -135,7 +135,7 @@ class Settings:
     clamp: float = 5.0
     cut: int = 10
     refresh: int = 4
-    step: str = "line"  # a leaf's value for pair losses: one Newton step along the line, or the median or average of responses
+    step: str = "line"  # a leaf's value for pair losses: one Newton step, the median or average of responses, or ("search") as far along its Newton step, up to twice, as NDCG at the cut gains most
     row_share: float = 1.0  # of the rows, for each tree; of the queries where there is a group
     feature_share: float = 1.0  # of the features, for each tree
     seed: int = 0
@@ -193,7 +193,7 @@ def _leaf_value(s: Settings, n: float, r: float, w: float, middle: float | None)
         v = middle if middle and r else 0.0
     elif s.loss == "logistic":
         v = r / max(w, 1e-12) * (s.classes - 1) / s.classes if s.classes > 2 else r / max(w, 1e-12)
-    elif s.step == "line":
+    elif s.step in ("line", "search"):
         v = r / max(w, 1e-12) / 2
     else:
         return s.rate / 2 * ((middle or 0.0) if s.step == "median" else r / max(n, 1))
@@ -373,7 +373,7 @@ def train(df: DataFrame, features: list[str], label: str, settings: Settings, gr
         model.base = float(df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0)
     elif s.loss == "l1":
         model.base = medians.medians(df, F.lit(0), F.col(label)).get(0, 0.0)
-    if s.step not in ("line", "median", "average"):
+    if s.step not in ("line", "median", "average", "search"):
         raise ValueError(f"unknown step: {s.step}")
     largest = None if group is None or s.loss not in PAIR_LOSSES else df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
     many = s.classes if s.loss == "logistic" and s.classes > 2 else 1
@@ -382,6 +382,8 @@ def train(df: DataFrame, features: list[str], label: str, settings: Settings, gr
     for i in range(s.trees):
         work = _responses(_share(rows, s, i, group), s, label, group, largest).persist()
         trees = [learner(_trimmed(work, s, k, i), features, books, s, f"_r{k}", f"_w{k}", label, f"_f{k}", _allowed(len(features), s, i)) for k in range(many)]
+        if s.step == "search" and s.loss in PAIR_LOSSES:
+            _search_leaves(work, trees[0], s, group, label)
         work.unpersist()
         model.trees.append(trees)
         rows = rows.withColumns({f"_f{k}": F.col(f"_f{k}") + t.column() for k, t in enumerate(trees)})
@@ -394,6 +396,14 @@ def train(df: DataFrame, features: list[str], label: str, settings: Settings, gr
     return model
 
 
+def _search_leaves(rows: DataFrame, tree: Tree, s: Settings, group: str, label: str) -> None:
+    """Scale each leaf's value by the weight, up to 2, at which NDCG is best along it; leaves that can't gain keep theirs."""
+    moved = rows.select(group, label, "_f0", tree.leaf().alias("_leaf"), tree.column().alias("_step"))
+    for r in findstep.best_steps(moved, group, label, "_f0", "_leaf", "_step", 0.0, 2.0, s.cut).collect():  # leaves
+        if r.gain > 1e-9:
+            tree.nodes[r.leaf].value *= r.weight
+
+
 def _books(df: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
     """Where each feature's bins start: at quantiles of its rows, or (bins: 0) by gaps over all its distinct values."""
     number = lambda f: F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.functions import vectors
-from rankflow.ltr import medians, metrics, pairwise, quantize
+from rankflow.ltr import boost, findstep, medians, metrics, pairwise, quantize
 from rankflow.operators import filtering, joins, ordering, projection, reduction, table_functions
 from rankflow.queries import _GAIN_SQL, _RANKED_SQL, _ranked, _t, query
 from rankflow.relation import Relation
@@ -208,9 +208,9 @@ def contiguous_groups_of_all(spark, d):
     return ordering.contiguous_groups(_t(spark, d, "events").df.select("event_id", "event_type"), "event_type", ["event_id"])
 
 
-@query("""WITH w AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS at, lag(event_type) OVER (ORDER BY event_id) AS before FROM events),
-r AS (SELECT *, sum(CASE WHEN at > 0 AND event_type IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (ORDER BY at ROWS UNBOUNDED PRECEDING) AS run FROM w)
-SELECT min(at)::BIGINT AS start, count(*)::BIGINT AS length, any_value(event_type) AS value FROM r GROUP BY run""")
+@query("""WITH w AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS pos, lag(event_type) OVER (ORDER BY event_id) AS before FROM events),
+r AS (SELECT *, sum(CASE WHEN pos > 0 AND event_type IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM w)
+SELECT min(pos)::BIGINT AS start, count(*)::BIGINT AS length, any_value(event_type) AS value FROM r GROUP BY run""")
 def run_lengths_of_all(spark, d):
     return vectors.run_lengths(_t(spark, d, "events").df.select("event_id", "event_type"), "event_type", ["event_id"])
 
@@ -282,3 +282,49 @@ def concat_mixed_keys(spark, d):
     """Keys that are numbers on one side and text on the other are text."""
     numbers = Relation(_t(spark, d, "orders").df.where("o_orderkey = 7").select(F.col("o_orderkey").alias("key")), ("key",), "line")
     return joins.concat(numbers, projection.to_line(_t(spark, d, "region"), "r_name")).df
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS v, p_retailprice AS y FROM part), c AS (SELECT v AS lo, lead(v) OVER (ORDER BY v) AS hi FROM (SELECT DISTINCT v FROM p)),
+s AS (SELECT c.lo, c.hi, sum((v <= c.lo)::INT) AS n1, sum(CASE WHEN v <= c.lo THEN y ELSE 0 END) AS s1, count(*) AS n, sum(y) AS s FROM c, p WHERE hi IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT lo FROM s WHERE n1 >= 15 AND n - n1 >= 15 ORDER BY s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) - s * s / n DESC, lo LIMIT 1),
+q AS (SELECT p.*, (v > b.lo)::INT AS side, avg(y) OVER () AS base FROM p, b),
+t AS (SELECT side, c.lo, sum((v <= c.lo)::INT) AS n1, sum(CASE WHEN v <= c.lo THEN y - base ELSE 0 END) AS s1, count(*) AS n, sum(y - base) AS s FROM q, c WHERE hi IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT side, lo FROM t WHERE n1 >= 15 AND n - n1 >= 15 ORDER BY round(s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) - s * s / n, 3) DESC, side, lo LIMIT 1),
+l AS (SELECT q.p_partkey, y, 10 * q.side + CASE WHEN q.side = g.side AND v > g.lo THEN 1 ELSE 0 END AS leaf FROM q, g)
+SELECT p_partkey, round(avg(y) OVER (PARTITION BY leaf), 3) AS score FROM l""")
+def three_leaf_tree(spark, d):
+    """A tree of three leaves, grown best first by squared error: the predictions are the means of its leaves."""
+    rows = _t(spark, d, "part").df.select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    model = boost.train(rows, ["size"], "price", boost.Settings(trees=1, leaves=3, rate=1.0, bins=0, clamp=1e9))
+    return model.predict(rows).select("p_partkey", F.round("score", 3).alias("score"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS v, p_retailprice AS y FROM part), m AS (SELECT median(y) AS base FROM p), r AS (SELECT p.*, y - base AS d, sign(y - base) AS g, base FROM p, m),
+c AS (SELECT v AS lo, lead(v) OVER (ORDER BY v) AS hi FROM (SELECT DISTINCT v FROM p)),
+s AS (SELECT c.lo, sum((v <= c.lo)::INT) AS n1, sum(CASE WHEN v <= c.lo THEN g ELSE 0 END) AS s1, count(*) AS n, sum(g) AS s FROM c, r WHERE hi IS NOT NULL GROUP BY 1),
+b AS (SELECT lo FROM s WHERE n1 >= 15 AND n - n1 >= 15 ORDER BY s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) - s * s / n DESC, lo LIMIT 1),
+l AS (SELECT r.*, (v > b.lo) AS side FROM r, b), k AS (SELECT side, CASE WHEN sum(g) = 0 THEN 0 ELSE median(d) END AS step FROM l GROUP BY 1)
+SELECT p_partkey, round(base + step, 3) AS score FROM l JOIN k USING (side)""")
+def absolute_error_tree(spark, d):
+    """A split by absolute error, whose leaves are exact medians."""
+    rows = _t(spark, d, "part").df.select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    model = boost.train(rows, ["size"], "price", boost.Settings(loss="l1", trees=1, leaves=2, rate=1.0, bins=0, clamp=1e9))
+    return model.predict(rows).select("p_partkey", F.round("score", 3).alias("score"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS q, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS a, max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS b, max(CASE WHEN l_linenumber = 1 THEN l_partkey % 10 END) AS sa, max(CASE WHEN l_linenumber = 2 THEN l_partkey % 10 END) AS sb,
+ max(CASE WHEN l_linenumber = 1 THEN l_suppkey % 3 END) AS la, max(CASE WHEN l_linenumber = 2 THEN l_suppkey % 3 END) AS lb FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
+x AS (SELECT *, (a > 25) AS up FROM r WHERE (a > 25) <> (b > 25)), z AS (SELECT count(*) AS n FROM x),
+y AS (SELECT q, leaf, CASE WHEN up THEN a ELSE b END AS f1, CASE WHEN up THEN b ELSE a END AS f0, CASE WHEN up THEN CASE WHEN la = leaf THEN sa ELSE 0 END ELSE CASE WHEN lb = leaf THEN sb ELSE 0 END END AS s1,
+ CASE WHEN up THEN CASE WHEN lb = leaf THEN sb ELSE 0 END ELSE CASE WHEN la = leaf THEN sa ELSE 0 END END AS s0 FROM x, range(3) AS t(leaf) WHERE la = leaf OR lb = leaf),
+e AS (SELECT leaf, 0.0::DOUBLE AS w, CASE WHEN f1 > f0 OR (f1 = f0 AND s1 > s0) THEN 1.0 ELSE ln(2) / ln(3) END AS change FROM y
+UNION ALL SELECT leaf, (f0 - f1) / (s1 - s0), CASE WHEN s1 > s0 THEN 1 - ln(2) / ln(3) ELSE ln(2) / ln(3) - 1 END FROM y WHERE s1 <> s0 AND (f0 - f1) / (s1 - s0) > 0 AND (f0 - f1) / (s1 - s0) < 50),
+g AS (SELECT leaf, w, sum(change) AS change FROM e GROUP BY 1, 2), t AS (SELECT leaf, w, sum(change) OVER (PARTITION BY leaf ORDER BY w) AS total, coalesce(lead(w) OVER (PARTITION BY leaf ORDER BY w), 50) AS nxt FROM g)
+SELECT leaf::INTEGER AS leaf, round((w + nxt) / 2, 6) AS weight, round((total - first_value(total) OVER (PARTITION BY leaf ORDER BY w)) / (SELECT n FROM z), 6) AS gain FROM t QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY round(total, 9) DESC, w) = 1""")
+def leaf_steps(spark, d):
+    """How far to go along each of three leaves' own steps, over orders' first two lines."""
+    pick = lambda c: F.max(c).cast("double")
+    lines = _t(spark, d, "lineitem").df.where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(pick("l_quantity").alias("score"), pick(F.col("l_partkey") % 10).alias("step"), F.max(F.col("l_suppkey") % 3).alias("leaf"))
+    df = lines.withColumn("label", (F.col("score") > 25).cast("int"))
+    found = findstep.best_steps(df, "l_orderkey", "label", "score", "leaf", "step", 0.0, 50.0, 2)
+    return found.select("leaf", F.round("weight", 6).alias("weight"), F.round("gain", 6).alias("gain"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankflow.ltr import boost, medians, metrics, pairwise
+from rankflow.ltr import boost, findstep, medians, metrics, pairwise
 
 
 def listed(rows, cut=None):
@@ -136,3 +136,38 @@ def test_steps_of_pair_leaves(spark, step):
         assert tree.nodes[leaf].value == pytest.approx(want * s.rate / 2)
     with pytest.raises(ValueError):
         boost.train(df, ["a"], "y", boost.Settings(loss="ranknet", step="no"), group="q")
+
+
+def test_steps_of_all_leaves_against_a_grid(spark):
+    r = random.Random(11)
+    rows = [(q, float(r.choice([0, 0, 1, 2, 3])), round(r.gauss(0, 1), 3), r.randrange(4), round(r.gauss(0, 1), 3)) for q in range(25) for _ in range(r.randint(1, 9))]
+    df = spark.createDataFrame(rows, "q int, y double, s double, leaf int, step double").repartition(3)
+    got = {x.leaf: x for x in findstep.best_steps(df, "q", "y", "s", "leaf", "step", 0.0, 3.0, 4).collect()}
+    queries = {}
+    for x in rows:
+        queries.setdefault(x[0], []).append(x)
+    mixed = [v for v in queries.values() if len({x[1] for x in v}) > 1]
+
+    def mean(leaf, w):
+        total = 0.0
+        for own in mixed:
+            gain = lambda y: [0.0, 3.0, 7.0, 15.0, 31.0][int(y)]
+            order = sorted(own, key=lambda x: (-(x[2] + (w * x[4] if x[3] == leaf else 0.0)), x[1]))[:4]
+            best = sum(gain(y) / math.log(2 + k) for k, y in enumerate(sorted((x[1] for x in own), reverse=True)[:4]))
+            total += sum(gain(x[1]) / math.log(2 + k) for k, x in enumerate(order)) / best
+        return total / len(mixed)
+
+    assert set(got) == set(range(4))
+    for leaf, x in got.items():
+        grid = max(mean(leaf, k * 3 / 600) for k in range(601))
+        assert mean(leaf, x.weight) >= grid - 1e-9 and x.gain == pytest.approx(mean(leaf, x.weight) - mean(leaf, 0.0), abs=1e-9)
+
+
+def test_searched_leaves_do_not_lose(spark):
+    rows = queries(6, (20,) * 8)
+    df = spark.createDataFrame([(q, y, float(i % 7), float(y * 2 + i % 3)) for i, q, y, _ in rows], "q int, y double, a double, b double")
+    ndcg = {}
+    for step in ("line", "search"):
+        model = boost.train(df, ["a", "b"], "y", boost.Settings(loss="lambda", trees=2, leaves=3, least=2, step=step, bins=0, cut=5), group="q")
+        ndcg[step] = metrics.ndcg(model.predict(df), "q", "y", "score", 5).agg(F.avg("ndcg")).first()[0]
+    assert ndcg["search"] >= 0.8 and ndcg["search"] >= ndcg["line"] - 0.05
