@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankflow.ltr import gap_ranges, quantize
 
@@ -52,3 +53,43 @@ def test_functions_of_ranges():
                 assert gap_ranges.apply(steps, start, gap) == want
         k, counts = gap_ranges.own_counts(values, 10)
         assert counts[0] <= 10 and counts[-1] == 1 and counts == sorted(counts, reverse=True)
+
+
+def test_functions_of_blocks_are_those_of_their_values():
+    r = random.Random(9)
+    for _ in range(300):
+        values = np.unique(np.round(np.array([r.uniform(0, 50) for _ in range(r.randint(4, 60))]), r.choice([0, 1, 6])))
+        gap = r.choice([0.3, 1.0, 2.5, 7.0, 100.0])
+        cuts = sorted(r.sample(range(1, len(values)), min(len(values) - 1, r.randint(1, 6))))
+        parts = [gap_ranges.function(x, gap) for x in np.split(values, cuts)]
+        block = gap_ranges.composed(parts, float(values[0]), gap)
+        for d in (1e-6, 0.1, 0.5, 1.0, 2.5, 6.9, 50.0, 99.0, 1000.0):
+            start = float(values[0]) - d
+            places = gap_ranges.chain(values, gap_ranges.opens(values, start, gap), gap, 10**6)
+            assert gap_ranges.apply(block, start, gap) == ((len(places), float(values[places[-1]])) if places else (0, start))
+
+
+def test_evenly_spaced_values_do_not_reach_the_driver(spark, monkeypatch):
+    """Chains over evenly spaced values never meet: their functions, of as many steps as values, stay in tables."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, collect = [], DataFrame.collect
+    size = lambda x: 1 + sum(map(size, x)) if isinstance(x, (list, tuple)) else 1
+
+    def watched(self):
+        rows = collect(self)
+        seen.append(sum(map(size, rows)))
+        return rows
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(DataFrame, "collect", watched)
+    try:
+        long = spark.range(60_000).select(F.lit("id").alias("feature"), F.col("id").cast("double").alias("value"))
+        starts = quantize.codebook(long, 7).first().starts
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert starts == one_task(range(60_000), 7)
+    assert max(seen) < 1000
