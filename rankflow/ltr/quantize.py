@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankflow.ltr.gap_ranges import ranged_starts
+from rankflow.ltr.gap_ranges import ranged_starts, start_rows
 from rankflow.storage import numbered_rows
 
 
@@ -68,8 +68,16 @@ def codebook(long: DataFrame, most: int = 65_535) -> DataFrame:
 
     Distinct values are taken before they meet, and lie in ranges: no task holds all of a feature's (see gap_ranges).
     """
-    distinct = long.where(F.col("value").isNotNull()).select("feature", F.col("value").cast("double").alias("value")).where(~F.isnan("value")).distinct()
-    return ranged_starts(distinct, most)
+    return ranged_starts(_distinct(long), most)
+
+
+def _distinct(long: DataFrame) -> DataFrame:
+    return long.where(F.col("value").isNotNull()).select("feature", F.col("value").cast("double").alias("value")).where(~F.isnan("value")).distinct()
+
+
+def bin_starts(long: DataFrame, most: int | None = None) -> DataFrame:
+    """(feature, value) -> (feature, start): the same, a row for each bin; without `most` as many bins as there are values 1e-8 apart."""
+    return start_rows(_distinct(long), most)
 
 
 #: From so many bins on, codes are found by levels of arrays; up to it, by nested conditions.
