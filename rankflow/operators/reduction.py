@@ -34,19 +34,44 @@ def reduce(r: Relation, using: dict[str, Callable[[Column], Column]] | None = No
     return r.with_df(out, ordering=None)
 
 
+#: Rows (and bytes) that a task looks at together before the shuffle, and how many of them a key has where they are folded.
+GATHERED, GATHERED_BYTES, WORTH = 200_000, 1 << 26, 64
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches put together up to GATHERED rows or GATHERED_BYTES, or so."""
+    held: list[pd.DataFrame] = []
+    rows = size = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        rows, size = rows + len(batch), size + int(batch.memory_usage(deep=True).sum())
+        if rows >= GATHERED or size >= GATHERED_BYTES:
+            yield pd.concat(held, ignore_index=True)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def reduce_by_function(r: Relation, function: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], finish: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> Relation:
     """Rows of equal keys folded by the user's own function(rows, before): a frame with one row a key, of the relation's columns.
 
     `rows` hold one key; `before` is what the rows seen so far came to, or None. The function runs in every task before
-    the shuffle and again after it, so it must not depend on the order or the grouping of rows; a hot key then arrives as
-    one row per task. finish(row) makes the last change.
+    the shuffle, over keys with many of the rows at hand, and again after it, so it must not depend on the order or the
+    grouping of rows; a hot key then arrives as one row per task. Rows of other keys are sent as they are: folding a few
+    rows costs more than sending them. finish(row) makes the last change.
     """
     keys, schema = list(r.keys), r.df.schema
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, pd.DataFrame] = {}
-        for batch in batches:
-            for key, rows in batch.groupby(keys, sort=False, dropna=False):
+        for batch in _gathered(batches):
+            code = batch.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            many = np.bincount(code)[code] >= WORTH
+            if not many.all():
+                yield batch[~many][schema.names]
+            for key, rows in batch[many].groupby(keys, sort=False, dropna=False):
                 held[key] = function(rows, held.get(key))
             if len(held) > 10_000:
                 yield pd.concat(held.values())[schema.names]

@@ -344,3 +344,20 @@ def test_concat_of_keys_of_different_types(spark):
     texts = Relation(spark.createDataFrame([("a", 2)], "key string, n bigint"), ("key",))
     assert sorted(tuple(x) for x in joins.concat(numbers, texts).df.collect()) == [("1", 2), ("a", 2)]
     assert [x.key for x in joins.merge("-", numbers, texts).df.collect()] == ["a", "1"]
+
+
+def test_functions_are_called_by_key_not_by_batch(spark):
+    """Few rows of many keys are not folded before the shuffle; a hot key's are."""
+    import pandas as pd
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def summed(rows, before):
+        calls.add(1)
+        every = rows if before is None else pd.concat((before, rows))
+        return every.iloc[[0]].assign(n=every["n"].sum())
+
+    df = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 500).alias("k"), F.lit(1).cast("long").alias("n")).repartition(2)
+    got = {r.k: r.n for r in reduction.reduce_by_function(Relation(df, ("k",)), summed).df.collect()}
+    assert got == {-1: 30_000} | {k: 120 for k in range(1, 500, 2)}
+    assert calls.value < 800  # once a key before and after; by batches of 10,000 rows it would be over 1,500
