@@ -41,56 +41,74 @@ def _placed(df: DataFrame, group: str, label: str, score: str, ties: str) -> tup
     return ranked.withColumn("_mean", F.avg(gain(F.col(label))).over(Window.partitionBy(group, score))), F.col("_mean")
 
 
+def best_dcg(df: DataFrame, group: str, label: str, cut: int, name: str) -> DataFrame:
+    """df with `name`, its query's DCG in the best order: by windows, so that rows dealt by group stay where they are."""
+    ranked = df.withColumn("_b", F.row_number().over(Window.partitionBy(group).orderBy(F.col(label).desc())) - 1)
+    own = F.when(F.col("_b") < cut, gain(F.col(label)) * discount(F.col("_b"))).otherwise(0.0)
+    return ranked.withColumn(name, F.sum(own).over(Window.partitionBy(group))).drop("_b")
+
+
 def dcg(df: DataFrame, group: str, label: str, score: str, cut: int, ties: str = "pessimistic") -> DataFrame:
     """(group, dcg) at a cut. ties: optimistic, pessimistic, or mean (a block of equal scores shares its mean gain)."""
-    ranked, gains = _placed(df, group, label, score, ties)
+    ranked, gains = _placed(pairwise.dealt(df, group), group, label, score, ties)
     return ranked.groupBy(group).agg(_gains_by_rank(label, "_r", cut, gains).alias("dcg"))
 
 
 def extreme_dcg(df: DataFrame, group: str, label: str, cut: int, best: bool = True, offset: int = 0) -> DataFrame:
     """(group, dcg) of the best or the worst order, whose first row has the place `offset`; the cut counts all places."""
     w = Window.partitionBy(group).orderBy(F.col(label).desc() if best else F.col(label).asc())
-    ranked = df.withColumn("_r", F.row_number().over(w) - 1 + offset)
+    ranked = pairwise.dealt(df, group).withColumn("_r", F.row_number().over(w) - 1 + offset)
     return ranked.groupBy(group).agg(_gains_by_rank(label, "_r", cut).alias("dcg"))
 
 
 def ndcg(df: DataFrame, group: str, label: str, score: str, cut: int, ties: str = "pessimistic", empty: float | None = None, rule: str = "labels") -> DataFrame:
-    """(group, ndcg). Degenerate queries (rule labels: all labels equal; rule gain: no gain) are left out, or get the score `empty`.
+    """(group, ndcg). Degenerate queries (rule labels: all labels equal; rule gain: no gain) are left out, or get the score `empty`."""
+    return ndcgs(df, group, label, score, cut, (ties,), empty, rule).withColumnRenamed(f"ndcg_{ties}", "ndcg")
+
 
-    One shuffle by group: its orders by score and by label are two windows over it, and one aggregate takes both.
+def ndcgs(df: DataFrame, group: str, label: str, score: str, cut: int, kinds: tuple[str, ...], empty: float | None = None, rule: str = "labels") -> DataFrame:
+    """(group, ndcg_<kind> for each rule of ties).
+
+    One shuffle by group: its orders by score and by label are windows over it, and one aggregate takes all.
     """
-    ranked, gains = _placed(df, group, label, score, ties)
-    ranked = ranked.withColumn("_b", F.row_number().over(Window.partitionBy(group).orderBy(F.col(label).desc())) - 1)
-    both = ranked.groupBy(group).agg(_gains_by_rank(label, "_r", cut, gains).alias("dcg"), _gains_by_rank(label, "_b", cut).alias("_best"), (F.min(label) == F.max(label)).alias("_flat"))
+    ranked = pairwise.dealt(df, group).withColumn("_b", F.row_number().over(Window.partitionBy(group).orderBy(F.col(label).desc())) - 1)
+    sums = []
+    for ties in kinds:
+        ranked, gains = _placed(ranked, group, label, score, ties)
+        ranked = ranked.withColumnRenamed("_r", f"_r_{ties}")
+        sums.append(_gains_by_rank(label, f"_r_{ties}", cut, gains).alias(f"_dcg_{ties}"))
+    both = ranked.groupBy(group).agg(*sums, _gains_by_rank(label, "_b", cut).alias("_best"), (F.min(label) == F.max(label)).alias("_flat"))
     flat = F.col("_flat") if rule == "labels" else F.col("_best") <= 0
     both = both.where(~flat) if empty is None else both
-    value = F.when(flat, F.lit(empty)).otherwise(F.try_divide("dcg", "_best")) if empty is not None else F.try_divide("dcg", "_best")
-    return both.select(group, F.coalesce(value, F.lit(0.0)).alias("ndcg"))
+
+    def value(ties: str) -> Column:
+        share = F.try_divide(f"_dcg_{ties}", "_best")
+        return F.coalesce(share if empty is None else F.when(flat, F.lit(empty)).otherwise(share), F.lit(0.0)).alias(f"ndcg_{ties}")
+
+    return both.select(group, *map(value, kinds))
 
 
 def mean_measures(df: DataFrame, group: str, label: str, score: str, cut: int, empty: float | None = None) -> DataFrame:
     """One row: the means over queries of cross entropy and pair error (of queries with pairs), and of NDCG by tie rule."""
     pair = pair_error(df, group, label, score).select(group, "error").join(cross_entropy(df, group, label, score), group)
     out = pair.agg(F.avg("entropy").alias("cross_entropy"), F.avg("error").alias("pair_error"))
-    for ties in ("pessimistic", "mean", "optimistic"):
-        one = ndcg(df, group, label, score, cut, ties, empty).agg(F.avg("ndcg").alias(f"ndcg_{ties}"))
-        out = out.crossJoin(F.broadcast(one))  # one row each
-    return out
+    kinds = ("pessimistic", "mean", "optimistic")
+    means = ndcgs(df, group, label, score, cut, kinds, empty).agg(*[F.avg(f"ndcg_{ties}").alias(f"ndcg_{ties}") for ties in kinds])
+    return out.crossJoin(F.broadcast(means))  # one row each
 
 
 def class_measures(df: DataFrame, group: str, label: str, probabilities: str, cut: int, empty: float | None = None) -> DataFrame:
     """One row for a classifier of grades: mean NDCG of its expected labels by tie rule, and its share of wrong classes."""
     scored = df.select(group, label, expected_label(F.col(probabilities)).alias("_score"), argmax(F.col(probabilities)).alias("_class"))
     out = class_error(scored, label, "_class").select(F.col("error").alias("class_error"))
-    for ties in ("pessimistic", "mean", "optimistic"):
-        one = ndcg(scored, group, label, "_score", cut, ties, empty).agg(F.avg("ndcg").alias(f"ndcg_{ties}"))
-        out = out.crossJoin(F.broadcast(one))  # one row each
-    return out
+    kinds = ("pessimistic", "mean", "optimistic")
+    means = ndcgs(scored, group, label, "_score", cut, kinds, empty).agg(*[F.avg(f"ndcg_{ties}").alias(f"ndcg_{ties}") for ties in kinds])
+    return out.crossJoin(F.broadcast(means))  # one row each
 
 
 def reciprocal_rank(df: DataFrame, group: str, label: str, score: str, tie: str) -> DataFrame:
     """(group, rr): one over the place of the first row with a label, 0 if there is none."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(tie))))
+    ranked = pairwise.dealt(df, group).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(tie))))
     return ranked.groupBy(group).agg(F.coalesce(1.0 / F.min(F.when(F.col(label) > 0, F.col("_r"))), F.lit(0.0)).alias("rr"))
 
 
@@ -105,9 +123,9 @@ def pair_error(df: DataFrame, group: str, label: str, score: str) -> DataFrame:
     """(group, pairs, errors, error): counted without listing pairs.
 
     For each row, the rows of lower labels with scores from its own on up are counted by running sums over the scores,
-    one for each label, so a query costs rows times labels. Rows of equal score and label are counted before they meet.
+    one for each label, so a query costs rows times labels. One shuffle by group serves all steps.
     """
-    tally = df.groupBy(group, score, label).agg(F.count(F.lit(1)).alias("_n"))
+    tally = pairwise.dealt(df, group).groupBy(group, score, label).agg(F.count(F.lit(1)).alias("_n"))
     labels = tally.withColumn("_labels", F.collect_set(label).over(Window.partitionBy(group)))
     wide = labels.withColumn("_low", F.explode("_labels")).where(F.col("_low") <= F.col(label))
     mine = wide.select(group, "_low", F.col(score).alias("_s"), F.when(F.col("_low") < F.col(label), F.col("_n")).otherwise(0).alias("_n"), F.when(F.col("_low") == F.col(label), F.col("_n")).otherwise(0).alias("_m"))

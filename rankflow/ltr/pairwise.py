@@ -24,11 +24,23 @@ from rankflow.storage import numbered_rows
 TILE, ONE_TASK = 1024, 100_000
 #: Pairs that a task works off at once.
 PAIRS = 1 << 19
+#: Rows that a task sorts by group, or so: its memory does not grow with the input.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by columns to tasks of about TASK_ROWS rows: windows and aggregates by these need no other shuffle, and none holds more than its share (or one group)."""
+    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), *[F.col(f"`{c}`") for c in by])
+
+
+def largest_group(df: DataFrame, group: str) -> int:
+    return df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+
 
 def placed(df: DataFrame, group: str, order: list[tuple[str, bool]], largest: int | None = None, name: str = "_place") -> DataFrame:
     """df with each row's place in its group from 0, by (column, descending). largest: rows of the largest group, if they are known."""
     if largest is None:
-        largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+        largest = largest_group(df, group)
     if largest <= ONE_TASK:
         by = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in order]
         return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*by)) - 1)
@@ -112,12 +124,20 @@ def _worked(columns: list[str], kernel: Callable[[dict[str, np.ndarray], np.ndar
 OUT = {False: ("r", "w"), True: ("pairs", "cost")}
 
 
-def _sent(rows: DataFrame, group: str, columns: list[str], tile: int, lead: int | None, named: bool) -> DataFrame:
+def _one_tile(rows: DataFrame, group: str) -> DataFrame:
+    """The same where every query is one tile: a pair of tiles is a query with two labels, whose rows a window brings together, if they are not yet."""
+    whole = Window.partitionBy(group)
+    labels = rows.withColumns({"_lo": F.min("_y").over(whole), "_hi": F.max("_y").over(whole)})
+    return labels.where("_lo < _hi").withColumns({c: F.lit(0) for c in ("_left", "_right", "_tile")}).drop("_lo", "_hi")
+
+
+def _sent(rows: DataFrame, group: str, columns: list[str], tile: int, lead: int | None, named: bool, single: bool) -> DataFrame:
     """Rows once for each pair of tiles, those of a pair side by side in one task. Pairs are told by two hashes of query and tiles."""
-    sent = tiles(rows, group, "_y", tile, lead)
+    sent = _one_tile(rows, group) if single else tiles(rows, group, "_y", tile, lead)
     key = [F.xxhash64(group, "_left", "_right").alias("_key1"), F.xxhash64(F.lit(1), group, "_left", "_right").alias("_key2")]
     own = [F.col(group).alias("_group")] if named else []
-    return sent.select(*key, "_left", "_right", "_tile", *own, *columns).repartition("_key1", "_key2").sortWithinPartitions("_key1", "_key2", "_tile")
+    sent = sent.select(*key, "_left", "_right", "_tile", *own, *columns)
+    return (sent if single else sent.repartition("_key1", "_key2")).sortWithinPartitions("_key1", "_key2", "_tile")
 
 
 def _gradients(v: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
@@ -133,15 +153,17 @@ def _gradients(v: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, of: np.nd
     return [np.bincount(a, g, n) - np.bincount(b, g, n), np.bincount(a, h, n) + np.bincount(b, h, n)]
 
 
-def gradients(rows: DataFrame, group: str, tile: int = TILE, lead: int | None = None) -> DataFrame:
+def gradients(rows: DataFrame, group: str, tile: int = TILE, lead: int | None = None, largest: int | None = None) -> DataFrame:
     """(_id, r, w): sums of gradients and curvatures of the pair cost ln(1 + exp(-2 d)), over the pairs of rows with different labels.
 
     rows: group, _id, _y, _f, _place; with _g, _d, _best a pair weighs |differences of gain and discount| over the query's best.
+    largest: rows of the largest query at most, if known; where they fit into a tile, no row is sent twice.
     """
+    single = largest is not None and largest <= tile
     columns = [c for c in ("_id", "_y", "_f", "_g", "_d", "_best") if c in rows.columns]
-    sent = _sent(rows.select(group, "_place", *columns), group, columns, tile, lead, False)
+    sent = _sent(rows.select(group, "_place", *columns), group, columns, tile, lead, False, single)
     made = sent.mapInArrow(_worked(columns, _gradients, False), "_id long, r double, w double")
-    return made.groupBy("_id").agg(F.sum("r").alias("r"), F.sum("w").alias("w"))
+    return made if single else made.groupBy("_id").agg(F.sum("r").alias("r"), F.sum("w").alias("w"))
 
 
 def _costs(v: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
@@ -157,6 +179,10 @@ def costs(df: DataFrame, group: str, label: Column, score: Column, tile: int = T
     """(group, pairs, cost): the number of a query's pairs with different labels, and the sum of ln(1 + exp(-2 d)) over them."""
     slim = df.select(F.col(group), label.cast("double").alias("_y"), score.cast("double").alias("_f"))
     slim = slim.where(F.col("_y").isNotNull() & F.col("_f").isNotNull())
-    rows = placed(slim, group, [("_y", True), ("_f", True)])
-    made = _sent(rows, group, ["_y", "_f"], tile, None, True).mapInArrow(_worked(["_y", "_f"], _costs, True), f"_group {rows.schema[group].dataType.simpleString()}, pairs long, cost double")
+    largest = largest_group(slim, group)
+    single = largest <= tile
+    rows = dealt(slim, group) if single else placed(slim, group, [("_y", True), ("_f", True)], largest)
+    made = _sent(rows, group, ["_y", "_f"], tile, None, True, single).mapInArrow(_worked(["_y", "_f"], _costs, True), f"_group {rows.schema[group].dataType.simpleString()}, pairs long, cost double")
+    if single:
+        return made.withColumnRenamed("_group", group)
     return made.groupBy(F.col("_group").alias(group)).agg(F.sum("pairs").alias("pairs"), F.sum("cost").alias("cost"))

@@ -171,3 +171,18 @@ def test_searched_leaves_do_not_lose(spark):
         model = boost.train(df, ["a", "b"], "y", boost.Settings(loss="lambda", trees=2, leaves=3, least=2, step=step, bins=0, cut=5), group="q")
         ndcg[step] = metrics.ndcg(model.predict(df), "q", "y", "score", 5).agg(F.avg("ndcg")).first()[0]
     assert ndcg["search"] >= 0.8 and ndcg["search"] >= ndcg["line"] - 0.05
+
+
+def test_queries_of_one_tile_take_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(pairwise, "TASK_ROWS", 10)
+    rows = queries(5)
+    df = spark.createDataFrame(rows, "_id long, q int, _y double, _f double").repartition(3)
+    own = pairwise.dealt(df, "q")
+    assert own.rdd.getNumPartitions() == -(-len(rows) // 10)
+    sums = pairwise.gradients(pairwise.placed(own, "q", [("_y", True), ("_id", False)], 60), "q", largest=60)
+    assert {"_id", "r", "w"} == set(sums.columns) and sums._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r[0]: (r[1], r[2]) for r in sums.collect()}
+    for i, want in listed(rows).items():
+        assert got.get(i, (0.0, 0.0)) == pytest.approx(want, abs=1e-9)
+    for made in (metrics.pair_error(df, "q", "_y", "_f"), metrics.ndcgs(df, "q", "_y", "_f", 3, ("pessimistic", "mean", "optimistic"))):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
