@@ -21,15 +21,18 @@ called.
 from __future__ import annotations
 
 import gc
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +45,8 @@ LOW = 1 << 31  # states lie from here up to 2 ** 63
 LANES, BLOCK_IDS, CHECKPOINT = 4096, 1 << 20, 128
 #: Bytes of ids in a shard, about.
 SHARD_BYTES = 16_000_000
+#: Bytes of texts that are encoded at a time.
+MOST_BYTES = 1_000_000
 MAGIC = b"RKT1"
 _HEAD = struct.Struct("<4sQIIQII")
 
@@ -67,57 +72,55 @@ class WordIds:
     between them is encoded on its own. Words parted by white space are looked up in a cache. Of those that it lacks, plain ones are parted into pieces as
     the vocabulary's pattern says, and the tokenizers library's model encodes each piece that is new; others go through
     the whole tokenizer, parted by a special token. The tests hold both ways to the tokenizer's own result.
+
+    What the caches take is bounded, as each Python worker has its own: ids of pieces are bytes, 32 bits each; pieces are two
+    dicts of which the later takes the earlier's place when it has half of the most; the arrays of words have their
+    full length from the start and are used again, since what growing arrays give back to the heap stays with the process.
     """
 
     BLANKS = "\t\n\r\f\v"
 
-    def __init__(self, path: str, most: int = 600_000, most_pieces: int = 400_000, apart: str = "<|endoftext|>"):
+    def __init__(self, path: str, most: int = 500_000, most_pieces: int = 340_000, apart: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
 
-        self.exact, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
-        self.model, self.signs = self.exact.model, _byte_signs()
-        self.apart, self.apart_id, self.most, self.most_pieces = apart, self.joined.token_to_id(apart), most, most_pieces
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.special = {t.content: i for i, t in self.joined.get_added_tokens_decoder().items()}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.signs = self.tokenizer.model, _byte_signs()
+        self.apart, self.apart_id, self.most, self.most_pieces = apart, self.tokenizer.token_to_id(apart), most, most_pieces
+        self.pieces: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.part = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")")
-        self._clear()
+        room = most + most // 8
+        self.index: dict[str, int] = {"": 0}
+        self.start, self.size, self.again = np.zeros(room, np.uint32), np.zeros(room, np.uint32), np.zeros(room, bool)
+        self.pool, self.used = np.zeros(4 * room, np.uint32), 0
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        found = self.pieces.get(piece)
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the later dict lacks."""
+        found = self.earlier.get(piece)
         if found is None:
-            if len(self.pieces) >= self.most_pieces:
-                self.pieces.clear()
             written = piece if piece.isascii() else "".join([self.signs[b] for b in piece.encode()])
-            found = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(written)])
+            found = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        self.pieces[piece] = found
         return found
 
-    def _plain_words(self, words: list[str]) -> tuple[list[str], list[int], list[int], list[str]]:
-        """(words of ASCII letters, all their ids, the numbers of their ids, the other words)."""
-        plain, flat, sizes, others = [], [], [], []
-        known, tokenize = self.pieces, self.model.tokenize
-        if len(known) >= self.most_pieces:
-            known.clear()
+    def _plain_words(self, words: list[str]) -> tuple[list[str], list[bytes], list[str]]:
+        """(words of ASCII letters, the ids of each, the other words)."""
+        plain, found, others = [], [], []
+        known, piece = self.pieces.get, self._piece
         for word in words:
             if word.isalpha() and word.isascii():
-                w = word.lower()
-                ids = known.get(w)
-                if ids is None:
-                    ids = known[w] = tuple([t.id for t in tokenize(w)])
-                flat += ids
-                sizes.append(len(ids))
+                w = word if word.islower() else word.lower()
+                found.append(known(w) or piece(w))
                 plain.append(word)
             else:
                 others.append(word)
-        return plain, flat, sizes, others
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.start, self.size, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint32), 0
-        self.again = np.zeros(1 << 16, bool)
+        return plain, found, others
 
     def _learn(self, words: list[str]) -> None:
-        plain, flat, sizes, words = self._plain_words(words)
+        if len(self.pieces) >= self.most_pieces // 2:
+            self.pieces, self.earlier = {}, self.pieces
+        plain, found, words = self._plain_words(words)
         rest, odd = [], []
         ended, plain_word, parted, piece, known = _ENDED.fullmatch, _PLAIN.fullmatch, _PIECE.findall, self._piece, self.pieces.get
         for word in words:
@@ -125,26 +128,24 @@ class WordIds:
                 ids = known(p := m[1].lower()) or piece(p)
                 if p := m[2]:
                     ids = ids + (known(p) or piece(p))
-                flat += ids
-                sizes.append(len(ids))
+                found.append(ids)
             elif plain_word(word):
-                before = len(flat)
-                for p in parted(word.lower()):
-                    flat += known(p) or piece(p)
-                sizes.append(len(flat) - before)
+                found.append(b"".join([known(p) or piece(p) for p in parted(word.lower())]))
             else:
                 (odd if "<|" in word else rest).append(word)
                 continue
             plain.append(word)
-        parts, more = [np.array(flat, np.uint32)], [np.array(sizes, np.int64)]
+        parts, more = [np.frombuffer(b"".join(found), np.uint32)], [np.fromiter(map(len, found), np.int64, len(found)) // 4]
         for at in range(0, len(rest), 4096):
-            ids = np.array(self.joined.encode_batch_fast([self.apart.join(rest[at : at + 4096])], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([self.apart.join(rest[at : at + 4096])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(np.append(ids, np.uint32(self.apart_id)) == self.apart_id)
             more.append(np.diff(ends, prepend=-1) - 1)
             parts.append(ids[ids != self.apart_id])
+        self.tokenizer.encode_special_tokens = True  # as any text: special tokens were taken out before
         for w in odd:
-            parts.append(np.array(self.exact.encode(w, add_special_tokens=False).ids, np.uint32))
+            parts.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
             more.append(np.array([len(parts[-1])]))
+        self.tokenizer.encode_special_tokens = False
         plain += rest + odd
         ids, sizes = np.concatenate(parts), np.concatenate(more)
         n = len(self.index)
@@ -160,19 +161,19 @@ class WordIds:
 
     def _thin_out(self) -> None:
         """Keep the words that were met again since they were learned."""
-        old, kept = self.index, np.flatnonzero(self.again[: len(self.index)])
-        start, size, pool, again = self.start, self.size, self.pool, self.again
-        self._clear()
-        kept = kept[kept > 0]
-        if len(kept) > self.most // 2:
-            return
-        self.index.update(zip([w for w, i in old.items() if i and again[i]], range(1, len(kept) + 1), strict=True))
-        n = 1 << max(16, (len(kept) + 1).bit_length())
-        self.start, self.size, self.again = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-        ids = pool[ranges(start[kept], size[kept])]
-        self.size[1 : len(kept) + 1] = size[kept]
-        self.start[1 : len(kept) + 1] = np.cumsum(size[kept]) - size[kept]
-        self.pool, self.used = np.append(ids, np.zeros(1 << 20, np.uint32)), len(ids)
+        again = self.again[: len(self.index)]
+        again[0] = False
+        if int(again.sum()) > self.most // 2:
+            again[:] = False
+        start, size, words = self.start[: len(again)][again], self.size[: len(again)][again].astype(np.int64), list(compress(self.index, again.tobytes()))
+        self.index = {"": 0}
+        self.index.update(zip(words, range(1, len(words) + 1), strict=True))
+        ids = self.pool[ranges(start.astype(np.int64), size)]
+        self.size[1 : len(words) + 1] = size
+        self.start[1 : len(words) + 1] = np.cumsum(size) - size
+        self.pool[: len(ids)] = ids
+        self.used = len(ids)
+        again[:] = False
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, the number of ids of each text)."""
@@ -203,16 +204,19 @@ class WordIds:
         self.again[at[at >= 0]] = True
         if lacking:
             new = [words[i] for i in lacking]
-            self._learn(list(dict.fromkeys(new)))
+            distinct = list(dict.fromkeys(new))
+            for lo in range(0, len(distinct), 1 << 16):
+                self._learn(distinct[lo : lo + (1 << 16)])
             at[lacking] = list(map(self.index.__getitem__, new))
-        sizes = self.size[at]
-        ids = self.pool[ranges(self.start[at], sizes)]
+        sizes = self.size[at].astype(np.int64)
+        ids = self.pool[ranges(self.start[at].astype(np.int64), sizes)]
         edges = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
         return ids, np.diff(edges)
 
 
 @cache
 def _words(path: str) -> WordIds:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores; each thread of the library would keep memory of its own
     return WordIds(path)
 
 
@@ -327,9 +331,11 @@ def _tokenize(path: str, end_id: int, vocabulary: int):
         gc.disable()  # the caches hold no cycles, and going through them takes as long as a tenth of the encoding
         try:
             for batch in batches:
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for lo in range(0, len(texts), 256):
-                    ids, sizes = encoder.encode(texts[lo : lo + 256])
+                bytes_before = np.append(0, np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(), dtype=np.int64))
+                lo = 0
+                while lo < batch.num_rows:  # a long text comes alone
+                    some = min(256, max(1, int(np.searchsorted(bytes_before, bytes_before[lo] + MOST_BYTES, "right")) - 1 - lo))
+                    ids, sizes = encoder.encode([t or "" for t in batch.column(1).slice(lo, some).to_pylist()])
                     ends = np.cumsum(sizes)
                     ids = np.insert(ids, ends, end_id).astype(small)
                     counts += np.bincount(ids, minlength=vocabulary)
@@ -338,6 +344,7 @@ def _tokenize(path: str, end_id: int, vocabulary: int):
                     cut = np.append(0, ends).tolist()
                     blobs = [raw[a * width : z * width] for a, z in zip(cut[:-1], cut[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), pa.array(np.diff(cut)), pa.array(blobs, pa.binary())], ["doc_id", "n", "ids"])
+                    lo += some
         finally:
             gc.enable()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "ids"])

@@ -1,8 +1,11 @@
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +97,41 @@ def test_empty_and_repeated(spark):
     rows = sorted(m.token_file(df, PATH).collect(), key=lambda r: r.start)
     assert [r.n_tokens for r in rows] == [2, 3, 3] and [r.start for r in rows] == [0, 2, 5]
     assert m.token_file(df.where(F.lit(False)), PATH).count() == 0
+
+
+WORKER = """
+import random, re, sys
+import pyarrow as pa
+from rankflow.llm import token_file as m
+
+def mb():
+    return int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+r, before = random.Random(5), mb()
+
+def batches():
+    for _ in range(14):
+        texts = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)) + r.choice(["", ",", "."]) for _ in range(200)) for _ in range(200)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], ["doc_id", "text"])
+
+print(max(mb() for _ in m._tokenize(sys.argv[1], 2, 49408)(batches())) - before)
+"""
+
+
+def test_memory_of_a_worker_whose_caches_are_full():
+    done = subprocess.run([sys.executable, "-c", WORKER, PATH], capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 225
+
+
+def test_long_texts_are_encoded_alone(monkeypatch):
+    seen = []
+    encode = m.WordIds.encode
+    monkeypatch.setattr(m, "MOST_BYTES", 1000)
+    monkeypatch.setattr(m.WordIds, "encode", lambda self, texts: seen.append(texts) or encode(self, texts))
+    texts = ["a" * 400, None, "b " * 200, "é" * 300, "c d " * 2000, "", *["e"] * 600]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    rows = [x for out in m._tokenize(PATH, 2, 49408)(iter([batch])) for x in out.to_pylist()]
+    assert [t for some in seen for t in some] == [t or "" for t in texts]
+    assert all(len(some) == 1 or len(some) <= 256 and sum(len(t.encode()) for t in some) <= 1000 for some in seen)
+    assert [np.frombuffer(x["ids"], "<u2").tolist() for x in rows[:-1]] == [[*ids, 2] for ids in plain([t or "" for t in texts])]
+    assert [x["doc_id"] for x in rows[:-1]] == list(range(len(texts))) and np.frombuffer(rows[-1]["ids"], "<i8").sum() == sum(x["n"] for x in rows[:-1])
